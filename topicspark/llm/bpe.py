@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 NONE = np.int32(2**31 - 1)
 #: Characters of text handled at once, and pieces remembered in a task before it starts afresh: they bound memory.
@@ -227,6 +227,7 @@ def bpe_decode(docs: DataFrame, vocabulary: str, pattern: str, ids: str = "ids",
 def digested(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
+    small_batches(docs.sparkSession)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     out = bpe_decode(bpe_encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text"), path, public_tokenizers.PATTERN)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

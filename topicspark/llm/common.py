@@ -106,3 +106,44 @@ def components(edges: DataFrame) -> DataFrame:
 
 def rows_of(table_) -> list[dict]:
     return list(itertools.chain.from_iterable(b.to_pylist() for b in table_.to_batches()))
+
+
+#: An odd base of polynomial hashes modulo 2^64, and its inverse.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 2**64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ... n - 1 modulo 2^64; the longest run so far is kept."""
+    if base not in _powers or len(_powers[base]) < n:
+        run = np.full(max(n, 1 << 20), np.uint64(base))
+        run[0] = 1
+        _powers[base] = np.cumprod(run)
+    return _powers[base][:n]
+
+
+def prefix_sums(buf: np.ndarray, base: int = BASE) -> np.ndarray:
+    """Sums of (byte + 1) * base ** place over the first 0, 1, ... len(buf) bytes, modulo 2^64."""
+    out = np.zeros(len(buf) + 1, dtype=np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(base, len(buf)), out=out[1:])
+    return out
+
+
+def span_hash(sums: np.ndarray, first: np.ndarray, last: np.ndarray, inverse: int = INVERSE) -> np.ndarray:
+    """The polynomial hash of the bytes from first to before last: equal for equal strings wherever they stand."""
+    return (sums[last] - sums[first]) * powers(inverse, len(sums))[first]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spread a 64-bit hash over all its bits."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of whole documents hold fewer rows than Spark's default, so that workers stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))

@@ -5,24 +5,22 @@ tree of contexts, the last 0 to `depth` bytes; each context holds a Krichevsky-T
 and ones, and the weighted probability mixes the estimates of all depths:
     Pw(context) = 1/2 KT(context) + 1/2 product of Pw(longer contexts).
 The tree is a table by (context, node), summed from the deepest contexts up and turned into predictions from the root
-down, one grouping or join a depth. No task and no broadcast holds the model: the corpus is dealt into chunks, a chunk
-sends the n-grams it has (with their training counts) to the tables and gets back the code length of just those.
+down, one grouping or join a depth. No task and no broadcast holds the model: the corpus is counted in one pass;
+for scoring it is dealt into chunks, and a chunk asks for the n-grams that it has and gets the code lengths of just those.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, in_chunks, table
+from .common import LOWER, in_chunks, mixed, prefix_sums, scratch, small_batches, span_hash, table
 
 #: Bytes that UTF-8 never has: before a text's start, and after its end.
 PAD, END = b"\xfe", b"\xff"
@@ -30,6 +28,8 @@ PAD, END = b"\xfe", b"\xff"
 END_KEY = -1
 #: Bytes of text that a chunk holds, and that a task turns into n-grams at once.
 CHUNK, PART = 32 << 20, 1 << 19
+#: Keys that a task of the first pass sums before it sends them on.
+MOST_KEYS = 3 << 20
 
 
 def trains(doc_id: object, folds: int, fold: int) -> bool:
@@ -37,9 +37,20 @@ def trains(doc_id: object, folds: int, fold: int) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds != fold
 
 
-def word_key(word: bytes) -> int:
-    """A negative 64-bit hash (63 bits)."""
-    return -2 - (xxhash.xxh64_intdigest(word) >> 1) % (2**63 - 2)
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A negative key of each word of each text, one after another, and how many words each text has.
+
+    A key is the low 62 bits of a mixed polynomial hash of the word's bytes (and so of its length).
+    """
+    buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    blank = (buf == 32) | ((buf >= 9) & (buf <= 13))
+    edge = np.diff(blank.view(np.int8), prepend=np.int8(1))
+    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    sums = prefix_sums(buf)
+    h = mixed(span_hash(sums, first, last))
+    keys = -2 - (h >> np.uint64(2)).astype(np.int64)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return keys, np.diff(np.searchsorted(first, ends), prepend=0)
 
 
 def grams(texts: list[bytes], depth: int) -> np.ndarray:
@@ -66,39 +77,59 @@ def parts_of(texts: pa.ChunkedArray) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-    sums = np.zeros(len(keys), dtype=np.int64)
-    np.add.at(sums, at, np.concatenate([n for _, n in found]))
-    return keys, sums
+    """Distinct keys in order, and the sums of their counts."""
+    keys, n = np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    starts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+    return keys[starts], np.add.reduceat(n, starts)
+
+
+def keys_of(texts: list[bytes], depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [np.unique(keys, return_counts=True) for keys in (grams(texts, depth), word_keys(texts)[0])]
+
+
+def counted(docs: DataFrame, depth: int, folds: int, fold: int) -> DataFrame:
+    """(key, n): every n-gram and word of the corpus with its count in training texts (0: in none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(np.array([END_KEY]), np.array([0]))]
 
+        def sent() -> pa.RecordBatch:
+            keys, n = merged(found)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
-def gathered(docs: DataFrame, depth: int, folds: int, fold: int) -> DataFrame:
-    """(key, chunk, n): every n-gram and word of a chunk with its count in the chunk's training texts (0: in none)."""
+        for rows in batches:
+            learn = [trains(x, folds, fold) for x in rows.column(0).to_pylist()]
+            found.append((np.array([END_KEY]), np.array([sum(learn)])))
+            for lo, texts in parts_of(rows.column(1)):
+                for yes in (True, False):
+                    chosen = [t for k, t in enumerate(texts, lo) if learn[k] == yes]
+                    found += [(k, n if yes else np.zeros_like(n)) for k, n in keys_of(chosen, depth)] if chosen else []
+                if sum(len(k) for k, _ in found[1:]) > max(1 << 20, 2 * len(found[0][0])):
+                    found = [merged(found)]
+                    if len(found[0][0]) > MOST_KEYS:
+                        yield sent()
+                        found = [(np.array([END_KEY]), np.array([0]))]
+        yield sent()
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, "key long, n long")
+    return rows.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def wanted(docs: DataFrame, depth: int) -> DataFrame:
+    """(key, chunk): every n-gram and word that a chunk has."""
 
     def run(rows: pa.Table) -> pa.Table:
-        learn = np.array([trains(x, folds, fold) for x in rows.column("doc_id").to_pylist()])
-        known: Counter[bytes] = Counter()
-        others: set[bytes] = set()
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for lo, texts in parts_of(rows.column("text")):
-            for yes in (True, False):
-                chosen = [t for k, t in enumerate(texts, lo) if learn[k] == yes]
-                if not chosen:
-                    continue
-                keys, n = np.unique(grams(chosen, depth), return_counts=True)
-                found.append((keys, n if yes else np.zeros(len(keys), dtype=np.int64)))
-                for t in chosen:
-                    known.update(t.split()) if yes else others.update(t.split())
-            if len(found) > 24:
+        found = [(np.array([END_KEY]), np.array([0]))]
+        for _, texts in parts_of(rows.column("text")):
+            found += keys_of(texts, depth)
+            if sum(len(k) for k, _ in found[1:]) > max(1 << 20, 2 * len(found[0][0])):
                 found = [merged(found)]
-        keys, n = merged(found)
-        others -= known.keys()
-        words = np.array([*map(word_key, known), *map(word_key, others), END_KEY], dtype=np.int64)
-        counts = np.array([*known.values(), *[0] * len(others), int(learn.sum())], dtype=np.int64)
-        keys, n = np.concatenate([keys, words]), np.concatenate([n, counts])
-        return pa.table({"key": keys, "chunk": np.full(len(keys), rows.column("chunk")[0].as_py(), dtype=np.int32), "n": n})
+        keys, _ = merged(found)
+        return pa.table({"key": keys, "chunk": np.full(len(keys), rows.column("chunk")[0].as_py(), dtype=np.int32)})
 
-    return docs.groupBy("chunk").applyInArrow(run, "key long, chunk int, n long")
+    return docs.groupBy("chunk").applyInArrow(run, "key long, chunk int")
 
 
 def log_gamma(x: Column) -> Column:
@@ -129,17 +160,17 @@ def code_lengths(counts: DataFrame, depth: int) -> DataFrame:
     counts: (key, n) of all n-grams of the corpus; those without training count take the estimate of the longest
     context that training has reached, so that every context's predictions sum to one.
     """
-    one = bits(counts)
+    spark, one = counts.sparkSession, bits(counts)
     level = one.groupBy("ctx", "node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).cast("double").alias("c0"), F.sum(F.col("n") * F.col("bit")).cast("double").alias("c1"))
     level = level.withColumn("le", kt(F.col("c0"), F.col("c1"))).withColumn("lw", F.col("le")).withColumn("w", F.lit(1.0))
-    levels = [level]
+    levels = [scratch(spark, level, "ctw-level")]
     for d in range(depth - 1, -1, -1):
         shorter = F.col("ctx").bitwiseAND(F.lit((1 << 8 * d) - 1).cast("long"))
         level = levels[-1].groupBy(shorter.alias("ctx"), "node").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.sum("lw").alias("lc"))
         level = level.withColumn("le", kt(F.col("c0"), F.col("c1")))
         most = F.greatest("le", "lc")
         level = level.withColumn("lw", most + F.log(F.exp(F.col("le") - most) + F.exp(F.col("lc") - most)) - math.log(2))
-        levels.append(level.withColumn("w", 1.0 / (1.0 + F.exp(F.col("lc") - F.col("le")))).drop("lc"))
+        levels.append(scratch(spark, level.withColumn("w", 1.0 / (1.0 + F.exp(F.col("lc") - F.col("le")))).drop("lc"), "ctw-level"))
     levels.reverse()
     # s: the mix so far; r: the weight left for longer contexts; v: the prediction if nothing longer is known
     estimate = (F.col("c1") + 0.5) / (F.col("c0") + F.col("c1") + 1.0)
@@ -167,57 +198,56 @@ def scored(docs: DataFrame, replies: DataFrame, depth: int, folds: int, fold: in
         keys, values = reply.column("key").to_numpy()[order], reply.column("value").to_numpy()[order]
         split = int(np.searchsorted(keys, 0))
         gram_keys, gram_values = keys[split:], values[split:]
-        word_keys, word_values = keys[:split], values[:split]
-
-        def looked_up(wanted: list[int]) -> np.ndarray:
-            return np.log10(word_values[np.searchsorted(word_keys, np.array(wanted, dtype=np.int64))] + 1)
-
-        known: dict[bytes, float] = {}
-        end = float(looked_up([END_KEY])[0]) if len(rows) else 0.0
+        word_known, word_values = keys[:split], np.log10(values[:split] + 1)
         ids = rows.column("doc_id").to_pylist() if len(rows) else []
         tokens, hits, logs, scores = [], [], [], []
         for _, texts in parts_of(rows.column("text")) if len(rows) else ():
-            per_byte = gram_values[np.searchsorted(gram_keys, grams(texts, depth))]
-            starts = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
-            scores.extend(np.add.reduceat(per_byte, starts))
-            for t in texts:
-                words = t.split()
-                if new := [w for w in set(words) if w not in known]:
-                    known.update(zip(new, looked_up([word_key(w) for w in new]).tolist(), strict=True))
-                each = np.fromiter(map(known.__getitem__, words), dtype=np.float64, count=len(words))
-                tokens.append(len(words) + 1)
-                hits.append(int(np.count_nonzero(each)) + (end > 0))
-                logs.append(float(each.sum()) + end)
+            asked = grams(texts, depth)
+            order = np.argsort(asked)  # a binary search is quickest in order
+            per_byte = np.empty(len(asked))
+            per_byte[order] = gram_values[np.searchsorted(gram_keys, asked[order])]
+            scores.append(np.add.reduceat(per_byte, np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]))
+            words, n = word_keys(texts)
+            each = np.append(word_values[np.searchsorted(word_known, words)], 0.0)
+            ends = np.cumsum(n)
+            sums, known = np.append(0.0, np.cumsum(each)), np.append(0, np.cumsum(each > 0))
+            tokens.append(n + 1)
+            logs.append(sums[ends] - sums[ends - n] + word_values[-1])
+            hits.append(known[ends] - known[ends - n] + int(word_values[-1] > 0))
         held = [not trains(x, folds, fold) for x in ids]
-        return pa.table({"doc_id": pa.array(ids, type=rows.schema.field("doc_id").type), "held_out": pa.array(held, type=pa.bool_()), "n_tokens": pa.array(tokens, type=pa.int64()), "n_known": pa.array(hits, type=pa.int64()), "logs": pa.array(logs, type=pa.float64()), "score": pa.array(scores, type=pa.float64())})
+        columns = {"n_tokens": (tokens, np.int64), "n_known": (hits, np.int64), "logs": (logs, np.float64), "score": (scores, np.float64)}
+        columns = {k: np.concatenate([np.empty(0, kind), *v]).astype(kind) for k, (v, kind) in columns.items()}
+        return pa.table({"doc_id": pa.array(ids, type=rows.schema.field("doc_id").type), "held_out": pa.array(held, type=pa.bool_()), **columns})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double"
     return docs.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def ctw_scores(docs: DataFrame, depth: int = 4, folds: int = 7, fold: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def ctw_scores(docs: DataFrame, depth: int = 5, folds: int = 7, fold: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Each document's log10 probability under the corpus's context-tree model, and under a word model as a base.
 
     Texts are lower-cased (A-Z) and end with an end symbol; the model learns from documents outside the held-out fold
     and scores all. base_score: add-one word frequencies; the end counts as a token. Null and empty texts are their
     end alone; repeated rows each count and are scored; null ids count as the empty id; without training texts every
-    bit has probability 1/2; an empty table gives no row. Word counts are kept by 63-bit hashes.
+    bit has probability 1/2; an empty table gives no row. Word counts are kept by 62-bit hashes.
     """
     if not 1 <= depth <= 6:
         raise ValueError("depth is 1 to 6")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    spark = docs.sparkSession
+    counts = scratch(spark, counted(rows, depth, folds, fold), "ctw-counts")
+    values = code_lengths(counts.filter("key >= 0"), depth).unionByName(counts.filter("key < 0").select("key", F.col("n").cast("double").alias("value")))
+    values = scratch(spark, values, "ctw-values")
     rows, n = in_chunks(rows, F.col("doc_id"), F.coalesce(F.length("text"), F.lit(0)) + 64, CHUNK)
     rows = rows.repartition(n, "chunk")
-    sent = gathered(rows, depth, folds, fold).repartition("key")
-    counts = sent.groupBy("key").agg(F.sum("n").alias("n"))
-    values = code_lengths(counts.filter("key >= 0"), depth).unionByName(counts.filter("key < 0").select("key", F.col("n").cast("double").alias("value")))
-    out = scored(rows, sent.select("key", "chunk").join(values, "key"), depth, folds, fold)
+    out = scored(rows, wanted(rows, depth).join(values, "key"), depth, folds, fold)
     totals = counts.filter("key < 0").agg(F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).alias("t")).scalar()
     out = out.withColumn("_t", totals).withColumn("train_tokens", F.col("_t.n"))
     return out.withColumn("base_score", F.col("logs") - F.col("n_tokens") * F.log10((F.col("_t.n") + F.col("_t.v") + 1).cast("double"))).drop("_t", "logs")
 
 
 def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     out = ctw_scores(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import dealt_blocks, in_blocks, pair_steps
-from .common import LOWER, components, local_components, scratch, table
+from .common import LOWER, components, local_components, scratch, small_batches, table
 
 SEED = 42
 
@@ -105,6 +105,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, text: str
     texts have fingerprint zero and link like any other; null doc_ids never stand for a component (one of null ids only
     has a null component_id); repeated rows give a row each; an empty table gives no row.
     """
+    small_batches(docs.sparkSession)
     marked = scratch(docs.sparkSession, simhash(docs, shingle, text, doc_id), "simhash")
     fps = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     linked = components(scratch(docs.sparkSession, fingerprint_links(fps.select("fp"), bits), "simhash-links"))
