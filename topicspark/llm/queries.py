@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .ctw import op1_ctw
+from .embeddings import OP2_SQL, op2_embeddings
 from .mixing import OP7_SQL, op7_mixing
 from .quality_rules import op10_quality_rules
 from .simhash import op6_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ctw": op1_ctw,
+    "op2_embeddings": op2_embeddings,
     "op4_bpe": op4_bpe,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_embeddings": OP2_SQL, "op7_mixing": OP7_SQL}
