@@ -9,11 +9,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from topicspark.llm.bpe import bpe_stage
 from topicspark.llm.common import scratch, table
+from topicspark.llm.line_dedup import line_dedup_stage
+from topicspark.llm.mixing import mixing_stage
 from topicspark.llm.quality_rules import quality_stage
+from topicspark.llm.simhash import simhash_stage
 
 STAGES = [
     ("quality rules", quality_stage),
+    ("line dedup", line_dedup_stage),
+    ("simhash near-dedup", simhash_stage),
+    ("mixing to target weights", mixing_stage),
+    ("bpe encoding", bpe_stage),
 ]
 
 ORACLE_SQL = None
