@@ -14,6 +14,7 @@ from .line_dedup import op3_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .quality_rules import op10_quality_rules
 from .simhash import op6_simhash
+from .substrings import op9_substrings
 from .warc import OP5_SQL, op5_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
+    "op9_substrings": op9_substrings,
     "op10_quality_rules": op10_quality_rules,
 }
 
