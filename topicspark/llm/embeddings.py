@@ -32,7 +32,7 @@ def matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
 
 
 def placed(vectors: DataFrame, dims: int, least: float, blocks: int, grid: int) -> DataFrame:
-    """(key, id, embedding, home): each vector in its own cell of every block and in the cells its budget reaches.
+    """(key, id, home): each vector in its own cell of every block and in the cells its budget reaches.
 
     A pair of cosine c has squared distance 2 - 2c between unit vectors, so for c >= least some block of k of the
     dims rotated coordinates has at most k / dims of 2 - 2 * least. A block's cells cut its first `grid` coordinates
@@ -63,9 +63,9 @@ def placed(vectors: DataFrame, dims: int, least: float, blocks: int, grid: int)
                     rows.append(near)
                     homes.append(np.full(len(near), all(s == 1 for s in step)))
             at = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(homes))], ["key", "id", "embedding", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(at), pa.array(np.concatenate(homes))], ["key", "id", "home"])
 
-    return vectors.mapInArrow(run, "key long, id long, embedding array<float>, home boolean")
+    return vectors.mapInArrow(run, "key long, id long, home boolean")
 
 
 def links(vectors: DataFrame, dims: int, least: float, blocks: int, grid: int, limit: int) -> DataFrame:
@@ -115,20 +115,21 @@ def links(vectors: DataFrame, dims: int, least: float, blocks: int, grid: int, l
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(n), pa.array(nodes[root])], ["id", "n", "root"])
 
     dealt = dealt_blocks(placed(vectors, dims, least, blocks, grid), "key", F.col("id"), limit)
+    dealt = dealt.join(vectors, "id").select("key", "id", "embedding", "home", "part", "i", "j")  # vectors travel once
     return in_blocks(dealt, "key", run, "id long, n long, root long")
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.9, blocks: int = 8, grid: int = 3, limit: int = 4096, embedding: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.9, blocks: int = 8, grid: int = 3, limit: int = 20000, embedding: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
     """(vec_id, n_links, component_id, kept): links are pairs of cosine >= least in double precision.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do vectors of
-    different lengths. Rows with the same vec_id are taken as one vector each (they link with the others, not among
-    themselves); null vec_ids link with nothing. An empty table gives no row. Each vector is its own row here: a
+    different lengths. Of rows with the same vec_id one stands for all; null vec_ids link with nothing. An empty table gives no row. Each vector is its own row here: a
     hot vector's cells are split into parts (blocks.py), and a task gives one row a vector, not one a pair.
     """
     v = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("embedding"))
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    good = scratch(v.sparkSession, v.filter(F.col("id").isNotNull() & whole), "vectors")
+    good = v.filter(F.col("id").isNotNull() & whole).dropDuplicates(["id"])
+    good = scratch(v.sparkSession, good, "vectors")
     found = None
     for (dims,) in good.select(F.size("embedding")).distinct().collect():
         some = links(good.filter(F.size("embedding") == dims), dims, least, min(blocks, dims), grid, limit)
