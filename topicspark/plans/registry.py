@@ -5,6 +5,587 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from topicspark.functions import text as T
+from topicspark.operators import facts as FA
+from topicspark.operators import lineage as LI
+from topicspark.operators import matching as MA
+from topicspark.operators import quality as QU
+from topicspark.operators import routing as RO
+from topicspark.operators import stats as ST
+from topicspark.operators import tree as TR
+from topicspark.operators import triage as TI
+from topicspark.plans import views as V
+from topicspark.plans.views import sql_normal, sql_tokens, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *views: str):
+    """Register a query under its function's name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = with_views(sql, *views) if views else sql
+        return f
+
+    return add
+
+
+def jac(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) END"
+
+
+MATCH_SQL = f"""
+WITH f AS (SELECT doc_id, pos, {sql_tokens("text")} AS words FROM v_sents),
+e AS (SELECT DISTINCT words, w FROM (SELECT words, unnest(words) AS w FROM (SELECT DISTINCT words FROM f))),
+ce AS (SELECT DISTINCT id, unnest(list_concat(keywords, tokens)) AS w FROM v_claims),
+p AS (SELECT DISTINCT e.words, ce.id FROM e JOIN ce ON e.w = ce.w),
+s AS (SELECT p.words, p.id, floor((0.4::DOUBLE * 0.0::DOUBLE + 0.3::DOUBLE * ({jac("p.words", "c.keywords")}) + 0.3::DOUBLE * ({jac("p.words", "c.tokens")})) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS score FROM p JOIN v_claims c ON p.id = c.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY words ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.1)
+SELECT f.doc_id, f.pos, r.id, r.score, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'low' END AS bucket, CAST(rank AS INT) AS rank
+FROM f JOIN r ON f.words = r.words WHERE rank <= 3"""
+
+
+@query(MATCH_SQL, "v_sents", "v_claims")
+def e10_claim_matching(spark, d):
+    """The three best claims of every sentence."""
+    return MA.match_claims(V.sentences(spark, d), V.claims(spark, d), ["doc_id", "pos"])
+
+
+KEYS_SQL = f"""SELECT doc_id, pos, {sql_normal("text")} AS normal, len({sql_tokens("text")}) AS n_tokens,
+sha256(source_id || '|' || CASE WHEN {sql_normal("text")} = '' THEN text ELSE {sql_normal("text")} END) AS fact_key FROM v_sents"""
+
+
+@query(KEYS_SQL, "v_sents")
+def f1_fact_keys(spark, d):
+    """normalised text, tokens and stable keys."""
+    s = V.sentences(spark, d)
+    t = F.col("text")
+    return s.select("doc_id", "pos", T.normalise_fact(t).alias("normal"), F.size(T.tokens(t)).cast("long").alias("n_tokens"), T.fact_key(F.col("source_id"), t).alias("fact_key"))
+
+
+@query(
+    """SELECT doc_id, trim(regexp_replace(translate(lower(path), '_-/\\', '    '), '\\s+', ' ', 'g')) AS normal, string_split(path, '/')[-1] AS base,
+    lower(regexp_extract(string_split(path, '/')[-1], '^.+(\\.[^.]*)$', 1)) AS ext, string_split(path, '/')[2] AS batch,
+    CASE WHEN ends_with(path, '.txt') OR ends_with(path, '.md') THEN 'text' WHEN ends_with(path, '.pdf') THEN 'extractable' WHEN ends_with(path, '.png') OR ends_with(path, '.HEIC') THEN 'image' ELSE 'unsupported' END AS class,
+    starts_with(path, 'intake/src1/') AS in_scope FROM v_intake""",
+    "v_intake",
+)
+def f6_intake_paths(spark, d):
+    """Path text, names, classes and scope."""
+    p = F.col("path")
+    return V.intake(spark, d).select("doc_id", T.normalise_path(p).alias("normal"), T.basename(p).alias("base"), T.extension(p).alias("ext"), T.batch_of(p).alias("batch"), TI.file_class(p).alias("class"), RO.within(p, "intake/src1").alias("in_scope"))
+
+
+@query(
+    """, n AS (SELECT DISTINCT array_to_string(p[1:k], '/') AS path FROM (SELECT p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT string_split(path, '/') AS p FROM v_leaves)))
+    SELECT path, CASE WHEN len(string_split(path, '/')) > 1 THEN array_to_string(string_split(path, '/')[1:len(string_split(path, '/')) - 1], '/') END AS parent, string_split(path, '/')[-1] AS leaf,
+    CASE len(string_split(path, '/')) WHEN 1 THEN 'project' WHEN 2 THEN 'topic' ELSE 'subtopic' END AS node_type,
+    (SELECT count(*) FROM n c WHERE starts_with(c.path, n.path || '/') AND len(string_split(c.path, '/')) = len(string_split(n.path, '/')) + 1) AS n_children, replace(path, '/', '-') AS slug FROM n""",
+    "v_leaves",
+)
+def g3_tree(spark, d):
+    """The tree under the given leaves."""
+    t = TR.expanded(V.leaves(spark, d))
+    return t.select("path", "parent", T.leaf(F.col("path")).alias("leaf"), "node_type", F.size("children").cast("long").alias("n_children"), T.topic_slug(F.col("path")).alias("slug"))
+
+
+@query("SELECT c_custkey, (c_custkey % 5) || '.' || (c_custkey % 7) || '.' || (c_custkey % 11 + 1) AS patch, (c_custkey % 5) || '.' || (c_custkey % 7 + 1) || '.0' AS minor, (c_custkey % 5 + 1) || '.0.0' AS major FROM customer")
+def f9_versions(spark, d):
+    """F9, E7."""
+    v = F.concat_ws(".", *[(F.col("c_custkey") % m).cast("string") for m in (5, 7, 11)])
+    return V.table(spark, d, "customer").select("c_custkey", *[T.version_bump(v, p).alias(p) for p in ("patch", "minor", "major")])
+
+
+SCORED = """s AS (SELECT *, floor(confidence * 100.0::DOUBLE + 0.5::DOUBLE) AS relevance, CASE WHEN list_contains(categories, 'genealogy') THEN 80.0::DOUBLE ELSE 20.0::DOUBLE END AS genealogy,
+ CASE WHEN list_contains(categories, 'history') THEN 80.0::DOUBLE ELSE 20.0::DOUBLE END AS historical FROM v_facts),
+t AS (SELECT *, relevance * 0.3::DOUBLE + genealogy * 0.1::DOUBLE + historical * 0.2::DOUBLE + relevance * 0.3::DOUBLE + 50.0::DOUBLE * 0.1::DOUBLE AS raw FROM s)"""
+
+
+@query(f", {SCORED} SELECT topic, source_id, pos, relevance, genealogy, historical, floor(raw * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE AS promotion_score, raw >= 80 AS promoted FROM t", "v_facts")
+def f10_scores(spark, d):
+    """Promotion scores of all facts."""
+    return FA.scored_by(V.facts(spark, d)).select("topic", "source_id", "pos", "relevance", "genealogy", "historical", "promotion_score", "promoted")
+
+
+@query(f", {SCORED} SELECT topic, count(*) FILTER (raw >= 80) AS promoted, count(*) FILTER (raw < 80) AS rejected FROM t GROUP BY topic", "v_facts")
+def a3_promotions(spark, d):
+    """A3."""
+    return FA.promotion_counts(FA.scores(V.facts(spark, d)), "topic")
+
+
+HTML = r"regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', ' ', 'g')"
+HTML = f"regexp_replace({HTML}, '<[^>]*>', ' ', 'g')"
+for _name, _char in T.ENTITIES:
+    HTML = f"replace({HTML}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
+HTML = rf"regexp_replace(regexp_replace({HTML}, '[ \t]+', ' ', 'g'), '[ \t]*\n[ \t]*', chr(10), 'g')"
+HTML = rf"regexp_replace(regexp_replace({HTML}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, {HTML} AS text FROM pages")
+def f13_html_text(spark, d):
+    """the text of every page."""
+    return V.table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
+
+
+@query(
+    r"""SELECT conv_id, turn, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html,
+    regexp_replace(text, '([|`])', '\\\1', 'g') AS inline, array_to_string(list_transform(string_split(text, chr(10)), lambda x: '    ' || x), chr(10)) AS block FROM conversations"""
+)
+def f15_escapes(spark, d):
+    """F15, F16."""
+    t = F.col("text")
+    return V.table(spark, d, "conversations").select("conv_id", "turn", T.escape_html(t).alias("html"), T.escape_inline(t).alias("inline"), T.indent_block(t).alias("block"))
+
+
+@query(
+    """SELECT event_id, CAST(ms AS BIGINT) AS ms, lpad(CAST(ms // 60000 AS VARCHAR), CAST(greatest(2, len(CAST(ms // 60000 AS VARCHAR))) AS INT), '0') || ':' || lpad(CAST(ms // 1000 % 60 AS VARCHAR), 2, '0') AS clock,
+    list_transform(range(event_id % 4), lambda k: CASE WHEN ms < 10000 THEN ms / 2.0::DOUBLE WHEN ms < 300000 THEN k * 10000.0::DOUBLE ELSE k * (ms / 30.0::DOUBLE) END) AS frames,
+    CASE WHEN event_type = 'error' THEN 'no-audio' WHEN event_type = 'view' THEN 'empty' ELSE 'transcribed' END AS transcript FROM (SELECT *, CAST(floor(abs(value) * 5000) AS BIGINT) AS ms FROM events)"""
+)
+def f17_video_times(spark, d):
+    """clocks, frame times and transcript status of clips as long as the events' values say."""
+    e = V.table(spark, d, "events").withColumn("ms", F.floor(F.abs("value") * 5000).cast("long"))
+    said = F.when(F.col("event_type") == "view", "  ").otherwise(F.col("event_type"))
+    frames = F.transform(T.frame_times(F.col("ms"), F.col("event_id") % 4), lambda x: x.cast("double"))
+    return e.select("event_id", "ms", T.clock(F.col("ms")).alias("clock"), frames.alias("frames"), T.transcript_status(F.col("event_type") != "error", said).alias("transcript"))
+
+
+@query(
+    """SELECT conv_id, string_agg('[frame @ ' || lpad(CAST(turn * 7 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(turn * 7 % 60 AS VARCHAR), 2, '0') || '] labels: ' || role, chr(10) ORDER BY turn, role) AS text FROM conversations GROUP BY conv_id"""
+)
+def f19_frame_lines(spark, d):
+    """one text from a clip's labelled frames in time order."""
+    c = V.table(spark, d, "conversations").withColumn("line", F.concat(F.lit("[frame @ "), T.clock(F.col("turn") * 7000), F.lit("] labels: "), F.col("role")))
+    rows = F.array_sort(F.collect_list(F.struct("turn", "role", "line")))
+    return c.groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("text"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN w > 0 AND h * 1.0::DOUBLE / w >= 1.3 THEN 'text-doc' ELSE 'photo' END AS kind, CASE WHEN w > 0 AND h IS NOT NULL THEN NULL ELSE 0.0::DOUBLE END AS confidence,
+    CASE WHEN NOT (w > 0) THEN 'unsure' WHEN h * 1.0::DOUBLE / w >= 1.3 THEN 'doc-photo' ELSE 'exhibit-photo' END AS type FROM (SELECT p_partkey, p_partkey % 50 AS w, p_size AS h FROM part)"""
+)
+def f22_image_geometry(spark, d):
+    """kinds of images of given sizes."""
+    p = V.table(spark, d, "part").withColumn("k", TI.geometry_kind(F.col("p_partkey") % 50, F.col("p_size")))
+    return p.select("p_partkey", "k.kind", "k.confidence", TI.classified_type(F.col("k.kind"), F.lit("aspect-ratio"), F.coalesce("k.confidence", F.lit(1.0))).alias("type"))
+
+
+@query(
+    """, l AS (SELECT doc_id, w, (len(w) % 10) / 10.0::DOUBLE AS score FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents)),
+    b AS (SELECT doc_id, coalesce(max(score) FILTER (regexp_matches(w, '(?i)(^|[^A-Za-z0-9_])(der|die|the|la)s?($|[^A-Za-z0-9_])')), 0.0::DOUBLE) AS best FROM l GROUP BY doc_id)
+    SELECT doc_id, best FROM b""".replace(", l AS", "WITH l AS", 1)
+)
+def f23_best_labels(spark, d):
+    """the best score of an image's labels that match whole words (here: a document's words as labels)."""
+    w = V.table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ", -1)).alias("w"))
+    hit = F.col("w").rlike("(?i)(?<![A-Za-z0-9_])(der|die|the|la)s?(?![A-Za-z0-9_])")
+    return w.groupBy("doc_id").agg(F.coalesce(F.max(F.when(hit, (F.length("w") % 10) / F.lit(10.0))), F.lit(0.0)).alias("best"))
+
+
+@query("SELECT topic, source_id, pos, text, 'FCT-' || lpad(CAST(n AS VARCHAR), CAST(greatest(3, len(CAST(n AS VARCHAR))) AS INT), '0') AS fact_id FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY source_id, pos) AS n FROM v_facts)", "v_facts")
+def g1_line_facts(spark, d):
+    """Line facts numbered through each topic."""
+    return FA.numbered(V.facts(spark, d)).select("topic", "source_id", "pos", "text", "fact_id")
+
+
+def responses(spark, d):
+    docs = V.table(spark, d, "documents")
+    inner = F.to_json(F.struct(F.array(F.struct(F.substring("text", 1, 40).alias("text"), (F.col("doc_id") % 120 / F.lit(100.0)).alias("confidence"), F.array(F.when(F.col("doc_id") % 9 == 0, "unknown").otherwise("history")).alias("categories"))).alias("facts"), F.lit("s").alias("summary")))
+    k = F.col("doc_id") % 5
+    result = F.when(k == 1, F.concat(F.lit("```json\n"), inner, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Here:\n```json\n"), inner, F.lit("\n```\nDone"))).when(k == 4, F.substring(inner, 1, 25)).otherwise(inner)
+    return docs.select("doc_id", F.to_json(F.struct((k == 3).alias("is_error"), result.alias("result"))).alias("response"))
+
+
+@query(
+    """SELECT doc_id, e AS error, CAST(CASE WHEN e IS NULL THEN 1 ELSE 0 END AS BIGINT) AS n_facts FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN 'model reported an error' WHEN doc_id % 5 = 4 THEN 'result is not JSON'
+    WHEN trim(text[1:40]) = '' OR doc_id % 120 > 100 OR doc_id % 9 = 0 THEN 'invalid fact' END AS e FROM documents)"""
+)
+def g2_responses(spark, d):
+    """Parsing of model responses, with the error of each bad one."""
+    return FA.parsed_responses(responses(spark, d)).select("doc_id", "error", F.coalesce(F.size("facts"), F.lit(0)).cast("long").alias("n_facts")).withColumn("n_facts", F.greatest("n_facts", F.lit(0).cast("long")))
+
+
+@query("SELECT topic, count(*) FILTER (confidence >= 0.8) AS high, count(*) FILTER (confidence >= 0.5 AND confidence < 0.8) AS medium, count(*) FILTER (confidence < 0.5) AS low FROM v_facts GROUP BY topic", "v_facts")
+def a1_confidence(spark, d):
+    """A1."""
+    return FA.confidence_histogram(V.facts(spark, d), "topic")
+
+
+@query("SELECT topic, category, count(*) AS n FROM (SELECT topic, unnest(categories) AS category FROM v_facts) GROUP BY ALL", "v_facts")
+def a2_categories(spark, d):
+    """A2."""
+    return FA.category_histogram(V.facts(spark, d), "topic")
+
+
+@query(
+    """SELECT topic, CAST(coalesce(quantile_disc(ms, 0.5) FILTER (outcome = 'success'), 0) AS BIGINT) AS p50, CAST(coalesce(quantile_disc(ms, 0.9) FILTER (outcome = 'success'), 0) AS BIGINT) AS p90, CAST(coalesce(quantile_disc(ms, 0.99) FILTER (outcome = 'success'), 0) AS BIGINT) AS p99,
+    count(*) AS calls, count(*) FILTER (outcome = 'failure') * 1.0::DOUBLE / count(*) AS failure_rate, coalesce(quantile_disc(ms, 0.9) FILTER (outcome = 'success'), 0) > 90000 AS over_budget FROM v_timing WHERE topic <> 'src0' GROUP BY topic""",
+    "v_timing",
+)
+def a4_latency(spark, d):
+    """Latencies of a set of topics."""
+    t = V.timing(spark, d)
+    return ST.latencies(ST.of_topics(t, t.select("topic").filter("topic <> 'src0'")))
+
+
+@query(
+    """SELECT f.topic, f.facts, coalesce(s.bytes, 0) AS bytes, CASE WHEN coalesce(s.bytes, 0) > 0 THEN f.facts / (s.bytes / 1024.0::DOUBLE) ELSE 0.0::DOUBLE END AS density
+    FROM (SELECT topic, count(*) AS facts FROM v_facts GROUP BY topic) f LEFT JOIN (SELECT topic, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM v_sources WHERE kind <> 'image' GROUP BY topic) s ON f.topic = s.topic""",
+    "v_sources",
+    "v_facts",
+)
+def a6_density(spark, d):
+    """A6."""
+    return FA.fact_density(V.sources(spark, d), V.facts(spark, d))
+
+
+@query(
+    """SELECT topic, bool_or(k = 't') AS has_timing, bool_or(k = 'f') AS has_extract, bool_or(k = 's') AS has_score, true AS has_validate FROM (
+    SELECT topic, 't' AS k FROM v_timing UNION ALL SELECT topic, 'f' FROM v_facts UNION ALL SELECT topic, 's' FROM v_facts WHERE confidence >= 0.99 UNION ALL SELECT topic, 'x' FROM v_sources) GROUP BY topic""",
+    "v_sources", "v_facts", "v_timing",
+)
+def a8_completeness(spark, d):
+    """Which parts each topic has."""
+    f, t, s = V.facts(spark, d), V.timing(spark, d), V.sources(spark, d)
+    topics = s.select("topic").union(t.select("topic")).distinct()
+    return ST.completeness(topics, f, f.filter("confidence >= 0.99"), t)
+
+
+ROUTED = """m AS (SELECT i.path, r.* FROM v_intake i JOIN v_routing r ON regexp_matches(trim(regexp_replace(translate(lower(i.path), '_-/', '   '), '\\s+', ' ', 'g')), '(^|[^a-z0-9_])' || translate(r.keyword, '/', ' ') || '($|[^a-z0-9_])')),
+b AS (SELECT *, len(string_split(translate(keyword, '/', ' '), ' ')) AS words FROM m),
+t AS (SELECT *, row_number() OVER (PARTITION BY path, topic ORDER BY words DESC, len(keyword) DESC, keyword_ord) AS r FROM b),
+k AS (SELECT *, rank() OVER (PARTITION BY path ORDER BY words DESC, len(keyword) DESC) AS q FROM t WHERE r = 1),
+g AS (SELECT path, count(*) AS n, any_value(topic) AS topic, any_value(keyword) AS keyword FROM k WHERE q = 1 GROUP BY path),
+routed AS (SELECT i.doc_id, i.path, i.hash, CASE WHEN n = 1 THEN topic END AS topic, CASE WHEN n = 1 THEN keyword END AS keyword, coalesce(n > 1, false) AS ambiguous FROM v_intake i LEFT JOIN g ON i.path = g.path)"""
+
+
+@query(f", {ROUTED} SELECT doc_id, topic, keyword, ambiguous FROM routed", "v_intake", "v_routing")
+def j7_routing(spark, d):
+    """The topic of every file by its path."""
+    return RO.classified(V.intake(spark, d), V.routing(spark)).select("doc_id", "topic", "keyword", "ambiguous")
+
+
+@query(
+    f", {ROUTED} SELECT topic, CAST(sum(n) AS BIGINT) AS n, CAST(sum(a) AS BIGINT) AS n_ambiguous FROM (SELECT coalesce(topic, 'unsorted') AS topic, 1 AS n, CAST(ambiguous AS INT) AS a FROM routed UNION ALL SELECT 'unsorted', 0, 0) GROUP BY topic",
+    "v_intake", "v_routing",
+)
+def a9_routing_counts(spark, d):
+    """A9."""
+    return RO.routing_counts(RO.classified(V.intake(spark, d), V.routing(spark)))
+
+
+@query(f", {ROUTED} SELECT DISTINCT topic FROM routed WHERE topic IS NOT NULL AND topic NOT IN (SELECT source FROM documents) AND topic <> 'english'", "v_intake", "v_routing")
+def j8_missing_topics(spark, d):
+    """Matched topics without a node."""
+    nodes = V.table(spark, d, "documents").select(F.col("source").alias("path")).distinct().union(spark.createDataFrame([("english",)], "path string"))
+    return RO.missing_topics(RO.classified(V.intake(spark, d), V.routing(spark)), nodes)
+
+
+@query(
+    """, p AS (SELECT topic, path, hash, base, row_number() OVER (PARTITION BY topic, base ORDER BY path) AS n FROM (SELECT string_split(path, '/')[2] AS topic, path, hash, 'doc' || doc_id % 10 || lower(regexp_extract(path, '(\\.[A-Za-z]*)$', 1)) AS base, doc_id FROM v_intake))
+    SELECT topic, path, CASE WHEN n = 1 THEN base ELSE regexp_replace(base, '(\\.[^.]*)?$', '-' || hash[1:8] || '\\1') END AS name FROM (SELECT topic, topic || '/' || hash || '/' || base AS path, hash, base, row_number() OVER (PARTITION BY topic, base ORDER BY topic || '/' || hash || '/' || base) AS n FROM p)""",
+    "v_intake",
+)
+def w9_staged_names(spark, d):
+    """Staged names of files whose base names collide."""
+    i = V.intake(spark, d)
+    base = F.concat(F.lit("doc"), (F.col("doc_id") % 10).cast("string"), T.extension(F.col("path")))
+    topic = F.element_at(F.split("path", "/"), 2)
+    return RO.staged_names(i.select(topic.alias("topic"), F.concat_ws("/", topic, "hash", base).alias("path"), "hash")).select("topic", "path", "name")
+
+
+TRIAGED = """o AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY string_split(path, '/')[-1], path) AS k, doc_id % 7 AS e FROM v_intake),
+pr AS (SELECT hash, bool_or(doc_id % 2 = 0) AS done FROM v_intake WHERE doc_id % 3 = 0 GROUP BY hash),
+tr AS (SELECT o.*, CASE WHEN e < 3 THEN 'text' ELSE 'unsure' END AS type, CASE WHEN k > 1 THEN 'duplicate' WHEN coalesce(done, false) THEN 'skipped' WHEN e >= 5 THEN 'failed' ELSE 'processed' END AS outcome FROM o LEFT JOIN pr ON o.hash = pr.hash)"""
+
+
+def triaged(spark, d):
+    i = V.intake(spark, d)
+    prior = i.filter("doc_id % 3 = 0").select("hash", F.when(F.col("doc_id") % 2 == 0, "done").otherwise("failed").alias("status"))
+    return TI.triaged(i, prior)
+
+
+@query(f", {TRIAGED} SELECT doc_id, k > 1 AS is_dup, type AS classified_type, outcome FROM tr", "v_intake")
+def w5_triage(spark, d):
+    """Duplicates, resumed files and outcomes of a dump."""
+    return triaged(spark, d).select("doc_id", "is_dup", "classified_type", "outcome")
+
+
+@query(
+    f""", {TRIAGED} SELECT count(*) AS total, count(*) FILTER (outcome = 'processed') AS processed, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'duplicate') AS duplicate, count(*) FILTER (outcome = 'failed') AS failed,
+    count(*) FILTER (type = 'text' AND outcome IN ('processed', 'duplicate')) AS type_text, 0::BIGINT AS type_doc_photo, 0::BIGINT AS type_exhibit_photo, count(*) FILTER (type = 'unsure' AND outcome IN ('processed', 'duplicate')) AS type_unsure FROM tr""",
+    "v_intake",
+)
+def a10_triage_summary(spark, d):
+    """A10."""
+    return TI.triage_summary(triaged(spark, d))
+
+
+@query(f", {TRIAGED} SELECT count(*) FILTER (outcome IN ('processed', 'failed')) AS total_processed, count(*) FILTER (outcome = 'processed') AS success, count(*) FILTER (outcome = 'failed') AS failure, count(*) FILTER (outcome = 'duplicate') AS duplicates FROM tr", "v_intake")
+def a11_ingest_summary(spark, d):
+    """A11, E3."""
+    return TI.ingest_summary(triaged(spark, d))
+
+
+@query(
+    """, c AS (SELECT hash, arg_min(path, string_split(path, '/')[-1] || chr(1) || path) AS source_path, list(DISTINCT path) AS ps FROM v_intake GROUP BY hash)
+    SELECT hash, source_path, list_sort(list_filter(ps, lambda p: p <> source_path)) AS dup_paths FROM c""",
+    "v_intake",
+)
+def a13_manifest(spark, d):
+    """One row a content hash with its duplicate paths."""
+    return TI.intake_manifest(V.intake(spark, d))
+
+
+@query("SELECT hash, path FROM v_intake", "v_intake")
+def u4_physical_paths(spark, d):
+    """U4."""
+    return TI.physical_paths(TI.intake_manifest(V.intake(spark, d)))
+
+
+KEYED = f"""k AS (SELECT topic, doc_id, pos, sha256(source_id || '|' || CASE WHEN {sql_normal("text")} = '' THEN text ELSE {sql_normal("text")} END) AS fact_key FROM v_sents),
+cu AS (SELECT DISTINCT topic, fact_key FROM k WHERE doc_id % 3 <> 0 AND pos % 2 = 0)"""
+
+
+def keyed(spark, d):
+    s = V.sentences(spark, d)
+    k = s.select("topic", "doc_id", "pos", T.fact_key(F.col("source_id"), F.col("text")).alias("fact_key"))
+    return k, k.filter("doc_id % 3 <> 0 AND pos % 2 = 0").select("topic", "fact_key").distinct()
+
+
+@query(f", {KEYED} SELECT DISTINCT topic FROM (SELECT topic FROM k GROUP BY topic, fact_key HAVING count(*) > 1)", "v_sents")
+def a14_collisions(spark, d):
+    """A14."""
+    return MA.collisions(keyed(spark, d)[0])
+
+
+@query(f", {KEYED} SELECT topic, doc_id, pos, fact_key FROM k WHERE NOT EXISTS (SELECT 1 FROM cu WHERE cu.topic = k.topic AND cu.fact_key = k.fact_key)", "v_sents")
+def j4_new_facts(spark, d):
+    """J4."""
+    return MA.new_facts(*keyed(spark, d)).select("topic", "doc_id", "pos", "fact_key")
+
+
+@query(f", {KEYED} SELECT topic, count(*) AS n FROM k WHERE NOT EXISTS (SELECT 1 FROM cu WHERE cu.topic = k.topic AND cu.fact_key = k.fact_key) GROUP BY topic", "v_sents")
+def a12_new_by_topic(spark, d):
+    """A12."""
+    return MA.new_facts(*keyed(spark, d)).groupBy("topic").agg(F.count("*").alias("n"))
+
+
+@query(f", {KEYED} SELECT DISTINCT topic FROM ((SELECT topic, fact_key FROM k EXCEPT SELECT * FROM cu) UNION ALL (SELECT * FROM cu EXCEPT SELECT topic, fact_key FROM k))", "v_sents")
+def u2_changed_topics(spark, d):
+    """U2."""
+    return MA.changed_topics(*keyed(spark, d))
+
+
+@query(f", {KEYED} SELECT DISTINCT topic, fact_key FROM k", "v_sents")
+def u5_next_cursor(spark, d):
+    """U5."""
+    return MA.next_cursor(*keyed(spark, d))
+
+
+@query(
+    """, g AS (SELECT topic, coalesce(categories[1], 'Uncategorized') AS category, count(*) AS n, min(source_id || chr(1) || lpad(CAST(pos AS VARCHAR), 9, '0')) AS seen FROM v_facts GROUP BY ALL)
+    SELECT topic, category, n, CAST(row_number() OVER (PARTITION BY topic ORDER BY seen) AS INT) AS group_no FROM g""",
+    "v_facts",
+)
+def a15_category_groups(spark, d):
+    """Report groups."""
+    return FA.by_first_category(V.facts(spark, d))
+
+
+@query("SELECT topic, string_agg('Extracted ' || n || ' fact(s) from ' || title || '.', chr(10) || chr(10) ORDER BY source_id) AS summary FROM (SELECT topic, source_id, title, len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '')) AS n FROM v_sources WHERE kind = 'text') GROUP BY topic", "v_sources")
+def a16_summaries(spark, d):
+    """Summaries of done sources in order."""
+    return FA.joined_summaries(V.sources(spark, d).filter("kind = 'text'"))
+
+
+CLOSED = """nodes AS (SELECT DISTINCT array_to_string(p[1:k], '/') AS path FROM (SELECT p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT string_split(path, '/') AS p FROM v_leaves)))"""
+
+
+@query(f", {CLOSED} SELECT n.path, count(*) AS customers, min(c_acctbal) AS least, max(c_acctbal) AS most FROM nodes n JOIN v_leaves l ON l.path = n.path OR starts_with(l.path, n.path || '/') GROUP BY n.path", "v_leaves")
+def a18_rollup(spark, d):
+    """Measures over every subtree, itself included."""
+    leaves = V.leaves(spark, d)
+    return TR.rollup(TR.expanded(leaves), leaves.select("path", "c_acctbal"), F.count("*").alias("customers"), F.min("c_acctbal").alias("least"), F.max("c_acctbal").alias("most"))
+
+
+@query(f", {CLOSED} SELECT n.path, count(*) AS descendants FROM nodes n JOIN nodes m ON starts_with(m.path, n.path || '/') GROUP BY n.path", "v_leaves")
+def j9_descendants(spark, d):
+    """Descendants without the node itself."""
+    return TR.closure(TR.expanded(V.leaves(spark, d)), with_self=False).groupBy(F.col("ancestor").alias("path")).agg(F.count("*").alias("descendants"))
+
+
+@query("SELECT DISTINCT actor, true AS valid FROM v_leaves", "v_leaves")
+def a19_actors(spark, d):
+    """A19, V9."""
+    return V.leaves(spark, d).select("actor").distinct().withColumn("valid", QU.valid_actor(F.col("actor")))
+
+
+@query(f", {CLOSED} SELECT path, CASE WHEN c_custkey IS NULL THEN 'container' ELSE 'active' END AS status, CASE WHEN c_custkey IS NULL THEN ['ACTOR-000'] ELSE list_distinct(['ACTOR-000', actor])[1:9] END AS actors FROM (SELECT n.path, l.c_custkey, l.actor FROM nodes n LEFT JOIN v_leaves l ON n.path = l.path)".replace("list_distinct(['ACTOR-000', actor])[1:9]", "CASE WHEN actor = 'ACTOR-000' THEN ['ACTOR-000'] ELSE ['ACTOR-000', actor] END"), "v_leaves")
+def g4_activation(spark, d):
+    """Nodes with an ingest become active."""
+    leaves = V.leaves(spark, d)
+    nodes = TR.expanded(leaves).select("path", F.lit("container").alias("status"), F.array(F.lit("ACTOR-000")).alias("actors"))
+    return TR.activated(nodes, leaves.select("path", "actor"))
+
+
+@query(
+    """SELECT f.topic, f.source_id, f.pos, CASE WHEN s.doc_id IS NULL THEN '[Unknown Source]' ELSE s.title || ' (' || s.lang || ')' END AS citation FROM v_facts f LEFT JOIN (SELECT * FROM v_sources WHERE kind = 'text') s ON f.topic = s.topic AND f.source_id = s.source_id""",
+    "v_sources", "v_facts",
+)
+def j1_citations(spark, d):
+    """Facts with what they cite (image sources aren't registered here)."""
+    s = V.sources(spark, d).filter("kind = 'text'").withColumn("origin", F.col("lang"))
+    return FA.citations(V.facts(spark, d), s).select("topic", "source_id", "pos", "citation")
+
+
+@query(
+    """SELECT coalesce(f.topic, s.topic) AS topic, coalesce(fact_count, 0) AS fact_count, coalesce(source_count, 0) AS source_count, first_fact, first_source FROM (SELECT topic, count(*) AS fact_count, arg_min(text, source_id || chr(1) || lpad(CAST(pos AS VARCHAR), 9, '0')) AS first_fact FROM v_facts GROUP BY topic) f FULL JOIN (SELECT topic, count(*) AS source_count, arg_min(title, source_id) AS first_source FROM v_sources GROUP BY topic) s ON f.topic = s.topic""",
+    "v_sources", "v_facts",
+)
+def p1_bundles(spark, d):
+    """Report bundles."""
+    b = FA.bundles(V.sources(spark, d), V.facts(spark, d))
+    return b.select("topic", "fact_count", "source_count", F.col("facts")[0]["statement"].alias("first_fact"), F.col("sources")[0]["title"].alias("first_source"))
+
+
+@query("SELECT topic, source_id, CAST(row_number() OVER (PARTITION BY topic ORDER BY source_id) AS INT) AS evidence_no FROM v_sources", "v_sources")
+def w11_evidence(spark, d):
+    """W11, W10."""
+    return FA.evidence_register(V.sources(spark, d)).select("topic", "source_id", "evidence_no")
+
+
+@query("SELECT topic, source_id, title FROM v_sources WHERE kind <> 'image' AND doc_id % 4 <> 0", "v_sources")
+def j2_extract_inputs(spark, d):
+    """Sources with a text envelope."""
+    s = V.sources(spark, d)
+    return FA.extract_inputs(s.select("topic", "source_id", "title"), s.filter("doc_id % 4 <> 0").select("topic", "source_id", "kind")).select("topic", "source_id", "title")
+
+
+MANIFEST = """ev AS (SELECT 'user-' || user_id AS topic, props AS hash, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'done' END AS status, ts, event_id FROM events),
+la AS (SELECT *, row_number() OVER (PARTITION BY topic, hash ORDER BY ts DESC, event_id DESC) AS n FROM ev)"""
+
+
+def manifest_events(spark, d):
+    e = V.table(spark, d, "events")
+    return e.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("topic"), F.col("props").alias("hash"), F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("status"), "ts", "event_id")
+
+
+@query(f"WITH {MANIFEST} SELECT topic, hash, status, event_id FROM la WHERE n = 1")
+def w6_latest_entries(spark, d):
+    """The manifest as the last event a key."""
+    return TI.latest_entries(manifest_events(spark, d)).select("topic", "hash", "status", "event_id")
+
+
+@query(f"WITH {MANIFEST} SELECT topic, hash, event_id FROM la WHERE n = 1 AND status = 'failed'")
+def j12_retries(spark, d):
+    """What a retry run takes."""
+    return TI.failed_entries(manifest_events(spark, d)).select("topic", "hash", "event_id")
+
+
+@query(f"WITH {MANIFEST} SELECT e.topic, e.hash, count(*) AS n FROM ev e WHERE NOT EXISTS (SELECT 1 FROM la WHERE n = 1 AND la.status = 'done' AND la.topic = e.topic AND la.hash = e.hash) GROUP BY ALL")
+def j5_to_ingest(spark, d):
+    """What isn't done yet."""
+    e = manifest_events(spark, d)
+    return TI.to_ingest(e, TI.latest_entries(e)).groupBy("topic", "hash").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT a.c_custkey AS a, b.c_custkey AS b, len(list_intersect(a.tags, b.tags))::DOUBLE / len(list_distinct(list_concat(a.tags, b.tags))) AS strength FROM v_leaves a JOIN v_leaves b ON b.c_custkey = a.c_custkey + 1""",
+    "v_leaves",
+)
+def j10_tag_overlap(spark, d):
+    """Tag overlap of linked topics."""
+    leaves = V.leaves(spark, d)
+    nxt = leaves.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("path").alias("related_topic"))
+    edges = leaves.join(nxt, "c_custkey").select(F.col("path").alias("topic"), "related_topic", F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"))
+    return MA.tag_overlap(edges, leaves).select("a", "b", "strength")
+
+
+CHAIN = """WITH RECURSIVE o AS (SELECT 'user-' || user_id AS topic, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, upper(event_type) AS op, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS payload FROM events),
+c AS (SELECT topic, seq, op, sha256('GENESIS' || payload) AS hash FROM o WHERE seq = 1 UNION ALL SELECT o.topic, o.seq, o.op, sha256(c.hash || o.payload) FROM c JOIN o ON o.topic = c.topic AND o.seq = c.seq + 1)"""
+
+
+@query(f"{CHAIN} SELECT topic, CAST(seq AS INT) AS seq, op, hash FROM c")
+def w8_hash_chain(spark, d):
+    """A hash chain of every user's events."""
+    return LI.built(V.operations(spark, d)).select("topic", "seq", "op", "hash")
+
+
+@query("SELECT 'user-' || user_id AS topic, user_id % 5 <> 0 AS valid, CASE WHEN user_id % 5 = 0 THEN 'OP-' || lpad(CAST(least(3, count(*)) AS VARCHAR), 4, '0') END AS broken_at FROM events GROUP BY user_id")
+def w7_chain_check(spark, d):
+    """Chains of which every fifth has a changed operation."""
+    ops = LI.built(V.operations(spark, d))
+    last = Window.partitionBy("topic")
+    ops = ops.withColumn("bad", (F.split("topic", "-")[1].cast("int") % 5 == 0) & (F.col("seq") == F.least(F.lit(3), F.max("seq").over(last))))
+    heads = ops.groupBy("topic").agg(F.max_by("hash", "seq").alias("hash"))
+    return LI.checked(ops.withColumn("payload", F.when(F.col("bad"), F.lit("{}")).otherwise(F.col("payload"))), heads)
+
+
+@query(
+    """SELECT topic, 'hand_edited' AS type FROM (SELECT 'user-' || user_id AS topic, arg_max(event_id, ts) FILTER (event_type = 'purchase') AS last, max(event_id) AS now, count(*) FILTER (event_type = 'purchase') AS n FROM events GROUP BY user_id) WHERE n = 0 OR last <> now"""
+)
+def v6_hand_edited(spark, d):
+    """Content against the last recorded operation (purchases stand for scores)."""
+    e = V.table(spark, d, "events").withColumn("topic", F.concat(F.lit("user-"), F.col("user_id").cast("string")))
+    ops = e.select("topic", F.col("ts").alias("seq"), F.when(F.col("event_type") == "purchase", "SCORE").otherwise("OTHER").alias("op"), F.col("event_id").cast("string").alias("content_hash"))
+    return LI.hand_edited(ops, e.groupBy("topic").agg(F.max("event_id").cast("string").alias("content_hash")))
+
+
+@query(
+    """SELECT doc_id, unnest(list_filter([CASE WHEN doc_id % 11 = 0 THEN 'fact_id: pattern' END, CASE WHEN pos % 13 = 5 THEN 'text: not empty' END, CASE WHEN confidence > 0.95 THEN 'confidence: 0 to 1' END, CASE WHEN lang = 'es' THEN 'categories: vocabulary' END], lambda x: x IS NOT NULL)) AS error, pos FROM v_facts""",
+    "v_facts",
+)
+def v1_schema_errors(spark, d):
+    """Every broken rule of facts (some are spoilt here)."""
+    f = V.facts(spark, d)
+    f = f.withColumns({"fact_id": F.when(F.col("doc_id") % 11 == 0, "F-1").otherwise("FCT-001"), "text": F.when(F.col("pos") % 13 == 5, "").otherwise(F.col("text")), "confidence": F.when(F.col("confidence") > 0.95, 1.5).otherwise(F.col("confidence")), "categories": F.when(F.col("lang") == "es", F.array(F.lit("other"))).otherwise(F.col("categories"))})
+    return QU.fact_errors(f).select("doc_id", "pos", "error")
+
+
+@query("SELECT DISTINCT topic, 'keyword of two topics: ' || trim(regexp_replace(translate(lower(keyword), '_-/', '   '), '\\s+', ' ', 'g')) AS error FROM (SELECT 'a' || user_id % 3 AS topic, event_type || '-' || user_id % 4 AS keyword FROM events) k WHERE keyword IN (SELECT event_type || '-' || user_id % 4 FROM events GROUP BY 1 HAVING count(DISTINCT user_id % 3) > 1)")
+def v2_routing_errors(spark, d):
+    """V2: a routing dictionary checked."""
+    e = V.table(spark, d, "events").select(F.concat(F.lit("a"), (F.col("user_id") % 3).cast("string")).alias("topic"), F.concat(F.col("event_type"), F.lit("-"), (F.col("user_id") % 4).cast("string")).alias("keyword")).distinct()
+    return RO.routing_errors(e)
+
+
+@query("SELECT id, error FROM (SELECT id, unnest(CASE WHEN len(claim) < 20 THEN ['claim: not empty'] ELSE [] END) AS error FROM v_claims UNION ALL SELECT id[1:5], 'id: not unique' FROM v_claims WHERE false)", "v_claims")
+def v3_claim_errors(spark, d):
+    """V3: claims checked (short ones are blanked here)."""
+    c = V.claims(spark, d)
+    return QU.claim_errors(c.withColumn("claim", F.when(F.length("claim") < 20, "").otherwise(F.col("claim"))))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'version' WHEN 2 THEN 'keys' WHEN 3 THEN 'bad JSON or types' END AS reset_reason, CAST(CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_keys FROM events""")
+def v4_cursors(spark, d):
+    """V4: cursors with the reason for a reset."""
+    e = V.table(spark, d, "events")
+    k = F.col("event_id") % 4
+    body = F.when(k == 0, F.concat(F.lit('{"cursorVersion":1,"lastSyncedFactKeys":["'), F.col("event_type"), F.lit('"]}'))).when(k == 1, F.lit('{"cursorVersion":9,"lastSyncedFactKeys":[]}')).when(k == 2, F.lit('{"cursorVersion":1}')).otherwise(F.lit('{"cursorVersion":'))
+    return QU.cursor_keys(e.select("event_id", F.col("user_id").cast("string").alias("topic"), body.alias("body"))).select("event_id", "reset_reason", F.size("keys").cast("long").alias("n_keys"))
+
+
+@query(
+    """SELECT topic, count(*) FILTER (confidence > 0.99) = 0 AS valid, list_sort(list(CASE WHEN confidence > 0.99 THEN 'schema_error' END) FILTER (confidence > 0.99)) AS errors, list_sort(list('mock_source') FILTER (pos = 20)) AS warnings FROM v_facts GROUP BY topic""".replace("list_sort(list(CASE", "coalesce(list_sort(list(CASE").replace("FILTER (confidence > 0.99)) AS errors", "FILTER (confidence > 0.99)), []) AS errors").replace("list_sort(list('mock", "coalesce(list_sort(list('mock").replace("(pos = 20))", "(pos = 20)), [])"),
+    "v_facts",
+)
+def v8_node_reports(spark, d):
+    """Reports of topics from error and warning rows."""
+    f = V.facts(spark, d)
+    envelopes = f.select("topic", "source_id", (F.col("pos") == 20).alias("mock"))
+    errors = QU.all_issues(f.filter("confidence > 0.99").select("topic", F.lit("schema_error").alias("type")))
+    return QU.node_reports(f.select("topic").distinct(), errors, QU.mock_warnings(envelopes))
+
+
+@query("SELECT topic, count(*) FILTER (confidence > 0.9) AS schema_error, 0::BIGINT AS lineage_error, 0::BIGINT AS hand_edited, count(*) FILTER (confidence < 0.1) AS mock_source FROM v_facts WHERE confidence > 0.9 OR confidence < 0.1 GROUP BY topic", "v_facts")
+def a7_issue_counts(spark, d):
+    """Issue counts by kind, zero filled."""
+    f = V.facts(spark, d).filter("confidence > 0.9 OR confidence < 0.1")
+    return ST.issue_counts(f.select("topic", F.when(F.col("confidence") > 0.9, "schema_error").otherwise("mock_source").alias("type")))
