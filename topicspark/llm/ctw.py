@@ -147,11 +147,8 @@ def kt(zeros: Column, ones: Column) -> Column:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-def bits(counts: DataFrame) -> DataFrame:
-    """(key, n, ctx, node, bit): an n-gram's eight decisions; ctx packs the bytes before, node is 1 and the bits so far."""
-    byte = F.col("key").bitwiseAND(F.lit(255)).cast("int")
-    steps = [F.struct((F.shiftright(byte, 8 - k) + (1 << k)).alias("node"), F.shiftright(byte, 7 - k).bitwiseAND(F.lit(1)).alias("bit")) for k in range(8)]
-    return counts.select("key", "n", F.shiftright("key", 8).alias("ctx"), F.explode(F.array(*steps)).alias("s")).select("key", "n", "ctx", "s.node", "s.bit")
+#: The eight decisions of a byte: node (1 and the bits so far) and bit, from a column `byte`.
+STEPS = "transform(sequence(0, 7), k -> struct(shiftright(byte + 256, 8 - k) AS node, shiftright(byte, 7 - k) & 1 AS bit))"
 
 
 def code_lengths(counts: DataFrame, depth: int) -> DataFrame:
@@ -160,7 +157,11 @@ def code_lengths(counts: DataFrame, depth: int) -> DataFrame:
     counts: (key, n) of all n-grams of the corpus; those without training count take the estimate of the longest
     context that training has reached, so that every context's predictions sum to one.
     """
-    spark, one = counts.sparkSession, bits(counts)
+    spark = counts.sparkSession
+    byte = F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("byte")
+    # dealt by context before the eight decisions of each byte multiply the rows
+    grams_ = counts.select("key", "n", F.shiftright("key", 8).alias("ctx"), byte).repartition("ctx")
+    one = grams_.select("n", "ctx", F.explode(F.expr(STEPS)).alias("s")).select("n", "ctx", "s.node", "s.bit")
     level = one.groupBy("ctx", "node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).cast("double").alias("c0"), F.sum(F.col("n") * F.col("bit")).cast("double").alias("c1"))
     level = level.withColumn("le", kt(F.col("c0"), F.col("c1"))).withColumn("lw", F.col("le")).withColumn("w", F.lit(1.0))
     levels = [scratch(spark, level, "ctw-level")]
@@ -186,8 +187,11 @@ def code_lengths(counts: DataFrame, depth: int) -> DataFrame:
             (F.col("pr") * (1.0 - F.col("w"))).alias("r"),
             F.when(seen, F.col("ps") + F.col("pr") * estimate).otherwise(F.col("pv")).alias("v"),
         )
-    p = F.when(F.col("bit") == 1, F.col("v")).otherwise(1.0 - F.col("v"))
-    return one.join(down.select("ctx", "node", "v"), ["ctx", "node"]).groupBy("key").agg(F.sum(F.log10(p)).alias("value"))
+    # a context's predictions, at most 255, meet its n-grams in one row
+    known = down.groupBy("ctx").agg(F.map_from_entries(F.collect_list(F.struct("node", "v"))).alias("m"))
+    joined = grams_.select("key", "ctx", "byte").join(known, "ctx")
+    p = lambda s: F.when(s["bit"] == 1, F.element_at("m", s["node"])).otherwise(1.0 - F.element_at("m", s["node"]))
+    return joined.select("key", F.aggregate(F.expr(STEPS), F.lit(0.0), lambda acc, s: acc + F.log10(p(s))).alias("value"))
 
 
 def scored(docs: DataFrame, replies: DataFrame, depth: int, folds: int, fold: int) -> DataFrame:
