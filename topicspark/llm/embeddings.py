@@ -57,8 +57,8 @@ def placed(vectors: DataFrame, dims: int, least: float, blocks: int, grid: int)
                     gap = np.maximum(0, np.maximum(cell * width - x, x - (cell + 1) * width))
                     near = np.flatnonzero((gap * gap).sum(axis=1) <= reach * reach)
                     key = np.full(len(near), b, dtype=np.int64)
-                    for c in range(g):
-                        key = key * 4096 + (cell[near, c] + 2048)
+                    for c in range(grid):
+                        key = key * 4096 + (cell[near, c] + 2048 if c < g else 0)
                     keys.append(key)
                     rows.append(near)
                     homes.append(np.full(len(near), all(s == 1 for s in step)))
