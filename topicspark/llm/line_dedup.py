@@ -45,33 +45,49 @@ def segment_keys(lines: list[str], distance: int) -> np.ndarray:
 
 
 def within(a: list[str], b: list[str], distance: int) -> np.ndarray:
-    """Which pairs are within an edit distance: for each error count a word of bits, one a diagonal of the band.
+    """Which pairs are within an edit distance (3 at most): for each error count a byte of bits, one a diagonal of the band.
 
-    Bit d + distance of word e: having read j characters of b, j + d of a can be matched with e errors.
+    Bit d + distance of word e: having read j characters of b, j + d of a can be matched with e errors. Pairs without a
+    bit left are out and leave the arrays.
     """
     k, band = distance, 2 * distance + 1
+    if not 0 <= k <= 3:
+        raise ValueError("distance is 0 to 3")
     n = np.array([len(x) for x in b])
     gap = np.array([len(x) for x in a]) - n
     width = int(max(n.max(), (n + gap).max())) + 1
-    s = np.zeros((len(a), width + 2 * band), dtype=np.uint32)
-    t = np.zeros((len(a), width), dtype=np.uint32)
+    s = np.zeros((width + 2 * band, len(a)), dtype=np.uint32)
+    t = np.zeros((width, len(a)), dtype=np.uint32)
     for row, (x, y) in enumerate(zip(a, b, strict=True)):
-        s[row, k : k + len(x)] = np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32) + 1
-        t[row, : len(y)] = np.frombuffer(y.encode("utf-32-le"), dtype=np.uint32) + 1
-    kind = np.uint16 if band < 16 else np.uint64
-    weights = (1 << np.arange(band)).astype(kind)
-    full = kind((1 << band) - 1)
-    state = [np.full(len(a), sum(1 << (k + d) for d in range(e + 1)), dtype=kind) for e in range(k + 1)]
-    for j in range(int(n.max())):
-        match = ((s[:, j : j + band] == t[:, j : j + 1]) * weights).sum(axis=1, dtype=kind)
-        live, before = j < n, None
+        s[k : k + len(x), row] = np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32) + 1
+        t[: len(y), row] = np.frombuffer(y.encode("utf-32-le"), dtype=np.uint32) + 1
+    full, one = np.uint8((1 << band) - 1), np.uint8(1)
+    out, rows = np.zeros(len(a), dtype=bool), np.arange(len(a))
+    state = [np.full(len(a), sum(1 << (k + d) for d in range(e + 1)), dtype=np.uint8) for e in range(k + 1)]
+
+    def settle(ended: np.ndarray) -> None:
+        r = rows[ended]
+        place = np.clip(gap[r] + k, 0, band - 1).astype(np.uint8)
+        out[r] = (np.abs(gap[r]) <= k) & ((state[k][ended] >> place) & one).astype(bool)
+
+    for j in range(int(n.max()) + 1):
+        if (ended := n[rows] == j).any():
+            settle(ended)
+        if ended.any() or j % 16 == 0:
+            stay = (n[rows] > j) & (np.bitwise_or.reduce(state) > 0)
+            if 2 * stay.sum() <= len(rows):
+                rows, state, s, t = rows[stay], [v[stay] for v in state], s[:, stay], t[:, stay]
+                if not len(rows):
+                    break
+        if j == len(t):
+            break
+        match, before = np.packbits(s[j : j + band] == t[j], axis=0, bitorder="little")[0], None
         for e in range(k + 1):
             now = state[e] & match
             if e:
-                now |= before | (before >> kind(1)) | ((state[e - 1] << kind(1)) & full)
-            before, state[e] = state[e], np.where(live, now, state[e])
-    place = np.clip(gap + k, 0, band - 1)
-    return (np.abs(gap) <= k) & ((state[k] >> place.astype(kind)) & kind(1)).astype(bool)
+                now |= before | (before >> one) | ((state[e - 1] << one) & full)
+            before, state[e] = state[e], now
+    return out
 
 
 def line_keys(docs: DataFrame, distance: int, least_chars: int, text: str) -> DataFrame:
@@ -93,6 +109,17 @@ def line_keys(docs: DataFrame, distance: int, least_chars: int, text: str) -> Da
     return docs.select(text).mapInArrow(run, "key long, id long")
 
 
+def runs(order: np.ndarray, size: np.ndarray, most: int = 1 << 21) -> Iterator[np.ndarray]:
+    """order in pieces of which each has at most so many characters, padded to its longest (its last) line."""
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and (hi - lo) * size[order[hi]] < most and hi - lo < 8192:
+            hi += 1
+        yield order[lo:hi]
+        lo = hi
+
+
 def line_links(keyed: DataFrame, firsts: DataFrame, distance: int, limit: int) -> DataFrame:
     """(id, n, doc, no): how many other distinct lines are near, and the first place of one of them; rows are partial.
 
@@ -118,8 +145,7 @@ def line_links(keyed: DataFrame, firsts: DataFrame, distance: int, limit: int) -
             ok = np.abs(count[x] - count[y]).sum(axis=1) <= 2 * distance  # an edit changes two counts at most
             a, x, y, b = a[ok], x[ok], y[ok], b[ok]
             order = np.argsort(size[x], kind="stable")
-            for lo in range(0, len(order), 1024):
-                o = order[lo : lo + 1024]
+            for o in runs(order, size[x]):
                 yes = o[within([texts[k] for k in x[o]], [texts[k] for k in y[o]], distance)]
                 shared = np.array([min(set(own[p]) & set(own[q])) for p, q in zip(x[yes], y[yes], strict=True)], dtype=np.int64)
                 yes = yes[shared == key[a[yes]]]
