@@ -6,7 +6,8 @@ windows. The passes go from coarse to fine, and a suffix that stands alone in it
    minimizers. Only minimizers (about one in twelve bytes) are sent; those found in one document only leave.
 2. What is left is grouped by all `length` bytes (a 64-bit hash, dealt by bits of a second one), with the smallest document.
 The corpus is dealt into chunks of whole documents; a chunk sends sorted arrays, one a radix bucket, and gets back which
-of its own keys go on. Exact copies of a document are set aside first by a grouping of text digests.
+of its own keys go on. Pass 1 only has to lose no pair, so it sends 31 bits of a hash; pass 2 sends whole hashes by
+document and gets back a bit for each. Exact copies of a document are set aside first by a grouping of text digests.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ LAST = 2**63 - 1
 BASE2 = 0xC2B2AE3D27D4EB4F
 INVERSE2 = pow(BASE2, -1, 2**64)
 #: Bytes of text in a chunk, in a part of it handled at once, and sent to one radix bucket.
-CHUNK, PART, BUCKET = 16 << 20, 1 << 19, 24 << 20
+CHUNK, PART, BUCKET = 8 << 20, 1 << 19, 24 << 20
 SENT = "bucket int, chunk int, data binary"
+#: kind: 0 ids of exact copies, -1 - bucket minimizers that go on, 1 + bucket a bit for each window sent.
 REPLY = "chunk int, kind int, data binary"
 
 
@@ -64,11 +66,11 @@ class Part:
         most = slide(np.concatenate([edge, held, edge]), width, np.maximum)[: len(self.hash)]
         return np.flatnonzero((most == self.hash[: len(most)]) & (most > 0))
 
-    def open_windows(self, left: np.ndarray) -> np.ndarray:
-        """Places of the whole windows whose minimizer is among left (sorted)."""
+    def open_windows(self, left: np.ndarray, buckets: int) -> np.ndarray:
+        """Places of the whole windows whose minimizer is among left (sorted places of buckets)."""
         at = self.minimizers()
         stays = np.full(len(self.hash), np.uint64(2**64 - 1))
-        yes = at[isin(self.hash[at], left)]
+        yes = at[isin(bucketed(self.hash[at], buckets), left)]
         stays[yes] = self.hash[yes]
         best = slide(stays, self.length - self.anchor + 1, np.minimum)[: self.n]
         return np.flatnonzero(self.whole & (best == self.least) & (best < np.uint64(2**64 - 1)))
@@ -80,6 +82,11 @@ class Part:
         return h, mixed((other[at + self.length] - other[at]) * powers(INVERSE2, len(self.sums))[at])
 
 
+def bucketed(h: np.ndarray, buckets: int) -> np.ndarray:
+    """bucket * 2^31 + 31 other bits of a hash."""
+    return ((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(31) | (h & np.uint64(2**31 - 1))
+
+
 def isin(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     if not len(among):
         return np.zeros(len(values), dtype=bool)
@@ -105,14 +112,22 @@ def parts(rows: pa.Table, copies: set[int], length: int, anchor: int) -> Iterato
         yield np.array(ids), Part(texts, length, anchor)
 
 
-def replies(table_: pa.Table, kind: int) -> np.ndarray:
-    """The chunk's sorted keys of one kind of reply."""
-    data = [d.as_py() for k, d in zip(table_.column("kind").to_pylist(), table_.column("data"), strict=True) if k == kind] if len(table_) else []
-    return np.sort(np.frombuffer(b"".join(data), dtype=np.uint64))
+def replies(rows: pa.Table) -> dict[int, bytes]:
+    """A chunk's replies by kind; a kind's parts one after another."""
+    out: dict[int, bytes] = {}
+    for k, d in zip(rows.column("kind").to_pylist(), rows.column("data"), strict=True) if len(rows) else ():
+        out[k] = out.get(k, b"") + d.as_py()
+    return out
+
 
+def copies_of(found: dict[int, bytes]) -> set[int]:
+    return set(np.frombuffer(found.get(0, b""), dtype=np.int64).tolist())
 
-def copies_of(table_: pa.Table) -> set[int]:
-    return set(replies(table_, 0).view(np.int64).tolist())
+
+def left_of(found: dict[int, bytes]) -> np.ndarray:
+    """The sorted places of the minimizers that go on."""
+    kept = [np.frombuffer(d, dtype=np.uint32).astype(np.uint64) | np.uint64((-1 - k) << 31) for k, d in found.items() if k < 0]
+    return np.sort(np.concatenate([np.empty(0, np.uint64), *kept]))
 
 
 def smallest(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,105 +141,113 @@ def smallest(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def sent_minimizers(length: int, anchor: int, buckets: int):
     def run(rows: pa.Table, right: pa.Table) -> pa.Table:
-        copies, keys, docs = copies_of(right), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        copies, keys, docs, several = copies_of(replies(right)), [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
         for ids, part in parts(rows, copies, length, anchor) if len(rows) else ():
             at = part.minimizers()
-            at = at[at < part.n]
-            k, d, several = smallest(part.hash[at], ids[part.doc[at]])
-            keys.append(k & ~np.uint64(1) | several.astype(np.uint64))
+            k, d, more = smallest(bucketed(part.hash[at], buckets), ids[part.doc[np.minimum(at, part.n - 1)]])
+            keys.append(k)
             docs.append(d)
-        return dealt(rows, np.concatenate(keys), np.concatenate(docs), buckets)
+            several.append(more)
+        keys, docs, several = np.concatenate(keys), np.concatenate(docs), np.concatenate(several)
+        one, _, more = smallest(keys, docs)
+        more[np.searchsorted(one, keys[several])] = True
+        data = ((one & np.uint64(2**31 - 1)) << np.uint64(1) | more.astype(np.uint64)).astype(np.uint32)
+        return sent(rows, (one >> np.uint64(31)).astype(np.int64), lambda a, b: data[a:b].tobytes())
 
     return run
 
 
-def dealt(rows: pa.Table, keys: np.ndarray, docs: np.ndarray, buckets: int) -> pa.Table:
-    """A row a bucket: the keys without their lowest bit, which then says whether the chunk has one in several documents."""
-    bare, _, several = smallest(keys >> np.uint64(1), docs)
-    marked = np.zeros(len(bare), dtype=bool)
-    if len(keys):
-        marked[np.searchsorted(bare, (keys >> np.uint64(1))[(keys & np.uint64(1)) == 1])] = True
-    bare = bare << np.uint64(1) | (several | marked).astype(np.uint64)
-    bucket = (mixed(bare >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    chunk = rows.column("chunk")[0].as_py() if len(rows) else 0
-    return split(chunk, bare[order], bucket[order], None)
-
-
-def split(chunk: int, keys: np.ndarray, bucket: np.ndarray, docs: np.ndarray | None) -> pa.Table:
+def sent(rows: pa.Table, bucket: np.ndarray, data) -> pa.Table:
+    """A row a bucket (in order) with data(from, to)."""
     at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, dtype=np.int64)
     ends = np.append(at[1:], len(bucket)) if len(at) else at
-    data = [keys[a:b].tobytes() + (docs[a:b].tobytes() if docs is not None else b"") for a, b in zip(at, ends, strict=True)]
-    return pa.table({"bucket": pa.array(bucket[at].astype(np.int32)), "chunk": pa.array(np.full(len(at), chunk, dtype=np.int32)), "data": pa.array(data, type=pa.binary())})
+    chunk = rows.column("chunk")[0].as_py() if len(rows) else 0
+    return pa.table({"bucket": pa.array(bucket[at].astype(np.int32)), "chunk": pa.array(np.full(len(at), chunk, dtype=np.int32)), "data": pa.array([data(a, b) for a, b in zip(at, ends, strict=True)], type=pa.binary())})
 
 
-def answered(rows: pa.Table, found: dict[int, np.ndarray], kind: int) -> pa.Table:
-    chunks = [c for c, v in found.items() if len(v)]
-    return pa.table({"chunk": pa.array(chunks, type=pa.int32()), "kind": pa.array([kind] * len(chunks), type=pa.int32()), "data": pa.array([found[c].tobytes() for c in chunks], type=pa.binary())})
+def answered(found: dict[int, bytes], kind: int) -> pa.Table:
+    return pa.table({"chunk": pa.array(list(found), type=pa.int32()), "kind": pa.array([kind] * len(found), type=pa.int32()), "data": pa.array(list(found.values()), type=pa.binary())})
 
 
 def shared_minimizers(rows: pa.Table) -> pa.Table:
     """Which minimizers of a bucket stand in two documents or more, told to each chunk that has them."""
-    each = {c.as_py(): np.frombuffer(d.as_py(), dtype=np.uint64) for c, d in zip(rows.column("chunk"), rows.column("data"), strict=True)}
+    each = {c.as_py(): np.frombuffer(d.as_py(), dtype=np.uint32) for c, d in zip(rows.column("chunk"), rows.column("data"), strict=True)}
     all_ = np.concatenate(list(each.values()))
-    one = np.uint64(1)
-    keys, n = np.unique(all_ >> one, return_counts=True)
-    left = np.union1d(keys[n > 1], all_[(all_ & one) == 1] >> one)
-    return answered(rows, {c: (v >> one)[isin(v >> one, left)] for c, v in each.items()}, 1)
+    keys, n = np.unique(all_ >> 1, return_counts=True)
+    left = np.union1d(keys[n > 1], all_[(all_ & 1) == 1] >> 1)
+    return answered({c: (v >> 1)[isin(v >> 1, left)].tobytes() for c, v in each.items()}, -1 - rows.column("bucket")[0].as_py())
+
+
+def distinct_windows(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, hash, smallest document) of a chunk's windows, each once, by bucket, document and hash."""
+    none = np.empty(0, np.uint64)
+    h, other, d = (np.concatenate([none.astype(kind), *x]) for kind, x in zip((np.uint64, np.uint64, np.int64), zip(*found, strict=True) if found else ((), (), ()), strict=True))
+    bucket = (other % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort([d, h])
+    h, d, bucket = h[order], d[order], bucket[order]
+    first = np.append(True, h[1:] != h[:-1]) if len(h) else np.empty(0, dtype=bool)
+    h, d, bucket = h[first], d[first], bucket[first]
+    order = np.lexsort([h, d, bucket])
+    return bucket[order], h[order], d[order]
+
+
+def chunk_windows(rows: pa.Table, found: dict[int, bytes], length: int, anchor: int, buckets: int):
+    """(ids, sizes, documents, places, hashes, other hashes) of each part's open windows."""
+    left = left_of(found)
+    for ids, part in parts(rows, copies_of(found), length, anchor) if len(rows) and len(left) else ():
+        at = part.open_windows(left, buckets)
+        h, other = part.windows(at)
+        yield ids, part.sizes, part.doc[at], at, h, other
 
 
 def sent_windows(length: int, anchor: int, buckets: int):
     def run(rows: pa.Table, right: pa.Table) -> pa.Table:
-        copies, left = copies_of(right), replies(right, 1)
-        keys, docs, deal = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-        for ids, part in parts(rows, copies, length, anchor) if len(rows) and len(left) else ():
-            part.hash >>= np.uint64(1)
-            part.least >>= np.uint64(1)
-            at = part.open_windows(left)
-            h, other = part.windows(at)
-            order = np.lexsort([ids[part.doc[at]], h])
-            h, other, d = h[order], other[order], ids[part.doc[at]][order]
-            first = np.append(True, h[1:] != h[:-1]) if len(h) else np.empty(0, dtype=bool)
-            keys.append(h[first])
-            deal.append(other[first])
-            docs.append(d[first])
-        h, other, d = np.concatenate(keys), np.concatenate(deal), np.concatenate(docs)
-        bucket = (other % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort([d, h, bucket])
-        h, d, bucket = h[order], d[order], bucket[order]
-        first = np.append(True, (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])) if len(h) else np.empty(0, dtype=bool)
-        return split(rows.column("chunk")[0].as_py() if len(rows) else 0, h[first], bucket[first], d[first])
+        found = []
+        for ids, _, doc, _, h, other in chunk_windows(rows, replies(right), length, anchor, buckets):
+            k, first = np.unique(h, return_index=True)
+            least = np.full(len(k), LAST)
+            np.minimum.at(least, np.searchsorted(k, h), ids[doc])
+            found.append((k, other[first], least))
+        bucket, h, d = distinct_windows(found, buckets)
+
+        def data(a: int, b: int) -> bytes:
+            """How many documents, their ids and how many hashes each has, then the hashes."""
+            at = np.flatnonzero(np.append(True, d[a + 1 : b] != d[a : b - 1]))
+            counts = np.diff(np.append(at, b - a))
+            return np.concatenate([[len(at)], d[a:b][at], counts]).astype(np.int64).tobytes() + h[a:b].tobytes()
+
+        return sent(rows, bucket, data)
 
     return run
 
 
 def earlier_windows(rows: pa.Table) -> pa.Table:
-    """Which windows of a bucket stand in a document smaller than any that a chunk has them in, told to that chunk."""
+    """Which windows of a bucket stand in a document smaller than any that a chunk has them in: a bit for each it sent."""
     each = {}
     for c, d in zip(rows.column("chunk"), rows.column("data"), strict=True):
-        both = np.frombuffer(d.as_py(), dtype=np.uint64)
-        each[c.as_py()] = both[: len(both) // 2], both[len(both) // 2 :].view(np.int64)
+        v = np.frombuffer(d.as_py(), dtype=np.int64)
+        n = int(v[0])
+        each[c.as_py()] = v[2 * n + 1 :].view(np.uint64), np.repeat(v[1 : n + 1], v[n + 1 : 2 * n + 1])
     keys, docs, _ = smallest(np.concatenate([k for k, _ in each.values()]), np.concatenate([d for _, d in each.values()]))
-    return answered(rows, {c: k[docs[np.searchsorted(keys, k)] < d] for c, (k, d) in each.items()}, 2)
+    return answered({c: np.packbits(docs[np.searchsorted(keys, k)] < d).tobytes() for c, (k, d) in each.items()}, 1 + rows.column("bucket")[0].as_py())
 
 
-def removed(kind: str, length: int, anchor: int):
+def removed(kind: str, length: int, anchor: int, buckets: int):
     def run(rows: pa.Table, right: pa.Table) -> pa.Table:
-        copies, left, before = copies_of(right), replies(right, 1), replies(right, 2)
-        kept_parts, own_keys, own_docs = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for ids, part in parts(rows, copies, length, anchor) if len(rows) and len(left) else ():
-            part.hash >>= np.uint64(1)
-            part.least >>= np.uint64(1)
-            at = part.open_windows(left)
-            h, _ = part.windows(at)
-            k, d, _ = smallest(h, ids[part.doc[at]])
-            own_keys.append(k)
-            own_docs.append(d)
-            kept_parts.append((ids, part.sizes, part.doc[at], at, h))
-        keys, docs, _ = smallest(np.concatenate(own_keys), np.concatenate(own_docs))
+        told = replies(right)
+        copies = copies_of(told)
+        kept_parts = list(chunk_windows(rows, told, length, anchor, buckets))
+        bucket, keys, docs = distinct_windows([(h, other, ids[doc]) for ids, _, doc, _, h, other in kept_parts], buckets)
+        earlier = np.zeros(len(keys), dtype=bool)
+        for b in np.unique(bucket):
+            mine = np.flatnonzero(bucket == b)
+            earlier[mine] = np.unpackbits(np.frombuffer(told[1 + int(b)], dtype=np.uint8), count=len(mine)).astype(bool)
+        order = np.argsort(keys)
+        keys, docs, earlier = keys[order], docs[order], earlier[order]
         cover: dict[int, tuple[np.ndarray, int]] = {}
-        for ids, sizes, doc, at, h in kept_parts:
-            gone = isin(h, before) | (docs[np.searchsorted(keys, h)] < ids[doc])
+        for ids, sizes, doc, at, h, _ in kept_parts:
+            place = np.searchsorted(keys, h)
+            gone = earlier[place] | (docs[place] < ids[doc])
             starts = np.cumsum(sizes) - sizes
             for k in np.unique(doc[gone]):
                 cover[int(ids[k])] = at[gone & (doc == k)] - starts[k]
@@ -274,7 +297,7 @@ def substring_dedup(docs: DataFrame, length: int = 50, anchor: int = 28, text: s
     second = grouped.cogroup(left.groupBy("chunk")).applyInArrow(sent_windows(length, anchor, buckets), SENT)
     left = left.unionByName(second.groupBy("bucket").applyInArrow(earlier_windows, REPLY))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if digest else "binary")
-    found = grouped.cogroup(left.groupBy("chunk")).applyInArrow(removed("digest" if digest else "bytes", length, anchor), out)
+    found = grouped.cogroup(left.groupBy("chunk")).applyInArrow(removed("digest" if digest else "bytes", length, anchor, buckets), out)
     return found.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
 
 
