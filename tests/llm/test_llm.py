@@ -57,7 +57,7 @@ def test_quality_rules(spark, rows):
         for b in buckets(t):
             raw[b] += 1
             target[b] += d is not None and d % 2 == 0
-    weight = np.log((target + 1) / (raw + 1)) + math.log((raw.sum() + 64) / (target.sum() + 64))
+    weight = np.log((target + 5) / (raw * target.sum() / raw.sum() + 5))
     for d, t, _ in rows:
         w, r = words_of(t), got[d]
         seen = {}

@@ -42,16 +42,19 @@ def ngrams(hashes: str, orders: Sequence[int]) -> Column:
 
 
 def ratio_weights(counts: DataFrame, buckets: int, alpha: float) -> DataFrame:
-    """One row: weights, an array of log p_target - log p_raw by bucket (buckets doubles: that is its size bound)."""
+    """One row: weights, an array of log p_target - log p_raw by bucket (buckets doubles: that is its size bound).
+
+    The raw counts are scaled to the target's total before both get alpha: an n-gram that the target lacks because it is
+    rare everywhere then says little, however small the target is.
+    """
     everywhere = counts.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
     pairs = everywhere.agg(
         F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("raw", F.lit(0)).alias("r"), F.coalesce("target", F.lit(0)).alias("t")))).alias("p"),
         F.coalesce(F.sum("raw"), F.lit(0)).alias("nr"),
         F.coalesce(F.sum("target"), F.lit(0)).alias("nt"),
     )
-    a = F.lit(float(alpha))
-    shift = F.log((F.col("nr") + a * buckets) / (F.col("nt") + a * buckets))
-    return pairs.select(F.transform("p", lambda x: F.log((x["t"] + a) / (x["r"] + a)) + shift).alias("weights"))
+    a, share = F.lit(float(alpha)), F.when(F.col("nr") > 0, F.col("nt") / F.col("nr")).otherwise(0.0)
+    return pairs.select(F.transform("p", lambda x: F.log((x["t"] + a) / (x["r"] * share + a))).alias("weights"))
 
 
 def text_statistics(docs: DataFrame, text: str, window: int = 8) -> DataFrame:
@@ -97,7 +100,7 @@ def quality_rules(
     text: str = "text",
     orders: Sequence[int] = (1,),
     buckets: int = 1 << 16,
-    alpha: float = 1.0,
+    alpha: float = 5.0,
     least_ratio: float = -0.25,
     least_words: int = 20,
     most_repeated_pct: int = 30,
@@ -105,11 +108,11 @@ def quality_rules(
     """docs with their counts, base_failed, ratio (mean log-likelihood ratio of an n-gram) and kept.
 
     trusted: a boolean column; the texts of its true rows are the trusted target. The word n-grams of all docs make
-    the raw multinomial, those of the trusted rows the target's, both over hash buckets and smoothed by alpha. A
+    the raw multinomial, those of the trusted rows the target's, both over hash buckets and smoothed by alpha counts. A
     document stays if it passes the count rules and its ratio, the mean over its n-grams of
     log(p_target / p_raw), is at least least_ratio.
     Null or empty texts have no words and fail; a text without any n-gram has ratio 0; a null flag is not trusted;
-    without trusted rows (or docs) all ratios compare with the uniform multinomial. Repeated rows are judged each;
+    without trusted rows all ratios are 0. Repeated rows are judged each;
     columns of docs stay as they are, but for those with a result's name, which the result replaces.
     """
     weights = ratio_weights(bucket_counts(docs, text, trusted, orders, buckets), buckets, alpha).scalar()
@@ -119,7 +122,10 @@ def quality_rules(
     total = F.aggregate("_h", F.lit(0.0), lambda s, h: s + F.get("_m", F.pmod(h, F.lit(buckets)).cast("int")))
     out = out.withColumn("ratio", F.when(F.size("_h") > 0, total / F.size("_h")).otherwise(F.lit(0.0))).drop("_h", "_m")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated_pct * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("ratio") >= least_ratio))
+    # the row number, never negative, keeps a filter on the verdict above the counts: pushed below them, it would repeat
+    # every window's hashes inside the others
+    here = F.monotonically_increasing_id() >= 0
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("ratio") >= least_ratio) & here)
 
 
 def with_trusted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
