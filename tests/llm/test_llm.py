@@ -376,6 +376,21 @@ def test_forward_backward():
     assert np.allclose(marginal[0], m / total) and np.allclose(pairs, p / total)
 
 
+def test_extra_columns(spark, tmp_path_factory, rows):
+    """Columns whose names the operators use themselves come through each stage, and an empty table does too."""
+    import corpus_pipeline
+
+    docs = make(spark, rows)
+    for name in ("doc", "id", "key", "chunk", "target", "copies", "cut", "_h", "_doc", "_gone", "trusted", "component_id", "fp", "n_words"):
+        docs = docs.withColumn(name, F.col("doc_id"))
+    d = parquet(tmp_path_factory, spark, documents=docs, labels=spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int"))
+    for df in (docs, docs.filter("false")):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, df, d)
+            assert out.columns == docs.columns
+            assert out.filter("NOT (key <=> doc_id AND copies <=> doc_id AND _h <=> doc_id AND fp <=> doc_id)").count() == 0
+
+
 def test_pipeline(spark, tmp_path_factory):
     import corpus_pipeline
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import uuid
 
 import numpy as np
@@ -104,8 +103,15 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
-def rows_of(table_) -> list[dict]:
-    return list(itertools.chain.from_iterable(b.to_pylist() for b in table_.to_batches()))
+def apart(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all others packed in one column `_row`, so that no name of theirs can clash."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*needed, F.struct(*others, F.lit(0).alias("_")).alias("_row"))
+
+
+def together(df: DataFrame, docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns of docs again, in their order."""
+    return df.select(*[F.col(c) if c in needed else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 #: An odd base of polynomial hashes modulo 2^64, and its inverse.

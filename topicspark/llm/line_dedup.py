@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import dealt_blocks, in_blocks, pair_steps
-from .common import mixed, prefix_sums, scratch, small_batches, span_hash, table
+from .common import apart, mixed, prefix_sums, scratch, small_batches, span_hash, table, together
 
 LAST = 2**63 - 1
 
@@ -206,5 +206,5 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without repeated lines; one whose lines all go (all repeated elsewhere before) goes too."""
     small_batches(spark)
-    out = without_lines(docs, repeated_lines(docs))
-    return out.filter("n_removed <= 0 OR text <> ''").select(docs.columns)
+    out = without_lines(apart(docs, "doc_id", "text"), repeated_lines(docs))
+    return together(out.filter("n_removed <= 0 OR text <> ''"), docs, "doc_id", "text")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, scratch, table
+from .common import SPACE, apart, scratch, table, together
 
 BLANK = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
@@ -90,10 +90,11 @@ def running_parts() -> Column:
 
 
 def with_copies(docs: DataFrame, plan: DataFrame, doc_id: str, source: str, seed: int = 7) -> DataFrame:
-    """docs with source_size, target and `copies`, how many times the mix takes the document."""
+    """docs with source_size, target and `copies`, how many times the mix takes the document; they replace columns of
+    those names, and of whole, cut and _key."""
     key = source_key(F.col(source))
     plan = plan.withColumnRenamed("key", "_key")
-    out = docs.withColumn("_key", key).join(plan, "_key").withColumn("copies", F.col("whole") + (dealt(F.col(doc_id), seed) <= F.col("cut")).cast("long"))
+    out = docs.drop("source_size", "target", "copies", "whole", "cut").withColumn("_key", key).join(plan, "_key").withColumn("copies", F.col("whole") + (dealt(F.col(doc_id), seed) <= F.col("cut")).cast("long"))
     return out.drop("_key", "whole", "cut")
 
 
@@ -107,8 +108,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
     sizes = scratch(spark, docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mixing-sizes")
-    out = with_copies(docs, mixture(sizes), "doc_id", "source").filter("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    out = with_copies(apart(docs, "doc_id", "source"), mixture(sizes), "doc_id", "source").filter("copies > 0")
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return together(out, docs, "doc_id", "source")
 
 
 OP7_SQL = """

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import apart, table, together, words
 
 #: The characters that n_symbols counts.
 SYMBOLS = "#*$%&|<>"
@@ -142,4 +142,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep."""
-    return quality_rules(with_trusted(spark, docs, sf_dir)).filter("kept").select(docs.columns)
+    judged = quality_rules(with_trusted(spark, apart(docs, "doc_id", "text"), sf_dir))
+    return together(judged.filter("kept"), docs, "doc_id", "text")
