@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -133,3 +134,18 @@ def evidence_register(sources: DataFrame) -> DataFrame:
 def extract_inputs(sources: DataFrame, envelopes: DataFrame) -> DataFrame:
     """Sources with an envelope that isn't an image's."""
     return sources.join(envelopes.filter("kind <> 'image'"), ["topic", "source_id"])
+
+
+def extracted_by(inputs: DataFrame, runner: Callable[[str, str], Iterable[tuple[str, float, list[str]]]]) -> DataFrame:
+    """Facts by a user's function of (title, text) that yields (text, confidence, categories); pos is their order.
+
+    The function runs in Python workers over Arrow batches of sources; a source that yields nothing gives no row.
+    """
+    names = ["topic", "source_id", "title", "text"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(r.topic, r.source_id, pos, *fact) for r in batch.itertuples() for pos, fact in enumerate(runner(r.title, r.text))]
+            yield pd.DataFrame(rows, columns=["topic", "source_id", "pos", "text", "confidence", "categories"])
+
+    return inputs.select(*names).mapInPandas(run, "topic string, source_id string, pos int, text string, confidence double, categories array<string>")

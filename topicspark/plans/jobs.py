@@ -6,11 +6,15 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from topicspark.functions import text as T
 from topicspark.operators import facts as FA
+from topicspark.operators import lineage as LI
 from topicspark.operators import matching as MA
+from topicspark.operators import quality as QU
 from topicspark.operators import routing as RO
+from topicspark.operators import stats as ST
 from topicspark.operators import tree as TR
 from topicspark.operators import triage as TI
 
@@ -62,3 +66,89 @@ def extract(sources: DataFrame, envelopes: DataFrame) -> tuple[DataFrame, DataFr
     """Numbered line facts and a joined summary of each topic, from text and video envelopes (with text)."""
     inputs = FA.extract_inputs(sources, envelopes.select("topic", "source_id", "kind", "text"))
     return FA.numbered(FA.line_facts(inputs)), FA.joined_summaries(inputs)
+
+
+def logged(existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """The chains of `existing` operations (topic, seq, op, payload) followed by new ones (topic, op, payload), hashed."""
+    last = existing.groupBy("topic").agg(F.max("seq").alias("_last"))
+    n = F.row_number().over(Window.partitionBy("topic").orderBy(order))
+    more = new.join(last, "topic", "left").withColumn("seq", (n + F.coalesce("_last", F.lit(0))).cast("int"))
+    columns = ["topic", "seq", "op", "payload"]
+    return LI.built(existing.select(columns).unionByName(more.select(columns)))
+
+
+def create_topics(leaves: DataFrame, existing: DataFrame, actor: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes that the paths (path, tags) need and that don't exist, and a CREATE operation for each."""
+    nodes = TR.expanded(leaves).join(existing.select("path"), "path", "left_anti")
+    nodes = nodes.withColumns({"status": F.lit("container"), "version": F.lit("0.1.0"), "actors": F.array(F.lit(actor))})
+    return nodes, nodes.select(F.col("path").alias("topic"), F.lit("CREATE").alias("op"), T.canonical_json(topic=F.col("path")).alias("payload"))
+
+
+def register_sources(new: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New sources (topic, title, origin, text, added_at) numbered after the topic's existing ones, and INGEST operations."""
+    have = existing.groupBy("topic").agg(F.count("*").alias("_have"))
+    n = F.row_number().over(Window.partitionBy("topic").orderBy("added_at", "title"))
+    df = new.join(have, "topic", "left").withColumn("source_id", F.format_string("SRC-%03d", n + F.coalesce("_have", F.lit(0)))).drop("_have")
+    return df, df.select("topic", F.lit("INGEST").alias("op"), T.canonical_json(source_id=F.col("source_id")).alias("payload"))
+
+
+class Ingested(NamedTuple):
+    facts: DataFrame
+    manifest: DataFrame
+    summary: DataFrame
+
+
+def ingest_batch(files: DataFrame, manifest: DataFrame, force: bool = False) -> Ingested:
+    """Text files (topic, path, text, error) not yet done, once a content hash: their facts, manifest rows and summary."""
+    df = files.withColumn("hash", T.content_hash(F.coalesce("text", F.col("path"))))
+    n = F.row_number().over(Window.partitionBy("topic", "hash").orderBy(T.basename(F.col("path")), "path"))
+    df = TI.to_ingest(df, manifest, force).withColumn("outcome", F.when(n > 1, "duplicate").when(F.col("error").isNotNull(), "failed").otherwise("processed"))
+    good = df.filter("outcome = 'processed'").select("topic", F.col("path").alias("source_id"), F.col("path").alias("title"), "text")
+    rows = df.filter("outcome <> 'duplicate'").select("topic", "hash", F.col("path").alias("source_path"), F.when(F.col("outcome") == "failed", "failed").otherwise("done").alias("status"), "error")
+    return Ingested(FA.numbered(FA.line_facts(good)), rows, TI.ingest_summary(df))
+
+
+def crosslink(edges: DataFrame, topics: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges with their strength (a given one wins), and CROSSLINK operations."""
+    df = MA.tag_overlap(edges, topics)
+    return df, df.select("topic", F.lit("CROSSLINK").alias("op"), T.canonical_json(related_topic=F.col("related_topic")).alias("payload"))
+
+
+def bump_versions(topics: DataFrame, part: str) -> tuple[DataFrame, DataFrame]:
+    """Topics with the next version, and VERSION operations."""
+    df = topics.withColumn("version", T.version_bump(F.col("version"), part))
+    return df, df.select(F.col("path").alias("topic"), F.lit("VERSION").alias("op"), T.canonical_json(version=F.col("version")).alias("payload"))
+
+
+def validate(topics: DataFrame, facts: DataFrame, operations: DataFrame, heads: DataFrame, envelopes: DataFrame) -> DataFrame:
+    """A report for each topic (path) from schema errors, broken chains and mock sources."""
+    schema = QU.fact_errors(facts).select("topic", F.lit("schema_error").alias("type"))
+    chains = LI.checked(operations, heads).filter("NOT valid").select("topic", F.lit("lineage_error").alias("type"))
+    return QU.node_reports(topics.select(F.col("path").alias("topic")), QU.all_issues(schema, chains), QU.mock_warnings(envelopes))
+
+
+def feedback(nodes: DataFrame, facts: DataFrame, sources: DataFrame, timing: DataFrame) -> DataFrame:
+    """Each node's subtree in one row: facts by confidence, bytes and density, calls and failures."""
+    per = FA.confidence_histogram(facts, "topic").join(FA.fact_density(sources, facts), "topic", "left")
+    per = per.join(timing.groupBy("topic").agg(F.count("*").alias("calls"), F.count_if(F.col("outcome") == "failure").alias("failures")), "topic", "full")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    df = TR.rollup(nodes, per.withColumnRenamed("topic", "path").drop("density"), *[total(c) for c in ("high", "medium", "low", "facts", "bytes", "calls", "failures")])
+    df = df.withColumn("density", F.when(F.col("bytes") > 0, F.col("facts") / (F.col("bytes") / F.lit(1024.0))).otherwise(0.0))
+    return df.withColumn("failure_rate", F.when(F.col("calls") > 0, F.col("failures") / F.col("calls")).otherwise(0.0))
+
+
+def latency_record(timing: DataFrame, nodes: DataFrame, budget_ms: int = 90_000) -> DataFrame:
+    """Percentiles over each node's subtree: the calls themselves go up the tree, as percentiles don't add up."""
+    below = TR.closure(nodes).join(timing.withColumnRenamed("topic", "descendant"), "descendant")
+    return ST.latencies(below.withColumn("topic", F.col("ancestor")), budget_ms)
+
+
+def triage(files: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, manifest, summary) of an intake dump."""
+    rows = TI.triaged(files, prior)
+    return rows, TI.intake_manifest(files), TI.triage_summary(rows)
+
+
+def report(sources: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bundles, category groups, evidence register); facts are cited by citations()."""
+    return FA.bundles(sources, facts), FA.by_first_category(facts), FA.evidence_register(sources)
