@@ -331,6 +331,34 @@ def test_substrings(spark, monkeypatch, rows):
         assert r.n_spans == int((np.diff(mask.astype(int), prepend=0) == 1).sum())
 
 
+def test_substrings_rows_apart(spark, monkeypatch, tmp_path):
+    """Null and repeated ids with different texts: each row is judged by its own text, read from files or not."""
+    monkeypatch.setattr(substrings, "CHUNK", 3_000)
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    base = [text(200) for _ in range(6)]
+    rows = [(k, t) for k, t in enumerate(base)] + [(None, base[0]), (None, text(150)), (None, text(40) + base[1][:80]), (None, text(60)), (None, None)]
+    rows += [(7, base[2]), (7, text(300)), (7, base[3][20:90] + text(9)), (8, text(90) + base[4][100:]), (8, text(70)), (None, base[0]), (0, text(80))]
+    big = 2**63 - 1
+    first = {}
+    for d, t in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            first[b[k : k + 50]] = min(first.get(b[k : k + 50], big), big if d is None else d)
+    want = []
+    for d, t in rows:
+        b = (t or "").encode()
+        mask = np.zeros(len(b), dtype=bool)
+        for k in range(len(b) - 49):
+            mask[k : k + 50] |= first[b[k : k + 50]] < (big if d is None else d)
+        want.append((str(d), len(b), int(mask.sum()), np.frombuffer(b, dtype=np.uint8)[~mask].tobytes()))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.repartition(3).write.parquet(f"{tmp_path}/docs")
+    for docs in (df, spark.read.parquet(f"{tmp_path}/docs")):
+        got = substrings.substring_dedup(docs).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, bytes(r.kept)) for r in got) == sorted(want)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((12, 16))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,22 @@ def scratch(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def with_row(df: DataFrame, name: str) -> DataFrame:
+    """df with a long column that tells its rows apart, the same whenever it is read.
+
+    A plain scan of Parquet files takes a hash of file and row number; anything else is numbered in a written table.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "SubqueryAlias"):
+        plan = plan.child()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in df.columns:
+        try:
+            return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+        except AnalysisException:  # not of Parquet files, or its columns are computed anew
+            pass
+    return scratch(df.sparkSession, df.select("*", F.monotonically_increasing_id().alias(name)), "rows")
+
+
 def in_chunks(df: DataFrame, key: Column, size: Column, chunk_bytes: int) -> tuple[DataFrame, int]:
     """df with an int column `chunk`: rows dealt by a hash of key so that a chunk holds about chunk_bytes of size."""
     total = df.agg(F.sum(size)).first()[0] or 0

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import INVERSE, in_chunks, mixed, powers, prefix_sums, small_batches, table
+from .common import INVERSE, in_chunks, mixed, powers, prefix_sums, small_batches, table, with_row
 
 LAST = 2**63 - 1
 BASE2 = 0xC2B2AE3D27D4EB4F
@@ -28,7 +28,7 @@ INVERSE2 = pow(BASE2, -1, 2**64)
 #: Bytes of text in a chunk, in a part of it handled at once, and sent to one radix bucket.
 CHUNK, PART, BUCKET = 8 << 20, 1 << 19, 24 << 20
 SENT = "bucket int, chunk int, data binary"
-#: kind: 0 ids of exact copies, -1 - bucket minimizers that go on, 1 + bucket a bit for each window sent.
+#: kind: 0 row keys of exact copies, -1 - bucket minimizers that go on, 1 + bucket a bit for each window sent.
 REPLY = "chunk int, kind int, data binary"
 
 
@@ -96,20 +96,24 @@ def isin(values: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 
 def parts(rows: pa.Table, copies: set[int], length: int, anchor: int) -> Iterator[tuple[np.ndarray, Part]]:
-    """The documents' ids and texts, a part at a time, without exact copies and texts shorter than a window."""
-    ids, texts, size = [], [], 0
-    for doc, text in zip(rows.column("doc_id").to_pylist(), rows.column("text"), strict=True):
+    """The documents' places in rows and texts, a part at a time, without exact copies and texts shorter than a window."""
+    places, texts, size = [], [], 0
+    for k, (row, text) in enumerate(zip(rows.column("row").to_pylist(), rows.column("text"), strict=True)):
         t = text.as_buffer().to_pybytes()
-        if len(t) < length or doc in copies:
+        if len(t) < length or row in copies:
             continue
-        ids.append(doc)
+        places.append(k)
         texts.append(t)
         size += len(t)
         if size >= PART:
-            yield np.array(ids), Part(texts, length, anchor)
-            ids, texts, size = [], [], 0
+            yield np.array(places), Part(texts, length, anchor)
+            places, texts, size = [], [], 0
     if texts:
-        yield np.array(ids), Part(texts, length, anchor)
+        yield np.array(places), Part(texts, length, anchor)
+
+
+def ids_of(rows: pa.Table) -> np.ndarray:
+    return rows.column("doc_id").to_numpy() if len(rows) else np.empty(0, np.int64)
 
 
 def replies(rows: pa.Table) -> dict[int, bytes]:
@@ -142,9 +146,10 @@ def smallest(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def sent_minimizers(length: int, anchor: int, buckets: int):
     def run(rows: pa.Table, right: pa.Table) -> pa.Table:
         copies, keys, docs, several = copies_of(replies(right)), [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
-        for ids, part in parts(rows, copies, length, anchor) if len(rows) else ():
+        ids = ids_of(rows)
+        for places, part in parts(rows, copies, length, anchor) if len(rows) else ():
             at = part.minimizers()
-            k, d, more = smallest(bucketed(part.hash[at], buckets), ids[part.doc[np.minimum(at, part.n - 1)]])
+            k, d, more = smallest(bucketed(part.hash[at], buckets), ids[places][part.doc[np.minimum(at, part.n - 1)]])
             keys.append(k)
             docs.append(d)
             several.append(more)
@@ -192,21 +197,21 @@ def distinct_windows(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buc
 
 
 def chunk_windows(rows: pa.Table, found: dict[int, bytes], length: int, anchor: int, buckets: int):
-    """(ids, sizes, documents, places, hashes, other hashes) of each part's open windows."""
+    """(documents' places in rows, sizes, documents, places, hashes, other hashes) of each part's open windows."""
     left = left_of(found)
-    for ids, part in parts(rows, copies_of(found), length, anchor) if len(rows) and len(left) else ():
+    for places, part in parts(rows, copies_of(found), length, anchor) if len(rows) and len(left) else ():
         at = part.open_windows(left, buckets)
         h, other = part.windows(at)
-        yield ids, part.sizes, part.doc[at], at, h, other
+        yield places, part.sizes, part.doc[at], at, h, other
 
 
 def sent_windows(length: int, anchor: int, buckets: int):
     def run(rows: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        for ids, _, doc, _, h, other in chunk_windows(rows, replies(right), length, anchor, buckets):
+        found, ids = [], ids_of(rows)
+        for places, _, doc, _, h, other in chunk_windows(rows, replies(right), length, anchor, buckets):
             k, first = np.unique(h, return_index=True)
             least = np.full(len(k), LAST)
-            np.minimum.at(least, np.searchsorted(k, h), ids[doc])
+            np.minimum.at(least, np.searchsorted(k, h), ids[places][doc])
             found.append((k, other[first], least))
         bucket, h, d = distinct_windows(found, buckets)
 
@@ -235,31 +240,31 @@ def earlier_windows(rows: pa.Table) -> pa.Table:
 def removed(kind: str, length: int, anchor: int, buckets: int):
     def run(rows: pa.Table, right: pa.Table) -> pa.Table:
         told = replies(right)
-        copies = copies_of(told)
+        copies, ids = copies_of(told), ids_of(rows)
         kept_parts = list(chunk_windows(rows, told, length, anchor, buckets))
-        bucket, keys, docs = distinct_windows([(h, other, ids[doc]) for ids, _, doc, _, h, other in kept_parts], buckets)
+        bucket, keys, docs = distinct_windows([(h, other, ids[places][doc]) for places, _, doc, _, h, other in kept_parts], buckets)
         earlier = np.zeros(len(keys), dtype=bool)
         for b in np.unique(bucket):
             mine = np.flatnonzero(bucket == b)
             earlier[mine] = np.unpackbits(np.frombuffer(told[1 + int(b)], dtype=np.uint8), count=len(mine)).astype(bool)
         order = np.argsort(keys)
         keys, docs, earlier = keys[order], docs[order], earlier[order]
-        cover: dict[int, tuple[np.ndarray, int]] = {}
-        for ids, sizes, doc, at, h, _ in kept_parts:
+        cover: dict[int, np.ndarray] = {}
+        for places, sizes, doc, at, h, _ in kept_parts:
             place = np.searchsorted(keys, h)
-            gone = earlier[place] | (docs[place] < ids[doc])
+            gone = earlier[place] | (docs[place] < ids[places][doc])
             starts = np.cumsum(sizes) - sizes
             for k in np.unique(doc[gone]):
-                cover[int(ids[k])] = at[gone & (doc == k)] - starts[k]
+                cover[int(places[k])] = at[gone & (doc == k)] - starts[k]
         out: dict[str, list] = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-        for doc, text in zip(rows.column("doc_id").to_pylist(), rows.column("text"), strict=True) if len(rows) else ():
+        for at, (doc, row, text) in enumerate(zip(ids.tolist(), rows.column("row").to_pylist(), rows.column("text"), strict=True) if len(rows) else ()):
             t = text.as_buffer().to_pybytes()
             gone = np.zeros(len(t) + 1, dtype=np.int32)
-            if doc in copies and len(t) >= length:
+            if row in copies and len(t) >= length:
                 gone[:-1] = 1
-            elif doc in cover:
-                np.add.at(gone, cover[doc], 1)
-                np.subtract.at(gone, cover[doc] + length, 1)
+            elif at in cover:
+                np.add.at(gone, cover[at], 1)
+                np.subtract.at(gone, cover[at] + length, 1)
                 gone = np.cumsum(gone)
             mask = gone[:-1] > 0
             spans = int(np.count_nonzero(np.diff(mask.view(np.int8), prepend=np.int8(0)) == 1))
@@ -281,15 +286,16 @@ def substring_dedup(docs: DataFrame, length: int = 50, anchor: int = 28, text: s
     digest, their SHA-256).
 
     Null texts are empty; a null doc_id is larger than any other and comes back null; rows with the same doc_id don't
-    count against each other; repeated rows give a row each; an empty table gives none.
+    count against each other, but each is judged by its own text; repeated rows give a row each; an empty table gives none.
     """
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    rows, n = in_chunks(rows, F.col("doc_id"), F.length("text") + 64, CHUNK)
+    rows = with_row(docs.select(doc_id, text), "row")
+    rows = rows.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), "row", F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    rows, n = in_chunks(rows, F.col("row"), F.length("text") + 64, CHUNK)
     buckets = max(1, -(-n * CHUNK // BUCKET))
-    named = rows.select("doc_id", "chunk", F.md5("text").alias("digest"), F.length("text").alias("n"))
+    named = rows.select("doc_id", "row", "chunk", F.md5("text").alias("digest"), F.length("text").alias("n"))
     first = named.groupBy("digest", "n").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("k")).filter("k > 1")
     copies = named.join(first, ["digest", "n"]).filter("doc_id > first_id")
-    copies = copies.groupBy("chunk").agg(F.collect_set("doc_id").alias("ids")).mapInArrow(packed, REPLY)
+    copies = copies.groupBy("chunk").agg(F.collect_set("row").alias("rows")).mapInArrow(packed, REPLY)
     rows = rows.repartition(n, "chunk")
     grouped = rows.groupBy("chunk")
     first_pass = grouped.cogroup(copies.groupBy("chunk")).applyInArrow(sent_minimizers(length, anchor, buckets), SENT)
