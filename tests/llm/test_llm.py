@@ -231,6 +231,22 @@ def test_line_dedup(spark, limit):
         assert out[d].text == (None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want.get(d, [])))
 
 
+def test_line_dedup_rows_apart(spark, tmp_path):
+    """Null and repeated ids: only a row's own repeats go, and equal lines of two such rows count as repeats."""
+    line = lambda k: f"line number {k} " + chr(97 + k) * 30
+    rows = [(1, [line(0), line(1)]), (None, [line(2), line(0), line(3)]), (None, [line(4), line(5), line(6)]), (9, [line(7), line(1)]), (9, [line(8), line(9)]), (None, [line(10), line(11)]), (None, [line(10), line(12)])]
+    df = spark.createDataFrame([(d, "\n".join(x)) for d, x in rows], "doc_id long, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert "_metadata" in common.with_row(read, "row")._jdf.queryExecution().analyzed().toString()
+    for docs in (df, read):
+        out = [(r.doc_id, r.text) for r in line_dedup.line_dedup_stage(spark, docs, "").collect()]
+        kept = sorted(x for _, t in out for x in t.split("\n"))
+        assert kept == sorted(map(line, range(13)))
+        assert (9, line(7)) in out and (9, "\n".join(map(line, (8, 9)))) in out and (None, "\n".join(map(line, (4, 5, 6)))) in out
+    assert sorted(r.n_removed for r in line_dedup.op3_line_dedup(spark, str(tmp_path)).collect()) == [0, 0, 0, 0, 1, 1, 1]
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "u", "x" * 90000), (2, "v v", "x" * 90000), (3, None, None), (None, "q", "y" * 2000), (2, "v", "x" * 90000), (7, "z", "é" * 30000), (8, "z", "y" * 999), (9, "z", "y" * 999)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import dealt_blocks, in_blocks, pair_steps
-from .common import apart, mixed, prefix_sums, scratch, small_batches, span_hash, table, together
+from .common import apart, mixed, prefix_sums, scratch, small_batches, span_hash, table, together, with_row
 
 LAST = 2**63 - 1
 
@@ -121,14 +121,14 @@ def runs(order: np.ndarray, size: np.ndarray, most: int = 1 << 21) -> Iterator[n
 
 
 def line_links(keyed: DataFrame, firsts: DataFrame, distance: int, limit: int) -> DataFrame:
-    """(id, n, doc, no): how many other distinct lines are near, and the first place of one of them; rows are partial.
+    """(id, n, doc, no, row): how many other distinct lines are near, and the first place of one of them; rows are partial.
 
-    firsts: (id, doc, no, line). A pair that shares several keys counts under the smallest.
+    firsts: (id, doc, no, row, line). A pair that shares several keys counts under the smallest.
     """
-    rows = dealt_blocks(keyed, "key", F.col("id"), limit).join(firsts, "id").select("key", "id", "part", "i", "j", "doc", "no", "line")
+    rows = dealt_blocks(keyed, "key", F.col("id"), limit).join(firsts, "id").select("key", "id", "part", "i", "j", "doc", "no", "row", "line")
 
     def run(rows: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-        lines, inverse = np.unique(np.array(rows.column(7).to_pylist(), dtype=object), return_inverse=True)
+        lines, inverse = np.unique(np.array(rows.column(8).to_pylist(), dtype=object), return_inverse=True)
         texts = list(lines)
         own = segment_keys(texts, distance)
         size = np.array([len(x) for x in texts])
@@ -153,44 +153,44 @@ def line_links(keyed: DataFrame, firsts: DataFrame, distance: int, limit: int) -
         if out:
             me, other = (np.concatenate(v) for v in zip(*out, strict=True))
             if len(me):
-                ids, doc, no = rows.column(1).to_numpy(), rows.column(5).to_numpy(), rows.column(6).to_numpy()
-                order = np.lexsort([no[other], doc[other], ids[me]])
+                ids, doc, no, row = (rows.column(c).to_numpy() for c in (1, 5, 6, 7))
+                order = np.lexsort([row[other], no[other], doc[other], ids[me]])
                 me, other = me[order], other[order]
                 at = np.flatnonzero(np.append(True, ids[me][1:] != ids[me][:-1]))
                 n = np.diff(np.append(at, len(me)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[me[at]]), pa.array(n), pa.array(doc[other[at]]), pa.array(no[other[at]])], ["id", "n", "doc", "no"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[me[at]]), pa.array(n), pa.array(doc[other[at]]), pa.array(no[other[at]]), pa.array(row[other[at]])], ["id", "n", "doc", "no", "row"])
 
-    return in_blocks(rows, "key", run, "id long, n long, doc long, no int")
+    return in_blocks(rows, "key", run, "id long, n long, doc long, no int, row long")
 
 
-def repeated_lines(docs: DataFrame, distance: int = 2, least_chars: int = 30, limit: int = 512, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, lines, links): of each document with such lines, the numbers (from 0) of the lines to remove, sorted.
+def repeated_lines(docs: DataFrame, distance: int = 2, least_chars: int = 30, limit: int = 512, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
+    """(doc_id, row, lines, links): of each document with such lines, the numbers (from 0) of the lines to remove, sorted.
 
     A line of at least least_chars characters goes if an equal line, or one within the edit distance, stands at a
-    smaller (doc_id, line number); it is judged on the input, so that it goes even if that line goes too. links: near
+    smaller (doc_id, line number, row); it is judged on the input, so that it goes even if that line goes too. links: near
     distinct lines, summed over the removed lines. Shorter lines always stay. Null texts have no line; null ids come
-    last; rows with the same doc_id are taken for one. Exact repeats are found by 64-bit hashes.
+    last. row: a long column that tells rows apart (common.with_row); without it doc_id has to. Exact repeats are found by 64-bit hashes.
     """
     spark = docs.sparkSession
-    df = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
+    df = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(row or doc_id).cast("long").alias("row"), F.col(text).alias("text"))
     keyed = line_keys(df, distance, least_chars, "text")
     shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     keyed = scratch(spark, keyed.join(shared, "key", "left_semi").distinct(), "line-keys")
-    lines = df.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).filter(F.length("line") >= least_chars).withColumn("id", F.xxhash64("line"))
-    first = lines.join(keyed.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc", "no", "line")).alias("f")).select("id", "f.doc", "f.no", "f.line")
-    near = line_links(keyed, first, distance, limit).groupBy("id").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "no")).alias("near"))
+    lines = df.select("doc", F.coalesce("row", F.lit(LAST)).alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).filter(F.length("line") >= least_chars).withColumn("id", F.xxhash64("line"))
+    first = lines.join(keyed.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc", "no", "row", "line")).alias("f")).select("id", "f.doc", "f.no", "f.row", "f.line")
+    near = line_links(keyed, first, distance, limit).groupBy("id").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "no", "row")).alias("near"))
     near = scratch(spark, near, "line-links")
-    places = lines.select("id", "doc", "no")
-    all_ = places.groupBy("id").agg(F.min(F.struct("doc", "no")).alias("f"), F.count("*").alias("k")).join(near, "id", "left").filter("k > 1 OR near IS NOT NULL")
+    places = lines.select("id", "doc", "no", "row")
+    all_ = places.groupBy("id").agg(F.min(F.struct("doc", "no", "row")).alias("f"), F.count("*").alias("k")).join(near, "id", "left").filter("k > 1 OR near IS NOT NULL")
     best = all_.select("id", F.least("f", "near").alias("best"), F.coalesce("n", F.lit(0)).alias("n"))
-    gone = places.join(best, "id").filter("struct(doc, no) > best")
-    return gone.groupBy("doc").agg(F.sort_array(F.collect_set("no")).alias("lines"), F.sum("n").alias("links")).select(F.col("doc").alias("doc_id"), "lines", "links")
+    gone = places.join(best, "id").filter("struct(doc, no, row) > best")
+    return gone.groupBy("doc", "row").agg(F.sort_array(F.collect_set("no")).alias("lines"), F.sum("n").alias("links")).select(F.col("doc").alias("doc_id"), "row", "lines", "links")
 
 
-def without_lines(docs: DataFrame, gone: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without those lines, with n_removed and n_links (long)."""
-    gone = gone.select(F.col("doc_id").alias("_doc"), F.col("lines").alias("_gone"), F.col("links").alias("_links"))
-    df = docs.withColumn("_doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))).join(gone, "_doc", "left")
+def without_lines(docs: DataFrame, gone: DataFrame, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
+    """docs without those lines, with n_removed and n_links (long); row: as given to repeated_lines."""
+    gone = gone.select(F.col("row").alias("_doc"), F.col("lines").alias("_gone"), F.col("links").alias("_links"))
+    df = docs.withColumn("_doc", F.coalesce(F.col(row or doc_id).cast("long"), F.lit(LAST))).join(gone, "_doc", "left")
     kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
     df = df.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
     return df.withColumns({"n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "n_links": F.coalesce("_links", F.lit(0)).cast("long")}).drop("_doc", "_gone", "_links")
@@ -198,13 +198,15 @@ def without_lines(docs: DataFrame, gone: DataFrame, text: str = "text", doc_id:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = without_lines(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")), repeated_lines(docs))
+    docs = with_row(table(spark, sf_dir, "documents").select("doc_id", "text"), "row")
+    out = without_lines(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")), repeated_lines(docs, row="row"), row="row")
     return out.select("doc_id", "n_lines", F.when(F.col("n_removed") < 0, 0).otherwise(F.col("n_removed")).alias("n_removed"), "n_links", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without repeated lines; one whose lines all go (all repeated elsewhere before) goes too."""
     small_batches(spark)
-    out = without_lines(apart(docs, "doc_id", "text"), repeated_lines(docs))
+    key = next(k for k in (f"_key{n}" for n in range(len(docs.columns) + 1)) if k not in docs.columns)
+    rows = with_row(docs, key)
+    out = without_lines(apart(rows, "doc_id", "text", key), repeated_lines(rows, row=key), row=key)
     return together(out.filter("n_removed <= 0 OR text <> ''"), docs, "doc_id", "text")
