@@ -247,6 +247,18 @@ def test_line_dedup_rows_apart(spark, tmp_path):
     assert sorted(r.n_removed for r in line_dedup.op3_line_dedup(spark, str(tmp_path)).collect()) == [0, 0, 0, 0, 1, 1, 1]
 
 
+def test_short_lines(spark, tmp_path):
+    """Short lines go as exact repeats, but not for being near; blank lines stay."""
+    own = [f"own line {k} of this document " + chr(97 + k) * 9 for k in range(4)]
+    rows = [(1, f"{own[0]}\nAll rights reserved.\n\n ok"), (2, f"All rights reserved.\n\n{own[1]}\n ok"), (3, f"All rights reserved!\n{own[2]}\n}}"), (4, "All rights reserved.\n\n}"), (None, f"{own[3]}\n}}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in line_dedup.line_dedup_stage(spark, docs, "").collect()}
+    assert out == {1: rows[0][1], 2: f"\n{own[1]}", 3: rows[2][1], None: own[3]}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, 0), 2: (4, 2), 3: (3, 0), 4: (3, 2), None: (2, 1)}
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "u", "x" * 90000), (2, "v v", "x" * 90000), (3, None, None), (None, "q", "y" * 2000), (2, "v", "x" * 90000), (7, "z", "é" * 30000), (8, "z", "y" * 999), (9, "z", "y" * 999)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")

@@ -19,6 +19,8 @@ from .blocks import dealt_blocks, in_blocks, pair_steps
 from .common import apart, mixed, prefix_sums, scratch, small_batches, span_hash, table, together, with_row
 
 LAST = 2**63 - 1
+#: A line with anything but ASCII white space.
+FILLED = r"[^\x20\x09-\x0D]"
 
 
 def segment_keys(lines: list[str], distance: int) -> np.ndarray:
@@ -163,12 +165,13 @@ def line_links(keyed: DataFrame, firsts: DataFrame, distance: int, limit: int) -
     return in_blocks(rows, "key", run, "id long, n long, doc long, no int, row long")
 
 
-def repeated_lines(docs: DataFrame, distance: int = 2, least_chars: int = 30, limit: int = 512, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
+def repeated_lines(docs: DataFrame, distance: int = 2, least_chars: int = 30, limit: int = 512, text: str = "text", doc_id: str = "doc_id", row: str | None = None, least_equal: int | None = None) -> DataFrame:
     """(doc_id, row, lines, links): of each document with such lines, the numbers (from 0) of the lines to remove, sorted.
 
     A line of at least least_chars characters goes if an equal line, or one within the edit distance, stands at a
     smaller (doc_id, line number, row); it is judged on the input, so that it goes even if that line goes too. links: near
-    distinct lines, summed over the removed lines. Shorter lines always stay. Null texts have no line; null ids come
+    distinct lines, summed over the removed lines. A shorter line goes if it is not blank, has least_equal characters or more
+    (default: least_chars, so that none goes) and an equal line stands earlier; other lines always stay. Null texts have no line; null ids come
     last. row: a long column that tells rows apart (common.with_row); without it doc_id has to. Exact repeats are found by 64-bit hashes.
     """
     spark = docs.sparkSession
@@ -176,8 +179,8 @@ def repeated_lines(docs: DataFrame, distance: int = 2, least_chars: int = 30, li
     keyed = line_keys(df, distance, least_chars, "text")
     shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     keyed = scratch(spark, keyed.join(shared, "key", "left_semi").distinct(), "line-keys")
-    lines = df.select("doc", F.coalesce("row", F.lit(LAST)).alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).filter(F.length("line") >= least_chars).withColumn("id", F.xxhash64("line"))
-    first = lines.join(keyed.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc", "no", "row", "line")).alias("f")).select("id", "f.doc", "f.no", "f.row", "f.line")
+    lines = df.select("doc", F.coalesce("row", F.lit(LAST)).alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).filter((F.length("line") >= (least_chars if least_equal is None else least_equal)) & ((F.length("line") >= least_chars) | F.col("line").rlike(FILLED))).withColumn("id", F.xxhash64("line"))
+    first = lines.filter(F.length("line") >= least_chars).join(keyed.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc", "no", "row", "line")).alias("f")).select("id", "f.doc", "f.no", "f.row", "f.line")
     near = line_links(keyed, first, distance, limit).groupBy("id").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "no", "row")).alias("near"))
     near = scratch(spark, near, "line-links")
     places = lines.select("id", "doc", "no", "row")
@@ -199,7 +202,7 @@ def without_lines(docs: DataFrame, gone: DataFrame, text: str = "text", doc_id:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = with_row(table(spark, sf_dir, "documents").select("doc_id", "text"), "row")
-    out = without_lines(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")), repeated_lines(docs, row="row"), row="row")
+    out = without_lines(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")), repeated_lines(docs, row="row", least_equal=1), row="row")
     return out.select("doc_id", "n_lines", F.when(F.col("n_removed") < 0, 0).otherwise(F.col("n_removed")).alias("n_removed"), "n_links", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -208,5 +211,5 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     small_batches(spark)
     key = next(k for k in (f"_key{n}" for n in range(len(docs.columns) + 1)) if k not in docs.columns)
     rows = with_row(docs, key)
-    out = without_lines(apart(rows, "doc_id", "text", key), repeated_lines(rows, row=key), row=key)
-    return together(out.filter("n_removed <= 0 OR text <> ''"), docs, "doc_id", "text")
+    out = without_lines(apart(rows, "doc_id", "text", key), repeated_lines(rows, row=key, least_equal=1), row=key)
+    return together(out.filter((F.col("n_removed") <= 0) | F.col("text").rlike(FILLED)), docs, "doc_id", "text")
