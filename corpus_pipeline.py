@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, line dedup, SimHash near-dedup, mixing to target weights, BPE encoding.
+"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing to target weights, BPE encoding.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes
 as Parquet in the shared folder and reads again as the next stage's docs. All but the last return the columns of
@@ -13,13 +13,13 @@ from topicspark.llm.bpe import bpe_stage
 from topicspark.llm.common import scratch, table
 from topicspark.llm.line_dedup import line_dedup_stage
 from topicspark.llm.mixing import mixing_stage
+from topicspark.llm.near_dedup import near_dedup_stage
 from topicspark.llm.quality_rules import quality_stage
-from topicspark.llm.simhash import simhash_stage
 
 STAGES = [
     ("quality rules", quality_stage),
     ("line dedup", line_dedup_stage),
-    ("simhash near-dedup", simhash_stage),
+    ("simhash near-dedup", near_dedup_stage),
     ("mixing to target weights", mixing_stage),
     ("bpe encoding", bpe_stage),
 ]

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from topicspark.llm import bpe, common, crf, ctw, embeddings, line_dedup, mixing, quality_rules, simhash, substrings, warc
+from topicspark.llm import bpe, common, crf, ctw, embeddings, line_dedup, mixing, near_dedup, quality_rules, simhash, substrings, warc
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -177,6 +177,34 @@ def test_simhash(spark, rows):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(least.values()))
 
 
+def test_near_dedup(spark):
+    """Near copies of 0.8 and more of five-word shingles leave the pipeline's stage, by exact sets, whatever the blocks' size."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    base = [[word() for _ in range(rng.randint(60, 200))] for _ in range(14)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(base)]
+    for k in range(70):
+        w = list(base[k % 7 if k < 40 else 0])
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = word()
+        rows.append((100 + k, " ".join(w)))
+    rows += [(200, "a b c"), (201, "A  b\nc"), (202, "a b d"), (203, ""), (204, None), (13, " ".join(base[1][:30])), (13, " ".join(base[13])), (None, rows[0][1])]
+    found = [set(map(int, near_dedup.shingles((t or "").encode(), 5))) for _, t in rows]
+    assert found[0] == {xxhash.xxh64_intdigest(" ".join(base[0][k : k + 5]).encode(), 42) for k in range(len(base[0]) - 4)}
+    want = components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if found[i] == found[j] or len(found[i] & found[j]) / len(found[i] | found[j]) >= 0.8])
+    least = {}
+    for (d, _), c in zip(rows, want, strict=True):
+        if d is not None:
+            least[c] = min(d, least.get(c, d))
+    assert len(least) < len(rows) - 30
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
+    for out in (stage(spark, df, ""), near_dedup.near_dedup(df, limit=4)):
+        assert sorted(str(r.doc_id) for r in out.collect()) == sorted([*map(str, least.values()), "None"])
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -1,0 +1,119 @@
+"""Near-dedup for the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Seeded minimum hashes, banded, name candidates; their connected components are dealt into blocks, and every pair of a block
+is judged on the exact sets. At a similarity of 0.8 a pair shares no band with a probability of 5e-6 (40 bands of 6).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .blocks import dealt_blocks, in_blocks
+from .common import LOWER, components, mixed, scratch, small_batches, with_row
+
+SEED = 42
+
+
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Sorted distinct XXH64 of the runs of width words (of all words, if they are fewer); no words: none."""
+    w = text.translate(LOWER).split()
+    grams = map(b" ".join, zip(*(w[k:] for k in range(width)), strict=False)) if len(w) > width else [b" ".join(w)] if w else []
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), dtype=np.uint64))
+
+
+def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each band of a set's minimum hashes; an empty set has none."""
+    if not len(found):
+        return np.empty(0, np.int64)
+    times = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
+    least = np.full(bands * rows, np.uint64(2**64 - 1))
+    for lo in range(0, len(found), 2048):
+        np.minimum(least, (found[lo : lo + 2048, None] * times).min(axis=0), out=least)
+    return mixed((mixed(least) * times).reshape(bands, rows).sum(axis=1, dtype=np.uint64)).view(np.int64)
+
+
+def alike(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs with a Jaccard similarity of least or more; a set once reached isn't compared again."""
+    size = np.array([len(s) for s in sets])
+    starts = np.cumsum(size) - size
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    flag, unseen, a, b = np.zeros(len(ids), dtype=bool), np.ones(len(sets), dtype=bool), [], []
+    for first in range(len(sets)):
+        queue = [first] if unseen[first] else []
+        unseen[first] = False
+        while queue:
+            x = queue.pop()
+            if not (unseen & (np.minimum(size, size[x]) / np.maximum(size, size[x]) >= least)).any():
+                continue
+            own = ids[starts[x] : starts[x] + size[x]]
+            flag[own] = True
+            both = np.add.reduceat(flag[ids], starts, dtype=np.int64)
+            flag[own] = False
+            hit = np.flatnonzero(unseen & (both / (size + size[x] - both) >= least)).tolist()
+            unseen[hit] = False
+            queue += hit
+            a += [x] * len(hit)
+            b += hit
+    return a, b
+
+
+def near_dedup(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 40, rows: int = 6, limit: int = 512, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with one row of each group connected by such pairs: that with the smallest doc_id (of several, one of them).
+
+    Equal sets are one node. Rows of one doc_id are judged each by its own text. Texts without words are one group; rows
+    without a doc_id link others and stay.
+    """
+    spark = docs.sparkSession
+    key = next(k for k in (f"_key{n}" for n in range(len(docs.columns) + 1)) if k not in docs.columns)
+    all_ = with_row(docs, key)
+    texts = all_.select(F.col(key).alias("row"), F.col(text).cast("binary").alias("text"))
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def sets_of(column: pa.Array) -> Iterator[np.ndarray]:
+        return (shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", width) for t in column)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(xxhash.xxh64_intdigest(s.tobytes(), SEED), band_keys(s, bands, rows)) for s in sets_of(batch.column(2))]
+            nodes = np.array([n for n, _ in found], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array([k for _, k in found], type=pa.list_(pa.int64()))], ["row", "doc_id", "node", "keys"])
+
+    marked = all_.select(F.col(key).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    marked = scratch(spark, marked.mapInArrow(mark, f"row long, doc_id {kind}, node long, keys array<long>"), "near-marked")
+    entries = marked.select("node", F.posexplode("keys").alias("band", "key"))
+    shared = entries.groupBy("band", "key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    together = components(scratch(spark, entries.join(shared, ["band", "key"]).select(F.col("node").alias("a"), F.col("lo").alias("b")).filter("a <> b").distinct(), "near-candidates"))
+    members = marked.join(together, "node").groupBy("component", "node").agg(F.min("row").alias("row"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets_of(batch.column(2))], type=pa.binary())], ["component", "node", "found"])
+
+    found = texts.join(members, "row").select("component", "node", "text").mapInArrow(sets, "component long, node long, found binary")
+
+    def run(table: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, column = table.column(1).to_numpy(), table.column(2)
+        ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
+        for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True):
+            a, b = alike([np.frombuffer(column[k].as_py(), dtype=np.uint64) for k in range(lo, hi)], least)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][a]), pa.array(node[lo:hi][b])], ["a", "b"])
+
+    links = in_blocks(dealt_blocks(scratch(spark, found, "near-sets"), "component", F.col("node"), limit), "component", run, "a long, b long")
+    linked = components(scratch(spark, links, "near-links"))
+    named = marked.filter("doc_id IS NOT NULL").join(linked, "node", "left").select("row", "doc_id", F.coalesce("component", "node").alias("group"))
+    first = named.groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    gone = named.join(first, "group").filter("struct(doc_id, row) > first").select(F.col("row").alias(key))
+    return all_.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies; rows without a doc_id stay."""
+    small_batches(spark)
+    return near_dedup(docs)
