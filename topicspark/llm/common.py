@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -25,12 +26,18 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master takes a new
+    folder of its machine; on a cluster that is an error, as each executor would write to its own disk."""
     sc = spark.sparkContext
     told = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not told:
         set_dir = sc._jsc.sc().getCheckpointDir()
-        told = set_dir.get() if set_dir.isDefined() else "/tmp/topicspark-checkpoints"
+        if set_dir.isDefined():
+            told = set_dir.get()
+        elif sc.master.startswith("local"):
+            told = tempfile.mkdtemp(prefix="topicspark-")  # one machine: any folder of it is shared
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(told)
     return told
@@ -70,6 +77,21 @@ def with_row(df: DataFrame, name: str) -> DataFrame:
     return scratch(df.sparkSession, df.select("*", F.monotonically_increasing_id().alias(name)), "rows")
 
 
+#: A key that holds more than this share of all rows is hot; so at most HOT keys are.
+HOT = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, how: str) -> DataFrame:
+    """left joined (inner or left) with right's one row a key, of which `count` rows of left have it, or might.
+
+    Keys with more than a HOT-th of all counts, and so at most HOT of them, meet left by a broadcast, the others by a
+    shuffle in which no key is large. left is read twice and right three times: they should be tables or plain scans.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot, rest = F.broadcast(right.filter(F.col(count) * HOT > total)), right.filter(F.col(count) * HOT <= total)
+    return left.join(hot, key).unionByName(left.join(hot, key, "left_anti").join(rest, key, how), allowMissingColumns=True)
+
+
 def in_chunks(df: DataFrame, key: Column, size: Column, chunk_bytes: int) -> tuple[DataFrame, int]:
     """df with an int column `chunk`: rows dealt by a hash of key so that a chunk holds about chunk_bytes of size."""
     total = df.agg(F.sum(size)).first()[0] or 0

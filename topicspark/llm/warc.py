@@ -12,13 +12,20 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, scratch, small_batches, table
+from .common import hot_join, new_folder, scratch, small_batches, table
 
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes of a record's block in one segment, of a chunk of the transfer framing, and of an archive before the next one.
 SEGMENT, FRAME, ARCHIVE = 1 << 15, 1 << 13, 24 << 20
 #: Payloads below this many bytes are never revisits.
 LEAST_REVISIT = 1000
+#: Bytes of an archive that the parser feeds to a member at once: what it looks at beyond a member's end is this much at most.
+FEED = 1 << 12
+
+
+def file_system(folder: str) -> tuple[pa.fs.FileSystem, str]:
+    """Where tasks write archives: a folder of any scheme that pyarrow's file systems know (s3a:// is their s3://)."""
+    return pa.fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1) if folder.startswith("s3a://") else folder)
 
 
 def chunked(payload: bytes) -> bytes:
@@ -91,13 +98,18 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
     that Spark commits are returned, so a lost executor leaves no record twice.
     """
     df = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
-    df = df.withColumn("digest", F.sha1("payload"))
-    last = df.filter(F.length("payload") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("last_id"), F.count("*").alias("n")).filter("n > 1")
-    df = df.join(last.select("digest", "last_id"), "digest", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("last_id"), F.col("last_id")))
+    df = df.withColumn("digest", F.sha1("payload")).select("page_id", "url", "payload", "digest")
+    # digests are grouped without their payloads; only payloads that may be revisits meet them, a hot one by a broadcast
+    long = F.length("payload") >= LEAST_REVISIT
+    last = df.filter(long).groupBy("digest").agg(F.max("page_id").alias("last_id"), F.count("*").alias("n")).filter("n > 1")
+    last = scratch(pages.sparkSession, last, "warc-digests")
+    some = hot_join(df.filter(long), last, "digest", "n", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("last_id"), F.col("last_id")))
+    none = df.filter(~long).withColumn("refers_to", F.lit(None).cast(pages.schema[page_id].dataType))
+    df = some.select(none.columns).unionByName(none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt, n = uuid.uuid4().hex, 0
-        fs, path = pa.fs.FileSystem.from_uri(folder)
+        fs, path = file_system(folder)
         out, names = None, []
         for batch in batches:
             for row in zip(*(batch.column(k) for k in range(5)), strict=True):
@@ -115,7 +127,8 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array(names, type=pa.string())], ["archive"])
 
-    pa.fs.FileSystem.from_uri(folder)[0].create_dir(pa.fs.FileSystem.from_uri(folder)[1])
+    fs, path = file_system(folder)
+    fs.create_dir(path)
     written = df.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "archive string")
     return scratch(pages.sparkSession, written, "warc-archives")
 
@@ -124,11 +137,17 @@ RECORD = "record_id string, type string, origin string, segment int, total long,
 
 
 def parsed(data: bytes) -> Iterator[dict]:
-    """The records of an archive, member by member."""
-    while data:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(data) + z.flush()
-        data = z.unused_data
+    """The records of an archive, member by member; no member looks further than FEED bytes past its end."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("an archive breaks off")
+            fed = view[at : at + FEED]
+            out.append(z.decompress(fed))
+            at += len(fed) - len(z.unused_data)
+        raw = b"".join(out)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -169,7 +188,7 @@ def read_warc(spark: SparkSession, folder: str, archives: DataFrame | None = Non
                     yield pa.RecordBatch.from_pylist(found, schema=fields)
 
     fields = pa.schema([(k, {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for k, t in (x.split() for x in RECORD.split(", "))])
-    rows = files.select("content").mapInArrow(parse, RECORD)
+    rows = scratch(spark, files.select("content").mapInArrow(parse, RECORD), "warc-records")  # each archive is parsed once
     whole = rows.filter("segment IS NULL").select("page_id", "url", "type", "digest", "refers_to", "block")
     pieces = rows.filter("segment IS NOT NULL").withColumn("whole_id", F.coalesce("origin", "record_id"))
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
