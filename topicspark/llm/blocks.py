@@ -15,14 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def dealt_blocks(rows: DataFrame, key: str, spread: Column, limit: int) -> DataFrame:
+def dealt_blocks(rows: DataFrame, key: str, spread: Column, limit: int, few: bool = False) -> DataFrame:
     """rows of the keys that hold two rows or more, with key, part, i and j: once for each block (i, j) of their key.
 
     Block (i, i) holds part i; block (i, j), i < j, holds parts i and j, whose pairs across count.
-    spread: what deals the rows of a key evenly (a row's identity).
+    spread: what deals the rows of a key evenly (a row's identity). few: the keys are of a bounded number, and broadcast.
     """
     sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1")
-    df = rows.join(sizes, key).withColumn("_parts", F.ceil(F.col("_n") / F.lit(limit)).cast("int"))
+    df = rows.join(F.broadcast(sizes) if few else sizes, key).withColumn("_parts", F.ceil(F.col("_n") / F.lit(limit)).cast("int"))
     df = df.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), spread), F.col("_parts")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda o: F.struct(F.least(o, "part").alias("i"), F.greatest(o, "part").alias("j")))
     return df.withColumn("_b", F.explode(others)).select(*rows.columns, "part", "_b.i", "_b.j")
