@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -298,6 +299,29 @@ def test_warc(spark, tmp_path):
     assert warc.dechunked(warc.chunked(b"z" * 20000)) == b"z" * 20000
     with pytest.raises(ValueError):
         warc.dechunked(b"5\r\nab")
+    one = warc.member([("WARC-Type", "response"), ("WARC-Record-ID", "<1>")], b"x" * 90000)
+    assert [r["block"] for r in warc.parsed(one * 3)] == [b"x" * 90000] * 3
+    with pytest.raises(ValueError):
+        list(warc.parsed(one + one[:-3]))
+
+
+def test_warc_edges(spark, tmp_path):
+    """A hot payload and an empty table, through the query; twice as many records take about twice as long to parse."""
+    pages = [(k, "u", "hot " * 400) for k in range(3000)] + [(None, "u", "hot " * 400), (4000, None, None), (4001, "u", "é" * 600)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in warc.op5_warc(spark, str(tmp_path)).collect()}
+    assert len(got) == len(pages) and all((got[k].record_type, got[k].refers_to, got[k].payload_bytes) == ("revisit", 2999, 1600) for k in range(2999))
+    assert got[2999].record_type == got[None].record_type == "response" and got[4000].payload_digest == hashlib.sha1(b"").hexdigest()
+    assert (got[4001].payload_bytes, got[4001].payload_digest) == (1200, hashlib.sha1("é".encode() * 600).hexdigest())
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert warc.op5_warc(spark, f"{tmp_path}/none").count() == 0
+    seconds = []
+    for n in (4000, 8000):
+        archive = b"".join(warc.member([("WARC-Type", "response"), ("WARC-Record-ID", f"<{k}>")], b"line %d " % k * 150) for k in range(n))
+        began = time.process_time()
+        assert sum(1 for _ in warc.parsed(archive)) == n
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 3.5 * seconds[0]
 
 
 def test_ctw(spark, monkeypatch, rows):
@@ -419,16 +443,42 @@ def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((12, 16))
     x = np.concatenate([base, base + 0.25 * rng.standard_normal((12, 16)), np.repeat(base[:1], 30, axis=0) + 0.1 * rng.standard_normal((30, 16)), base[:2]])
-    rows = [(k, [float(v) for v in row]) for k, row in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, None] * 8), (904, []), (905, [1.0] * 3)]
-    x = np.array([r[1] for r in rows[: len(x)]], dtype=np.float32).astype(np.float64)
+    far = rng.standard_normal((60, 16)) * np.append([9.0] * 3, [1.0] * 13)  # cut into cells
+    turned = np.concatenate([far, far + 0.3 * rng.standard_normal((60, 16))]) @ embeddings.rotation(16).T
+    x = np.concatenate([x, turned])
+    x[40] = x[41] * 2
+    rows = [(k, [float(v) for v in row]) for k, row in enumerate(x)]
+    rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, None] * 8), (904, []), (905, [1.0] * 3), (None, None)]
+    rows += [(906, [1e200, 1e199]), (907, [1e200, 1e199]), (908, [1e-200, 0.0]), (909, [2e-200, 0.0]), (910, [0.0, -1.0]), (910, [0.0, -3.0]), (None, [0.01, -3.0])]
     u = x / np.sqrt((x * x).sum(axis=1))[:, None]
     near = (u @ u.T >= 0.9) & ~np.eye(len(x), dtype=bool)
     comp = components(len(x), list(zip(*np.nonzero(near), strict=True)))
-    for limit in (8, 20000):
-        got = {r.vec_id: r for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), limit=limit).collect()}
+    for limit, blocks in ((8, 4), (20000, None), (30, 3)):
+        out = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), limit=limit, blocks=blocks).collect()
+        got = {r.vec_id: r for r in out}
+        assert len(out) == len(rows)
         for k in range(len(x)):
             assert (got[k].n_links, got[k].component_id, got[k].kept) == (int(near[k].sum()), comp[k], comp[k] == k)
         assert all((got[k].n_links, got[k].component_id) == (0, k) for k in range(900, 906))
+        assert sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in out if r.vec_id is None or r.vec_id > 905) == sorted(
+            [(str(k), n, c, k == c) for k, n, c in ((906, 3, 906), (907, 3, 906), (908, 3, 906), (909, 3, 906), (910, 2, 910), (910, 2, 910))] + [("None", 2, 910, False), ("None", 0, None, True)]
+        )
+    assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_embeddings_wide(spark):
+    """64 coordinates, several parts, a hot cluster, copies and planted links, over cut and uncut blocks."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((400, 64))
+    hot = base[:1] + 0.25 * rng.standard_normal((300, 64))
+    x = np.concatenate([base, base[:200] + 0.4 * rng.standard_normal((200, 64)), hot, np.repeat(base[7:8], 90, axis=0)]).astype(np.float32).astype(np.float64)
+    u = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    near = (u @ u.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    assert near.sum() > 50_000
+    comp = components(len(x), list(zip(*np.nonzero(near), strict=True)))
+    df = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<float>")
+    out = embeddings.near_vectors(df, limit=150).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out) == [(k, int(near[k].sum()), comp[k], comp[k] == k) for k in range(len(x))]
 
 
 def test_crf(spark):
