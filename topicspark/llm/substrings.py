@@ -3,30 +3,35 @@
 Suffixes need an order only through their first `length` bytes: suffixes that agree so far are exactly the repeated
 windows. The passes go from coarse to fine, and a suffix that stands alone in its group leaves:
 1. Windows are grouped by their minimizer, the least hash of the strings of `anchor` bytes within; equal windows have equal
-   minimizers. Only minimizers (about one in twelve bytes) are sent; those found in one document only leave.
-2. What is left is grouped by all `length` bytes (a 64-bit hash, dealt by bits of a second one), with the smallest document.
+   minimizers, so this pass loses none. Only minimizers (about one in twelve bytes) are sent, as 31 bits of a hash; those
+   found in one document only leave.
+2. Neighbouring windows of one minimizer are sent as one run of text, so that a window costs about six bytes. Within a
+   minimizer, suffixes are ordered by their own bytes, most significant first, eight a pass; after each pass groups of one
+   document leave. What is left after byte `length` is equal, byte by byte, and knows its smallest document.
 The corpus is dealt into chunks of whole documents; a chunk sends sorted arrays, one a radix bucket, and gets back which
-of its own keys go on. Pass 1 only has to lose no pair, so it sends 31 bits of a hash; pass 2 sends whole hashes by
-document and gets back a bit for each. Exact copies of a document are set aside first by a grouping of text digests.
+minimizers go on, then a bit for each window that it sent. A chunk sends equal runs once, with their smallest document, so
+that a hot passage costs a bucket no more than a run a chunk; a message holds an entry at least, so messages are never more
+than entries. Exact copies of a document are set aside first by a grouping of text digests.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import INVERSE, in_chunks, mixed, powers, prefix_sums, small_batches, table, with_row
+from .common import INVERSE, hot_join, in_chunks, mixed, powers, prefix_sums, scratch, small_batches, span_hash, table, with_row
 
 LAST = 2**63 - 1
-BASE2 = 0xC2B2AE3D27D4EB4F
-INVERSE2 = pow(BASE2, -1, 2**64)
 #: Bytes of text in a chunk, in a part of it handled at once, and sent to one radix bucket.
 CHUNK, PART, BUCKET = 8 << 20, 1 << 19, 24 << 20
+#: Windows that a bucket orders at once (more if one minimizer has more).
+WINDOWS = 1 << 20
 SENT = "bucket int, chunk int, data binary"
 #: kind: 0 row keys of exact copies, -1 - bucket minimizers that go on, 1 + bucket a bit for each window sent.
 REPLY = "chunk int, kind int, data binary"
@@ -75,11 +80,15 @@ class Part:
         best = slide(stays, self.length - self.anchor + 1, np.minimum)[: self.n]
         return np.flatnonzero(self.whole & (best == self.least) & (best < np.uint64(2**64 - 1)))
 
-    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes of the windows at those places; the second one is only for dealing."""
-        h = mixed((self.sums[at + self.length] - self.sums[at]) * powers(INVERSE, len(self.sums))[at])
-        other = prefix_sums(self.buf, BASE2)
-        return h, mixed((other[at + self.length] - other[at]) * powers(INVERSE2, len(self.sums))[at])
+    def runs(self, left: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+        """Runs of neighbouring open windows with one minimizer: place, windows, document, bucketed minimizer, a hash."""
+        at = self.open_windows(left, buckets)
+        least, doc = self.least[at], self.doc[at]
+        new = np.append(True, (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]))[: len(at)]
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(at)))
+        start = at[first]
+        return start, size, doc[first], bucketed(least[first], buckets), span_hash(self.sums, start, start + size + (self.length - 1))
 
 
 def bucketed(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -183,79 +192,183 @@ def shared_minimizers(rows: pa.Table) -> pa.Table:
     return answered({c: (v >> 1)[isin(v >> 1, left)].tobytes() for c, v in each.items()}, -1 - rows.column("bucket")[0].as_py())
 
 
-def distinct_windows(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, hash, smallest document) of a chunk's windows, each once, by bucket, document and hash."""
-    none = np.empty(0, np.uint64)
-    h, other, d = (np.concatenate([none.astype(kind), *x]) for kind, x in zip((np.uint64, np.uint64, np.int64), zip(*found, strict=True) if found else ((), (), ()), strict=True))
-    bucket = (other % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort([d, h])
-    h, d, bucket = h[order], d[order], bucket[order]
-    first = np.append(True, h[1:] != h[:-1]) if len(h) else np.empty(0, dtype=bool)
-    h, d, bucket = h[first], d[first], bucket[first]
-    order = np.lexsort([h, d, bucket])
-    return bucket[order], h[order], d[order]
-
-
-def chunk_windows(rows: pa.Table, found: dict[int, bytes], length: int, anchor: int, buckets: int):
-    """(documents' places in rows, sizes, documents, places, hashes, other hashes) of each part's open windows."""
-    left = left_of(found)
+class Runs:
+    """The distinct runs of a chunk, each with its smallest document."""
+
+    def __init__(self, length: int):
+        self.length, self.number = length, {}
+        self.doc: list[int] = []
+        self.columns: tuple[list, list, list] = ([], [], [])
+
+    def add(self, part: Part, ids: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray, key: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The numbers of a part's runs; ids: the document of each text of the part."""
+        raw, number, least, new = part.buf.tobytes(), self.number, self.doc, []
+        out = np.empty(len(start), dtype=np.int64)
+        for k, (lo, hi, d) in enumerate(zip(start.tolist(), (start + size + (self.length - 1)).tolist(), ids[doc].tolist(), strict=True)):
+            text = raw[lo:hi]
+            n = number.setdefault(text, len(least))
+            if n == len(least):
+                least.append(d)
+                new.append(k)
+            elif d < least[n]:
+                least[n] = d
+            out[k] = n
+        for column, v in zip(self.columns, (size, key, h), strict=True):
+            column.append(v[new])
+        return out
+
+    def ordered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """(order, doc, size, key, texts): order sorts the runs by bucket, document, hash and text, whatever order they came in."""
+        size, key, h = (np.concatenate([np.empty(0, kind), *v]) for kind, v in zip((np.int64, np.uint64, np.uint64), self.columns, strict=True))
+        doc, texts, bucket = np.array(self.doc, dtype=np.int64), list(self.number), key >> np.uint64(31)
+        order = np.lexsort([h, doc, bucket])
+        tie = np.flatnonzero((h[order[1:]] == h[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]]) & (bucket[order[1:]] == bucket[order[:-1]]))
+        if len(tie):
+            order = np.array(sorted(order.tolist(), key=lambda k: (int(bucket[k]), int(doc[k]), int(h[k]), texts[k])))
+        return order, doc, size, key, texts
+
+
+def chunk_runs(rows: pa.Table, found: dict[int, bytes], length: int, anchor: int, buckets: int, runs: Runs):
+    """(documents' places in rows, sizes, documents, places, windows, run numbers) of each part; fills runs."""
+    left, ids = left_of(found), ids_of(rows)
     for places, part in parts(rows, copies_of(found), length, anchor) if len(rows) and len(left) else ():
-        at = part.open_windows(left, buckets)
-        h, other = part.windows(at)
-        yield places, part.sizes, part.doc[at], at, h, other
+        start, size, doc, key, h = part.runs(left, buckets)
+        yield places, part.sizes, doc, start, size, runs.add(part, ids[places], start, size, doc, key, h)
 
 
-def sent_windows(length: int, anchor: int, buckets: int):
+def sent_runs(length: int, anchor: int, buckets: int):
     def run(rows: pa.Table, right: pa.Table) -> pa.Table:
-        found, ids = [], ids_of(rows)
-        for places, _, doc, _, h, other in chunk_windows(rows, replies(right), length, anchor, buckets):
-            k, first = np.unique(h, return_index=True)
-            least = np.full(len(k), LAST)
-            np.minimum.at(least, np.searchsorted(k, h), ids[places][doc])
-            found.append((k, other[first], least))
-        bucket, h, d = distinct_windows(found, buckets)
+        runs = Runs(length)
+        for _ in chunk_runs(rows, replies(right), length, anchor, buckets, runs):
+            pass
+        order, doc, size, key, texts = runs.ordered()
+        doc, size, key = doc[order], size[order].astype(np.uint32), key[order]
 
         def data(a: int, b: int) -> bytes:
-            """How many documents, their ids and how many hashes each has, then the hashes."""
-            at = np.flatnonzero(np.append(True, d[a + 1 : b] != d[a : b - 1]))
-            counts = np.diff(np.append(at, b - a))
-            return np.concatenate([[len(at)], d[a:b][at], counts]).astype(np.int64).tobytes() + h[a:b].tobytes()
+            """How many documents and runs; the documents, how many runs each has; the runs' minimizers, windows and texts."""
+            at = np.flatnonzero(np.append(True, doc[a + 1 : b] != doc[a : b - 1]))
+            head = np.concatenate([[len(at), b - a], doc[a:b][at], np.diff(np.append(at, b - a))]).astype(np.int64)
+            return b"".join([head.tobytes(), (key[a:b] & np.uint64(2**31 - 1)).astype(np.uint32).tobytes(), size[a:b].tobytes(), *(texts[k] for k in order[a:b].tolist())])
 
-        return sent(rows, bucket, data)
+        return sent(rows, (key >> np.uint64(31)).astype(np.int64), data)
 
     return run
 
 
-def earlier_windows(rows: pa.Table) -> pa.Table:
-    """Which windows of a bucket stand in a document smaller than any that a chunk has them in: a bit for each it sent."""
-    each = {}
-    for c, d in zip(rows.column("chunk"), rows.column("data"), strict=True):
-        v = np.frombuffer(d.as_py(), dtype=np.int64)
-        n = int(v[0])
-        each[c.as_py()] = v[2 * n + 1 :].view(np.uint64), np.repeat(v[1 : n + 1], v[n + 1 : 2 * n + 1])
-    keys, docs, _ = smallest(np.concatenate([k for k, _ in each.values()]), np.concatenate([d for _, d in each.values()]))
-    return answered({c: np.packbits(docs[np.searchsorted(keys, k)] < d).tobytes() for c, (k, d) in each.items()}, 1 + rows.column("bucket")[0].as_py())
+def repeated(buf: np.ndarray, key: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """Which of the windows at those places of buf also stand in a smaller document; key: their minimizers, sorted.
+
+    One pass for every eight bytes: the windows of each group are ordered by their next bytes, equal ones make the new
+    groups, and groups of a single document leave.
+    """
+    digits = np.lib.stride_tricks.sliding_window_view(buf, 8)
+    out, rows, group = np.zeros(len(at), dtype=bool), np.arange(len(at)), key.astype(np.uint64)
+    for depth in range(0, length, 8):
+        digit = np.ascontiguousarray(digits[at[rows] + depth]).view(">u8")[:, 0].astype(np.uint64)
+        if depth + 8 > length:
+            digit >>= np.uint64(8 * (depth + 8 - length))
+        order = np.lexsort([digit, group])
+        rows, group, digit = rows[order], group[order], digit[order]
+        first = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])))
+        d = doc[rows]
+        several = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
+        sizes = np.diff(np.append(first, len(rows)))
+        stay = np.repeat(several, sizes)
+        rows, group = rows[stay], np.repeat(np.arange(several.sum(), dtype=np.uint64), sizes[several])
+        if not len(rows):
+            return out
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    least = np.repeat(np.minimum.reduceat(doc[rows], first), np.diff(np.append(first, len(rows))))
+    out[rows[doc[rows] > least]] = True
+    return out
+
+
+def earlier_windows(length: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """Which windows of a bucket stand in a document smaller than any that a chunk has their run in: a bit for each it sent."""
+        number: dict[bytes, int] = {}
+        keys: list[int] = []
+        sizes: list[int] = []
+        each = {}
+        for c, data in zip(rows.column("chunk").to_pylist(), rows.column("data"), strict=True):
+            raw = data.as_py()
+            docs, n = np.frombuffer(raw, np.int64, 2).tolist()
+            named, counts = np.frombuffer(raw, np.int64, 2 * docs, 16).reshape(2, -1)
+            at = 16 + 16 * docs
+            key, size = np.frombuffer(raw, np.uint32, 2 * n, at).reshape(2, -1)
+            ends = at + 8 * n + np.cumsum(size.astype(np.int64) + (length - 1))
+            mine = np.empty(n, dtype=np.int64)
+            lo = at + 8 * n
+            for k, (hi, m, s) in enumerate(zip(ends.tolist(), key.tolist(), size.tolist(), strict=True)):
+                g = number.setdefault(raw[lo:hi], len(keys))
+                if g == len(keys):
+                    keys.append(m)
+                    sizes.append(s)
+                mine[k] = g
+                lo = hi
+            each[c] = mine, np.repeat(named, counts)
+        key, size = np.array(keys, dtype=np.int64), np.array(sizes, dtype=np.int64)
+        least = np.full(len(key), LAST)
+        for mine, doc in each.values():
+            np.minimum.at(least, mine, doc)
+        # windows of a minimizer whose runs all have the same smallest document are not repeats of a smaller one
+        low, high = np.full(len(key), LAST), np.full(len(key), -(2**63))
+        _, same = np.unique(key, return_inverse=True)
+        np.minimum.at(low, same, least)
+        np.maximum.at(high, same, least)
+        open_ = np.flatnonzero(low[same] < high[same])
+        open_ = open_[np.argsort(key[open_], kind="stable")]
+        bits = np.zeros(int(size.sum()), dtype=bool)
+        start = np.cumsum(size) - size
+        buf = np.frombuffer(b"".join(number) + b"\0" * 8, dtype=np.uint8)
+        place = np.cumsum(size + (length - 1)) - (size + (length - 1))
+        lo = 0
+        total = np.cumsum(size[open_])
+        while lo < len(open_):
+            hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + WINDOWS, side="right"))
+            hi = max(hi, lo + 1)
+            while hi < len(open_) and key[open_[hi]] == key[open_[hi - 1]]:  # whole minimizers
+                hi += 1
+            g = open_[lo:hi]
+            n = size[g]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            bits[np.repeat(start[g], n) + step] = repeated(buf, np.repeat(key[g], n), np.repeat(place[g], n) + step, np.repeat(least[g], n), length)
+            lo = hi
+        told = {}
+        for c, (mine, doc) in each.items():
+            n = size[mine]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            told[c] = np.packbits(bits[np.repeat(start[mine], n) + step] | np.repeat(least[mine] < doc, n)).tobytes()
+        return answered(told, 1 + rows.column("bucket")[0].as_py())
+
+    return run
 
 
 def removed(kind: str, length: int, anchor: int, buckets: int):
     def run(rows: pa.Table, right: pa.Table) -> pa.Table:
         told = replies(right)
-        copies, ids = copies_of(told), ids_of(rows)
-        kept_parts = list(chunk_windows(rows, told, length, anchor, buckets))
-        bucket, keys, docs = distinct_windows([(h, other, ids[places][doc]) for places, _, doc, _, h, other in kept_parts], buckets)
-        earlier = np.zeros(len(keys), dtype=bool)
-        for b in np.unique(bucket):
-            mine = np.flatnonzero(bucket == b)
-            earlier[mine] = np.unpackbits(np.frombuffer(told[1 + int(b)], dtype=np.uint8), count=len(mine)).astype(bool)
-        order = np.argsort(keys)
-        keys, docs, earlier = keys[order], docs[order], earlier[order]
+        copies, ids, runs = copies_of(told), ids_of(rows), Runs(length)
+        kept_parts = list(chunk_runs(rows, told, length, anchor, buckets, runs))
+        order, least, size, key, _ = runs.ordered()
+        bucket = (key[order] >> np.uint64(31)).astype(np.int64)
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+        first, flags, at = np.zeros(len(order), dtype=np.int64), [np.empty(0, bool)], 0
+        for lo, hi in pairwise(np.append(starts, len(bucket))):
+            n = size[order[lo:hi]]
+            first[order[lo:hi]] = at + np.cumsum(n) - n
+            flags.append(np.unpackbits(np.frombuffer(told[1 + int(bucket[lo])], dtype=np.uint8), count=int(n.sum())).astype(bool))
+            at += int(n.sum())
+        flags = np.concatenate(flags)
         cover: dict[int, np.ndarray] = {}
-        for places, sizes, doc, at, h, _ in kept_parts:
-            place = np.searchsorted(keys, h)
-            gone = earlier[place] | (docs[place] < ids[places][doc])
+        for places, sizes, doc, start, n, number in kept_parts:
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            gone = flags[np.repeat(first[number], n) + step] | np.repeat(least[number] < ids[places][doc], n)
+            window = (np.repeat(start, n) + step)[gone]
+            doc = np.repeat(doc, n)[gone]
             starts = np.cumsum(sizes) - sizes
-            for k in np.unique(doc[gone]):
-                cover[int(places[k])] = at[gone & (doc == k)] - starts[k]
+            edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])[: len(doc)])
+            for lo, hi in pairwise(np.append(edges, len(doc))):
+                cover[int(places[doc[lo]])] = window[lo:hi] - starts[doc[lo]]
         out: dict[str, list] = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
         for at, (doc, row, text) in enumerate(zip(ids.tolist(), rows.column("row").to_pylist(), rows.column("text"), strict=True) if len(rows) else ()):
             t = text.as_buffer().to_pybytes()
@@ -292,16 +405,16 @@ def substring_dedup(docs: DataFrame, length: int = 50, anchor: int = 28, text: s
     rows = rows.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), "row", F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     rows, n = in_chunks(rows, F.col("row"), F.length("text") + 64, CHUNK)
     buckets = max(1, -(-n * CHUNK // BUCKET))
-    named = rows.select("doc_id", "row", "chunk", F.md5("text").alias("digest"), F.length("text").alias("n"))
-    first = named.groupBy("digest", "n").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("k")).filter("k > 1")
-    copies = named.join(first, ["digest", "n"]).filter("doc_id > first_id")
+    named = scratch(docs.sparkSession, rows.select("doc_id", "row", "chunk", F.md5("text").alias("digest")), "substring-digests")
+    first = named.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("k")).filter("k > 1")
+    copies = hot_join(named, scratch(docs.sparkSession, first, "substring-copies"), "digest", "k", "inner").filter("doc_id > first_id")
     copies = copies.groupBy("chunk").agg(F.collect_set("row").alias("rows")).mapInArrow(packed, REPLY)
     rows = rows.repartition(n, "chunk")
     grouped = rows.groupBy("chunk")
     first_pass = grouped.cogroup(copies.groupBy("chunk")).applyInArrow(sent_minimizers(length, anchor, buckets), SENT)
     left = copies.unionByName(first_pass.groupBy("bucket").applyInArrow(shared_minimizers, REPLY))
-    second = grouped.cogroup(left.groupBy("chunk")).applyInArrow(sent_windows(length, anchor, buckets), SENT)
-    left = left.unionByName(second.groupBy("bucket").applyInArrow(earlier_windows, REPLY))
+    second = grouped.cogroup(left.groupBy("chunk")).applyInArrow(sent_runs(length, anchor, buckets), SENT)
+    left = left.unionByName(second.groupBy("bucket").applyInArrow(earlier_windows(length), REPLY))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if digest else "binary")
     found = grouped.cogroup(left.groupBy("chunk")).applyInArrow(removed("digest" if digest else "bytes", length, anchor, buckets), out)
     return found.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
