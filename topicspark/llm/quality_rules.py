@@ -17,27 +17,22 @@ SYMBOLS = "#*$%&|<>"
 
 
 def joined(grams: str, width: int) -> Column:
-    """The hashes of grams twice as long: each with the one `width` places on, null at the end."""
+    """The hashes of grams twice as long: each with the one `width` places on, by itself at the end."""
     return F.transform(grams, lambda h, i: F.xxhash64(h, F.get(F.col(grams), i + F.lit(width))))
 
 
 def bucket_counts(docs: DataFrame, text: str, trusted: str, orders: Sequence[int], buckets: int) -> DataFrame:
     """(bucket, raw, target): how many word n-grams of all texts, and of those with a true `trusted`, fall in each bucket."""
-    hashed = docs.select(F.col(trusted).alias("t"), F.explode(words(F.col(text))).alias("w")) if tuple(orders) == (1,) else None
-    if hashed is not None:
-        grams = hashed.select("t", F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int").alias("bucket"))
-    else:
-        df = docs.select(F.col(trusted).alias("t"), F.transform(words(F.col(text)), lambda x: F.xxhash64(x)).alias("h"))
-        grams = df.select("t", F.explode(ngrams("h", orders)).alias("g")).select("t", F.pmod("g", F.lit(buckets)).cast("int").alias("bucket"))
+    df = docs.select(F.col(trusted).alias("t"), F.transform(words(F.col(text)), lambda x: F.xxhash64(x)).alias("h"))
+    grams = df.select("t", F.explode(ngrams("h", orders)).alias("g")).select("t", F.pmod("g", F.lit(buckets)).cast("int").alias("bucket"))
     return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("t").alias("target"))
 
 
 def ngrams(hashes: str, orders: Sequence[int]) -> Column:
     """The hash of each n-gram: of one word its own, of two xxhash64 of both words' hashes."""
-    if not set(orders) <= {1, 2}:
+    if not set(orders) <= {1, 2} or not orders:
         raise ValueError("orders are 1 and 2")
-    pairs = F.slice(joined(hashes, 1), 1, F.greatest(F.size(hashes) - 1, F.lit(0)))
-    parts = [F.col(hashes) if n == 1 else pairs for n in orders]
+    parts = [F.col(hashes) if n == 1 else F.slice(joined(hashes, 1), 1, F.greatest(F.size(hashes) - 1, F.lit(0))) for n in orders]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
@@ -58,11 +53,11 @@ def ratio_weights(counts: DataFrame, buckets: int, alpha: float) -> DataFrame:
 
 
 def text_statistics(docs: DataFrame, text: str, window: int = 8) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) of the whole text, and _h.
+    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) of the whole text, _h and _h2.
 
     n_repeat_words: words in a window of `window` words (a power of two) found twice or more in the text. A window's
     hash is built by doubling, log2(window) hashes a word; only texts with an equal pair of windows go on to sort
-    them. _h: xxhash64 of each word. A null text counts as an empty one.
+    them. _h: xxhash64 of each word, _h2: of each with the next, at the end of it alone. A null text counts as an empty one.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     bare = t
@@ -81,10 +76,10 @@ def text_statistics(docs: DataFrame, text: str, window: int = 8) -> DataFrame:
     width, last = 1, "_h"
     while width < window:
         name = f"_h{2 * width}"
-        df = df.withColumn(name, joined(last, width)).drop(*([last] if last != "_h" else []))
+        df = df.withColumn(name, joined(last, width)).drop(*([last] if width > 2 else []))
         last, width = name, 2 * width
     windows = F.slice(last, 1, F.greatest(F.size("_h") - (window - 1), F.lit(0)))
-    df = df.withColumn("_w", windows).drop(last)
+    df = df.withColumn("_w", windows).drop(*([last] if width > 2 else []))
     placed = F.sort_array(F.transform("_w", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     df = df.withColumn("_p", F.when(F.size(F.array_distinct("_w")) < F.size("_w"), placed)).drop("_w")
     again = F.filter("_p", lambda x, i: (F.get(F.col("_p"), i + 1)["h"] == x["h"]) | ((i > 0) & (F.get(F.col("_p"), i - 1)["h"] == x["h"])))
@@ -98,10 +93,10 @@ def quality_rules(
     docs: DataFrame,
     trusted: str = "trusted",
     text: str = "text",
-    orders: Sequence[int] = (1,),
+    orders: Sequence[int] = (1, 2),
     buckets: int = 1 << 16,
     alpha: float = 5.0,
-    least_ratio: float = -0.25,
+    least_ratio: float = -0.2,
     least_words: int = 20,
     most_repeated_pct: int = 30,
 ) -> DataFrame:
@@ -117,21 +112,30 @@ def quality_rules(
     """
     weights = ratio_weights(bucket_counts(docs, text, trusted, orders, buckets), buckets, alpha).scalar()
     out = text_statistics(docs, text).withColumn("_m", weights)
-    if tuple(orders) != (1,):
-        out = out.withColumn("_h", ngrams("_h", orders))
-    total = F.aggregate("_h", F.lit(0.0), lambda s, h: s + F.get("_m", F.pmod(h, F.lit(buckets)).cast("int")))
-    out = out.withColumn("ratio", F.when(F.size("_h") > 0, total / F.size("_h")).otherwise(F.lit(0.0))).drop("_h", "_m")
+    # a word's weight and its pair's are summed in one go; the last word has no pair
+    look = lambda h: F.get("_m", F.pmod(h, F.lit(buckets)).cast("int"))
+    each = {(1,): lambda h, _: look(h), (2,): lambda _, g: F.coalesce(look(g), F.lit(0.0)), (1, 2): lambda h, g: look(h) + F.coalesce(look(g), F.lit(0.0))}[tuple(sorted(orders))]
+    n = sum((F.greatest(F.col("n_words") - (k - 1), F.lit(0)) for k in orders), start=F.lit(0))
+    total = F.aggregate(F.zip_with("_h", F.slice("_h2", 1, F.greatest(F.size("_h2") - 1, F.lit(0))), each), F.lit(0.0), lambda s, x: s + x)
+    out = out.withColumn("ratio", F.when(n > 0, total / n).otherwise(F.lit(0.0))).drop("_h", "_h2", "_m")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated_pct * F.col("n_words"))
-    # the row number, never negative, keeps a filter on the verdict above the counts: pushed below them, it would repeat
+    # the row number, never negative, keeps filters on the verdicts above the counts: pushed below them, they would repeat
     # every window's hashes inside the others
     here = F.monotonically_increasing_id() >= 0
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("ratio") >= least_ratio) & here)
+    out = out.withColumn("base_failed", failed & here)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= least_ratio) & here)
 
 
-def with_trusted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with `trusted`: whether `labels` marks the document as of good quality."""
-    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    return docs.drop("trusted").join(good.hint("shuffle_hash"), "doc_id", "left")
+#: Most ids of trusted documents that are broadcast (8 bytes each); more of them meet the texts by a shuffle.
+MOST_BROADCAST = 4_000_000
+
+
+def with_trusted(spark: SparkSession, docs: DataFrame, sf_dir: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """docs with `trusted`: whether `labels` marks the document as of good quality. The ids are counted first: texts are
+    not shuffled for a flag as long as most_broadcast ids hold them."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    good = F.broadcast(good) if good.count() <= most_broadcast else good.hint("shuffle_hash")
+    return docs.drop("trusted").join(good.withColumn("trusted", F.lit(True)), "doc_id", "left")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
