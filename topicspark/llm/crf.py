@@ -65,15 +65,16 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return x, size, n
 
 
-def chains(x: np.ndarray, n: np.ndarray, docs: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(docs, lines, 3 * FEATURES + 1) of some texts, padded, each line with its neighbours and a one; and the mask."""
-    starts = np.cumsum(n) - n
-    width = int(n[docs].max()) if most is None else min(most, int(n[docs].max()))
-    f = np.zeros((len(docs), width + 2, FEATURES), dtype=np.float32)
-    mask = np.arange(width) < n[docs][:, None]
-    rows, cols = np.nonzero(mask)
-    f[rows, cols + 1] = x[starts[docs[rows]] + cols]
-    one = np.ones((len(docs), width, 1), dtype=np.float32)
+def chains(x: np.ndarray, first: np.ndarray, last: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(chains, lines, 3 * FEATURES + 1), padded: `size` lines from line `start` on, each with its neighbours in its text
+    (lines first to before last of x) and a one; and the mask."""
+    width = int(size.max())
+    f = np.zeros((len(start), width + 2, FEATURES), dtype=np.float32)
+    line = start[:, None] + np.arange(-1, width + 1)
+    rows, cols = np.nonzero((line >= first[:, None]) & (line < last[:, None]) & (np.arange(width + 2) < size[:, None] + 2))
+    f[rows, cols] = x[line[rows, cols]]
+    mask = np.arange(width) < size[:, None]
+    one = np.ones((len(start), width, 1), dtype=np.float32)
     return np.concatenate([f[:, :-2], f[:, 1:-1], f[:, 2:], one], axis=2), mask
 
 
@@ -103,35 +104,41 @@ def forward_backward(good: np.ndarray, mask: np.ndarray, steps: np.ndarray) -> t
     return marginal.T, pairs
 
 
-def fit(x: np.ndarray, n: np.ndarray, labels: np.ndarray, epochs: int = 30, batch: int = 256, most: int = 48, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def fit(x: np.ndarray, n: np.ndarray, labels: np.ndarray, updates: int = 720, batch: int = 256, window: int = 64, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and label-pair scores by Adam on the conditional log-likelihood; every line has its document's label.
 
-    Documents count by 1 / their lines, so that long ones don't outweigh others; the first `most` lines are used.
+    A text is learnt in windows of at most `window` lines, all of its lines in one of them, each line with its true
+    neighbours. Lines count by 1 / their text's lines, so that long texts don't outweigh others. The number of updates
+    is fixed; each sees `batch` windows, dealt from seeded permutations.
     """
     rng = np.random.default_rng(seed)
     w, steps = np.zeros(3 * FEATURES + 1), np.zeros((2, 2))
     params = [w, steps]
-    first, second, k = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    epochs = max(epochs, -(-300 * batch // max(len(n), 1)))  # few documents: at least about 300 steps
-    for _ in range(min(epochs, 300) if len(n) else 0):
-        order = rng.permutation(len(n))
-        for lo in range(0, len(order), batch):
-            docs = order[lo : lo + batch]
-            f, mask = chains(x, n, docs, most)
-            y = labels[docs][:, None] * mask
-            marginal, pairs = forward_backward(f @ w, mask, steps)
-            weigh = mask / mask.sum(axis=1, keepdims=True)
-            gw = np.einsum("bt,btf->f", (y - marginal) * weigh, f) / len(docs) - decay * w
-            both = mask[:, 1:] & mask[:, :-1]
-            ones, lines = (both.sum(axis=1) * labels[docs]).sum(), max(1, both.sum())
-            gs = (np.diag([both.sum() - ones, ones]) - pairs) / lines - decay * steps
-            k += 1
-            for p, g, m, v in zip(params, (gw, gs), first, second, strict=True):
-                m *= 0.9
-                m += 0.1 * g
-                v *= 0.99
-                v += 0.01 * g * g
-                p += rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+    mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    ends = np.cumsum(n)
+    pieces = -(-n // window)
+    doc = np.repeat(np.arange(len(n)), pieces)
+    start = (ends - n)[doc] + window * (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    size = np.minimum(window, ends[doc] - start)
+    order = np.empty(0, dtype=np.int64)
+    for k in range(1, updates + 1 if len(doc) else 1):
+        while len(order) < min(batch, len(doc)):
+            order = np.append(order, rng.permutation(len(doc)))
+        some, order = order[:batch], order[batch:]
+        f, mask = chains(x, (ends - n)[doc[some]], ends[doc[some]], start[some], size[some])
+        y = labels[doc[some]][:, None] * mask
+        marginal, pairs = forward_backward(f @ w, mask, steps)
+        share = (size / n[doc])[some]
+        gw = np.einsum("bt,btf->f", (y - marginal) * mask / n[doc[some]][:, None], f) / share.sum() - decay * w
+        both = mask[:, 1:] & mask[:, :-1]
+        ones, lines = (both.sum(axis=1) * labels[doc[some]]).sum(), max(1, both.sum())
+        gs = (np.diag([both.sum() - ones, ones]) - pairs) / lines - decay * steps
+        for p, g, m, v in zip(params, (gw, gs), mean, square, strict=True):
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.99
+            v += 0.01 * g * g
+            p += rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     return w, steps
 
 
@@ -146,7 +153,7 @@ def scores(texts: list[bytes], w: np.ndarray, steps: np.ndarray) -> np.ndarray:
         while hi < len(order) and (hi - lo) * n[order[hi]] < 20_000:
             hi += 1
         docs = order[lo:hi]
-        f, mask = chains(x, n, docs)
+        f, mask = chains(x, starts[docs], starts[docs] + n[docs], starts[docs], n[docs])
         marginal, _ = forward_backward(f @ w, mask, steps)
         weight = np.zeros(mask.shape)
         rows, cols = np.nonzero(mask)
@@ -175,7 +182,9 @@ def fold_of(doc_id: str, folds: int):
 def fitted(docs: DataFrame, labels: DataFrame, folds: int, most_labelled: int) -> tuple[np.ndarray, np.ndarray]:
     """The model from at most most_labelled labelled documents outside fold 0, chosen by a hash of their ids.
 
-    Only their lines' features reach the driver: a few hundred bytes a line, whatever the corpus holds.
+    Only the features of their lines, of all of them, reach the driver: 68 bytes a line, whatever the corpus holds. Of rows
+    that repeat a labelled doc_id, as of all, most_labelled are used at most. Labels without a document or an id count for nothing; without
+    any, or with an empty table, all weights are 0.
     """
     chosen = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(fold_of("doc_id", folds) != 0)
     chosen = chosen.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
@@ -185,9 +194,10 @@ def fitted(docs: DataFrame, labels: DataFrame, folds: int, most_labelled: int) -
             for row in range(len(batch)):
                 text = batch.column(1)[row]
                 x, _, _ = line_features([text.as_buffer().to_pybytes() if text.is_valid else b""])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([x[:48].tobytes()])], ["quality", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([x.tobytes()])], ["quality", "x"])
 
-    found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select(F.col("quality").cast("int"), "text").mapInArrow(run, "quality int, x binary").toArrow()
+    found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select(F.col("quality").cast("int"), "text").mapInArrow(run, "quality int, x binary")
+    found = found.orderBy(F.xxhash64("x"), "quality").limit(most_labelled).toArrow()
     x = [np.frombuffer(v.as_py(), dtype=np.float32).reshape(-1, FEATURES) for v in found.column(1)]
     y = np.array(found.column(0).to_pylist(), dtype=np.float64)
     order = np.lexsort([[len(v) for v in x], [float(v.sum()) for v in x], y]) if x else np.empty(0, dtype=int)
