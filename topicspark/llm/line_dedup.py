@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import dealt_blocks, in_blocks, pair_steps
-from .common import apart, mixed, prefix_sums, scratch, small_batches, span_hash, table, together, with_row
+from .common import apart, hot_join, mixed, prefix_sums, scratch, small_batches, span_hash, table, together, with_row
 
 LAST = 2**63 - 1
 #: A line with anything but ASCII white space.
@@ -183,10 +183,10 @@ def repeated_lines(docs: DataFrame, distance: int = 2, least_chars: int = 30, li
     first = lines.filter(F.length("line") >= least_chars).join(keyed.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc", "no", "row", "line")).alias("f")).select("id", "f.doc", "f.no", "f.row", "f.line")
     near = line_links(keyed, first, distance, limit).groupBy("id").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "no", "row")).alias("near"))
     near = scratch(spark, near, "line-links")
-    places = lines.select("id", "doc", "no", "row")
+    places = scratch(spark, lines.select("id", "doc", "no", "row"), "line-places")
     all_ = places.groupBy("id").agg(F.min(F.struct("doc", "no", "row")).alias("f"), F.count("*").alias("k")).join(near, "id", "left").filter("k > 1 OR near IS NOT NULL")
-    best = all_.select("id", F.least("f", "near").alias("best"), F.coalesce("n", F.lit(0)).alias("n"))
-    gone = places.join(best, "id").filter("struct(doc, no, row) > best")
+    best = scratch(spark, all_.select("id", "k", F.least("f", "near").alias("best"), F.coalesce("n", F.lit(0)).alias("n")), "line-best")
+    gone = hot_join(places, best, "id", "k", "inner").filter("struct(doc, no, row) > best")
     return gone.groupBy("doc", "row").agg(F.sort_array(F.collect_set("no")).alias("lines"), F.sum("n").alias("links")).select(F.col("doc").alias("doc_id"), "row", "lines", "links")
 
 

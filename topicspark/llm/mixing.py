@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, apart, scratch, table, together
+from .common import SPACE, apart, hot_join, scratch, table, together
 
+#: Sources whose plan is broadcast whole (some 100 bytes each); with more of them only hot ones are.
+MOST_BROADCAST = 200_000
 BLANK = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 
@@ -82,7 +84,7 @@ def mixture(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), budget
     ends = ends.groupBy("key").agg(F.max("part").alias("last_part"))
     out = filled.join(taken, "key", "left").join(at.select("key", "part"), "key", "left").join(ends, "key", "left")
     cut = F.coalesce("last", "part", F.concat("last_part", F.lit("g")), F.lit(""))
-    return out.select("key", "source_size", "target", "whole", cut.alias("cut"))
+    return scratch(sizes.sparkSession, out.select("key", "source_size", "target", "whole", cut.alias("cut")), "mixture")
 
 
 def running_parts() -> Column:
@@ -92,9 +94,11 @@ def running_parts() -> Column:
 def with_copies(docs: DataFrame, plan: DataFrame, doc_id: str, source: str, seed: int = 7) -> DataFrame:
     """docs with source_size, target and `copies`, how many times the mix takes the document; they replace columns of
     those names, and of whole, cut and _key."""
-    key = source_key(F.col(source))
     plan = plan.withColumnRenamed("key", "_key")
-    out = docs.drop("source_size", "target", "copies", "whole", "cut").withColumn("_key", key).join(plan, "_key").withColumn("copies", F.col("whole") + (dealt(F.col(doc_id), seed) <= F.col("cut")).cast("long"))
+    df = docs.drop("source_size", "target", "copies", "whole", "cut").withColumn("_key", source_key(F.col(source)))
+    # documents don't travel for a plan of one row a source
+    out = df.join(F.broadcast(plan), "_key") if plan.count() <= MOST_BROADCAST else hot_join(df, plan, "_key", "source_size", "inner")
+    out = out.withColumn("copies", F.col("whole") + (dealt(F.col(doc_id), seed) <= F.col("cut")).cast("long"))
     return out.drop("_key", "whole", "cut")
 
 
