@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from topicspark.llm import bpe, common, crf, ctw, embeddings, line_dedup, mixing, near_dedup, quality_rules, simhash, substrings, warc
+from topicspark.llm import bpe, common, crf, ctw, embeddings, line_dedup, mixing, quality_rules, simhash, substrings, warc
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -47,17 +47,23 @@ def words_of(text, lower=False):
     return re.findall(rb"[^\x20\x09-\x0D]+", b)
 
 
-def test_quality_rules(spark, rows):
-    docs = make(spark, rows).withColumn("trusted", F.col("doc_id") % 2 == 0)
-    got = {}
-    for r in quality_rules.quality_rules(docs, buckets=64, least_ratio=-0.1).collect():
+@pytest.mark.parametrize("orders, target", [((1, 2), True), ((1,), True), ((2,), True), ((1, 2), False)])
+def test_quality_rules(spark, rows, orders, target):
+    docs = make(spark, rows).withColumn("trusted", (F.col("doc_id") % 2 == 0) & F.lit(target))
+    has_target, got = target, {}
+    for r in quality_rules.quality_rules(docs, orders=orders, buckets=64, least_ratio=-0.1).collect():
         got.setdefault(r.doc_id, r)
     raw, target = np.zeros(64), np.zeros(64)
-    buckets = lambda t: [((xxhash.xxh64_intdigest(w, 42) + 2**63) % 2**64 - 2**63) % 64 for w in words_of(t)]
+
+    def buckets(t):
+        h = [xxhash.xxh64_intdigest(w, 42) for w in words_of(t)]
+        pairs = [xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)) for a, b in zip(h, h[1:], strict=False)]
+        return [((x + 2**63) % 2**64 - 2**63) % 64 for n in orders for x in (h if n == 1 else pairs)]
+
     for d, t, _ in rows:
         for b in buckets(t):
             raw[b] += 1
-            target[b] += d is not None and d % 2 == 0
+            target[b] += has_target and d is not None and d % 2 == 0
     weight = np.log((target + 5) / (raw * target.sum() / raw.sum() + 5))
     for d, t, _ in rows:
         w, r = words_of(t), got[d]
@@ -66,7 +72,7 @@ def test_quality_rules(spark, rows):
             seen.setdefault(tuple(w[k : k + 8]), []).append(k)
         cover = {p for at in seen.values() if len(at) > 1 for k in at for p in range(k, k + 8)}
         lines = [x for x in (t or "").split("\n") if words_of(x)]
-        ratio = float(np.mean([weight[b] for b in buckets(t)])) if w else 0.0
+        ratio = float(np.mean([weight[b] for b in buckets(t)])) if buckets(t) else 0.0
         assert (r.n_words, r.word_chars, r.n_symbols) == (len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in t or ""))
         assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), len(cover))
         assert r.ratio == pytest.approx(ratio, abs=1e-9)
@@ -89,8 +95,6 @@ def test_sql(spark, name, view):
 def test_mixing(spark, rows):
     docs = make(spark, rows)
     sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    for r, (d, t, s) in zip(sorted(sizes.collect(), key=str), sorted(((d, s, len(words_of(t))) for d, t, s in rows), key=lambda x: str(tuple(x))), strict=True):
-        pass
     out = mixing.with_copies(sizes, mixing.mixture(sizes), "doc_id", "source").collect()
     assert len(out) == len(rows)
     by = {}
@@ -174,8 +178,6 @@ def test_simhash(spark, rows):
         if d is not None:
             least[c] = min(d, least.get(c, d))
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted((str(d), str(least.get(c))) for (d, _), c in zip(named, want, strict=True))
-    kept = simhash.simhash_stage(spark, make(spark, rows), DATA).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(least.values()))
 
 
 def test_near_dedup(spark):
@@ -192,7 +194,7 @@ def test_near_dedup(spark):
             w[rng.randrange(len(w))] = word()
         rows.append((100 + k, " ".join(w)))
     rows += [(200, "a b c"), (201, "A  b\nc"), (202, "a b d"), (203, ""), (204, None), (13, " ".join(base[1][:30])), (13, " ".join(base[13])), (None, rows[0][1])]
-    found = [set(map(int, near_dedup.shingles((t or "").encode(), 5))) for _, t in rows]
+    found = [set(map(int, simhash.shingles((t or "").encode(), 5))) for _, t in rows]
     assert found[0] == {xxhash.xxh64_intdigest(" ".join(base[0][k : k + 5]).encode(), 42) for k in range(len(base[0]) - 4)}
     want = components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if found[i] == found[j] or len(found[i] & found[j]) / len(found[i] | found[j]) >= 0.8])
     least = {}
@@ -202,7 +204,7 @@ def test_near_dedup(spark):
     assert len(least) < len(rows) - 30
     df = spark.createDataFrame(rows, "doc_id long, text string")
     stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
-    for out in (stage(spark, df, ""), near_dedup.near_dedup(df, limit=4)):
+    for out in (stage(spark, df, ""), simhash.similar_documents(df, limit=4)):
         assert sorted(str(r.doc_id) for r in out.collect()) == sorted([*map(str, least.values()), "None"])
 
 
@@ -393,6 +395,7 @@ def test_substrings(spark, monkeypatch, rows):
     monkeypatch.setattr(substrings, "CHUNK", 30_000)
     monkeypatch.setattr(substrings, "BUCKET", 40_000)
     monkeypatch.setattr(substrings, "PART", 3_000)
+    monkeypatch.setattr(substrings, "WINDOWS", 500)
     rows = [r for r in rows if r[0] is not None]
     got = {r.doc_id: r for r in substrings.substring_dedup(make(spark, rows)).collect()}
     data = {d: (t or "").encode() for d, t, _ in rows}
@@ -496,6 +499,46 @@ def test_crf(spark):
     assert held and [r for r in held if r.predicted != int(r.doc_id % 4 > 0)] == []
 
 
+def plain_features(lines):
+    """The features of a text's lines, one line and one word at a time."""
+    out, seen = [], set()
+    for line in lines:
+        b = line.encode()
+        long = max(len(b), 1)
+        w = b.split()
+        row = [math.sqrt(sum(bool(c[x]) for x in b) / long) for c in crf.CLASSES]
+        row += [math.log1p(len(b)) / 8, len(w) / long, sum(x == y for x, y in zip(w, w[1:], strict=False)) / max(len(w), 1), float(bool(w) and line in seen), float(not w)]
+        seen.add(line)
+        out.append(row)
+    return out
+
+
+def test_crf_scores():
+    """Features, neighbours and the length-weighted score by brute force over all labellings; training sees every line."""
+    rng = np.random.default_rng(2)
+    texts = ["One line, 12 words words %%", "", "a\n\nA b B b\na", "\u00fcber %% ##\nx x x\n", "end\nend\n\t\nend"]
+    w, steps = 0.5 * rng.standard_normal(3 * crf.FEATURES + 1), rng.standard_normal((2, 2))
+    x, size, n = crf.line_features([t.encode() for t in texts])
+    assert np.allclose(x, np.concatenate([plain_features(t.split("\n")) for t in texts]), atol=1e-6)
+    assert n.tolist() == [len(t.split("\n")) for t in texts] and size.tolist() == [len(x.encode()) for t in texts for x in t.split("\n")]
+    got = crf.scores([t.encode() for t in texts], w, steps)
+    for t, g in zip(texts, got, strict=True):
+        rows = [[0.0] * crf.FEATURES, *plain_features(t.split("\n")), [0.0] * crf.FEATURES]
+        good = [float(np.dot(w, [*rows[k - 1], *rows[k], *rows[k + 1], 1.0])) for k in range(1, len(rows) - 1)]
+        total, marginal = 0.0, np.zeros(len(good))
+        for y in np.ndindex(*[2] * len(good)):
+            p = math.exp(sum(good[k] * y[k] for k in range(len(good))) + sum(steps[y[k], y[k + 1]] for k in range(len(good) - 1)))
+            total += p
+            marginal += p * np.array(y)
+        long = np.array([len(line.encode()) + 1 for line in t.split("\n")])
+        assert g == pytest.approx(float((marginal / total * long).sum() / long.sum()), abs=1e-5)
+    # texts whose junk begins after line 100 teach as much as others
+    lines = lambda junk: "\n".join(["river stone light"] * 120 + (["%%% ### $$$"] * 100 if junk else ["walk light river"] * 100)).encode()
+    x, _, n = crf.line_features([lines(k % 2) for k in range(20)])
+    found = crf.scores([lines(0), lines(1)], *crf.fit(x, n, np.array([1.0 - k % 2 for k in range(20)])))
+    assert found[0] > found[1] + 0.2
+
+
 def test_forward_backward():
     rng = np.random.default_rng(0)
     good, steps = rng.standard_normal((1, 4)), rng.standard_normal((2, 2))

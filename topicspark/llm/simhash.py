@@ -1,4 +1,9 @@
-"""SimHash near-dedup: fingerprints of word shingles, a byte-position inverted index with count filtering, components."""
+"""SimHash near-dedup: fingerprints of word shingles, a byte-position inverted index with count filtering, components.
+
+near_duplicates links 64-bit fingerprints within a few bits, exactly. similar_documents finds documents by the Jaccard
+similarity of their shingles: a fingerprint of 64 bits is too coarse for 0.8, so it indexes the bytes of a wide one,
+made of several seeded fingerprints, tallies shared positional bytes, and verifies on the exact sets.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +17,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import dealt_blocks, in_blocks, pair_steps
-from .common import LOWER, components, local_components, scratch, small_batches, table
+from .common import LOWER, components, hot_join, local_components, mixed, scratch, small_batches, table, with_row
 
 SEED = 42
+#: The wide fingerprint's words of 64 bits that are indexed; one more tells most strangers of a list apart.
+WORDS = 16
+#: Lists of the wide index that a document stands in: how many, and how many positional bytes each joins.
+LISTS, TAKE = 256, 3
+#: Differing bits of the last word up to which two documents of a list are candidates: at a similarity of 0.8 ten are
+#: expected and more than 22 come once in 30,000 pairs.
+STRANGE = 22
+#: Documents whose lists a task sorts at once, and list entries in a bucket.
+HELD, BUCKET = 2048, 1 << 19
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -106,13 +120,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, text: str
     has a null component_id); repeated rows give a row each; an empty table gives no row.
     """
     small_batches(docs.sparkSession)
-    marked = scratch(docs.sparkSession, simhash(docs, shingle, text, doc_id), "simhash")
-    fps = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    linked = components(scratch(docs.sparkSession, fingerprint_links(fps.select("fp"), bits), "simhash-links"))
+    spark = docs.sparkSession
+    marked = scratch(spark, simhash(docs, shingle, text, doc_id), "simhash")
+    fps = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    linked = components(scratch(spark, fingerprint_links(fps.select("fp"), bits), "simhash-links"))
     named = fps.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(least, "component").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = scratch(spark, named.join(least, "component").select("fp", "n", "component_id"), "simhash-named")
+    return hot_join(marked, by_fp, "fp", "n", "inner").select("doc_id", "fp", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,8 +135,214 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Sorted distinct XXH64 of the runs of width words (of all words, if they are fewer); no words: none."""
+    w = text.translate(LOWER).split()
+    grams = map(b" ".join, zip(*(w[k:] for k in range(width)), strict=False)) if len(w) > width else [b" ".join(w)] if w else []
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), dtype=np.uint64))
+
+
+def wide(found: np.ndarray, words: int = WORDS + 1) -> np.ndarray:
+    """8 * words bytes: a seeded fingerprint of a set of shingles a word; a bit is 1 if set in over half of them."""
+    times = mixed(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
+    total = np.zeros(64 * words, dtype=np.int64)
+    for lo in range(0, len(found), 255):  # as many as a byte can count
+        bits = np.unpackbits(mixed(found[lo : lo + 255, None] * times).view(np.uint8), axis=1, bitorder="little")
+        total += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(found), bitorder="little")
+
+
+def lists(seed: int = 3) -> np.ndarray:
+    """(LISTS, TAKE): the positions whose bytes make each list's key, seeded and distinct."""
+    rng, found = np.random.default_rng(seed), set()
+    while len(found) < LISTS:
+        found.add(tuple(sorted(rng.choice(8 * WORDS, TAKE, replace=False).tolist())))
+    return np.array(sorted(found))
+
+
+def leaders(key: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, left) of entries in the order of their keys: within each key the first entry that is left leads, the others
+    within STRANGE bits of its word follow it and leave, until none is left; left: the leaders."""
+    a, b, left = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    rows = np.arange(len(key))
+    while len(rows):
+        first = np.append(True, key[rows[1:]] != key[rows[:-1]])
+        lead = rows[np.flatnonzero(first)][np.cumsum(first) - 1]
+        left.append(rows[first])
+        near = np.bitwise_count(word[rows] ^ word[lead]) <= STRANGE
+        follow = near & ~first
+        a.append(lead[follow])
+        b.append(rows[follow])
+        rows = rows[~near]
+    return np.concatenate(a), np.concatenate(b), np.sort(np.concatenate(left))
+
+
+def wide_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): candidates among nodes (node, wide), a pair once or more.
+
+    Two documents of similarity s differ in a share of acos(2s / (1 + s)) / pi of their bits: at 0.8 15 %, so that they share
+    a byte with probability 0.27 and some list with 0.99 (at 0.85 with 0.9999, at 0.9 with 1 - 1e-8). A task first lets the
+    documents that it holds follow their lists' leaders and sends on leaders alone, sorted arrays a bucket: lists of
+    a large group of near copies shrink before they are shuffled. A message holds an entry at least, so that there
+    are no more messages than entries.
+    """
+    places = lists()
+    salt = (np.arange(LISTS, dtype=np.uint64) + np.uint64(1)) << np.uint64(8 * TAKE)
+    buckets = max(1, -(-nodes.count() * LISTS // BUCKET))
+
+    def sent(node: np.ndarray, fp: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        value = np.zeros((len(node), LISTS), dtype=np.uint64)
+        for k in range(TAKE):
+            value = value << np.uint64(8) | fp[:, places[:, k]]
+        key = mixed(value | salt).reshape(-1)
+        at = np.repeat(np.arange(len(node)), LISTS)
+        word = np.ascontiguousarray(fp[:, 8 * WORDS :]).view(np.uint64)[:, 0]
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        a, b, left = leaders(key, word[at])
+        if len(a):
+            pairs = np.unique(np.stack([at[a], at[b]]), axis=1)
+            yield -1, node[pairs].tobytes()
+        key, at = key[left], at[left]
+        bucket = (key >> np.uint64(32)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        key, at, bucket = key[order].astype(np.uint32), at[order], bucket[order].astype(np.int64)
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        for lo, hi in zip(starts, np.append(starts[1:], len(bucket)), strict=True):
+            yield int(bucket[lo]), key[lo:hi].tobytes() + word[at[lo:hi]].tobytes() + node[at[lo:hi]].tobytes()
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            fp = np.frombuffer(b"".join(v.as_buffer() for v in rows.column(1)), dtype=np.uint8).reshape(len(rows), -1)
+            return pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(zip(*sent(rows.column(0).to_numpy(), fp), strict=True), (pa.int32(), pa.binary()), strict=True)], ["bucket", "data"])
+
+        for batch in batches:
+            for lo in range(0, len(batch), HELD):
+                held.append(batch.slice(lo, HELD))
+                if sum(map(len, held)) >= HELD:
+                    yield flush()
+                    held = []
+        if held:
+            yield flush()
+
+    def run(rows: pa.Table) -> pa.Table:
+        columns: tuple[list, list, list] = ([], [], [])
+        for data in rows.column("data"):
+            raw = data.as_buffer()
+            n = len(raw) // 20
+            for column, v in zip(columns, (np.frombuffer(raw, np.uint32, n), np.frombuffer(raw, np.uint64, n, 4 * n), np.frombuffer(raw, np.int64, n, 12 * n)), strict=True):
+                column.append(v)
+        key, word, node = map(np.concatenate, columns)
+        order = np.lexsort([node, key])
+        key, word, node = key[order], word[order], node[order]
+        a, b, _ = leaders(key, word)
+        pairs = np.unique(np.stack([node[a], node[b]]), axis=1)
+        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                v = np.frombuffer(data.as_buffer(), dtype=np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(v[0]), pa.array(v[1])], ["a", "b"])
+
+    posted = scratch(nodes.sparkSession, nodes.select("node", "wide").mapInArrow(post, "bucket int, data binary"), "simhash-lists")
+    found = posted.filter("bucket >= 0").groupBy("bucket").applyInArrow(run, "a long, b long")
+    return found.unionByName(posted.filter("bucket < 0").select("data").mapInArrow(local, "a long, b long"))
+
+
+def alike(sets: list[np.ndarray], fp: np.ndarray, least: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs that share TAKE positional bytes or more and have a Jaccard similarity of least or
+    more; a set once reached isn't compared again."""
+    size = np.array([len(s) for s in sets])
+    starts = np.cumsum(size) - size
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    flag, unseen, a, b = np.zeros(len(ids), dtype=bool), np.ones(len(sets), dtype=bool), [], []
+    for first in range(len(sets)):
+        queue = [first] if unseen[first] else []
+        unseen[first] = False
+        while queue:
+            x = queue.pop()
+            open_ = unseen & (np.minimum(size, size[x]) / np.maximum(size, size[x]) >= least)
+            open_[open_] = (fp[open_] == fp[x]).sum(axis=1) >= TAKE
+            at = np.flatnonzero(open_)
+            if not len(at):
+                continue
+            own = ids[starts[x] : starts[x] + size[x]]
+            flag[own] = True
+            if 4 * size[at].sum() > len(ids):
+                both = np.add.reduceat(flag[ids], starts, dtype=np.int64)[at]
+            else:
+                both = np.array([flag[ids[starts[k] : starts[k] + size[k]]].sum() for k in at])
+            flag[own] = False
+            hit = at[both / (size[at] + size[x] - both) >= least].tolist()
+            unseen[hit] = False
+            queue += hit
+            a += [x] * len(hit)
+            b += hit
+    return a, b
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, limit: int = 512, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with one row of each group connected by pairs of a Jaccard similarity of least or more of their sets of word
+    shingles: that with the smallest doc_id (of several, one of them).
+
+    Equal sets are one node. Rows of one doc_id are judged each by its own text. Null texts and those without words are one group; rows
+    without a doc_id link others and stay; an empty table gives no row. Lists of the wide index name candidates
+    (wide_links); their components are dealt into blocks of bounded size, where each pair's shared positional bytes are
+    tallied, pairs that reach TAKE are retained and judged on the exact sets.
+    """
+    spark = docs.sparkSession
+    key = next(k for k in (f"_key{n}" for n in range(len(docs.columns) + 1)) if k not in docs.columns)
+    all_ = with_row(docs, key)
+    texts = all_.select(F.col(key).alias("row"), F.col(text).cast("binary").alias("text"))
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def sets_of(column: pa.Array) -> Iterator[np.ndarray]:
+        return (shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in column)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(xxhash.xxh64_intdigest(s.tobytes(), SEED), wide(s).tobytes() if len(s) else None) for s in sets_of(batch.column(2))]
+            nodes = np.array([n for n, _ in found], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array([f for _, f in found], type=pa.binary())], ["row", "doc_id", "node", "wide"])
+
+    marked = all_.select(F.col(key).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    marked = scratch(spark, marked.mapInArrow(mark, f"row long, doc_id {kind}, node long, wide binary"), "wide-marked")
+    groups = scratch(spark, marked.groupBy("node").agg(F.min("row").alias("row"), F.count("*").alias("n")), "wide-groups")
+    nodes = scratch(spark, marked.filter("wide IS NOT NULL").join(groups.select("row"), "row", "left_semi").select("node", "row", "wide"), "wide-nodes")
+    together = components(scratch(spark, wide_links(nodes).distinct(), "wide-candidates"))
+    members = nodes.join(together, "node")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([s.tobytes() for s in sets_of(batch.column(3))], type=pa.binary())], ["component", "node", "wide", "found"])
+
+    found = texts.join(members, "row").select("component", "node", "wide", "text").mapInArrow(sets, "component long, node long, wide binary, found binary")
+
+    def run(rows: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, column = rows.column(1).to_numpy(), rows.column(3)
+        fp = np.frombuffer(b"".join(v.as_buffer() for v in rows.column(2)), dtype=np.uint8).reshape(len(rows), -1)[:, : 8 * WORDS]
+        ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
+        for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True):
+            a, b = alike([np.frombuffer(column[k].as_py(), dtype=np.uint64) for k in range(lo, hi)], fp[lo:hi], least)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][a]), pa.array(node[lo:hi][b])], ["a", "b"])
+
+    dealt = dealt_blocks(scratch(spark, found, "wide-sets"), "component", F.col("node"), limit)
+    linked = components(scratch(spark, in_blocks(dealt, "component", run, "a long, b long"), "wide-links"))
+    known = groups.join(linked, "node", "left").select("node", "n", F.coalesce("component", "node").alias("group"))
+    named = hot_join(marked.filter("doc_id IS NOT NULL").select("row", "doc_id", "node"), scratch(spark, known, "wide-named"), "node", "n", "inner").select("row", "doc_id", "group")
+    named = scratch(spark, named, "wide-rows")
+    first = named.groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    gone = hot_join(named, scratch(spark, first, "wide-first"), "group", "n", "inner").filter("struct(doc_id, row) > first").select(F.col("row").alias(key))
+    return all_.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest doc_id, once. Rows without a doc_id can't be named and stay."""
-    stay = near_duplicates(docs).select("component_id").distinct().filter("component_id IS NOT NULL")
-    kept = docs.join(stay.withColumnRenamed("component_id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more): that with the smallest
+    doc_id. Rows without a doc_id can't be named and stay."""
+    small_batches(spark)
+    return similar_documents(docs)
