@@ -98,3 +98,55 @@ def test_streams(spark, tmp_path):
         ST.started(spark.readStream.schema(fschema).parquet(str(files)), isink, str(tmp_path / "c2")).awaitTermination()
     last = ST.snapshot(spark, str(tmp_path / "manifest"), "hash string, status string")
     assert {r.hash: r.status for r in last.collect()} == {"h1": "done", "h2": "done"}
+
+
+def test_replayed_batches(spark, tmp_path):
+    """A batch that is run again, after a crash at any point, gives the same report and snapshot; two snapshots are kept."""
+    schema = "topic string, fact_key string"
+    cursor, reports = tmp_path / "cursor", tmp_path / "reports"
+    sink = ST.new_fact_sink(str(cursor), str(reports))
+    batches = [spark.createDataFrame(rows, schema) for rows in ([("a", "1"), ("a", "2")], [("a", "2"), ("a", "3")], [("b", "1")], [("b", "1"), ("b", "2")])]
+    read = lambda p: sorted(tuple(r) for r in spark.read.schema(schema).parquet(str(p)).collect())
+    for n, batch in enumerate(batches):
+        sink(batch, n)
+        once = read(reports / f"batch-{n:09d}"), read(cursor / f"batch-{n:09d}")
+        sink(batch, n)  # died after the snapshot was written
+        assert (read(reports / f"batch-{n:09d}"), read(cursor / f"batch-{n:09d}")) == once
+        (cursor / f"batch-{n:09d}" / "_SUCCESS").unlink()  # died while the snapshot was being written
+        sink(batch, n)
+        assert (read(reports / f"batch-{n:09d}"), read(cursor / f"batch-{n:09d}")) == once
+    assert [read(p) for p in sorted(reports.iterdir())] == [[("a", "1"), ("a", "2")], [("a", "3")], [("b", "1")], [("b", "2")]]
+    assert sorted(p.name for p in cursor.iterdir()) == ["batch-000000002", "batch-000000003"]
+
+    manifest = tmp_path / "manifest"
+    ingest = ST.ingest_sink(str(manifest))
+    files = spark.createDataFrame([("x/a.txt", "h1"), ("x/b.xyz", "h2")], "path string, hash string")
+    for _ in range(2):
+        ingest(files, 0)
+        assert {r.hash: r.status for r in ST.snapshot(spark, str(manifest), "hash string, status string").collect()} == {"h1": "done", "h2": "failed"}
+
+
+@pytest.mark.parametrize("relative", [False, True])
+def test_topic_folders(spark, tmp_path, monkeypatch, relative):
+    """A file's topic is its folder under the root, wherever the root's name recurs, and with characters of patterns."""
+    monkeypatch.chdir(tmp_path)
+    names = ["history-vault/t", "va ult+1/vault", "vault", "a.b/vaultx/c"]
+    root = tmp_path / "vault" / "my.vault" / "vault"
+    for name in names:
+        (root / name).mkdir(parents=True)
+        (root / name / "topic.json").write_text(json.dumps({"id": "x"}))
+    (root / "topic.json").write_text(json.dumps({"id": "x"}))
+    found = R.read_topics(spark, f"file://{root}" if relative else str(root))
+    assert sorted(r.path for r in found.collect()) == sorted([*names, ""])
+
+
+def test_overwrite_is_whole(spark, tmp_path):
+    """A job that fails leaves the table as it was; a table may be replaced by what is read from it."""
+    path = str(tmp_path / "t")
+    W.overwrite(spark.range(5), path)
+    with pytest.raises(Exception):
+        W.overwrite(spark.range(5).selectExpr("assert_true(id < 3), id"), path)
+    assert spark.read.parquet(path).count() == 5
+    W.overwrite(spark.read.parquet(path).filter("id > 1"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [2, 3, 4]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]

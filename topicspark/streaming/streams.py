@@ -19,38 +19,59 @@ def metric_stream(spark: SparkSession, folder: str, schema: str = S.TIMING) -> D
     return log.groupBy("topic").agg(F.count("*").alias("calls"), F.count_if(F.col("outcome") == "failure").alias("failures"))
 
 
-def snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The newest committed snapshot under path (folders by batch number); none yet: no row."""
+def folder(number: int) -> str:
+    return f"batch-{number:09d}"
+
+
+def committed(spark: SparkSession, path: str) -> tuple[list[str], object, Callable]:
+    """The names of the snapshots under path that were written whole, in order; the file system and its path maker."""
     jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    to_path = jvm.org.apache.hadoop.fs.Path
+    at = to_path(path)
     fs = at.getFileSystem(hadoop)
-    found = sorted(str(x.getPath().getName()) for x in (fs.listStatus(at) if fs.exists(at) else []) if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{x.getPath()}/_SUCCESS")))
+    return sorted(str(x.getPath().getName()) for x in (fs.listStatus(at) if fs.exists(at) else []) if fs.exists(to_path(f"{x.getPath()}/_SUCCESS"))), fs, to_path
+
+
+def snapshot(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """The newest committed snapshot under path (folders by batch number), of the batches before that number if one is
+    given; none yet: no row. A batch that is run again so sees what it saw the first time, not its own snapshot."""
+    found = [x for x in committed(spark, path)[0] if before is None or x < folder(before)]
     return spark.read.schema(schema).parquet(f"{path}/{found[-1]}") if found else spark.createDataFrame([], schema)
 
 
+def trim(spark: SparkSession, path: str, number: int) -> None:
+    """Remove the snapshots that neither batch `number`, if it is run again, nor a later one reads."""
+    found, fs, to_path = committed(spark, path)
+    for x in [x for x in found if x < folder(number)][:-1]:
+        fs.delete(to_path(f"{path}/{x}"), True)
+
+
 def new_fact_sink(cursor: str, reports: str) -> Callable[[DataFrame, int], None]:
     """T-S2: a foreachBatch that reports the facts of each batch (topic, fact_key, ...) which the last snapshot lacks, then
-    replaces the snapshot of the batch's topics. The report comes first: a lost snapshot repeats facts, it never drops them."""
+    replaces the snapshot of the batch's topics. The report comes first, and a batch that is run again after a crash at any
+    point reads the snapshot before it: it writes the same report and snapshot once more. Two snapshots are kept."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = snapshot(spark, cursor, "topic string, fact_key string")
-        M.new_facts(batch, known).write.mode("overwrite").parquet(f"{reports}/batch-{number:09d}")
-        M.next_cursor(batch, known).write.mode("overwrite").parquet(f"{cursor}/batch-{number:09d}")
+        known = snapshot(spark, cursor, "topic string, fact_key string", number)
+        M.new_facts(batch, known).write.mode("overwrite").parquet(f"{reports}/{folder(number)}")
+        M.next_cursor(batch, known).write.mode("overwrite").parquet(f"{cursor}/{folder(number)}")
+        trim(spark, cursor, number)
 
     return run
 
 
 def ingest_sink(manifest: str) -> Callable[[DataFrame, int], None]:
     """T-S3: a foreachBatch over files (path, hash): done hashes are skipped, failed ones tried again, and the batch's
-    outcomes are appended to the manifest."""
+    outcomes replace those of their hashes in the manifest's next snapshot. A batch that is run again gives the same one."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = snapshot(spark, manifest, "hash string, status string")
+        known = snapshot(spark, manifest, "hash string, status string", number)
         rows = TI.triaged(batch, known).filter("outcome IN ('processed', 'failed')").select("hash", "status")
         old = known.join(rows.select("hash"), "hash", "left_anti")
-        old.unionByName(rows).write.mode("overwrite").parquet(f"{manifest}/batch-{number:09d}")
+        old.unionByName(rows).write.mode("overwrite").parquet(f"{manifest}/{folder(number)}")
+        trim(spark, manifest, number)
 
     return run
 
