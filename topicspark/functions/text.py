@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: White space as the data's producers see it: ASCII and the Unicode spaces.
 SPACES = r"[\s\x0B   -     　﻿]"
 
+#: The same characters, one by one.
+SPACE_CHARS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 # Words that carry no topic.
 STOP_WORDS = (
     "a an and are as at be but by for from has have he her his i in is it its of on or she that the their they this to was were will with you your"
@@ -19,7 +22,7 @@ ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&qu
 
 def trimmed(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, f"^{SPACES}+|{SPACES}+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def normalise_fact(text: Column) -> Column:
@@ -30,12 +33,23 @@ def normalise_fact(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """the distinct words of the normalised text, in order, without stop words."""
-    return F.array_except(F.array_distinct(F.split(normalise_fact(text), " ")), F.array(*[F.lit(w) for w in [*STOP_WORDS, ""]]))
+    return tokens_of(normalise_fact(text))
+
+
+def tokens_of(normal: Column) -> Column:
+    """F2 of a text that is normalised already."""
+    return F.array_except(F.array_distinct(F.split(normal, " ")), F.array(*[F.lit(w) for w in [*STOP_WORDS, ""]]))
 
 
 def fact_key(source_id: Column, text: Column) -> Column:
     """SHA-256 of source and normalised text; texts without a letter or digit keep their own trimmed form."""
-    normal = normalise_fact(text)
+    # a lambda over one element: the text is normalised once, whatever the optimizer does with the column
+    own = F.transform(F.array(normalise_fact(text)), lambda normal: F.when(normal == "", trimmed(text)).otherwise(normal))
+    return F.sha2(F.concat(source_id, F.lit("|"), F.get(own, F.lit(0))), 256)
+
+
+def key_of(source_id: Column, normal: Column, text: Column) -> Column:
+    """F3 of a text whose normalised form is a column already."""
     return F.sha2(F.concat(source_id, F.lit("|"), F.when(normal == "", trimmed(text)).otherwise(normal)), 256)
 
 

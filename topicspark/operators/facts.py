@@ -131,6 +131,11 @@ def evidence_register(sources: DataFrame) -> DataFrame:
     return sources.withColumn("evidence_no", F.row_number().over(Window.partitionBy("topic").orderBy("source_id")))
 
 
+def report_order(facts: DataFrame) -> DataFrame:
+    """A topic's facts numbered from 1 in the order of a report: by source, then fact key, then place."""
+    return facts.withColumn("report_no", F.row_number().over(Window.partitionBy("topic").orderBy("source_id", "fact_key", "pos")))
+
+
 def extract_inputs(sources: DataFrame, envelopes: DataFrame) -> DataFrame:
     """Sources with an envelope that isn't an image's."""
     return sources.join(envelopes.filter("kind <> 'image'"), ["topic", "source_id"])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,12 +18,25 @@ GENESIS = "GENESIS"
 def built(operations: DataFrame) -> DataFrame:
     """(topic, seq, op, payload, hash), each hash over the one before and the payload.
 
-    A fold over one topic's operations in order: a chain is sequential by its nature, topics are not.
+    A chain is sequential by its nature, topics are not: rows are dealt by topic, sorted by Spark, and streamed through tasks
+    that carry nothing but the last hash, so that a topic of any length takes time in proportion and no memory. A null
+    payload gives no hash from there on. Operations of one seq follow each other by op and payload.
     """
-    rows = F.array_sort(F.collect_list(F.struct("seq", "op", "payload")))
-    chain = F.aggregate("rows", F.array().cast("array<string>"), lambda acc, x: F.concat(acc, F.array(T.chained_hash(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(GENESIS)), x["payload"]))))
-    df = operations.groupBy("topic").agg(rows.alias("rows")).withColumn("hashes", chain)
-    return df.select("topic", F.inline(F.arrays_zip("rows", "hashes"))).select("topic", "rows.seq", "rows.op", "rows.payload", F.col("hashes").alias("hash"))
+    df = operations.select("topic", F.col("seq").cast("int").alias("seq"), "op", "payload")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        topic, last = object(), GENESIS
+        for batch in batches:
+            hashes = []
+            for of, payload in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if of != topic:
+                    topic, last = of, GENESIS
+                last = None if last is None or payload is None else hashlib.sha256((last + payload).encode()).hexdigest()
+                hashes.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, type=pa.string())], ["topic", "seq", "op", "payload", "hash"])
+
+    dealt = df.repartition("topic").sortWithinPartitions("topic", "seq", "op", "payload")
+    return dealt.mapInArrow(run, "topic string, seq int, op string, payload string, hash string")
 
 
 def checked(operations: DataFrame, heads: DataFrame) -> DataFrame:

@@ -12,17 +12,23 @@ from topicspark.functions import text as T
 def match_claims(facts: DataFrame, claims: DataFrame, key: list[str], top: int = 3, least: float = 0.1) -> DataFrame:
     """For each fact (by key) its best claims by score, ties by id, with bucket and rank.
 
-    A score of `least` or more needs a shared category, keyword or word, so candidates come from an equi-join of
-    elements; each pair is counted once and scored exactly. Texts that occur often are scored once: facts are joined
-    by their distinct (text, categories).
+    A score of `least` or more needs a shared category, keyword or word, so candidates come from equi-joins. Words
+    join distinct texts to claims. Categories are few and hot, so they join distinct category sets to claims: of the
+    claims that share no word with a fact only the `top` best of its set can be among its best, as any claim before them
+    scores no less for the fact. Each pair is scored exactly once; texts that occur often are scored once.
     """
-    f = facts.select(*key, F.col("text"), F.col("categories")).withColumn("_t", F.sha2(F.concat_ws("\u0001", "text", F.array_join("categories", "\u0002")), 256))
-    distinct = f.groupBy("_t").agg(F.first("text").alias("text"), F.first("categories").alias("categories")).withColumn("words", T.tokens(F.col("text")))
-    c = claims.select("id", "claim", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), F.coalesce("categories", F.array().cast("array<string>")).alias("of_categories")).withColumn("of_words", T.tokens(F.col("claim")))
-    tag = lambda name, col: F.transform(col, lambda x: F.concat(F.lit(name), x))
-    left = distinct.select("_t", F.explode(F.concat(tag("c:", F.col("categories")), tag("w:", F.col("words")))).alias("e"))
-    right = c.select("id", F.explode(F.array_distinct(F.concat(tag("c:", F.col("of_categories")), tag("w:", F.col("keywords")), tag("w:", F.col("of_words"))))).alias("e"))
-    pairs = left.join(right, "e").select("_t", "id").distinct()
+    none = F.array().cast("array<string>")
+    f = facts.select(*key, F.col("text"), F.coalesce("categories", none).alias("categories")).withColumn("_set", F.array_join("categories", "\u0002"))
+    f = f.withColumn("_t", F.sha2(F.concat_ws("\u0001", "text", "_set"), 256))
+    distinct = f.groupBy("_t").agg(F.any_value(F.struct("text", "categories", "_set")).alias("v")).select("_t", "v.categories", "v._set", T.tokens(F.col("v.text")).alias("words"))
+    c = claims.select("id", "claim", F.coalesce("keywords", none).alias("keywords"), F.coalesce("categories", none).alias("of_categories")).withColumn("of_words", T.tokens(F.col("claim")))
+    by_word = distinct.select("_t", F.explode("words").alias("e")).join(c.select("id", F.explode(F.array_union("keywords", "of_words")).alias("e")), "e").select("_t", "id")
+    sets = f.groupBy("_set").agg(F.any_value("categories").alias("categories"))
+    shared = sets.select("_set", F.explode(F.array_distinct("categories")).alias("e")).join(c.select("id", F.explode(F.array_distinct("of_categories")).alias("e")), "e").select("_set", "id").distinct()
+    by_set = shared.join(sets, "_set").join(c.select("id", "of_categories"), "id").withColumn("score", T.round_half_up(F.lit(0.4) * T.jaccard(F.col("categories"), F.col("of_categories")), 1000))
+    in_set = F.row_number().over(Window.partitionBy("_set").orderBy(F.desc("score"), "id"))
+    by_set = by_set.withColumn("rank", in_set).filter(F.col("rank") <= top).select("_set", "id")
+    pairs = by_word.unionByName(distinct.select("_t", "_set").join(by_set, "_set").select("_t", "id")).distinct()
     scored = pairs.join(distinct, "_t").join(c, "id").withColumn("score", T.match_score(F.col("categories"), F.col("keywords"), F.col("words"), F.col("of_categories"), F.col("of_words")))
     best = F.row_number().over(Window.partitionBy("_t").orderBy(F.desc("score"), "id"))
     scored = scored.filter(F.col("score") >= least).withColumn("rank", best).filter(F.col("rank") <= top).select("_t", "id", "score", T.match_bucket(F.col("score")).alias("bucket"), "rank")

@@ -103,3 +103,8 @@ def to_ingest(files: DataFrame, manifest: DataFrame, force: bool = False) -> Dat
     if force:
         return files
     return files.join(manifest.filter("status = 'done'").select("topic", "hash"), ["topic", "hash"], "left_anti")
+
+
+def done_payloads(entries: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Done manifest entries with the payload of their hash (content_hash, ...); entries without one are skipped."""
+    return entries.filter("status = 'done'").join(payloads.withColumnRenamed("content_hash", "hash"), "hash")

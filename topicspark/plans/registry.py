@@ -41,19 +41,20 @@ def jac(a: str, b: str) -> str:
 
 
 MATCH_SQL = f"""
-WITH f AS (SELECT doc_id, pos, {sql_tokens("text")} AS words FROM v_sents),
-e AS (SELECT DISTINCT words, w FROM (SELECT words, unnest(words) AS w FROM (SELECT DISTINCT words FROM f))),
-ce AS (SELECT DISTINCT id, unnest(list_concat(keywords, tokens)) AS w FROM v_claims),
-p AS (SELECT DISTINCT e.words, ce.id FROM e JOIN ce ON e.w = ce.w),
-s AS (SELECT p.words, p.id, floor((0.4::DOUBLE * 0.0::DOUBLE + 0.3::DOUBLE * ({jac("p.words", "c.keywords")}) + 0.3::DOUBLE * ({jac("p.words", "c.tokens")})) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS score FROM p JOIN v_claims c ON p.id = c.id),
-r AS (SELECT *, row_number() OVER (PARTITION BY words ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.1)
+WITH f AS (SELECT doc_id, pos, categories, {sql_tokens("text")} AS words FROM v_sents),
+u AS (SELECT DISTINCT words, categories FROM f),
+e AS (SELECT DISTINCT words, categories, unnest(list_concat(list_transform(words, lambda x: 'w:' || x), list_transform(categories, lambda x: 'c:' || x))) AS w FROM u),
+ce AS (SELECT DISTINCT id, unnest(list_concat(list_transform(list_concat(keywords, tokens), lambda x: 'w:' || x), list_transform(categories, lambda x: 'c:' || x))) AS w FROM v_claims),
+p AS (SELECT DISTINCT e.words, e.categories, ce.id FROM e JOIN ce ON e.w = ce.w),
+s AS (SELECT p.words, p.categories, p.id, floor((0.4::DOUBLE * ({jac("p.categories", "c.categories")}) + 0.3::DOUBLE * ({jac("p.words", "c.keywords")}) + 0.3::DOUBLE * ({jac("p.words", "c.tokens")})) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS score FROM p JOIN v_claims c ON p.id = c.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY words, categories ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.1)
 SELECT f.doc_id, f.pos, r.id, r.score, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'low' END AS bucket, CAST(rank AS INT) AS rank
-FROM f JOIN r ON f.words = r.words WHERE rank <= 3"""
+FROM f JOIN r ON f.words = r.words AND f.categories = r.categories WHERE rank <= 3"""
 
 
 @query(MATCH_SQL, "v_sents", "v_claims")
 def e10_claim_matching(spark, d):
-    """The three best claims of every sentence."""
+    """The three best claims of every sentence, by categories and words."""
     return MA.match_claims(V.sentences(spark, d), V.claims(spark, d), ["doc_id", "pos"])
 
 
@@ -64,9 +65,9 @@ sha256(source_id || '|' || CASE WHEN {sql_normal("text")} = '' THEN text ELSE {s
 @query(KEYS_SQL, "v_sents")
 def f1_fact_keys(spark, d):
     """normalised text, tokens and stable keys."""
-    s = V.sentences(spark, d)
-    t = F.col("text")
-    return s.select("doc_id", "pos", T.normalise_fact(t).alias("normal"), F.size(T.tokens(t)).cast("long").alias("n_tokens"), T.fact_key(F.col("source_id"), t).alias("fact_key"))
+    s = V.sentences(spark, d).withColumn("normal", T.normalise_fact(F.col("text")))
+    n = F.col("normal")
+    return s.select("doc_id", "pos", "normal", F.size(T.tokens_of(n)).cast("long").alias("n_tokens"), T.key_of(F.col("source_id"), n, F.col("text")).alias("fact_key"))
 
 
 @query(
@@ -177,15 +178,14 @@ def f22_image_geometry(spark, d):
 
 
 @query(
-    """, l AS (SELECT doc_id, w, (len(w) % 10) / 10.0::DOUBLE AS score FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents)),
-    b AS (SELECT doc_id, coalesce(max(score) FILTER (regexp_matches(w, '(?i)(^|[^A-Za-z0-9_])(der|die|the|la)s?($|[^A-Za-z0-9_])')), 0.0::DOUBLE) AS best FROM l GROUP BY doc_id)
-    SELECT doc_id, best FROM b""".replace(", l AS", "WITH l AS", 1)
+    """WITH l AS (SELECT doc_id, w, (len(w) % 10) / 10.0::DOUBLE AS score FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents)),
+    b AS (SELECT doc_id, coalesce(max(score) FILTER (regexp_matches(w, '(?i)(^|[^A-Za-z0-9_])(document|text|paper|letter|receipt|book|newspaper|page|handwriting)s?($|[^A-Za-z0-9_])')), 0.0::DOUBLE) AS best FROM l GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN best >= 0.5 THEN 'text-doc' ELSE 'photo' END AS kind, CASE WHEN best >= 0.5 THEN best ELSE 1 - best END AS confidence FROM b"""
 )
-def f23_best_labels(spark, d):
-    """the best score of an image's labels that match whole words (here: a document's words as labels)."""
-    w = V.table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ", -1)).alias("w"))
-    hit = F.col("w").rlike("(?i)(?<![A-Za-z0-9_])(der|die|the|la)s?(?![A-Za-z0-9_])")
-    return w.groupBy("doc_id").agg(F.coalesce(F.max(F.when(hit, (F.length("w") % 10) / F.lit(10.0))), F.lit(0.0)).alias("best"))
+def f23_label_kinds(spark, d):
+    """kinds of images by their labels (here: a document's words are an image's labels)."""
+    w = V.table(spark, d, "documents").select(F.col("doc_id").alias("image"), F.explode(F.split("text", " ", -1)).alias("description"))
+    return TI.label_kinds(w.withColumn("score", (F.length("description") % 10) / F.lit(10.0))).withColumnRenamed("image", "doc_id")
 
 
 @query("SELECT topic, source_id, pos, text, 'FCT-' || lpad(CAST(n AS VARCHAR), CAST(greatest(3, len(CAST(n AS VARCHAR))) AS INT), '0') AS fact_id FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY source_id, pos) AS n FROM v_facts)", "v_facts")
@@ -195,20 +195,25 @@ def g1_line_facts(spark, d):
 
 
 def responses(spark, d):
+    """A response for each document with its whole text, one fact a line; some are fenced, cut, failed or invalid."""
     docs = V.table(spark, d, "documents")
-    inner = F.to_json(F.struct(F.array(F.struct(F.substring("text", 1, 40).alias("text"), (F.col("doc_id") % 120 / F.lit(100.0)).alias("confidence"), F.array(F.when(F.col("doc_id") % 9 == 0, "unknown").otherwise("history")).alias("categories"))).alias("facts"), F.lit("s").alias("summary")))
+    category = F.when(F.col("doc_id") % 9 == 0, "unknown").otherwise("history")
+    each = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("text"), (F.col("doc_id") % 120 / F.lit(100.0)).alias("confidence"), F.array(category).alias("categories")))
+    inner = F.to_json(F.struct(each.alias("facts"), F.lit("s").alias("summary")))
     k = F.col("doc_id") % 5
     result = F.when(k == 1, F.concat(F.lit("```json\n"), inner, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Here:\n```json\n"), inner, F.lit("\n```\nDone"))).when(k == 4, F.substring(inner, 1, 25)).otherwise(inner)
     return docs.select("doc_id", F.to_json(F.struct((k == 3).alias("is_error"), result.alias("result"))).alias("response"))
 
 
 @query(
-    """SELECT doc_id, e AS error, CAST(CASE WHEN e IS NULL THEN 1 ELSE 0 END AS BIGINT) AS n_facts FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN 'model reported an error' WHEN doc_id % 5 = 4 THEN 'result is not JSON'
-    WHEN trim(text[1:40]) = '' OR doc_id % 120 > 100 OR doc_id % 9 = 0 THEN 'invalid fact' END AS e FROM documents)"""
+    """SELECT doc_id, e AS error, CAST(CASE WHEN e IS NULL THEN len(string_split(text, chr(10))) ELSE 0 END AS BIGINT) AS n_facts, CASE WHEN e IS NULL THEN sha256(text) END AS facts_sha256 FROM (SELECT doc_id, text, CASE WHEN doc_id % 5 = 3 THEN 'model reported an error' WHEN doc_id % 5 = 4 THEN 'result is not JSON'
+    WHEN len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') = '')) > 0 OR doc_id % 120 > 100 OR doc_id % 9 = 0 THEN 'invalid fact' END AS e FROM documents)"""
 )
 def g2_responses(spark, d):
-    """Parsing of model responses, with the error of each bad one."""
-    return FA.parsed_responses(responses(spark, d)).select("doc_id", "error", F.coalesce(F.size("facts"), F.lit(0)).cast("long").alias("n_facts")).withColumn("n_facts", F.greatest("n_facts", F.lit(0).cast("long")))
+    """Parsing of model responses, with the error of each bad one and all texts of the good ones."""
+    p = FA.parsed_responses(responses(spark, d))
+    texts = F.array_join(F.transform("facts", lambda f: f["text"]), "\n")
+    return p.select("doc_id", "error", F.greatest(F.coalesce(F.size("facts"), F.lit(0)), F.lit(0)).cast("long").alias("n_facts"), F.when(F.col("error").isNull(), F.sha2(texts, 256)).alias("facts_sha256"))
 
 
 @query("SELECT topic, count(*) FILTER (confidence >= 0.8) AS high, count(*) FILTER (confidence >= 0.5 AND confidence < 0.8) AS medium, count(*) FILTER (confidence < 0.5) AS low FROM v_facts GROUP BY topic", "v_facts")
@@ -229,7 +234,7 @@ def a2_categories(spark, d):
     "v_timing",
 )
 def a4_latency(spark, d):
-    """Latencies of a set of topics."""
+    """Latencies of a set of topics."""
     t = V.timing(spark, d)
     return ST.latencies(ST.of_topics(t, t.select("topic").filter("topic <> 'src0'")))
 
@@ -267,7 +272,7 @@ routed AS (SELECT i.doc_id, i.path, i.hash, CASE WHEN n = 1 THEN topic END AS to
 
 @query(f", {ROUTED} SELECT doc_id, topic, keyword, ambiguous FROM routed", "v_intake", "v_routing")
 def j7_routing(spark, d):
-    """The topic of every file by its path."""
+    """The topic of every file by its path."""
     return RO.classified(V.intake(spark, d), V.routing(spark)).select("doc_id", "topic", "keyword", "ambiguous")
 
 
@@ -313,7 +318,7 @@ def triaged(spark, d):
 
 @query(f", {TRIAGED} SELECT doc_id, k > 1 AS is_dup, type AS classified_type, outcome FROM tr", "v_intake")
 def w5_triage(spark, d):
-    """Duplicates, resumed files and outcomes of a dump."""
+    """Duplicates, resumed files and outcomes of a dump."""
     return triaged(spark, d).select("doc_id", "is_dup", "classified_type", "outcome")
 
 
@@ -355,7 +360,8 @@ cu AS (SELECT DISTINCT topic, fact_key FROM k WHERE doc_id % 3 <> 0 AND pos % 2
 
 def keyed(spark, d):
     s = V.sentences(spark, d)
-    k = s.select("topic", "doc_id", "pos", T.fact_key(F.col("source_id"), F.col("text")).alias("fact_key"))
+    # texts and sources are never null here: a key that can't be null needs no filter that computes it once more
+    k = s.select("topic", "doc_id", "pos", F.coalesce(T.fact_key(F.col("source_id"), F.col("text")), F.lit("")).alias("fact_key"))
     return k, k.filter("doc_id % 3 <> 0 AND pos % 2 = 0").select("topic", "fact_key").distinct()
 
 
@@ -383,6 +389,13 @@ def u2_changed_topics(spark, d):
     return MA.changed_topics(*keyed(spark, d))
 
 
+@query(f", {KEYED} SELECT topic, pos, fact_key, CAST(row_number() OVER (PARTITION BY topic ORDER BY fact_key, pos) AS INT) AS report_no FROM k", "v_sents")
+def w10_report_order(spark, d):
+    """The order of facts in a report."""
+    s = V.sentences(spark, d)
+    return FA.report_order(s.select("topic", "source_id", "pos", T.fact_key(F.col("source_id"), F.col("text")).alias("fact_key"))).select("topic", "pos", "fact_key", "report_no")
+
+
 @query(f", {KEYED} SELECT DISTINCT topic, fact_key FROM k", "v_sents")
 def u5_next_cursor(spark, d):
     """U5."""
@@ -401,7 +414,7 @@ def a15_category_groups(spark, d):
 
 @query("SELECT topic, string_agg('Extracted ' || n || ' fact(s) from ' || title || '.', chr(10) || chr(10) ORDER BY source_id) AS summary FROM (SELECT topic, source_id, title, len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '')) AS n FROM v_sources WHERE kind = 'text') GROUP BY topic", "v_sources")
 def a16_summaries(spark, d):
-    """Summaries of done sources in order."""
+    """Summaries of sources in order."""
     return FA.joined_summaries(V.sources(spark, d).filter("kind = 'text'"))
 
 
@@ -410,7 +423,7 @@ CLOSED = """nodes AS (SELECT DISTINCT array_to_string(p[1:k], '/') AS path FROM
 
 @query(f", {CLOSED} SELECT n.path, count(*) AS customers, min(c_acctbal) AS least, max(c_acctbal) AS most FROM nodes n JOIN v_leaves l ON l.path = n.path OR starts_with(l.path, n.path || '/') GROUP BY n.path", "v_leaves")
 def a18_rollup(spark, d):
-    """Measures over every subtree, itself included."""
+    """Measures over every subtree, itself included."""
     leaves = V.leaves(spark, d)
     return TR.rollup(TR.expanded(leaves), leaves.select("path", "c_acctbal"), F.count("*").alias("customers"), F.min("c_acctbal").alias("least"), F.max("c_acctbal").alias("most"))
 
@@ -457,7 +470,7 @@ def p1_bundles(spark, d):
 
 @query("SELECT topic, source_id, CAST(row_number() OVER (PARTITION BY topic ORDER BY source_id) AS INT) AS evidence_no FROM v_sources", "v_sources")
 def w11_evidence(spark, d):
-    """W11, W10."""
+    """W11."""
     return FA.evidence_register(V.sources(spark, d)).select("topic", "source_id", "evidence_no")
 
 
@@ -479,10 +492,17 @@ def manifest_events(spark, d):
 
 @query(f"WITH {MANIFEST} SELECT topic, hash, status, event_id FROM la WHERE n = 1")
 def w6_latest_entries(spark, d):
-    """The manifest as the last event a key."""
+    """The manifest as the last event a key."""
     return TI.latest_entries(manifest_events(spark, d)).select("topic", "hash", "status", "event_id")
 
 
+@query(f"WITH {MANIFEST}, p AS (SELECT props, count(*) AS n_views FROM events WHERE event_type = 'view' AND event_id % 3 = 0 GROUP BY props) SELECT topic, hash, event_id, n_views FROM la JOIN p ON la.hash = p.props WHERE n = 1 AND status = 'done'")
+def j3_done_payloads(spark, d):
+    """Done entries with their hash's payload; those without one are skipped."""
+    payloads = V.table(spark, d, "events").filter("event_type = 'view' AND event_id % 3 = 0").groupBy(F.col("props").alias("content_hash")).agg(F.count("*").alias("n_views"))
+    return TI.done_payloads(TI.latest_entries(manifest_events(spark, d)), payloads).select("topic", "hash", "event_id", "n_views")
+
+
 @query(f"WITH {MANIFEST} SELECT topic, hash, event_id FROM la WHERE n = 1 AND status = 'failed'")
 def j12_retries(spark, d):
     """What a retry run takes."""

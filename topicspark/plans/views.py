@@ -5,7 +5,7 @@ SQL holds the same views for DuckDB, as common table expressions by name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,21 +32,26 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def categories_of(lang: Column) -> Column:
+    return F.when(lang == "en", F.array(F.lit("history"))).when(lang == "fr", F.array(F.lit("genealogy"))).when(lang == "de", F.array(F.lit("history"), F.lit("genealogy"))).otherwise(F.array().cast("array<string>"))
+
+
 def facts(spark: SparkSession, d: str) -> DataFrame:
     """Line facts with a confidence and categories that follow from the document."""
     lines = facts_ops.line_facts(sources(spark, d))
     return lines.withColumns(
         {
             "confidence": ((F.col("doc_id") * 7 + F.col("pos") * 13) % 101) / F.lit(100.0),
-            "categories": F.when(F.col("lang") == "en", F.array(F.lit("history"))).when(F.col("lang") == "fr", F.array(F.lit("genealogy"))).when(F.col("lang") == "de", F.array(F.lit("history"), F.lit("genealogy"))).otherwise(F.array().cast("array<string>")),
+            "categories": categories_of(F.col("lang")),
         }
     )
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
     """Sentence facts of each document as a topic of its own."""
-    df = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"[.\n]")).alias("pos", "text"))
-    return df.withColumn("text", T.trimmed(F.col("text"))).filter("text <> ''").select("doc_id", "pos", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("topic"), F.lit("SRC-001").alias("source_id"), "text", F.array().cast("array<string>").alias("categories"))
+    parts = F.transform(F.split("text", r"[.\n]"), lambda x, i: F.struct(i.alias("pos"), T.trimmed(x).alias("text")))
+    df = table(spark, d, "documents").select("doc_id", "lang", F.inline(F.filter(parts, lambda s: s["text"] != "")))
+    return df.select("doc_id", "pos", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("topic"), F.lit("SRC-001").alias("source_id"), "text", categories_of(F.col("lang")).alias("categories"))
 
 
 def claims(spark: SparkSession, d: str) -> DataFrame:
@@ -114,8 +119,8 @@ SQL = {
       SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: {TRIM.format("x")}), lambda x: x <> '') AS lines FROM v_sources)""",
     "v_facts": """SELECT topic, source_id, title, doc_id, lang, CAST(pos AS INT) AS pos, line AS text, ((doc_id * 7 + pos * 13) % 101) / 100.0::DOUBLE AS confidence,
       CASE lang WHEN 'en' THEN ['history'] WHEN 'fr' THEN ['genealogy'] WHEN 'de' THEN ['history', 'genealogy'] ELSE [] END AS categories FROM v_lines""",
-    "v_sents": f"""SELECT doc_id, CAST(pos AS INT) AS pos, 'doc-' || doc_id AS topic, 'SRC-001' AS source_id, {TRIM.format("t")} AS text FROM (
-      SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '[.\\n]') AS p FROM documents)) WHERE {TRIM.format("t")} <> ''""",
+    "v_sents": f"""SELECT doc_id, CAST(pos AS INT) AS pos, 'doc-' || doc_id AS topic, 'SRC-001' AS source_id, {TRIM.format("t")} AS text, CASE lang WHEN 'en' THEN ['history'] WHEN 'fr' THEN ['genealogy'] WHEN 'de' THEN ['history', 'genealogy'] ELSE [] END AS categories FROM (
+      SELECT doc_id, lang, unnest(p) AS t, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT doc_id, lang, regexp_split_to_array(text, '[.\\n]') AS p FROM documents)) WHERE {TRIM.format("t")} <> ''""",
     "v_claims": f"""SELECT 'V-' || lpad(CAST(item_id AS VARCHAR), 3, '0') || '-' || lpad(CAST(pos AS VARCHAR), 2, '0') AS id, CAST(item_id AS VARCHAR) AS beat, claim, ({sql_tokens("claim")})[1:5] AS keywords, {sql_tokens("claim")} AS tokens,
       CASE item_id % 3 WHEN 0 THEN ['history'] WHEN 1 THEN ['genealogy'] ELSE ['industry', 'history'] END AS categories FROM (
       SELECT item_id, pos, {TRIM.format("t")} AS claim FROM (SELECT item_id, unnest(p) AS t, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT item_id, regexp_split_to_array(text, '[.\\n]') AS p FROM benchmark))) WHERE claim <> ''""",
