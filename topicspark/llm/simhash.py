@@ -27,8 +27,9 @@ LISTS, TAKE = 256, 3
 #: Differing bits of the last word up to which two documents of a list are candidates: at a similarity of 0.8 ten are
 #: expected and more than 22 come once in 30,000 pairs.
 STRANGE = 22
-#: Documents whose lists a task sorts at once, and list entries in a bucket.
-HELD, BUCKET = 2048, 1 << 19
+#: Documents whose lists a task sorts at once, list entries in a bucket, and in a message (20 bytes each: messages are
+#: kept small, as Spark reads thousands of rows at a time).
+HELD, BUCKET, MESSAGE = 2048, 1 << 19, 512
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -201,15 +202,18 @@ def wide_links(nodes: DataFrame) -> DataFrame:
         key, at = key[order], at[order]
         a, b, left = leaders(key, word[at])
         if len(a):
-            pairs = np.unique(np.stack([at[a], at[b]]), axis=1)
-            yield -1, node[pairs].tobytes()
+            pairs = node[np.unique(np.stack([at[a], at[b]]), axis=1)]
+            for lo in range(0, pairs.shape[1], MESSAGE):
+                yield -1, pairs[:, lo : lo + MESSAGE].tobytes()
         key, at = key[left], at[left]
         bucket = (key >> np.uint64(32)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         key, at, bucket = key[order].astype(np.uint32), at[order], bucket[order].astype(np.int64)
         starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        for lo, hi in zip(starts, np.append(starts[1:], len(bucket)), strict=True):
-            yield int(bucket[lo]), key[lo:hi].tobytes() + word[at[lo:hi]].tobytes() + node[at[lo:hi]].tobytes()
+        for first, end in zip(starts.tolist(), np.append(starts[1:], len(bucket)).tolist(), strict=True):
+            for lo in range(first, end, MESSAGE):
+                hi = min(end, lo + MESSAGE)
+                yield int(bucket[lo]), key[lo:hi].tobytes() + word[at[lo:hi]].tobytes() + node[at[lo:hi]].tobytes()
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
