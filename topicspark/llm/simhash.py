@@ -179,13 +179,14 @@ def leaders(key: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def wide_links(nodes: DataFrame) -> DataFrame:
-    """(a, b): candidates among nodes (node, wide), a pair once or more.
+    """(a, b): edges that connect the candidates among nodes (node, wide).
 
     Two documents of similarity s differ in a share of acos(2s / (1 + s)) / pi of their bits: at 0.8 15 %, so that they share
     a byte with probability 0.27 and some list with 0.99 (at 0.85 with 0.9999, at 0.9 with 1 - 1e-8). A task first lets the
-    documents that it holds follow their lists' leaders and sends on leaders alone, sorted arrays a bucket: lists of
-    a large group of near copies shrink before they are shuffled. A message holds an entry at least, so that there
-    are no more messages than entries.
+    documents that it holds follow their lists' leaders and sends on leaders alone, under the name of the group that
+    they connect, sorted arrays a bucket: lists of a large group of near copies shrink before they are shuffled. Tasks and
+    buckets give a spanning forest of what they found. A message holds an entry at least, so that there are no
+    more messages than entries.
     """
     places = lists()
     salt = (np.arange(LISTS, dtype=np.uint64) + np.uint64(1)) << np.uint64(8 * TAKE)
@@ -201,11 +202,17 @@ def wide_links(nodes: DataFrame) -> DataFrame:
         order = np.argsort(key, kind="stable")
         key, at = key[order], at[order]
         a, b, left = leaders(key, word[at])
-        if len(a):
-            pairs = node[np.unique(np.stack([at[a], at[b]]), axis=1)]
-            for lo in range(0, pairs.shape[1], MESSAGE):
-                yield -1, pairs[:, lo : lo + MESSAGE].tobytes()
+        root = local_components(at[a], at[b], len(node))
+        far = np.flatnonzero(root != np.arange(len(node)))
+        pairs = node[np.stack([far, root[far]])]
+        for lo in range(0, pairs.shape[1], MESSAGE):
+            yield -1 - int(far[lo] % buckets), pairs[:, lo : lo + MESSAGE].tobytes()
+        # a list's leader speaks for its whole group, under the group's name, and once
         key, at = key[left], at[left]
+        order = np.lexsort([root[at], key])
+        key, at = key[order], at[order]
+        one = np.append(True, (key[1:] != key[:-1]) | (root[at[1:]] != root[at[:-1]]))
+        key, at = key[one], at[one]
         bucket = (key >> np.uint64(32)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         key, at, bucket = key[order].astype(np.uint32), at[order], bucket[order].astype(np.int64)
@@ -213,7 +220,7 @@ def wide_links(nodes: DataFrame) -> DataFrame:
         for first, end in zip(starts.tolist(), np.append(starts[1:], len(bucket)).tolist(), strict=True):
             for lo in range(first, end, MESSAGE):
                 hi = min(end, lo + MESSAGE)
-                yield int(bucket[lo]), key[lo:hi].tobytes() + word[at[lo:hi]].tobytes() + node[at[lo:hi]].tobytes()
+                yield int(bucket[lo]), key[lo:hi].tobytes() + word[at[lo:hi]].tobytes() + node[root[at[lo:hi]]].tobytes()
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -233,6 +240,9 @@ def wide_links(nodes: DataFrame) -> DataFrame:
             yield flush()
 
     def run(rows: pa.Table) -> pa.Table:
+        if rows.column("bucket")[0].as_py() < 0:  # groups that a task found
+            pairs = np.concatenate([np.frombuffer(data.as_buffer(), dtype=np.int64).reshape(2, -1) for data in rows.column("data")], axis=1)
+            return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
         columns: tuple[list, list, list] = ([], [], [])
         for data in rows.column("data"):
             raw = data.as_buffer()
@@ -243,18 +253,12 @@ def wide_links(nodes: DataFrame) -> DataFrame:
         order = np.lexsort([node, key])
         key, word, node = key[order], word[order], node[order]
         a, b, _ = leaders(key, word)
-        pairs = np.unique(np.stack([node[a], node[b]]), axis=1)
-        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                v = np.frombuffer(data.as_buffer(), dtype=np.int64).reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(v[0]), pa.array(v[1])], ["a", "b"])
+        nodes_, at = np.unique(node[np.append(a, b)], return_inverse=True)
+        root = local_components(at[: len(a)], at[len(a) :], len(nodes_))
+        far = np.flatnonzero(root != np.arange(len(nodes_)))
+        return pa.table({"a": pa.array(nodes_[far]), "b": pa.array(nodes_[root[far]])})
 
-    posted = scratch(nodes.sparkSession, nodes.select("node", "wide").mapInArrow(post, "bucket int, data binary"), "simhash-lists")
-    found = posted.filter("bucket >= 0").groupBy("bucket").applyInArrow(run, "a long, b long")
-    return found.unionByName(posted.filter("bucket < 0").select("data").mapInArrow(local, "a long, b long"))
+    return nodes.select("node", "wide").mapInArrow(post, "bucket int, data binary").groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
 def alike(sets: list[np.ndarray], fp: np.ndarray, least: float) -> tuple[list[int], list[int]]:
