@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import give_back, small_batches, table
 
 NONE = np.int32(2**31 - 1)
 #: Characters of text handled at once, and pieces remembered in a task before it starts afresh: they bound memory.
@@ -186,6 +186,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         ranks, known = loaded(shipped.value, pattern), {}
         for batch in batches:
             column = batch.column(names.index(text))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import dealt_blocks, in_blocks, pair_steps
-from .common import LOWER, components, hot_join, local_components, mixed, scratch, small_batches, table, with_row
+from .common import LOWER, components, give_back, hot_join, local_components, mixed, scratch, small_batches, table, with_row
 
 SEED = 42
 #: The wide fingerprint's words of 64 bits that are indexed; one more tells most strangers of a list apart.
@@ -29,7 +29,7 @@ LISTS, TAKE = 256, 3
 STRANGE = 22
 #: Documents whose lists a task sorts at once, list entries in a bucket, and in a message (20 bytes each: messages are
 #: kept small, as Spark reads thousands of rows at a time).
-HELD, BUCKET, MESSAGE = 2048, 1 << 19, 512
+HELD, BUCKET, MESSAGE = 512, 1 << 18, 512
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -238,6 +238,7 @@ def wide_links(nodes: DataFrame) -> DataFrame:
                     held = []
         if held:
             yield flush()
+        give_back()
 
     def run(rows: pa.Table) -> pa.Table:
         if rows.column("bucket")[0].as_py() < 0:  # groups that a task found
@@ -316,6 +317,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, lim
             found = [(xxhash.xxh64_intdigest(s.tobytes(), SEED), wide(s).tobytes() if len(s) else None) for s in sets_of(batch.column(2))]
             nodes = np.array([n for n, _ in found], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array([f for _, f in found], type=pa.binary())], ["row", "doc_id", "node", "wide"])
+        give_back()
 
     marked = all_.select(F.col(key).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     marked = scratch(spark, marked.mapInArrow(mark, f"row long, doc_id {kind}, node long, wide binary"), "wide-marked")
