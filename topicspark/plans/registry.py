@@ -188,6 +188,18 @@ def f23_label_kinds(spark, d):
     return TI.label_kinds(w.withColumn("score", (F.length("description") % 10) / F.lit(10.0))).withColumnRenamed("image", "doc_id")
 
 
+@query(
+    """, l AS (SELECT doc_id, w, (len(w) % 10) / 10.0::DOUBLE AS score FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents)),
+    b AS (SELECT doc_id, coalesce(max(score) FILTER (regexp_matches(w, '(?i)(^|[^A-Za-z0-9_])(der|die|the|la)s?($|[^A-Za-z0-9_])')), 0.0::DOUBLE) AS best FROM l GROUP BY doc_id)
+    SELECT doc_id, best FROM b""".replace(", l AS", "WITH l AS", 1)
+)
+def f23_best_labels(spark, d):
+    """The best score of a text's words that match some whole words."""
+    w = V.table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ", -1)).alias("w"))
+    hit = F.col("w").rlike("(?i)(?<![A-Za-z0-9_])(der|die|the|la)s?(?![A-Za-z0-9_])")
+    return w.groupBy("doc_id").agg(F.coalesce(F.max(F.when(hit, (F.length("w") % 10) / F.lit(10.0))), F.lit(0.0)).alias("best"))
+
+
 @query("SELECT topic, source_id, pos, text, 'FCT-' || lpad(CAST(n AS VARCHAR), CAST(greatest(3, len(CAST(n AS VARCHAR))) AS INT), '0') AS fact_id FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY source_id, pos) AS n FROM v_facts)", "v_facts")
 def g1_line_facts(spark, d):
     """Line facts numbered through each topic."""
