@@ -182,7 +182,7 @@ def wide_links(nodes: DataFrame) -> DataFrame:
     """(a, b): edges that connect the candidates among nodes (node, wide).
 
     Two documents of similarity s differ in a share of acos(2s / (1 + s)) / pi of their bits: at 0.8 15 %, so that they share
-    a byte with probability 0.27 and some list with 0.99 (at 0.85 with 0.9999, at 0.9 with 1 - 1e-8). A task first lets the
+    a byte with probability 0.27 and some list with 0.970 (at 0.85 with 0.997, at 0.9 with 0.99998). A task first lets the
     documents that it holds follow their lists' leaders and sends on leaders alone, under the name of the group that
     they connect, sorted arrays a bucket: lists of a large group of near copies shrink before they are shuffled. Tasks and
     buckets give a spanning forest of what they found. A message holds an entry at least, so that there are no
