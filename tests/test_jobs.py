@@ -37,6 +37,16 @@ def test_create_ingest_score_validate(spark):
     assert record["cuba/sugar"].density == 3 / (record["cuba/sugar"].bytes / 1024)
     assert {r.topic: r.p90 for r in jobs.latency_record(timing, nodes).collect()} == {"cuba": 30, "cuba/sugar": 10, "cuba/rum": 30}
 
+    issues = spark.createDataFrame([("cuba/rum", "mock_source"), ("cuba/rum", "schema_error"), ("cuba/sugar", "mock_source")], "topic string, type string")
+    scored = facts.withColumn("promoted", F.lit(True)).filter("topic = 'cuba/sugar'")
+    whole = {r.path: r for r in jobs.quality_records(nodes, facts, sources.withColumn("kind", F.lit("text")), scored, timing, issues).collect()}
+    cuba, rum = whole["cuba"], whole["cuba/rum"]
+    assert (cuba.extract.facts, cuba.latency.p90, cuba.issues.mock_source, cuba.issues.schema_error, cuba.issues.hand_edited) == (3, 30, 2, 1, 0)
+    assert cuba.score.promoted == scored.count() and cuba.extract.density == record["cuba"].density and cuba.completeness.has_score
+    assert (rum.score.promoted, rum.completeness.has_score, rum.completeness.has_timing, rum.completeness.has_validate) == (0, False, True, True)
+    bare = jobs.quality_records(nodes, facts.limit(0), sources.limit(0).withColumn("kind", F.lit("text")), scored.limit(0), timing.limit(0), issues.limit(0)).collect()
+    assert len(bare) == len(whole) and all(r.extract.categories == {} and r.extract.density == 0.0 and not r.completeness.has_extract and r.completeness.has_validate for r in bare)
+
     bundles, groups, register = jobs.report(sources, facts)
     assert bundles.first().fact_count == 3 and groups.first().category == "history" and register.count() == 2
 

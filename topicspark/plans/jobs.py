@@ -128,7 +128,7 @@ def validate(topics: DataFrame, facts: DataFrame, operations: DataFrame, heads:
 
 
 def feedback(nodes: DataFrame, facts: DataFrame, sources: DataFrame, timing: DataFrame) -> DataFrame:
-    """Each node's subtree in one row: facts by confidence, bytes and density, calls and failures."""
+    """Each node's subtree in one flat row: facts by confidence, bytes and density, calls and failures (quality_records has all)."""
     per = FA.confidence_histogram(facts, "topic").join(FA.fact_density(sources, facts), "topic", "left")
     per = per.join(timing.groupBy("topic").agg(F.count("*").alias("calls"), F.count_if(F.col("outcome") == "failure").alias("failures")), "topic", "full")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
@@ -143,6 +143,35 @@ def latency_record(timing: DataFrame, nodes: DataFrame, budget_ms: int = 90_000)
     return ST.latencies(below.withColumn("topic", F.col("ancestor")), budget_ms)
 
 
+def quality_records(nodes: DataFrame, facts: DataFrame, sources: DataFrame, scores: DataFrame, timing: DataFrame, issues: DataFrame, budget_ms: int = 90_000) -> DataFrame:
+    """One nested row a node over its subtree, itself included: latency, extract, score, issues, completeness.
+
+    Facts, scores (facts with `promoted`) and issues (topic, type) are counted by topic before they go up the tree. Nodes
+    without any rows below them have zeros, an empty map of categories and only has_validate.
+    """
+    counts = FA.confidence_histogram(facts, "topic").join(FA.fact_density(sources, facts).drop("density"), "topic", "left")
+    counts = counts.join(FA.promotion_counts(scores, "topic"), "topic", "full").join(ST.issue_counts(issues), "topic", "full")
+    sums = [F.sum(c).alias(c) for c in counts.columns if c != "topic"]
+    sums = TR.rollup(nodes, counts.withColumnRenamed("topic", "path"), *sums, (F.count("promoted") > 0).alias("has_score"))
+    kinds = FA.category_histogram(facts, "topic").withColumnRenamed("topic", "descendant").join(TR.closure(nodes), "descendant")
+    kinds = kinds.groupBy(F.col("ancestor").alias("path"), "category").agg(F.sum("n").alias("n"))
+    kinds = kinds.groupBy("path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("categories"))
+    slow = latency_record(timing, nodes, budget_ms).withColumnRenamed("topic", "path")
+    df = nodes.select("path").join(sums, "path", "left").join(kinds, "path", "left").join(slow, "path", "left")
+    n = lambda *names: [F.coalesce(c, F.lit(0)).alias(c) for c in names]
+    flag = lambda c, name: F.coalesce(c, F.lit(False)).alias(name)
+    density = F.when(F.col("bytes") > 0, F.col("facts") / (F.col("bytes") / F.lit(1024.0))).otherwise(0.0)
+    categories = F.coalesce("categories", F.create_map().cast("map<string,bigint>"))
+    return df.select(
+        "path",
+        F.struct(*n("p50", "p90", "p99"), F.coalesce("failure_rate", F.lit(0.0)).alias("failure_rate"), F.lit(budget_ms).alias("budget_ms"), flag(F.col("over_budget"), "over_budget")).alias("latency"),
+        F.struct(*n("facts", "high", "medium", "low"), categories.alias("categories"), density.alias("density")).alias("extract"),
+        F.struct(*n("promoted", "rejected")).alias("score"),
+        F.struct(*n(*ST.ISSUES)).alias("issues"),
+        F.struct(F.col("calls").isNotNull().alias("has_timing"), flag(F.col("facts") > 0, "has_extract"), flag(F.col("has_score"), "has_score"), F.lit(True).alias("has_validate")).alias("completeness"),
+    )
+
+
 def triage(files: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, manifest, summary) of an intake dump."""
     rows = TI.triaged(files, prior)

@@ -17,6 +17,7 @@ from topicspark.operators import routing as RO
 from topicspark.operators import stats as ST
 from topicspark.operators import tree as TR
 from topicspark.operators import triage as TI
+from topicspark.plans import jobs as JO
 from topicspark.plans import views as V
 from topicspark.plans.views import sql_normal, sql_tokens, with_views
 
@@ -621,3 +622,38 @@ def a7_issue_counts(spark, d):
     """Issue counts by kind, zero filled."""
     f = V.facts(spark, d).filter("confidence > 0.9 OR confidence < 0.1")
     return ST.issue_counts(f.select("topic", F.when(F.col("confidence") > 0.9, "schema_error").otherwise("mock_source").alias("type")))
+
+
+QUALITY_SQL = f""", {SCORED},
+p AS (SELECT lang || '/' || topic AS path FROM v_sources UNION SELECT 'en/' || topic FROM v_timing),
+nodes AS (SELECT path FROM p WHERE path IS NOT NULL UNION SELECT string_split(path, '/')[1] FROM p WHERE path IS NOT NULL),
+below AS (SELECT n.path AS node, m.path FROM nodes n JOIN nodes m ON m.path = n.path OR starts_with(m.path, n.path || '/')),
+x AS (SELECT *, lang || '/' || topic AS path FROM t),
+a AS (SELECT node, count(*) AS facts, count(*) FILTER (confidence >= 0.8) AS high, count(*) FILTER (confidence >= 0.5 AND confidence < 0.8) AS medium, count(*) FILTER (confidence < 0.5) AS low,
+ count(*) FILTER (list_contains(categories, 'history')) AS history, count(*) FILTER (list_contains(categories, 'genealogy')) AS genealogy,
+ count(*) FILTER (raw >= 80 AND lang <> 'de') AS promoted, count(*) FILTER (raw < 80 AND lang <> 'de') AS rejected,
+ count(*) FILTER (confidence > 0.9) AS schema_error, count(*) FILTER (confidence < 0.1) AS mock_source FROM below JOIN x ON x.path = below.path GROUP BY node),
+b AS (SELECT node, sum(octet_length(encode(text))) AS bytes FROM below JOIN v_sources v ON v.lang || '/' || v.topic = below.path WHERE kind <> 'image' AND below.path IN (SELECT path FROM x) GROUP BY node),
+c AS (SELECT node, quantile_disc(ms, 0.5) FILTER (outcome = 'success') AS p50, quantile_disc(ms, 0.9) FILTER (outcome = 'success') AS p90, quantile_disc(ms, 0.99) FILTER (outcome = 'success') AS p99,
+ count(*) AS calls, count(*) FILTER (outcome = 'failure') AS failures FROM below JOIN v_timing v ON 'en/' || v.topic = below.path GROUP BY node)
+SELECT n.path, CAST(coalesce(p50, 0) AS BIGINT) AS p50, CAST(coalesce(p90, 0) AS BIGINT) AS p90, CAST(coalesce(p99, 0) AS BIGINT) AS p99, coalesce(failures * 1.0::DOUBLE / calls, 0.0::DOUBLE) AS failure_rate, coalesce(p90, 0) > 90000 AS over_budget,
+ coalesce(facts, 0) AS facts, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(history, 0) AS history, coalesce(genealogy, 0) AS genealogy,
+ CASE WHEN bytes > 0 THEN facts / (bytes / 1024.0::DOUBLE) ELSE 0.0::DOUBLE END AS density, coalesce(promoted, 0) AS promoted, coalesce(rejected, 0) AS rejected,
+ coalesce(schema_error, 0) AS schema_error, coalesce(mock_source, 0) AS mock_source, calls IS NOT NULL AS has_timing, coalesce(facts > 0, false) AS has_extract, coalesce(promoted + rejected > 0, false) AS has_score
+FROM nodes n LEFT JOIN a ON a.node = n.path LEFT JOIN b ON b.node = n.path LEFT JOIN c ON c.node = n.path"""
+
+
+@query(QUALITY_SQL, "v_sources", "v_facts", "v_timing")
+def e9_quality_records(spark, d):
+    """The whole quality record of each language and of each source below it; German facts have no scores."""
+    below = F.concat("lang", F.lit("/"), "topic")
+    f, s = (df.withColumn("topic", below) for df in (V.facts(spark, d), V.sources(spark, d)))
+    timing = V.timing(spark, d).withColumn("topic", F.concat(F.lit("en/"), "topic"))
+    issues = f.filter("confidence > 0.9 OR confidence < 0.1").select("topic", F.when(F.col("confidence") > 0.9, "schema_error").otherwise("mock_source").alias("type"))
+    paths = s.select("topic").union(timing.select("topic")).distinct().filter("topic IS NOT NULL")
+    nodes = TR.expanded(paths.select(F.col("topic").alias("path"), F.array().cast("array<string>").alias("tags")))
+    r = JO.quality_records(nodes, f, s, FA.scores(f.filter("lang <> 'de'")), timing, issues)
+    kind = lambda c: F.coalesce(F.try_element_at("extract.categories", F.lit(c)), F.lit(0)).alias(c)
+    latency = [f"latency.{c}" for c in ("p50", "p90", "p99", "failure_rate", "over_budget")]
+    extract = [f"extract.{c}" for c in ("facts", "high", "medium", "low", "density")]
+    return r.select("path", *latency, *extract, kind("history"), kind("genealogy"), "score.*", "issues.schema_error", "issues.mock_source", *[f"completeness.{c}" for c in ("has_timing", "has_extract", "has_score")])
