@@ -657,3 +657,114 @@ def e9_quality_records(spark, d):
     latency = [f"latency.{c}" for c in ("p50", "p90", "p99", "failure_rate", "over_budget")]
     extract = [f"extract.{c}" for c in ("facts", "high", "medium", "low", "density")]
     return r.select("path", *latency, *extract, kind("history"), kind("genealogy"), "score.*", "issues.schema_error", "issues.mock_source", *[f"completeness.{c}" for c in ("has_timing", "has_extract", "has_score")])
+
+
+@query(
+    f""", {CLOSED} SELECT path AS topic, CASE len(string_split(path, '/')) WHEN 1 THEN 'project' WHEN 2 THEN 'topic' ELSE 'subtopic' END AS node_type, 'container' AS status, '0.1.0' AS version,
+    1 AS seq, 'CREATE' AS op, sha256('GENESIS' || '{{"topic":"' || path || '"}}') AS hash FROM nodes WHERE path NOT IN (SELECT path FROM v_leaves WHERE c_custkey % 3 = 0)""",
+    "v_leaves",
+)
+def e1_created_topics(spark, d):
+    """The nodes that the leaves' paths need beside the third of them that exists, each with its first logged operation."""
+    leaves = V.leaves(spark, d)
+    nodes, ops = JO.create_topics(leaves, leaves.filter("c_custkey % 3 = 0"), "ACTOR-001")
+    log = JO.logged(ops.select("topic", F.lit(0).alias("seq"), "op", "payload").filter("false"), ops, "op")
+    return nodes.select(F.col("path").alias("topic"), "node_type", "status", "version").join(log.select("topic", "seq", "op", "hash"), "topic")
+
+
+@query(
+    """WITH h AS (SELECT source, count(*) AS have FROM documents WHERE doc_id % 4 = 0 GROUP BY source),
+    x AS (SELECT d.source AS topic, 'doc-' || doc_id AS title, CAST(row_number() OVER (PARTITION BY d.source ORDER BY doc_id) + coalesce(have, 0) AS VARCHAR) AS n FROM documents d LEFT JOIN h ON d.source = h.source WHERE doc_id % 4 <> 0),
+    y AS (SELECT topic, title, 'SRC-' || lpad(n, CAST(greatest(3, len(n)) AS INT), '0') AS source_id FROM x)
+    SELECT topic, title, source_id, NULL::VARCHAR AS op, NULL::VARCHAR AS payload FROM y UNION ALL SELECT topic, NULL, NULL, 'INGEST', '{"source_id":"' || source_id || '"}' FROM y"""
+)
+def e2_registered_sources(spark, d):
+    """Three quarters of the documents numbered after the quarter that is registered, and their INGEST operations."""
+    s = V.sources(spark, d)
+    new = s.filter("doc_id % 4 <> 0").select("topic", "title", F.col("lang").alias("origin"), "text", F.format_string("%015d", "doc_id").alias("added_at"))
+    rows, ops = JO.register_sources(new, s.filter("doc_id % 4 = 0"))
+    return rows.select("topic", "title", "source_id").unionByName(ops, allowMissingColumns=True)
+
+
+@query(
+    f"""WITH f AS (SELECT source AS topic, doc_id, 'in/doc-' || doc_id || '.txt' AS path, text, sha256(coalesce(text, 'in/doc-' || doc_id || '.txt')) AS hash FROM documents),
+    done AS (SELECT topic, hash FROM f WHERE doc_id % 6 = 0),
+    k AS (SELECT *, row_number() OVER (PARTITION BY topic, hash ORDER BY path) AS n FROM f WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.topic = f.topic AND done.hash = f.hash))
+    SELECT topic, hash, path AS source_path, CASE WHEN doc_id % 10 = 9 THEN 'failed' ELSE 'done' END AS status, CASE WHEN doc_id % 10 = 9 THEN 'unsupported' END AS error,
+    CASE WHEN doc_id % 10 = 9 THEN 0 ELSE coalesce(len(list_filter(string_split(text, chr(10)), lambda x: {V.TRIM.format("x")} <> '')), 0) END AS n_facts FROM k WHERE n = 1"""
+)
+def e3_ingested_batch(spark, d):
+    """Files not yet done, once a content: their manifest rows with the number of facts of each."""
+    path = F.concat(F.lit("in/"), F.col("title"), F.lit(".txt"))
+    files = V.sources(spark, d).select("topic", path.alias("path"), "text", F.when(F.col("doc_id") % 10 == 9, "unsupported").alias("error"), "doc_id")
+    done = files.filter("doc_id % 6 = 0").select("topic", T.content_hash(F.coalesce("text", "path")).alias("hash"), F.lit("done").alias("status"))
+    out = JO.ingest_batch(files, done)
+    per = out.facts.groupBy(F.col("source_id").alias("source_path")).agg(F.count("*").alias("n"))
+    return out.manifest.join(per, "source_path", "left").select("topic", "hash", "source_path", "status", "error", F.coalesce("n", F.lit(0)).cast("long").alias("n_facts"))
+
+
+@query("SELECT topic, source_id, pos, text, 'FCT-' || lpad(CAST(n AS VARCHAR), CAST(greatest(3, len(CAST(n AS VARCHAR))) AS INT), '0') AS fact_id FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY source_id, pos) AS n FROM v_facts WHERE doc_id % 4 <> 0 AND doc_id % 10 <> 9)", "v_facts")
+def e4_extracted_facts(spark, d):
+    """Numbered facts of the sources that have a text envelope; images and sources without one give none."""
+    s = V.sources(spark, d)
+    return JO.extract(s.select("topic", "source_id", "title"), s.filter("doc_id % 4 <> 0"))[0].select("topic", "source_id", "pos", "text", "fact_id")
+
+
+@query(f", {CLOSED} SELECT n.path AS ancestor, count(*) AS n_scores, min(c_acctbal) AS least, max(c_acctbal) AS most, list_sort(list(l.path)) AS paths FROM nodes n JOIN v_leaves l ON starts_with(l.path, n.path || '/') GROUP BY n.path", "v_leaves")
+def e5_score_rollup(spark, d):
+    """E5: the scores below each node, its own left out, and the paths that they come from."""
+    leaves = V.leaves(spark, d)
+    r = JO.score_rollup(leaves.select(F.col("path").alias("topic"), "c_acctbal"), TR.expanded(leaves))
+    return r.scores.groupBy("ancestor").agg(F.count("*").alias("n_scores"), F.min("c_acctbal").alias("least"), F.max("c_acctbal").alias("most")).join(r.paths, "ancestor")
+
+
+@query(
+    """, x AS (SELECT a.path AS topic, b.path AS related_topic, len(list_intersect(a.tags, b.tags))::DOUBLE / len(list_distinct(list_concat(a.tags, b.tags))) AS strength FROM v_leaves a JOIN v_leaves b ON b.c_custkey = a.c_custkey + 1)
+    SELECT topic, related_topic, strength, NULL::VARCHAR AS op, NULL::VARCHAR AS payload FROM x UNION ALL SELECT topic, NULL, NULL, 'CROSSLINK', '{"related_topic":"' || related_topic || '"}' FROM x""",
+    "v_leaves",
+)
+def e6_crosslinks(spark, d):
+    """Each customer linked to the next one with their strength, and the CROSSLINK operations."""
+    leaves = V.leaves(spark, d)
+    nxt = leaves.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("path").alias("related_topic"))
+    edges, ops = JO.crosslink(leaves.join(nxt, "c_custkey").select(F.col("path").alias("topic"), "related_topic"), leaves)
+    return edges.select("topic", "related_topic", "strength").unionByName(ops, allowMissingColumns=True)
+
+
+@query("""SELECT path AS topic, 'VERSION' AS op, '{"version":"' || c_custkey % 5 || '.' || (c_custkey % 7 + 1) || '.0"}' AS payload FROM v_leaves""", "v_leaves")
+def e7_version_bumps(spark, d):
+    """The VERSION operation of every topic's next minor version."""
+    parts = [(F.col("c_custkey") % k).cast("string") for k in (5, 7, 11)]
+    return JO.bump_versions(V.leaves(spark, d).withColumn("version", F.concat_ws(".", *parts)), "minor")[1]
+
+
+@query(
+    """, f AS (SELECT 'user-' || doc_id % 50 AS topic, count(*) FILTER (confidence > 0.99) AS bad, count(*) FILTER (pos = 20) AS mocks FROM v_facts GROUP BY ALL),
+    u AS (SELECT DISTINCT 'user-' || user_id AS topic, user_id % 5 = 0 AS broken FROM events)
+    SELECT u.topic, NOT broken AND coalesce(bad, 0) = 0 AS valid, list_concat(CASE WHEN broken THEN ['lineage_error'] ELSE [] END, list_transform(range(coalesce(bad, 0)), lambda i: 'schema_error')) AS errors,
+    list_transform(range(coalesce(mocks, 0)), lambda i: 'mock_source') AS warnings FROM u LEFT JOIN f ON u.topic = f.topic""",
+    "v_facts",
+)
+def e8_validated(spark, d):
+    """Each topic's report from facts out of range, chains of which every fifth is broken, and mock sources."""
+    f = V.facts(spark, d).withColumns({"topic": F.concat(F.lit("user-"), (F.col("doc_id") % 50).cast("string")), "fact_id": F.lit("FCT-001"), "confidence": F.when(F.col("confidence") > 0.99, 1.5).otherwise(F.col("confidence"))})
+    log = LI.built(V.operations(spark, d))
+    heads = log.groupBy("topic").agg(F.max_by("hash", "seq").alias("hash"))
+    spoilt = (F.split("topic", "-")[1].cast("int") % 5 == 0) & (F.col("seq") == 1)
+    broken = log.withColumn("payload", F.when(spoilt, F.lit("{}")).otherwise(F.col("payload")))
+    return JO.validate(heads.select(F.col("topic").alias("path")), f, broken, heads, f.select("topic", "source_id", (F.col("pos") == 20).alias("mock")))
+
+
+@query(
+    f""", {ROUTED}, r AS (SELECT coalesce(topic, 'unsorted') AS topic, count(*) AS n, count(*) FILTER (ambiguous) AS n_ambiguous, count(topic) AS n_staged FROM routed WHERE hash NOT LIKE '0%' GROUP BY ALL UNION ALL SELECT 'unsorted', 0, 0, 0)
+    SELECT topic, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_ambiguous) AS BIGINT) AS n_ambiguous, CAST(sum(n_staged) AS BIGINT) AS n_staged, topic <> 'unsorted' AND topic <> 'english' AND topic NOT IN (SELECT source FROM documents WHERE source IS NOT NULL) AS missing FROM r GROUP BY topic""",
+    "v_intake", "v_routing",
+)
+def e12_routed(spark, d):
+    """Where the files of done manifest entries go: counts, staged names and whether the topic lacks a node."""
+    manifest = TI.intake_manifest(V.intake(spark, d)).withColumn("status", F.when(F.col("hash").startswith("0"), "failed").otherwise("done"))
+    nodes = V.table(spark, d, "documents").select(F.col("source").alias("path")).distinct().union(spark.createDataFrame([("english",)], "path string"))
+    r = JO.route(manifest, V.routing(spark), nodes)
+    staged = r.staged.groupBy("topic").agg(F.countDistinct("name").alias("n_staged"))
+    df = r.counts.join(staged, "topic", "left").join(r.missing.withColumn("lacks", F.lit(True)), "topic", "left")
+    return df.select("topic", "n", "n_ambiguous", F.coalesce("n_staged", F.lit(0)).alias("n_staged"), F.coalesce("lacks", F.lit(False)).alias("missing"))
