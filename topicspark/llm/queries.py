@@ -10,8 +10,10 @@ from .bpe import op4_bpe
 from .crf import op8_quality
 from .ctw import op1_ctw
 from .embeddings import OP2_SQL, op2_embeddings
+from .exact_dedup import OP13_SQL, op13_exact_dedup
 from .line_dedup import op3_line_dedup
 from .mixing import OP7_SQL, op7_mixing
+from .periodic import op12_periodic
 from .quality_rules import op10_quality_rules
 from .simhash import op6_simhash
 from .substrings import op9_substrings
@@ -28,6 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_substrings": op9_substrings,
     "op10_quality_rules": op10_quality_rules,
+    "op12_periodic": op12_periodic,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {"op2_embeddings": OP2_SQL, "op5_warc": OP5_SQL, "op7_mixing": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_embeddings": OP2_SQL, "op5_warc": OP5_SQL, "op7_mixing": OP7_SQL, "op13_exact_dedup": OP13_SQL}
