@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,16 @@ def split_by_frequency(ids: np.ndarray, times: int = LEAST_TIMES, least: int = L
 
     A run holds each of its words `times` times or more. So a word that occurs less often in its segment lies in no run
     of it and splits it; pieces below `least` words go, and the rest are split again by their own counts until none
-    changes. All segments of a round are counted together; words outside them are not looked at again.
+    changes. All segments of a round are counted together; words outside them are not looked at again. Words that are
+    too rare in the whole text come as -1, so that the first round is made already.
     """
-    at = np.arange(len(ids))
-    segment = np.zeros(len(ids), dtype=np.int64)
-    width = int(ids.max()) + 1 if len(ids) else 1
+    first, end = stretches(ids >= 0)
+    large = end - first >= least
+    if not large.any():
+        return []
+    at = np.concatenate([np.arange(a, b) for a, b in zip(first[large], end[large], strict=True)])
+    segment = np.repeat(np.arange(large.sum()), (end - first)[large])
+    width = int(ids.max()) + 1
     while len(at):
         _, inverse, counts = np.unique(segment * width + ids[at], return_inverse=True, return_counts=True)
         often = counts[inverse] >= times
@@ -101,9 +107,10 @@ def runs_of(text: bytes, times: int = LEAST_TIMES, least: int = LEAST_WORDS) ->
     found = text.split()  # bytes split at the six ASCII white-space characters
     if len(found) < least:
         return found, []
-    number: dict[bytes, int] = defaultdict()
-    number.default_factory = number.__len__
-    ids = np.fromiter((number[w] for w in found), dtype=np.int64, count=len(found))
+    number = {w: k for k, (w, n) in enumerate(Counter(found).items()) if n >= times}
+    if not number:
+        return found, []
+    ids = np.fromiter(map(number.get, found, repeat(-1)), dtype=np.int64, count=len(found))
     out = [(a + s, n, q) for a, b in split_by_frequency(ids, times, least) for s, n, q in scanned(ids[a:b], times, least)]
     return found, sorted(out, key=lambda r: (r[0], r[2]))
 
