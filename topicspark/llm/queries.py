@@ -17,6 +17,7 @@ from .periodic import op12_periodic
 from .quality_rules import op10_quality_rules
 from .simhash import op6_simhash
 from .substrings import op9_substrings
+from .trie import OP11_SQL, op11_prefix_trie
 from .warc import OP5_SQL, op5_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,8 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_substrings": op9_substrings,
     "op10_quality_rules": op10_quality_rules,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_periodic": op12_periodic,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {"op2_embeddings": OP2_SQL, "op5_warc": OP5_SQL, "op7_mixing": OP7_SQL, "op13_exact_dedup": OP13_SQL}
+ORACLES: dict[str, str] = {"op2_embeddings": OP2_SQL, "op5_warc": OP5_SQL, "op7_mixing": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op13_exact_dedup": OP13_SQL}
