@@ -1,38 +1,132 @@
-"""Matching facts to claims: a weighted set-similarity join by an inverted index, with the best claims of each fact."""
+"""Matching facts to claims: a weighted set-similarity join by an inverted index of rare words first, with the best claims of each fact."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from topicspark.functions import text as T
+from topicspark.operators.ordered import numbered
+from topicspark.shared import written
+
+#: Between the categories of a set.
+SEP = "\u0002"
+
+
+#: Copies of the claims' words against which the words of texts are dealt, so that a word of most texts is spread.
+SALTS = 8
+
+
+def by_salt(rows: DataFrame, of: Column) -> DataFrame:
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(of), F.lit(SALTS)))
+
+
+def salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
+def score_of(shared_categories: Column, words: Column, shared_keywords: Column, keywords: Column, shared_words: Column, of_words: Column) -> Column:
+    """F5 from a category overlap and from counts of distinct words: its own value, or a bound where the shared are bounds."""
+    part = lambda shared, a, b: F.when((a == 0) | (b == 0), F.lit(0.0)).otherwise(shared.cast("double") / (a + b - shared))
+    return T.round_half_up(F.lit(0.4) * shared_categories + F.lit(0.3) * part(shared_keywords, words, keywords) + F.lit(0.3) * part(shared_words, words, of_words), 1000)
+
+
+class Matching(NamedTuple):
+    texts: DataFrame
+    claims: DataFrame
+    postings: DataFrame
+    sets: DataFrame
+
+
+def prepared(facts: DataFrame, claims: DataFrame) -> Matching:
+    """texts (_t, _set, words, xs), claims (id, _cset, keywords, of_words, ks, ws), postings (x, id, ...) and sets (_set, _cset, overlap).
+
+    The claims' words are numbered from the rarest, so that xs, the text's words that occur in claims, is a sorted array of
+    numbers; words, keywords and of_words count distinct words. Pairs of category sets are all there are of both, with
+    their Jaccard overlap: sets are combinations of a closed vocabulary, so few, and only those that share a category.
+    """
+    none = F.array().cast("array<string>")
+    c = claims.filter("claim IS NOT NULL").select("id", F.array_distinct(F.coalesce("keywords", none)).alias("k"), F.coalesce("categories", none).alias("c"), T.tokens(F.col("claim")).alias("w"))
+    c = c.withColumn("_cset", F.array_join("c", SEP))
+    per = c.select("id", F.explode(F.array_union("k", "w")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    vocabulary = numbered(per.withColumn("_all", F.lit(0)), ["_all"], ["n", "word"], "x").select("word", "x")
+    coded = lambda rows, key, words: rows.select(key, F.explode(words).alias("word")).join(vocabulary, "word").groupBy(key).agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    ks, ws = (coded(c, "id", w).select("id", F.col("xs").alias(w + "s")) for w in ("k", "w"))
+    numbers = F.array().cast("array<int>")
+    c = c.select("id", "_cset", "c", F.size("k").alias("keywords"), F.size("w").alias("of_words")).join(ks, "id", "left").join(ws, "id", "left")
+    c = written(c.withColumns({n: F.coalesce(n, numbers) for n in ("ks", "ws")}), "claims")
+    f = facts.groupBy("_t").agg(F.any_value(F.struct("text", "_set")).alias("v")).select("_t", "v._set", T.tokens(F.col("v.text")).alias("w"))
+    f = written(f, "texts")
+    found = by_salt(f.select("_t", F.explode("w").alias("word")), F.col("_t")).join(salted(vocabulary), ["word", "_salt"])
+    found = found.groupBy("_t").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    texts = written(f.select("_t", "_set", F.size("w").alias("words")).join(found, "_t", "left").withColumn("xs", F.coalesce("xs", numbers)), "texts")
+    a = facts.groupBy("_set").agg(F.any_value("categories").alias("a"))
+    b = c.groupBy("_cset").agg(F.any_value("c").alias("b"))
+    shared = a.select("_set", "a", F.explode(F.array_distinct("a")).alias("e")).join(b.select("_cset", "b", F.explode(F.array_distinct("b")).alias("e")), "e").drop("e").distinct()
+    sets = written(shared.select("_set", "_cset", T.jaccard(F.col("a"), F.col("b")).alias("overlap")), "sets")
+    postings = c.select("id", "_cset", "keywords", "of_words", F.explode(F.array_union("ks", "ws")).alias("x"))
+    return Matching(texts, c.drop("c"), postings, sets)
+
+
+def candidates(m: Matching, rows: DataFrame) -> DataFrame:
+    """(_t, id), each once, of the rows (_t, _set, words, x, left, least) whose word x a claim has and whose bound is least or more.
+
+    left: how many of the text's words that occur in claims come from x on, in order of rarity. A pair whose rarest
+    shared word is x shares no more, and no more than the claim has; that bounds its score.
+    """
+    met = by_salt(rows, F.col("_t")).join(salted(m.postings), ["x", "_salt"]).join(m.sets, ["_set", "_cset"], "left")
+    most = lambda n: F.least(F.col("left"), F.col(n))
+    bound = score_of(F.coalesce("overlap", F.lit(0.0)), F.col("words"), most("keywords"), F.col("keywords"), most("of_words"), F.col("of_words"))
+    return met.filter(bound >= F.col("least")).select("_t", "id").distinct()
+
+
+def scored(m: Matching, pairs: DataFrame) -> DataFrame:
+    """(_t, id, score) of pairs, exactly."""
+    df = pairs.join(m.texts, "_t").join(m.claims, "id").join(m.sets, ["_set", "_cset"], "left")
+    same = F.array(F.struct(F.size(F.array_intersect("xs", "ks")).alias("k"), F.size(F.array_intersect("xs", "ws")).alias("w")))
+    # a lambda over one element: each overlap is counted once, though the score names it twice
+    score = F.transform(same, lambda n: score_of(F.coalesce("overlap", F.lit(0.0)), F.col("words"), n["k"], F.col("keywords"), n["w"], F.col("of_words")))
+    return df.select("_t", "id", F.get(score, F.lit(0)).alias("score"))
+
+
+def best_of(rows: DataFrame, key: str, top: int) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id"))
+    return rows.withColumn("rank", n).filter(F.col("rank") <= top)
 
 
-def match_claims(facts: DataFrame, claims: DataFrame, key: list[str], top: int = 3, least: float = 0.1) -> DataFrame:
-    """For each fact (by key) its best claims by score, ties by id, with bucket and rank.
+def match_claims(facts: DataFrame, claims: DataFrame, key: list[str], top: int = 3, least: float = 0.1, first: int = 2) -> DataFrame:
+    """For each fact (by key) its best claims by score, ties by id, with bucket and rank. Null texts and claims match
+    nothing; claims' ids are unique.
 
-    A score of `least` or more needs a shared category, keyword or word, so candidates come from equi-joins. Words
-    join distinct texts to claims. Categories are few and hot, so they join distinct category sets to claims: of the
-    claims that share no word with a fact only the `top` best of its set can be among its best, as any claim before them
-    scores no less for the fact. Each pair is scored exactly once; texts that occur often are scored once.
+    A score of `least` or more needs a shared category, keyword or word. By categories alone the `top` best claims of a
+    fact's category set come first of those that share no word. By words: a text's words are looked up from the
+    rarest. The `first` rarest give claims that are scored exactly; the top-th score so found (or least) is what a
+    further claim must reach. A claim whose rarest shared word is the n-th can only share the words from there on, so
+    the lookup of a text ends where even all of these would not reach it: common words are mostly never looked up. No
+    claim is lost: bounds are upper bounds of the rounded score, and ties are kept. Distinct texts are matched once.
     """
     none = F.array().cast("array<string>")
-    f = facts.select(*key, F.col("text"), F.coalesce("categories", none).alias("categories")).withColumn("_set", F.array_join("categories", "\u0002"))
-    f = f.withColumn("_t", F.sha2(F.concat_ws("\u0001", "text", "_set"), 256))
-    distinct = f.groupBy("_t").agg(F.any_value(F.struct("text", "categories", "_set")).alias("v")).select("_t", "v.categories", "v._set", T.tokens(F.col("v.text")).alias("words"))
-    c = claims.select("id", "claim", F.coalesce("keywords", none).alias("keywords"), F.coalesce("categories", none).alias("of_categories")).withColumn("of_words", T.tokens(F.col("claim")))
-    by_word = distinct.select("_t", F.explode("words").alias("e")).join(c.select("id", F.explode(F.array_union("keywords", "of_words")).alias("e")), "e").select("_t", "id")
-    sets = f.groupBy("_set").agg(F.any_value("categories").alias("categories"))
-    shared = sets.select("_set", F.explode(F.array_distinct("categories")).alias("e")).join(c.select("id", F.explode(F.array_distinct("of_categories")).alias("e")), "e").select("_set", "id").distinct()
-    by_set = shared.join(sets, "_set").join(c.select("id", "of_categories"), "id").withColumn("score", T.round_half_up(F.lit(0.4) * T.jaccard(F.col("categories"), F.col("of_categories")), 1000))
-    in_set = F.row_number().over(Window.partitionBy("_set").orderBy(F.desc("score"), "id"))
-    by_set = by_set.withColumn("rank", in_set).filter(F.col("rank") <= top).select("_set", "id")
-    pairs = by_word.unionByName(distinct.select("_t", "_set").join(by_set, "_set").select("_t", "id")).distinct()
-    scored = pairs.join(distinct, "_t").join(c, "id").withColumn("score", T.match_score(F.col("categories"), F.col("keywords"), F.col("words"), F.col("of_categories"), F.col("of_words")))
-    best = F.row_number().over(Window.partitionBy("_t").orderBy(F.desc("score"), "id"))
-    scored = scored.filter(F.col("score") >= least).withColumn("rank", best).filter(F.col("rank") <= top).select("_t", "id", "score", T.match_bucket(F.col("score")).alias("bucket"), "rank")
-    return f.select(*key, "_t").join(scored, "_t").drop("_t")
+    f = facts.filter("text IS NOT NULL").select(*key, F.col("text"), F.coalesce("categories", none).alias("categories")).withColumn("_set", F.array_join("categories", SEP))
+    f = f.withColumn("_t", F.unhex(F.sha2(F.concat_ws("\u0001", "text", "_set"), 256)))
+    m = prepared(f, claims)
+    by_set = m.sets.join(m.claims.select("id", "_cset"), "_cset").select("_set", "id", T.round_half_up(F.lit(0.4) * F.col("overlap"), 1000).alias("score"))
+    by_set = best_of(by_set, "_set", top).select("_set", "id")
+    overlap = m.sets.groupBy("_set").agg(F.max("overlap").alias("most"))
+    words = m.texts.join(overlap, "_set", "left").select("_t", "_set", "words", F.coalesce("most", F.lit(0.0)).alias("most"), F.posexplode("xs").alias("at", "x"), F.size("xs").alias("n"))
+    words = words.withColumn("left", F.col("n") - F.col("at"))
+    early = candidates(m, words.filter(F.col("at") < first).withColumn("least", F.lit(least)))
+    pairs = early.unionByName(m.texts.join(by_set, "_set").select("_t", "id")).distinct()
+    begun = written(scored(m, pairs), "scored").filter(F.col("score") >= least)
+    reach = best_of(begun, "_t", top).filter(F.col("rank") == top).select("_t", F.col("score").alias("least"))
+    late = words.filter(F.col("at") >= first).join(reach, "_t", "left").withColumn("least", F.coalesce("least", F.lit(least)))
+    whole = score_of(F.col("most"), F.col("words"), F.col("left"), F.col("left"), F.col("left"), F.col("left"))
+    more = candidates(m, late.filter(whole >= F.col("least"))).join(begun.select("_t", "id"), ["_t", "id"], "left_anti")
+    every = begun.unionByName(scored(m, more))
+    best = best_of(every, "_t", top).filter(F.col("score") >= least).select("_t", "id", "score", T.match_bucket(F.col("score")).alias("bucket"), "rank")
+    return f.select(*key, "_t").join(best, "_t").drop("_t")
 
 
 def tag_overlap(edges: DataFrame, topics: DataFrame) -> DataFrame:

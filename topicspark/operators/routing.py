@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from topicspark.functions import text as T
+from topicspark.operators.ordered import numbered
+from topicspark.shared import written
 
 
 def run_of(words: Column, n: int) -> Callable[[Column], Column]:
@@ -19,21 +21,24 @@ def classified(paths: DataFrame, routing: DataFrame) -> DataFrame:
     """Paths (path) with topic, keyword and ambiguous.
 
     The keyword with the most words wins, then the longest, then the dictionary's first within a topic; if two topics
-    are equal at the best, the path is ambiguous and gets none. Candidates: a keyword of letters and digits is a run of
-    the path's words, so runs of up to the longest keyword's words meet it in an equi-join; the others are tried by
-    the pattern itself against all paths, from a side that is broadcast only if Spark finds it small.
+    are equal at the best, the path is ambiguous and gets none. Candidates meet in one equi-join on an anchor, and the
+    pattern is tried on them alone. The anchor of a keyword of letters and digits is the keyword, a run of the path's words.
+    One with punctuation has its longest word as anchor: all its words are whole words of a path that contains it. One of
+    punctuation alone must stand between two words, so it is what lies between two words of the path.
     """
-    k = routing.withColumn("needle", T.normalise_path(F.col("keyword")))
-    k = k.withColumns({"words": F.size(F.split("needle", " ")), "chars": F.length("needle"), "plain": F.col("needle").rlike("^[a-z0-9]+( [a-z0-9]+)*$")})
-    most = k.agg(F.coalesce(F.max("words"), F.lit(1))).first()[0]
+    k = routing.withColumn("needle", T.normalise_path(F.col("keyword"))).filter("needle <> ''")
+    longest = F.array_sort(F.array_remove(F.split("needle", "[^A-Za-z0-9_]+", -1), ""), lambda a, b: F.length(b) - F.length(a))
+    plain = F.col("needle").rlike("^[a-z0-9]+( [a-z0-9]+)*$")
+    anchor = F.when(plain, F.col("needle")).otherwise(F.coalesce(F.try_element_at(longest, F.lit(1)), F.col("needle")))
+    k = k.withColumns({"words": F.size(F.split("needle", " ")), "chars": F.length("needle"), "anchor": anchor})
+    most = k.agg(F.coalesce(F.max(F.when(plain, F.col("words"))), F.lit(1))).first()[0]
     p = paths.select("path").distinct().withColumn("normal", T.normalise_path(F.col("path")))
     words = F.split(F.regexp_replace("normal", "[^A-Za-z0-9_]+", " "), " ")
     runs = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.size(words)), run_of(words, n)) for n in range(1, most + 1)]))
-    grams = p.select("path", "normal", F.explode(F.array_distinct(runs)).alias("needle"))
-    plain = grams.join(k.filter("plain"), "needle")
-    other = p.join(k.filter("NOT plain"), T.contains_words(F.col("normal"), F.col("needle")))
+    between = F.array_remove(F.split("normal", "[A-Za-z0-9_]+", -1), "")
+    hits = p.select("path", "normal", F.explode(F.array_distinct(F.concat(runs, between))).alias("anchor")).join(k, "anchor")
     columns = ["path", "normal", "needle", "topic", "topic_ord", "keyword", "keyword_ord", "words", "chars"]
-    hits = plain.select(columns).unionByName(other.select(columns)).filter(T.contains_words(F.col("normal"), F.col("needle")))
+    hits = hits.select(columns).filter(T.contains_words(F.col("normal"), F.col("needle")))
     order = [F.desc("words"), F.desc("chars")]
     best = hits.withColumn("r", F.row_number().over(Window.partitionBy("path", "topic").orderBy(*order, "keyword_ord"))).filter("r = 1")
     best = best.withColumn("rank", F.rank().over(Window.partitionBy("path").orderBy(*order))).filter("rank = 1")
@@ -56,23 +61,53 @@ def missing_topics(routed: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def staged_names(files: DataFrame) -> DataFrame:
-    """Files (topic, path, hash) with their staged name: later ones of a topic with one basename get -<hash8>; `clash`
-    tells a name that still occurs twice."""
-    df = files.withColumn("base", T.basename(F.col("path")))
-    n = F.row_number().over(Window.partitionBy("topic", "base").orderBy("path"))
-    suffixed = F.concat(T.stem(F.col("path")), F.lit("-"), F.substring("hash", 1, 8), F.substring(F.col("base"), F.length(T.stem(F.col("path"))) + 1, F.lit(1 << 20)))
-    df = df.withColumn("name", F.when(n == 1, F.col("base")).otherwise(suffixed)).drop("base")
-    return df.withColumn("clash", F.count("*").over(Window.partitionBy("topic", "name")) > 1)
+    """Files (topic, path, hash) with their staged name. In the order of a topic's paths, a file whose base name is used
+    already gets -<hash8> before its extension, and the name that it gets is used from then on; `clash` tells a name that
+    still occurs twice (suffixed names aren't tried again).
+
+    A name is used if an earlier file has that base name, or if it is an earlier file's suffixed name. The latter can
+    only be said of a base name that ends like a suffixed one, so such files alone are looked at again, in joins by
+    (topic, name), until none changes: a suffixed name is nine characters longer than its base name, so that rounds are
+    as few as the suffixes that a name holds. No topic is gathered.
+    """
+    base, stem = T.basename(F.col("path")), T.stem(F.col("path"))
+    suffixed = F.concat(stem, F.lit("-"), F.substring("hash", 1, 8), F.substring(base, F.length(stem) + 1, F.lit(1 << 20)))
+    df = written(numbered(files.withColumns({"_base": base, "_suffixed": suffixed}), ["topic", "_base"], ["path", "hash"], "_n"), "names")
+    later = df.filter("_n > 1").select("topic", "path", "_suffixed")
+    odd = df.filter((F.col("_n") == 1) & F.col("_base").rlike(r"-[^/]{0,8}(\.[^.]*)?$")).select("topic", "path", "_base", "_suffixed")
+    late = None
+    if not odd.isEmpty():
+        odd, found = written(odd, "names"), later
+        while True:
+            since = found.groupBy("topic", F.col("_suffixed").alias("_base")).agg(F.min("path").alias("_since"))
+            now = written(odd.join(since, ["topic", "_base"]).filter("_since < path").select("topic", "path", "_suffixed"), "names")
+            if now.count() == (late.count() if late is not None else 0):
+                break
+            late, found = now, later.unionByName(now)
+    if late is None:
+        df = df.withColumn("_late", F.lit(None).cast("boolean"))
+    else:
+        df = df.join(late.select("topic", "path", F.lit(True).alias("_late")), ["topic", "path"], "left")
+    df = df.withColumn("name", F.when((F.col("_n") > 1) | F.coalesce("_late", F.lit(False)), F.col("_suffixed")).otherwise(F.col("_base")))
+    twice = df.groupBy("topic", "name").agg(F.count("*").alias("_same")).filter("_same > 1").select("topic", "name", F.lit(True).alias("clash"))
+    return df.join(twice, ["topic", "name"], "left").select(*files.columns, "name", F.coalesce("clash", F.lit(False)).alias("clash"))
+
+
+# What a topic's name in a routing dictionary must look like.
+SLUG = "^[a-z0-9-]+$"
 
 
 def routing_errors(routing: DataFrame) -> DataFrame:
-    """V2: bad topic paths, blank keywords, and normalised keywords of two topics."""
+    """V2: (topic, error), each once, of a dictionary as read_routing gives it: bad topic names, topics without a keyword (a row
+    without keyword_ord), blank or missing keywords, and normalised keywords of two topics."""
     k = routing.withColumn("needle", T.normalise_path(F.col("keyword")))
-    bad = k.filter(~T.valid_path(F.col("topic"))).select("topic", F.lit("invalid topic path").alias("error")).distinct()
-    blank = k.filter(T.trimmed(F.coalesce("keyword", F.lit(""))) == "").select("topic", F.lit("blank keyword").alias("error")).distinct()
-    shared = k.groupBy("needle").agg(F.countDistinct("topic").alias("n")).filter("n > 1")
-    twice = k.join(shared, "needle", "left_semi").select("topic", F.concat(F.lit("keyword of two topics: "), F.col("needle")).alias("error")).distinct()
-    return bad.unionByName(blank).unionByName(twice)
+    no_list = F.col("keyword_ord").isNull() if "keyword_ord" in routing.columns else F.lit(False)
+    bad = k.filter(~F.coalesce(F.col("topic").rlike(SLUG), F.lit(False))).select("topic", F.lit("invalid topic name").alias("error"))
+    none = k.filter(no_list).select("topic", F.lit("no keywords").alias("error"))
+    blank = k.filter(~no_list & (T.trimmed(F.coalesce("keyword", F.lit(""))) == "")).select("topic", F.lit("blank keyword").alias("error"))
+    shared = k.filter("needle <> ''").groupBy("needle").agg(F.countDistinct("topic").alias("n")).filter("n > 1")
+    twice = k.join(shared, "needle", "left_semi").select("topic", F.concat(F.lit("keyword of two topics: "), F.col("needle")).alias("error"))
+    return bad.unionByName(none).unionByName(blank).unionByName(twice).distinct()
 
 
 def resolved(path: Column) -> Column:

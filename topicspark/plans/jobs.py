@@ -54,11 +54,20 @@ class Routed(NamedTuple):
     missing: DataFrame
 
 
-def route(manifest: DataFrame, routing: DataFrame, topics: DataFrame) -> Routed:
-    """Where each physical path of the done entries would go, counts by topic, and topics that have no node."""
+def route(manifest: DataFrame, routing: DataFrame, topics: DataFrame, existing: DataFrame | None = None) -> Routed:
+    """Where each physical path of the done entries would go, counts by topic, and topics that have no node.
+
+    staged: (topic, path, hash, name, clash, status). existing: the paths (path) that are still there; a routed file that isn't is
+    `missing` and takes no name, the others are `staged`.
+    """
     paths = TI.physical_paths(manifest.filter("status = 'done'"))
     routed = RO.classified(paths, routing)
-    staged = RO.staged_names(routed.filter("topic IS NOT NULL").select("topic", "path", "hash"))
+    files = routed.filter("topic IS NOT NULL").select("topic", "path", "hash")
+    there = files if existing is None else files.join(existing.select("path"), "path", "left_semi")
+    staged = RO.staged_names(there.select("topic", "path", "hash")).withColumn("status", F.lit("staged"))
+    if existing is not None:
+        gone = files.join(existing.select("path"), "path", "left_anti").select("topic", "path", "hash", F.lit("missing").alias("status"))
+        staged = staged.unionByName(gone, allowMissingColumns=True)
     return Routed(staged, RO.routing_counts(routed), RO.missing_topics(routed, topics))
 
 

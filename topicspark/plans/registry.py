@@ -306,16 +306,22 @@ def j8_missing_topics(spark, d):
 
 
 @query(
-    """, p AS (SELECT topic, path, hash, base, row_number() OVER (PARTITION BY topic, base ORDER BY path) AS n FROM (SELECT string_split(path, '/')[2] AS topic, path, hash, 'doc' || doc_id % 10 || lower(regexp_extract(path, '(\\.[A-Za-z]*)$', 1)) AS base, doc_id FROM v_intake))
-    SELECT topic, path, CASE WHEN n = 1 THEN base ELSE regexp_replace(base, '(\\.[^.]*)?$', '-' || hash[1:8] || '\\1') END AS name FROM (SELECT topic, topic || '/' || hash || '/' || base AS path, hash, base, row_number() OVER (PARTITION BY topic, base ORDER BY topic || '/' || hash || '/' || base) AS n FROM p)""",
-    "v_intake",
+    """WITH RECURSIVE h AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN repeat('f', 64) ELSE sha256(text) END AS hash FROM documents),
+    f AS (SELECT h.doc_id, 't' || h.doc_id % 4 AS topic, h.hash, 'doc' || h.doc_id % 10 AS stem, CASE WHEN h.doc_id % 3 = 0 THEN coalesce('-' || o.hash[1:8], '') ELSE '' END AS tail FROM h LEFT JOIN h o ON o.doc_id = h.doc_id - 20),
+    p AS (SELECT topic, topic || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '/' || stem || tail || '.txt' AS path, stem || tail || '.txt' AS base, stem || tail || '-' || hash[1:8] || '.txt' AS other, row_number() OVER (PARTITION BY topic ORDER BY doc_id) AS n FROM f),
+    r AS (SELECT topic, n, path, base AS name, [base] AS used FROM p WHERE n = 1 UNION ALL
+      SELECT p.topic, p.n, p.path, CASE WHEN list_contains(used, base) THEN other ELSE base END, list_append(used, CASE WHEN list_contains(used, base) THEN other ELSE base END) FROM r JOIN p ON p.topic = r.topic AND p.n = r.n + 1)
+    SELECT topic, path, name, count(*) OVER (PARTITION BY topic, name) > 1 AS clash FROM r"""
 )
 def w9_staged_names(spark, d):
-    """Staged names of files whose base names collide."""
-    i = V.intake(spark, d)
-    base = F.concat(F.lit("doc"), (F.col("doc_id") % 10).cast("string"), T.extension(F.col("path")))
-    topic = F.element_at(F.split("path", "/"), 2)
-    return RO.staged_names(i.select(topic.alias("topic"), F.concat_ws("/", topic, "hash", base).alias("path"), "hash")).select("topic", "path", "name")
+    """Staged names of files whose base names collide with each other and with suffixed names; some hashes are equal."""
+    id_ = F.col("doc_id")
+    h = V.table(spark, d, "documents").select("doc_id", F.when(id_ % 11 == 0, "f" * 64).otherwise(F.sha2("text", 256)).alias("hash"))
+    other = h.select((id_ + 20).alias("doc_id"), F.concat(F.lit("-"), F.substring("hash", 1, 8)).alias("tail"))
+    base = F.concat(F.lit("doc"), (id_ % 10).cast("string"), F.when(id_ % 3 == 0, F.coalesce("tail", F.lit(""))).otherwise(""), F.lit(".txt"))
+    topic = F.concat(F.lit("t"), (id_ % 4).cast("string"))
+    files = h.join(other, "doc_id", "left").select(topic.alias("topic"), F.concat_ws("/", topic, F.lpad(id_.cast("string"), 9, "0"), base).alias("path"), "hash")
+    return RO.staged_names(files).select("topic", "path", "name", "clash")
 
 
 TRIAGED = """o AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY string_split(path, '/')[-1], path) AS k, doc_id % 7 AS e FROM v_intake),
@@ -447,6 +453,25 @@ def j9_descendants(spark, d):
     return TR.closure(TR.expanded(V.leaves(spark, d)), with_self=False).groupBy(F.col("ancestor").alias("path")).agg(F.count("*").alias("descendants"))
 
 
+@query(
+    f""", {CLOSED},
+    k AS (SELECT * FROM nodes WHERE NOT regexp_matches(path, '^[^/]*/[a-h][^/]*$')),
+    ch AS (SELECT path AS parent, path || '/' || name AS child FROM (SELECT k.path, unnest(list_concat((SELECT coalesce(list(string_split(m.path, '/')[-1]), []) FROM nodes m WHERE starts_with(m.path, k.path || '/') AND len(string_split(m.path, '/')) = len(string_split(k.path, '/')) + 1
+      AND NOT regexp_matches(m.path, '[37]$')), CASE WHEN k.path NOT LIKE '%/%' THEN ['nowhere', 'france/customer-3', 'france/customer-6'] ELSE [] END)) AS name FROM k)),
+    w AS (SELECT parent AS ancestor, child AS descendant FROM ch WHERE child IN (SELECT path FROM k) UNION SELECT w.ancestor, ch.child FROM w JOIN ch ON ch.parent = w.descendant WHERE ch.child IN (SELECT path FROM k))
+    SELECT ancestor, count(*) AS descendants, min(descendant) AS first, max(descendant) AS last FROM w GROUP BY ancestor""",
+    "v_leaves",
+)
+def j9_listed_walk(spark, d):
+    """What a walk through children reaches where some nodes are missing (nations from a to h), some aren't named (paths
+    that end in 3 or 7), and regions name a child that isn't there and ones two levels below."""
+    nodes = TR.expanded(V.leaves(spark, d)).filter(~F.col("path").rlike("^[^/]*/[a-h][^/]*$"))
+    named = F.filter("children", lambda c: ~c.rlike("[37]$"))
+    more = F.when(~F.col("path").contains("/"), F.array(F.lit("nowhere"), F.lit("france/customer-3"), F.lit("france/customer-6"))).otherwise(F.array().cast("array<string>"))
+    pairs = TR.closure(nodes.select("path", F.concat(named, more).alias("children")), with_self=False)
+    return pairs.groupBy("ancestor").agg(F.count("*").alias("descendants"), F.min("descendant").alias("first"), F.max("descendant").alias("last"))
+
+
 @query("SELECT DISTINCT actor, true AS valid FROM v_leaves", "v_leaves")
 def a19_actors(spark, d):
     """A19, V9."""
@@ -582,11 +607,23 @@ def v1_schema_errors(spark, d):
     return QU.fact_errors(f).select("doc_id", "pos", "error")
 
 
-@query("SELECT DISTINCT topic, 'keyword of two topics: ' || trim(regexp_replace(translate(lower(keyword), '_-/', '   '), '\\s+', ' ', 'g')) AS error FROM (SELECT 'a' || user_id % 3 AS topic, event_type || '-' || user_id % 4 AS keyword FROM events) k WHERE keyword IN (SELECT event_type || '-' || user_id % 4 FROM events GROUP BY 1 HAVING count(DISTINCT user_id % 3) > 1)")
+DICTIONARY = """k AS (SELECT CASE c_custkey % 6 WHEN 0 THEN 'a/b' || c_custkey % 4 WHEN 1 THEN 'a--b' || c_custkey % 4 WHEN 2 THEN 'Topic ' || c_custkey % 3 ELSE 't' || c_custkey % 40 END AS topic,
+ CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 7 = 1 THEN ' ' || chr(9) WHEN c_custkey % 7 = 2 THEN NULL ELSE c_mktsegment || '_' || c_custkey % 90 END AS keyword, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey % 3 END AS keyword_ord FROM customer),
+ n AS (SELECT *, trim(regexp_replace(translate(lower(keyword), '_-/', '   '), '\\s+', ' ', 'g')) AS needle FROM k)"""
+
+
+@query(
+    f"""WITH {DICTIONARY} SELECT topic, 'invalid topic name' AS error FROM n WHERE NOT regexp_matches(topic, '^[a-z0-9-]+$') UNION SELECT topic, 'no keywords' FROM n WHERE keyword_ord IS NULL
+    UNION SELECT topic, 'blank keyword' FROM n WHERE keyword_ord IS NOT NULL AND coalesce(needle, '') = ''
+    UNION SELECT topic, 'keyword of two topics: ' || needle FROM n WHERE needle IN (SELECT needle FROM n WHERE needle <> '' GROUP BY needle HAVING count(DISTINCT topic) > 1)"""
+)
 def v2_routing_errors(spark, d):
-    """V2: a routing dictionary checked."""
-    e = V.table(spark, d, "events").select(F.concat(F.lit("a"), (F.col("user_id") % 3).cast("string")).alias("topic"), F.concat(F.col("event_type"), F.lit("-"), (F.col("user_id") % 4).cast("string")).alias("keyword")).distinct()
-    return RO.routing_errors(e)
+    """V2: a routing dictionary that breaks all four rules, checked."""
+    k = F.col("c_custkey")
+    text = lambda c: c.cast("string")
+    topic = F.when(k % 6 == 0, F.concat(F.lit("a/b"), text(k % 4))).when(k % 6 == 1, F.concat(F.lit("a--b"), text(k % 4))).when(k % 6 == 2, F.concat(F.lit("Topic "), text(k % 3))).otherwise(F.concat(F.lit("t"), text(k % 40)))
+    keyword = F.when(k % 7 == 1, F.lit(" \t")).when(k % 7 > 2, F.concat_ws("_", "c_mktsegment", text(k % 90)))
+    return RO.routing_errors(V.table(spark, d, "customer").select(topic.alias("topic"), keyword.alias("keyword"), F.when(k % 7 > 0, k % 3).alias("keyword_ord")))
 
 
 @query("SELECT id, error FROM (SELECT id, unnest(CASE WHEN len(claim) < 20 THEN ['claim: not empty'] ELSE [] END) AS error FROM v_claims UNION ALL SELECT id[1:5], 'id: not unique' FROM v_claims WHERE false)", "v_claims")
@@ -768,3 +805,15 @@ def e12_routed(spark, d):
     staged = r.staged.groupBy("topic").agg(F.countDistinct("name").alias("n_staged"))
     df = r.counts.join(staged, "topic", "left").join(r.missing.withColumn("lacks", F.lit(True)), "topic", "left")
     return df.select("topic", "n", "n_ambiguous", F.coalesce("n_staged", F.lit(0)).alias("n_staged"), F.coalesce("lacks", F.lit(False)).alias("missing"))
+
+
+@query(
+    f""", {ROUTED} SELECT topic, path, CASE WHEN doc_id % 13 <> 0 THEN string_split(path, '/')[-1] END AS name, CASE WHEN doc_id % 13 <> 0 THEN 'staged' ELSE 'missing' END AS status FROM routed WHERE topic IS NOT NULL""",
+    "v_intake", "v_routing",
+)
+def e12_staged(spark, d):
+    """Every routed file with its staged name, or that it no longer exists."""
+    i = V.intake(spark, d)
+    manifest = TI.intake_manifest(i).withColumn("status", F.lit("done"))
+    staged = JO.route(manifest, V.routing(spark), i.select("path"), i.filter("doc_id % 13 <> 0").select("path")).staged
+    return staged.select("topic", "path", "name", "status")

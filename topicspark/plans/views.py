@@ -150,4 +150,4 @@ def with_views(sql: str, *names: str) -> str:
         add(name)
     head = ",\n".join(f"{n} AS ({SQL[n]})" for n in order)
     body = sql.strip()
-    return f"WITH {head},\n{body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head}\n{body}"
+    return f"WITH RECURSIVE {head},\n{body[5:]}" if body[:5].upper() == "WITH " else f"WITH RECURSIVE {head}\n{body}"
