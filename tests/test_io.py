@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from topicspark.sources import readers as R
 from topicspark.sources import writers as W
+from topicspark.sources.versioned import VersionedTable
 from topicspark.streaming import streams as ST
 
 
@@ -96,34 +97,99 @@ def test_streams(spark, tmp_path):
     for rows in ([("x/a.txt", "h1"), ("x/b.xyz", "h2")], [("y/a.txt", "h1"), ("y/b.txt", "h2")]):
         spark.createDataFrame(rows, fschema).coalesce(1).write.mode("append").parquet(str(files))
         ST.started(spark.readStream.schema(fschema).parquet(str(files)), isink, str(tmp_path / "c2")).awaitTermination()
-    last = ST.snapshot(spark, str(tmp_path / "manifest"), "hash string, status string")
+    last = ST.manifest_table(spark, str(tmp_path / "manifest")).read()
     assert {r.hash: r.status for r in last.collect()} == {"h1": "done", "h2": "done"}
 
 
-def test_replayed_batches(spark, tmp_path):
-    """A batch that is run again, after a crash at any point, gives the same report and snapshot; two snapshots are kept."""
-    schema = "topic string, fact_key string"
+def replay(spark, tmp_path, run, rows_of):
+    """The reports of batches of which each is run again after its state was written and after its version was lost."""
+    schema = "topic string, fact_key string, run bigint"
     cursor, reports = tmp_path / "cursor", tmp_path / "reports"
-    sink = ST.new_fact_sink(str(cursor), str(reports))
-    batches = [spark.createDataFrame(rows, schema) for rows in ([("a", "1"), ("a", "2")], [("a", "2"), ("a", "3")], [("b", "1")], [("b", "1"), ("b", "2")])]
-    read = lambda p: sorted(tuple(r) for r in spark.read.schema(schema).parquet(str(p)).collect())
-    for n, batch in enumerate(batches):
+    sink = ST.new_fact_sink(str(cursor), str(reports), run)
+    table = ST.cursor_table(spark, str(cursor))
+    state = lambda n: sorted(map(str, table.merged(table.segments(sorted(v for v in table.versions() if v[:13] == f"v{n:012d}")[-1])).collect()))
+    read = lambda n: sorted(tuple(r)[:2] for r in spark.read.parquet(str(reports / f"batch-{n:09d}")).filter("NOT late").collect())
+    out = []
+    for n, rows in enumerate(rows_of):
+        batch = spark.createDataFrame(rows, schema)
         sink(batch, n)
-        once = read(reports / f"batch-{n:09d}"), read(cursor / f"batch-{n:09d}")
-        sink(batch, n)  # died after the snapshot was written
-        assert (read(reports / f"batch-{n:09d}"), read(cursor / f"batch-{n:09d}")) == once
-        (cursor / f"batch-{n:09d}" / "_SUCCESS").unlink()  # died while the snapshot was being written
+        once = read(n), state(n)
+        sink(batch, n)  # died after the version was written
+        assert (read(n), state(n)) == once
+        for v in (cursor / "versions").glob(f"v{n:012d}*"):
+            v.unlink()  # died before
+        for v in (cursor / "versions").glob(f".v{n:012d}*"):
+            v.unlink()
         sink(batch, n)
-        assert (read(reports / f"batch-{n:09d}"), read(cursor / f"batch-{n:09d}")) == once
-    assert [read(p) for p in sorted(reports.iterdir())] == [[("a", "1"), ("a", "2")], [("a", "3")], [("b", "1")], [("b", "2")]]
-    assert sorted(p.name for p in cursor.iterdir()) == ["batch-000000002", "batch-000000003"]
+        assert (read(n), state(n)) == once
+        out.append(once[0])
+    return out, table
+
+
+def test_replayed_batches(spark, tmp_path):
+    batches = [[(t, k, 0) for t, k in b] for b in ([("a", "1"), ("a", "2")], [("a", "2"), ("a", "3")], [("b", "1")], [("b", "1"), ("b", "2")])]
+    got, _ = replay(spark, tmp_path, None, batches)
+    assert got == [[("a", "1"), ("a", "2")], [("a", "3")], [("b", "1")], [("b", "2")]]
 
     manifest = tmp_path / "manifest"
     ingest = ST.ingest_sink(str(manifest))
     files = spark.createDataFrame([("x/a.txt", "h1"), ("x/b.xyz", "h2")], "path string, hash string")
     for _ in range(2):
         ingest(files, 0)
-        assert {r.hash: r.status for r in ST.snapshot(spark, str(manifest), "hash string, status string").collect()} == {"h1": "done", "h2": "failed"}
+        assert {r.hash: r.status for r in ST.manifest_table(spark, str(manifest)).read().collect()} == {"h1": "done", "h2": "failed"}
+
+
+def test_runs_over_several_batches(spark, tmp_path):
+    """A topic's run is spread over batches: its facts are judged by the whole run before, and told once."""
+    batches = [
+        [("a", "k1", 1), ("b", "x", 1)],
+        [("a", "k2", 1), ("a", "k2", 1)],
+        [("a", "k1", 1)],  # the same run again: told before
+        [("a", "k2", 2), ("a", "k3", 2)],
+        [("a", "k1", 2), ("a", "k2", 2), ("b", None, 2)],  # k1 was in run 1; b has no facts any more
+        [("a", "k9", 1), ("b", "x", 3), ("a", "k4", 3), ("a", "k4", 4), ("a", "k3", 4)],  # late; back again; two runs in one batch
+    ]
+    got, table = replay(spark, tmp_path, "run", batches)
+    assert got == [[("a", "k1"), ("b", "x")], [("a", "k2")], [], [("a", "k3")], [], [("a", "k3"), ("a", "k4"), ("b", "x")]]
+    late = spark.read.parquet(str(tmp_path / "reports" / "batch-000000005")).filter("late").collect()
+    assert [tuple(r)[:3] for r in late] == [("a", "k9", 1)]
+    assert len(table.versions()) <= 4
+
+
+def test_versioned_table(spark, tmp_path):
+    kinds = "k long, v string"
+    t = VersionedTable(spark, str(tmp_path / "t"), kinds, ["k"], 16)
+    rows = lambda *r: spark.createDataFrame(list(r), kinds)
+    read = lambda *a: sorted((tuple(r) for r in t.read(*a).collect()), key=str)
+    assert read() == [] and t.lookup(rows((1, "x"))).count() == 0
+    t.upsert(rows(*[(k, "old") for k in range(500)], (None, "null")))
+    before = sum(s["rows"] for s in t.segments(t.version_before()))
+    t.upsert(rows((1, "new"), (2, "gone"), (900, "more"), (None, "null again")), gone=F.col("v") == "gone")
+    assert sum(s["rows"] for s in t.segments(t.version_before())) == before + 4  # in proportion to the batch
+    want = sorted([(k, "old") for k in range(500) if k not in (1, 2)] + [(1, "new"), (900, "more"), (None, "null again")], key=str)
+    assert read() == want and read(1) == sorted([(k, "old") for k in range(500)] + [(None, "null")], key=str)
+    with pytest.raises(Exception):  # a batch that fails leaves the table as it was, and no reader sees it
+        t.upsert(spark.range(3).selectExpr("id AS k", "CAST(assert_true(id < 1) AS string) AS v"))
+    assert read() == want
+    assert not t.compact() and t.compact(force=True) and read() == want and len(t.segments(t.version_before())) == 1
+    t.vacuum(2)
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("segment-")]) == 1 and read() == want
+    t.replace(t.read().filter("k < 5"))
+    assert [k for k, _ in read()] == [0, 1, 3, 4]
+
+
+def test_payload_lookup_prunes_files(spark, tmp_path):
+    table = W.payload_table(spark, str(tmp_path / "p"), "content_hash string, body string", 64)
+    table.upsert(spark.range(2000).select(F.sha2(F.col("id").cast("string"), 256).alias("content_hash"), F.col("id").cast("string").alias("body")))
+    wanted = spark.range(3).select(F.sha2(F.col("id").cast("string"), 256).alias("content_hash")).union(spark.createDataFrame([("no such",)], "content_hash string"))
+    df = table.lookup(wanted)
+    assert sorted(r.body for r in df.collect()) == ["0", "1", "2"]
+    folder = table.segments(table.version_before())[0]["folder"]
+    files = len(list((tmp_path / "p" / folder).glob("_bucket=*/*.parquet")))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert files >= 60 and "PartitionFilters: [" in plan and "_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    read = table.merged(table.segments(table.version_before()), lambda d: d.filter(F.col("_bucket").isin([r[0] for r in wanted.select(table.bucket()).distinct().collect()])))
+    assert len({r[0] for r in read.select(F.input_file_name()).collect()}) <= 4
 
 
 @pytest.mark.parametrize("relative", [False, True])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,9 @@ from topicspark.operators import triage as TI
 from topicspark.plans import jobs as JO
 from topicspark.plans import views as V
 from topicspark.plans.views import sql_normal, sql_tokens, with_views
+from topicspark.shared import shared_folder
+from topicspark.sources import writers as W
+from topicspark.sources.versioned import VersionedTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -536,9 +540,31 @@ def w6_latest_entries(spark, d):
 
 @query(f"WITH {MANIFEST}, p AS (SELECT props, count(*) AS n_views FROM events WHERE event_type = 'view' AND event_id % 3 = 0 GROUP BY props) SELECT topic, hash, event_id, n_views FROM la JOIN p ON la.hash = p.props WHERE n = 1 AND status = 'done'")
 def j3_done_payloads(spark, d):
-    """Done entries with their hash's payload; those without one are skipped."""
+    """Done entries with their hash's payload, looked up in a payload table; those without one are skipped."""
     payloads = V.table(spark, d, "events").filter("event_type = 'view' AND event_id % 3 = 0").groupBy(F.col("props").alias("content_hash")).agg(F.count("*").alias("n_views"))
-    return TI.done_payloads(TI.latest_entries(manifest_events(spark, d)), payloads).select("topic", "hash", "event_id", "n_views")
+    table = W.payload_table(spark, f"{shared_folder(spark)}/payloads-{uuid.uuid4().hex}", "content_hash string, n_views bigint", 16)
+    table.upsert(payloads)
+    entries = TI.latest_entries(manifest_events(spark, d))
+    found = table.lookup(entries.filter("status = 'done'").select(F.col("hash").alias("content_hash")))
+    return TI.done_payloads(entries, found).select("topic", "hash", "event_id", "n_views")
+
+
+@query(
+    """WITH b AS (SELECT 'user-' || user_id AS topic, props AS hash, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'done' END AS status, event_id, event_id % 3 AS batch FROM events),
+    o AS (SELECT *, row_number() OVER (PARTITION BY batch, topic, hash ORDER BY event_id DESC) AS n, row_number() OVER (PARTITION BY topic, hash ORDER BY batch DESC, event_id DESC) AS last FROM b)
+    SELECT topic, hash, status, event_id FROM o WHERE last = 1 AND NOT (batch = 2 AND event_id % 5 = 0)"""
+)
+def w6_upserted_batches(spark, d):
+    """W6, K1, T-S3: a keyed table after three batches, each replayed; the third removes some of its keys."""
+    e = manifest_events(spark, d).select("topic", "hash", "status", F.col("event_id").alias("id"))
+    table = VersionedTable(spark, f"{shared_folder(spark)}/upserts-{uuid.uuid4().hex}", "topic string, hash string, status string, event_id bigint", ["topic", "hash"], 8)
+    for k in range(3):
+        batch = e.filter(F.col("id") % 3 == k).groupBy("topic", "hash").agg(F.max_by("status", "id").alias("status"), F.max("id").alias("event_id"))
+        for _ in range(2):
+            table.upsert(batch, k, F.lit(k == 2) & (F.col("event_id") % 5 == 0))
+        table.compact()
+        table.vacuum(k)
+    return table.read()
 
 
 @query(f"WITH {MANIFEST} SELECT topic, hash, event_id FROM la WHERE n = 1 AND status = 'failed'")

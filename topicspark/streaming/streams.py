@@ -1,4 +1,4 @@
-"""Incremental forms: metrics of a growing log, facts new since the last snapshot, and resumable ingestion."""
+"""Incremental forms: metrics of a growing log, facts new since a topic's last run, and resumable ingestion."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from topicspark import schemas as S
-from topicspark.operators import matching as M
 from topicspark.operators import triage as TI
+from topicspark.shared import written
+from topicspark.sources.versioned import VersionedTable
 
 
 def metric_stream(spark: SparkSession, folder: str, schema: str = S.TIMING) -> DataFrame:
@@ -23,55 +24,67 @@ def folder(number: int) -> str:
     return f"batch-{number:09d}"
 
 
-def committed(spark: SparkSession, path: str) -> tuple[list[str], object, Callable]:
-    """The names of the snapshots under path that were written whole, in order; the file system and its path maker."""
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    to_path = jvm.org.apache.hadoop.fs.Path
-    at = to_path(path)
-    fs = at.getFileSystem(hadoop)
-    return sorted(str(x.getPath().getName()) for x in (fs.listStatus(at) if fs.exists(at) else []) if fs.exists(to_path(f"{x.getPath()}/_SUCCESS"))), fs, to_path
-
-
-def snapshot(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """The newest committed snapshot under path (folders by batch number), of the batches before that number if one is
-    given; none yet: no row. A batch that is run again so sees what it saw the first time, not its own snapshot."""
-    found = [x for x in committed(spark, path)[0] if before is None or x < folder(before)]
-    return spark.read.schema(schema).parquet(f"{path}/{found[-1]}") if found else spark.createDataFrame([], schema)
-
-
-def trim(spark: SparkSession, path: str, number: int) -> None:
-    """Remove the snapshots that neither batch `number`, if it is run again, nor a later one reads."""
-    found, fs, to_path = committed(spark, path)
-    for x in [x for x in found if x < folder(number)][:-1]:
-        fs.delete(to_path(f"{path}/{x}"), True)
-
-
-def new_fact_sink(cursor: str, reports: str) -> Callable[[DataFrame, int], None]:
-    """T-S2: a foreachBatch that reports the facts of each batch (topic, fact_key, ...) which the last snapshot lacks, then
-    replaces the snapshot of the batch's topics. The report comes first, and a batch that is run again after a crash at any
-    point reads the snapshot before it: it writes the same report and snapshot once more. Two snapshots are kept."""
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = snapshot(spark, cursor, "topic string, fact_key string", number)
-        M.new_facts(batch, known).write.mode("overwrite").parquet(f"{reports}/{folder(number)}")
-        M.next_cursor(batch, known).write.mode("overwrite").parquet(f"{cursor}/{folder(number)}")
-        trim(spark, cursor, number)
-
-    return run
+def cursor_table(spark: SparkSession, path: str) -> VersionedTable:
+    """The state of new_fact_sink: for each (topic, fact_key) the last run that had it; for each topic (fact_key null) its last
+    run and the one before."""
+    return VersionedTable(spark, path, "topic string, fact_key string, seen bigint, before bigint", ["topic", "fact_key"])
+
+
+def new_fact_sink(cursor: str, reports: str, run: str | None = None) -> Callable[[DataFrame, int], None]:
+    """T-S2: a foreachBatch that reports the facts (topic, fact_key, ...) that are new in their topic's run: which the topic's
+    run before it lacked. A fact that goes and comes back is new again.
+
+    run: a bigint column that tells a topic's runs apart and grows. A run may be spread over many batches: it is judged
+    by the topic's whole run before it, each of its facts is reported once, and it becomes the snapshot for the next
+    run when a row of that one comes. A row without fact_key only says that the run took place (a topic that has no facts
+    any more). Rows of a run that is over are told with `late` and change nothing. Without run each batch is a run.
+
+    A batch writes in proportion to itself: keys' last runs are upserted by (topic, fact_key). The report comes first, and a
+    batch that is run again after a crash at any point reads the state before it, and so gives the same report.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark, state = batch.sparkSession, cursor_table(batch.sparkSession, cursor)
+        rows = batch.withColumn("_run", F.lit(number).cast("long") if run is None else F.col(run).cast("long"))
+        rows = written(rows, "batch")
+        known = state.read(number)
+        topics = known.filter("fact_key IS NULL").select("topic", F.col("seen").alias("_last"), F.col("before").alias("_before"))
+        now = rows.select("topic", "_run").distinct().join(topics, "topic", "left")
+        now = now.withColumn("late", F.coalesce(F.col("_run") < F.col("_last"), F.lit(False)))
+        runs = now.filter("NOT late").select("topic", F.col("_run").alias("r")).unionByName(now.select("topic", F.explode(F.array("_last", "_before")).alias("r")).filter("r IS NOT NULL")).distinct()
+        earlier = now.join(runs, "topic", "left").groupBy("topic", "_run", "late").agg(F.max(F.when(F.col("r") < F.col("_run"), F.col("r"))).alias("_previous"))
+        earlier = written(earlier, "runs")
+        keyed = rows.filter("fact_key IS NOT NULL").join(earlier, ["topic", "_run"])
+        had = keyed.filter("NOT late").select("topic", "fact_key", F.col("_run").alias("_previous")).distinct().withColumn("_had", F.lit(True))
+        seen = known.filter("fact_key IS NOT NULL").select("topic", "fact_key", "seen")
+        each = keyed.dropDuplicates(["topic", "fact_key", "_run"]).join(had, ["topic", "fact_key", "_previous"], "left").join(seen, ["topic", "fact_key"], "left")
+        old = F.coalesce("_had", F.lit(False)) | F.coalesce(F.col("seen").isin(F.col("_previous"), F.col("_run")), F.lit(False))
+        each.filter(F.col("late") | ~old).select(*batch.columns, "late").write.mode("overwrite").parquet(f"{reports}/{folder(number)}")
+        last = keyed.filter("NOT late").groupBy("topic", "fact_key").agg(F.max("_run").alias("seen")).withColumn("before", F.lit(None).cast("long"))
+        two = F.sort_array(F.collect_set("r"), asc=False)
+        ends = runs.join(earlier.filter("NOT late").select("topic").distinct(), "topic", "left_semi").groupBy("topic").agg(two.alias("t"))
+        ends = ends.select("topic", F.lit(None).cast("string").alias("fact_key"), F.get("t", F.lit(0)).alias("seen"), F.get("t", F.lit(1)).alias("before"))
+        state.upsert(last.unionByName(ends), number)
+        state.compact()
+        state.vacuum(number)
+
+    return one
+
+
+def manifest_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, "hash string, status string", ["hash"])
 
 
 def ingest_sink(manifest: str) -> Callable[[DataFrame, int], None]:
     """T-S3: a foreachBatch over files (path, hash): done hashes are skipped, failed ones tried again, and the batch's
-    outcomes replace those of their hashes in the manifest's next snapshot. A batch that is run again gives the same one."""
+    outcomes are upserted by hash, in proportion to the batch. A batch that is run again reads the manifest before it."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = snapshot(spark, manifest, "hash string, status string", number)
-        rows = TI.triaged(batch, known).filter("outcome IN ('processed', 'failed')").select("hash", "status")
-        old = known.join(rows.select("hash"), "hash", "left_anti")
-        old.unionByName(rows).write.mode("overwrite").parquet(f"{manifest}/{folder(number)}")
-        trim(spark, manifest, number)
+        table = manifest_table(batch.sparkSession, manifest)
+        rows = TI.triaged(batch, table.read(number)).filter("outcome IN ('processed', 'failed')").select("hash", "status")
+        table.upsert(rows, number)
+        table.compact()
+        table.vacuum(number)
 
     return run
 
