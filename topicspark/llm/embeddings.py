@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from .blocks import dealt_blocks, in_blocks
 from .common import components, hot_join, local_components, scratch, table
 
-#: Slack of a block's distance budget, and of the single-precision test before it; the cosine itself decides.
-SLACK, COARSE = 1e-6, 1e-4
+#: Slack of a block's distance budget, of the single-precision test before it, and of the cosine of rotated vectors before the
+#: cosine of the vectors as they came, which decides.
+SLACK, COARSE, ROUNDING = 1e-6, 1e-4, 1e-9
 #: Most coordinates of a block that its cells cut, and the share of pair tests that a cut may leave at most to be made.
 CUTS, WORTH = 3, 0.75
 #: The key of the one cell that all blocks without a cut share.
@@ -32,6 +33,17 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def evened(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two, so that no square over- or underflows; no digit of a component changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, from the vectors as they came: the product over the root of the product of the squares, which is exact where
+    these are whole numbers."""
+    return np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
+
+
 def packed(z: np.ndarray) -> pa.Array:
     """Rows of doubles as binary values."""
     offsets = np.arange(len(z) + 1, dtype=np.int32) * (8 * z.shape[1])
@@ -130,8 +142,9 @@ def sides(home: np.ndarray, part: np.ndarray, cross: bool) -> Iterator[tuple[np.
         yield ours[~one[ours]], guests[one[guests]], False
 
 
-def tested(z: np.ndarray, node: np.ndarray, home: np.ndarray, part: np.ndarray, cross: bool, mine: list[int], blocks: Blocks, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of one block of rows with cosine >= least whose first block within its budget is one of mine.
+def tested(z: np.ndarray, x_: np.ndarray, node: np.ndarray, home: np.ndarray, part: np.ndarray, cross: bool, mine: list[int], blocks: Blocks, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of one block of rows with cosine >= least whose first block within its budget is one of mine. z: the rotated
+    unit vectors, which propose; x_: the vectors themselves, which decide.
 
     One matrix product a block and tile: with (z, -|z|^2/2, 1) and (z, 1, -|z|^2/2) it is minus half the squared distance.
     """
@@ -155,7 +168,9 @@ def tested(z: np.ndarray, node: np.ndarray, home: np.ndarray, part: np.ndarray,
                 x, y = x[ok], y[ok]
                 for m in range(0, len(x), 1 << 15):
                     i, j = x[m : m + (1 << 15)], y[m : m + (1 << 15)]
-                    yes = np.einsum("ij,ij->i", z[i], z[j]) >= least
+                    yes = np.einsum("ij,ij->i", z[i], z[j]) >= least - ROUNDING
+                    i, j = i[yes], j[yes]
+                    yes = cosine(x_[i], x_[j]) >= least
                     i, j = i[yes], j[yes]
                     gaps = (z[i] - z[j]) ** 2
                     met = np.add.reduceat(gaps, blocks.edges[:-1], axis=1) <= blocks.budget
@@ -175,11 +190,11 @@ def links(nodes: DataFrame, dims: int, least: float, blocks: Blocks, limit: int,
     if blocks.cuts:
         cells.append(dealt_blocks(scratch(nodes.sparkSession, placed(nodes, dims, blocks), "vector-cells"), "key", F.col("node"), limit, few=True))
     dealt = cells[0] if len(cells) == 1 else cells[0].unionByName(cells[1])
-    dealt = dealt.join(nodes, "node").select("key", "node", "n", "z", "home", "part", "i", "j")
+    dealt = dealt.join(nodes, "node").select("key", "node", "n", "z", "home", "part", "i", "j", "x")
 
     def run(rows: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         key, nodes_, n = (rows.column(c).to_numpy() for c in (0, 1, 2))
-        z = unpacked(rows.column(3), dims)
+        z, x_ = unpacked(rows.column(3), dims), unpacked(rows.column(8), dims)
         home, part = rows.column(4).to_numpy(zero_copy_only=False).astype(bool), rows.column(5).to_numpy()
         cross = rows.column(6).to_numpy() != rows.column(7).to_numpy()
         starts = np.flatnonzero(np.diff(group, prepend=-1))
@@ -187,7 +202,7 @@ def links(nodes: DataFrame, dims: int, least: float, blocks: Blocks, limit: int,
             s = slice(lo, hi)
             mine = blocks.uncut() if key[lo] == UNCUT else [int(key[lo] >> 16 * CUTS)]
             count, label = np.zeros(hi - lo, dtype=np.int64), np.arange(hi - lo)
-            for a, b in tested(z[s], nodes_[s], home[s], part[s], bool(cross[lo]), mine, blocks, least):
+            for a, b in tested(z[s], x_[s], nodes_[s], home[s], part[s], bool(cross[lo]), mine, blocks, least):
                 count += np.bincount(a, weights=n[s][b], minlength=hi - lo).astype(np.int64) + np.bincount(b, weights=n[s][a], minlength=hi - lo).astype(np.int64)
                 a, b = label[a], label[b]
                 if (a != b).any():
@@ -200,23 +215,26 @@ def links(nodes: DataFrame, dims: int, least: float, blocks: Blocks, limit: int,
 
 
 def prepared(vectors: DataFrame, dims: int) -> DataFrame:
-    """(id, digest, z): every vector of that length as its unit vector, rotated, once; equal ones have equal digests."""
+    """(id, digest, z, x): every vector of that length as its unit vector, rotated, once, and as it came but for a power of
+    two; vectors of equal components have equal digests."""
     turn = rotation(dims)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                z = unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)) @ turn
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(r.tobytes()) for r in z]), packed(z)], ["id", "digest", "z"])
+                x = evened(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
+                # -0.0 and 0.0 are one component
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(r.tobytes()) for r in x + 0.0]), packed(unit(x) @ turn), packed(x)], ["id", "digest", "z", "x"])
 
-    return vectors.mapInArrow(run, "id long, digest binary, z binary").withColumn("row", F.monotonically_increasing_id())
+    return vectors.mapInArrow(run, "id long, digest binary, z binary, x binary").withColumn("row", F.monotonically_increasing_id())
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.9, blocks: int | None = None, limit: int = 16384, embedding: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
     """(vec_id, n_links, component_id, kept): links are pairs of cosine >= least in double precision.
 
-    blocks: of the rotated coordinates, by default one for every 16 (two at least). Rotation keeps cosines up to the
-    rounding of double arithmetic. Vectors that are null, empty, zero, or hold null or non-finite components link with
+    blocks: of the rotated coordinates, by default one for every 16 (two at least). Rotated vectors
+    propose pairs, with some slack for rounding; the cosine of the vectors as they came decides, so that pairs at the very
+    threshold are links. Vectors that are null, empty, zero, or hold null or non-finite components link with
     nothing, as do vectors of different lengths. Every row is a vector of its own, whatever ids it shares; rows
     without an id link like others, but never name a component (then null; they are kept). Equal vectors are one node with
     a count; a hot vector's cells are split into parts (blocks.py), and a task gives one row a vector, not one a pair. An
@@ -229,7 +247,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, blocks: int | None = No
     for (dims,) in v.filter(whole).select(F.size("embedding")).distinct().collect():
         rows = scratch(spark, prepared(v.filter(whole & (F.size("embedding") == dims)), dims), "vectors")
         groups = scratch(spark, rows.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("n"), F.min("id").alias("first_id")), "vector-groups")
-        nodes = scratch(spark, rows.join(groups.select("node", "n"), F.col("row") == F.col("node")).select("node", "n", "z"), "vector-nodes")
+        nodes = scratch(spark, rows.join(groups.select("node", "n"), F.col("row") == F.col("node")).select("node", "n", "z", "x"), "vector-nodes")
         cut = Blocks(dims, least, min(dims, blocks or max(2, dims // 16)))
         home, near, total = counted(nodes, dims, cut)
         cut.cut(home, near, total)
