@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from topicspark.functions import text as T
+from topicspark.operators import ordered as O
 
 # The closed vocabulary of fact categories.
 CATEGORIES = ["aviation", "biography", "genealogy", "history", "industry"]
@@ -29,9 +30,8 @@ def source_summaries(sources: DataFrame) -> DataFrame:
 
 
 def numbered(facts: DataFrame) -> DataFrame:
-    """fact_id FCT-NNN across a topic's sources, in source and fact order. One topic's facts are sorted together."""
-    n = F.row_number().over(Window.partitionBy("topic").orderBy("source_id", "pos"))
-    return facts.withColumn("fact_id", F.format_string("FCT-%03d", n))
+    """fact_id FCT-NNN across a topic's sources, in source and fact order; a hot topic's facts are spread (ordered.py)."""
+    return O.numbered(facts, ["topic"], ["source_id", "pos"], "fact_id").withColumn("fact_id", F.format_string("FCT-%03d", "fact_id"))
 
 
 def joined_summaries(sources: DataFrame) -> DataFrame:
@@ -128,12 +128,12 @@ def bundles(sources: DataFrame, facts: DataFrame) -> DataFrame:
 
 def evidence_register(sources: DataFrame) -> DataFrame:
     """Sources numbered from 1 in ingest order."""
-    return sources.withColumn("evidence_no", F.row_number().over(Window.partitionBy("topic").orderBy("source_id")))
+    return O.numbered(sources, ["topic"], ["source_id"], "evidence_no")
 
 
 def report_order(facts: DataFrame) -> DataFrame:
     """A topic's facts numbered from 1 in the order of a report: by source, then fact key, then place."""
-    return facts.withColumn("report_no", F.row_number().over(Window.partitionBy("topic").orderBy("source_id", "fact_key", "pos")))
+    return O.numbered(facts, ["topic"], ["source_id", "fact_key", "pos"], "report_no")
 
 
 def extract_inputs(sources: DataFrame, envelopes: DataFrame) -> DataFrame:
@@ -154,3 +154,10 @@ def extracted_by(inputs: DataFrame, runner: Callable[[str, str], Iterable[tuple[
             yield pd.DataFrame(rows, columns=["topic", "source_id", "pos", "text", "confidence", "categories"])
 
     return inputs.select(*names).mapInPandas(run, "topic string, source_id string, pos int, text string, confidence double, categories array<string>")
+
+
+def frame_texts(frames: DataFrame, clip: str) -> DataFrame:
+    """(clip, text): one line for each frame (clip, ms, labels) in time order; a clip has a few dozen frames at most."""
+    line = F.concat(F.lit("[frame @ "), T.clock(F.col("ms")), F.lit("] labels: "), F.col("labels"))
+    rows = F.array_sort(F.collect_list(F.struct("ms", "labels", line.alias("line"))))
+    return frames.groupBy(clip).agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("text"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from topicspark.functions import text as T
+from topicspark.operators import ordered as O
 
 # Extensions by how a file is read.
 TEXT = [".txt", ".md", ".json"]
@@ -44,8 +44,7 @@ def classified_type(kind: Column, source: Column, confidence: Column) -> Column:
 
 def duplicates_marked(files: DataFrame) -> DataFrame:
     """Files (path, hash): the first path of a hash, by basename then path, is canonical, the others are duplicates."""
-    n = F.row_number().over(Window.partitionBy("hash").orderBy(T.basename(F.col("path")), "path"))
-    return files.withColumn("is_dup", n > 1)
+    return O.numbered(files, ["hash"], [T.basename(F.col("path")), "path"], "is_dup").withColumn("is_dup", F.col("is_dup") > 1)
 
 
 def intake_manifest(files: DataFrame) -> DataFrame:
@@ -88,9 +87,10 @@ def ingest_summary(rows: DataFrame) -> DataFrame:
 
 
 def latest_entries(events: DataFrame) -> DataFrame:
-    """The last event of each (topic, hash) by ts."""
-    n = F.row_number().over(Window.partitionBy("topic", "hash").orderBy(F.desc("ts"), F.desc("event_id")))
-    return events.withColumn("_n", n).filter("_n = 1").drop("_n")
+    """The last event of each (topic, hash) by ts, then event_id; tasks keep the last of their own before they meet."""
+    others = [c for c in events.columns if c not in ("topic", "hash")]
+    last = F.max_by(F.struct(*others), F.struct("ts", "event_id"))
+    return events.groupBy("topic", "hash").agg(last.alias("_last")).select(*[f"_last.{c}" if c in others else c for c in events.columns])
 
 
 def failed_entries(events: DataFrame) -> DataFrame:

@@ -6,12 +6,12 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from topicspark.functions import text as T
 from topicspark.operators import facts as FA
 from topicspark.operators import lineage as LI
 from topicspark.operators import matching as MA
+from topicspark.operators import ordered as OR
 from topicspark.operators import quality as QU
 from topicspark.operators import routing as RO
 from topicspark.operators import stats as ST
@@ -80,8 +80,7 @@ def extract(sources: DataFrame, envelopes: DataFrame) -> tuple[DataFrame, DataFr
 def logged(existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """The chains of `existing` operations (topic, seq, op, payload) followed by new ones (topic, op, payload), hashed."""
     last = existing.groupBy("topic").agg(F.max("seq").alias("_last"))
-    n = F.row_number().over(Window.partitionBy("topic").orderBy(order))
-    more = new.join(last, "topic", "left").withColumn("seq", (n + F.coalesce("_last", F.lit(0))).cast("int"))
+    more = OR.numbered(new, ["topic"], [order], "_n").join(last, "topic", "left").withColumn("seq", (F.col("_n") + F.coalesce("_last", F.lit(0))).cast("int"))
     columns = ["topic", "seq", "op", "payload"]
     return LI.built(existing.select(columns).unionByName(more.select(columns)))
 
@@ -96,8 +95,8 @@ def create_topics(leaves: DataFrame, existing: DataFrame, actor: str) -> tuple[D
 def register_sources(new: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New sources (topic, title, origin, text, added_at) numbered after the topic's existing ones, and INGEST operations."""
     have = existing.groupBy("topic").agg(F.count("*").alias("_have"))
-    n = F.row_number().over(Window.partitionBy("topic").orderBy("added_at", "title"))
-    df = new.join(have, "topic", "left").withColumn("source_id", F.format_string("SRC-%03d", n + F.coalesce("_have", F.lit(0)))).drop("_have")
+    df = OR.numbered(new, ["topic"], ["added_at", "title"], "_n").join(have, "topic", "left")
+    df = df.withColumn("source_id", F.format_string("SRC-%03d", F.col("_n") + F.coalesce("_have", F.lit(0)))).drop("_have", "_n")
     return df, df.select("topic", F.lit("INGEST").alias("op"), T.canonical_json(source_id=F.col("source_id")).alias("payload"))
 
 
@@ -110,8 +109,8 @@ class Ingested(NamedTuple):
 def ingest_batch(files: DataFrame, manifest: DataFrame, force: bool = False) -> Ingested:
     """Text files (topic, path, text, error) not yet done, once a content hash: their facts, manifest rows and summary."""
     df = files.withColumn("hash", T.content_hash(F.coalesce("text", F.col("path"))))
-    n = F.row_number().over(Window.partitionBy("topic", "hash").orderBy(T.basename(F.col("path")), "path"))
-    df = TI.to_ingest(df, manifest, force).withColumn("outcome", F.when(n > 1, "duplicate").when(F.col("error").isNotNull(), "failed").otherwise("processed"))
+    df = OR.numbered(TI.to_ingest(df, manifest, force), ["topic", "hash"], [T.basename(F.col("path")), "path"], "_n")
+    df = df.withColumn("outcome", F.when(F.col("_n") > 1, "duplicate").when(F.col("error").isNotNull(), "failed").otherwise("processed"))
     good = df.filter("outcome = 'processed'").select("topic", F.col("path").alias("source_id"), F.col("path").alias("title"), "text")
     rows = df.filter("outcome <> 'duplicate'").select("topic", "hash", F.col("path").alias("source_path"), F.when(F.col("outcome") == "failed", "failed").otherwise("done").alias("status"), "error")
     return Ingested(FA.numbered(FA.line_facts(good)), rows, TI.ingest_summary(df))
@@ -147,9 +146,10 @@ def feedback(nodes: DataFrame, facts: DataFrame, sources: DataFrame, timing: Dat
 
 
 def latency_record(timing: DataFrame, nodes: DataFrame, budget_ms: int = 90_000) -> DataFrame:
-    """Percentiles over each node's subtree: the calls themselves go up the tree, as percentiles don't add up."""
-    below = TR.closure(nodes).join(timing.withColumnRenamed("topic", "descendant"), "descendant")
-    return ST.latencies(below.withColumn("topic", F.col("ancestor")), budget_ms)
+    """Percentiles over each node's subtree, exactly: topics' histograms of calls go up the tree and are added there, so that
+    no call is copied to its ancestors and no node's calls meet in a task."""
+    below = TR.closure(nodes).join(ST.latency_histogram(timing).withColumnRenamed("topic", "descendant"), "descendant")
+    return ST.histogram_latencies(below.groupBy(F.col("ancestor").alias("topic"), "ms").agg(F.sum("n").alias("n")), budget_ms)
 
 
 def quality_records(nodes: DataFrame, facts: DataFrame, sources: DataFrame, scores: DataFrame, timing: DataFrame, issues: DataFrame, budget_ms: int = 90_000) -> DataFrame:

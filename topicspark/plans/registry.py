@@ -167,9 +167,8 @@ def f17_video_times(spark, d):
 )
 def f19_frame_lines(spark, d):
     """one text from a clip's labelled frames in time order."""
-    c = V.table(spark, d, "conversations").withColumn("line", F.concat(F.lit("[frame @ "), T.clock(F.col("turn") * 7000), F.lit("] labels: "), F.col("role")))
-    rows = F.array_sort(F.collect_list(F.struct("turn", "role", "line")))
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("text"))
+    c = V.table(spark, d, "conversations")
+    return FA.frame_texts(c.select("conv_id", (F.col("turn") * 7000).alias("ms"), F.col("role").alias("labels")), "conv_id")
 
 
 @query(
