@@ -15,6 +15,7 @@ from topicspark.operators import lineage as LI
 from topicspark.operators import matching as MA
 from topicspark.operators import quality as QU
 from topicspark.operators import routing as RO
+from topicspark.operators import shapes as SH
 from topicspark.operators import stats as ST
 from topicspark.operators import tree as TR
 from topicspark.operators import triage as TI
@@ -45,14 +46,14 @@ def jac(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) END"
 
 
-MATCH_SQL = f"""
-WITH f AS (SELECT doc_id, pos, categories, {sql_tokens("text")} AS words FROM v_sents),
+MATCH_CTES = f"""f AS (SELECT doc_id, pos, categories, {sql_tokens("text")} AS words FROM v_sents),
 u AS (SELECT DISTINCT words, categories FROM f),
 e AS (SELECT DISTINCT words, categories, unnest(list_concat(list_transform(words, lambda x: 'w:' || x), list_transform(categories, lambda x: 'c:' || x))) AS w FROM u),
 ce AS (SELECT DISTINCT id, unnest(list_concat(list_transform(list_concat(keywords, tokens), lambda x: 'w:' || x), list_transform(categories, lambda x: 'c:' || x))) AS w FROM v_claims),
 p AS (SELECT DISTINCT e.words, e.categories, ce.id FROM e JOIN ce ON e.w = ce.w),
 s AS (SELECT p.words, p.categories, p.id, floor((0.4::DOUBLE * ({jac("p.categories", "c.categories")}) + 0.3::DOUBLE * ({jac("p.words", "c.keywords")}) + 0.3::DOUBLE * ({jac("p.words", "c.tokens")})) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS score FROM p JOIN v_claims c ON p.id = c.id),
-r AS (SELECT *, row_number() OVER (PARTITION BY words, categories ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.1)
+r AS (SELECT *, row_number() OVER (PARTITION BY words, categories ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.1)"""
+MATCH_SQL = f"""WITH {MATCH_CTES}
 SELECT f.doc_id, f.pos, r.id, r.score, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'low' END AS bucket, CAST(rank AS INT) AS rank
 FROM f JOIN r ON f.words = r.words AND f.categories = r.categories WHERE rank <= 3"""
 
@@ -842,3 +843,100 @@ def e12_staged(spark, d):
     manifest = TI.intake_manifest(i).withColumn("status", F.lit("done"))
     staged = JO.route(manifest, V.routing(spark), i.select("path"), i.filter("doc_id % 13 <> 0").select("path")).staged
     return staged.select("topic", "path", "name", "status")
+
+
+@query(
+    f""", {KEYED}, {MATCH_CTES}, bad AS (SELECT DISTINCT topic FROM (SELECT topic FROM k GROUP BY topic, fact_key HAVING count(*) > 1)),
+    good AS (SELECT * FROM k WHERE topic NOT IN (SELECT topic FROM bad)), fresh AS (SELECT * FROM good WHERE NOT EXISTS (SELECT 1 FROM cu WHERE cu.topic = good.topic AND cu.fact_key = good.fact_key))
+    SELECT 'skipped' AS part, topic, NULL::VARCHAR AS fact_key, NULL::VARCHAR AS id, NULL::DOUBLE AS score, NULL::INT AS rank FROM bad UNION ALL SELECT 'new', topic, fact_key, NULL, NULL, NULL FROM fresh
+    UNION ALL SELECT 'match', fresh.topic, fresh.fact_key, r.id, r.score, r.rank FROM fresh JOIN f ON f.doc_id = fresh.doc_id AND f.pos = fresh.pos JOIN r ON f.words = r.words AND f.categories = r.categories WHERE r.rank <= 3
+    UNION ALL SELECT 'cursor', topic, fact_key, NULL, NULL, NULL FROM (SELECT topic, fact_key FROM good UNION SELECT topic, fact_key FROM cu WHERE topic NOT IN (SELECT topic FROM good))""",
+    "v_sents", "v_claims",
+)
+def e10_synced(spark, d):
+    """E10 whole: topics that are skipped because of colliding keys, new facts, their best claims, and the cursor after the run;
+    skipped topics keep their cursor."""
+    s = JO.sync_claims(V.sentences(spark, d), V.claims(spark, d), keyed(spark, d)[1])
+    part = lambda df, name: df.select(F.lit(name).alias("part"), *[c for c in ("topic", "fact_key", "id", "score", "rank") if c in df.columns])
+    return QU.all_issues(part(s.matches, "match"), part(s.skipped.drop("reason"), "skipped"), part(s.new, "new"), part(s.cursor, "cursor"))
+
+
+@query(
+    """, o AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY string_split(path, '/')[-1], path) AS k, doc_id % 7 AS e, doc_id % 50 AS w, doc_id * 7 % 90 AS h, count(*) OVER (PARTITION BY hash) AS n FROM v_intake),
+    pr AS (SELECT hash, bool_or(doc_id % 2 = 0) AS done FROM v_intake WHERE doc_id % 3 = 0 GROUP BY hash),
+    tr AS (SELECT o.*, CASE WHEN e < 3 THEN 'text' WHEN e > 4 OR w = 0 THEN 'unsure' WHEN h * 1.0::DOUBLE / w >= 1.3 THEN 'doc-photo' ELSE 'exhibit-photo' END AS type,
+      CASE WHEN k > 1 THEN 'duplicate' WHEN coalesce(done, false) THEN 'skipped' WHEN e >= 5 THEN 'failed' ELSE 'processed' END AS outcome FROM o LEFT JOIN pr ON o.hash = pr.hash)
+    SELECT 'file' AS part, t.path AS name, outcome, type, CASE WHEN e >= 5 THEN 'failed' ELSE 'done' END AS status, c.path AS source_path, t.n AS n FROM tr t JOIN (SELECT hash, path FROM tr WHERE k = 1) c ON t.hash = c.hash
+    UNION ALL SELECT 'summary', 'total', NULL, NULL, NULL, NULL, count(*) FROM tr UNION ALL SELECT 'summary', x, NULL, NULL, NULL, NULL, (SELECT count(*) FROM tr WHERE outcome = x) FROM (SELECT unnest(['processed', 'skipped', 'duplicate', 'failed']) AS x)
+    UNION ALL SELECT 'summary', 'type_' || replace(x, '-', '_'), NULL, NULL, NULL, NULL, (SELECT count(*) FROM tr WHERE outcome IN ('processed', 'duplicate') AND type = x) FROM (SELECT unnest(['text', 'doc-photo', 'exhibit-photo', 'unsure']) AS x)""",
+    "v_intake",
+)
+def e11_triaged(spark, d):
+    """E11 whole: every file of a dump with its outcome, kind, canonical path and number of copies, and all counts of the summary."""
+    i = V.intake(spark, d).withColumns({"width": F.col("doc_id") % 50, "height": F.col("doc_id") * 7 % 90})
+    prior = i.filter("doc_id % 3 = 0").select("hash", F.when(F.col("doc_id") % 2 == 0, "done").otherwise("failed").alias("status"))
+    rows, manifest, summary = JO.triage(i, prior)
+    copies = manifest.select("hash", "source_path", (F.size("dup_paths") + 1).cast("long").alias("n"))
+    files = rows.join(copies, "hash").select(F.lit("file").alias("part"), F.col("path").alias("name"), "outcome", F.col("classified_type").alias("type"), "status", "source_path", "n")
+    counts = summary.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in summary.columns])).alias("c"))
+    return files.unionByName(counts.select(F.lit("summary").alias("part"), "c.name", "c.n"), allowMissingColumns=True)
+
+
+@query(
+    """, g AS (SELECT topic, coalesce(categories[1], 'Uncategorized') AS category, count(*) AS n, min(source_id || chr(1) || lpad(CAST(pos AS VARCHAR), 9, '0')) AS seen FROM v_facts GROUP BY ALL)
+    SELECT 'fact' AS part, topic, source_id, CAST(pos AS BIGINT) AS n, text FROM v_facts UNION ALL SELECT 'source', topic, source_id, NULL, title FROM v_sources
+    UNION ALL SELECT 'evidence', topic, source_id, row_number() OVER (PARTITION BY topic ORDER BY source_id), NULL FROM v_sources
+    UNION ALL SELECT 'counts', coalesce(a.topic, b.topic), CAST(coalesce(a.n, 0) AS VARCHAR), coalesce(b.n, 0), NULL FROM (SELECT topic, count(*) AS n FROM v_facts GROUP BY topic) a FULL JOIN (SELECT topic, count(*) AS n FROM v_sources GROUP BY topic) b ON a.topic = b.topic
+    UNION ALL SELECT 'group', topic, category, row_number() OVER (PARTITION BY topic ORDER BY seen), CAST(n AS VARCHAR) FROM g""",
+    "v_sources", "v_facts",
+)
+def e13_report(spark, d):
+    """E13, P1 whole: all facts and sources of the bundles, their counts, the category groups and the evidence register."""
+    bundles, groups, register = JO.report(V.sources(spark, d), V.facts(spark, d))
+    long_ = lambda c: F.col(c).cast("long").alias("n")
+    row = lambda df, part, *columns: df.select(F.lit(part).alias("part"), "topic", *columns)
+    facts = row(bundles.select("topic", F.inline("facts")), "fact", "source_id", long_("pos"), F.col("statement").alias("text"))
+    sources = row(bundles.select("topic", F.inline("sources")), "source", "source_id", F.col("title").alias("text"))
+    counts = row(bundles, "counts", F.col("fact_count").cast("string").alias("source_id"), long_("source_count"))
+    evidence = row(register, "evidence", "source_id", long_("evidence_no"))
+    kinds = row(groups, "group", F.col("category").alias("source_id"), long_("group_no"), F.col("n").cast("string").alias("text"))
+    return QU.all_issues(facts, sources, counts, evidence, kinds)
+
+
+#: Raw documents of the six kinds by a number k, and the rules that they break, in SQL that both engines read.
+RAW = {
+    "topic": (
+        """'{"topic":"t","path":"p","parent":null,"children":[],"version":"1","created_at":"","updated_at":"","actors":["a"],"description":"","status":"' || CASE WHEN k % 5 = 0 THEN 'open' ELSE 'active' END || '","node_type":"topic"' || CASE WHEN k % 3 = 0 THEN '' ELSE ',"tags":["x"]' END || CASE WHEN k % 7 = 0 THEN ',"x":1' ELSE '' END || '}'""",
+        {"status: type or value": "k % 5 = 0", "tags: missing": "k % 3 = 0", "unknown keys: x": "k % 7 = 0"},
+    ),
+    "metadata": ("""'{"sources":[{"id":"S","type":"t","title":"t","origin":"o","added_at":"a","actor":"b"' || CASE WHEN k % 2 = 0 THEN ',"url":"u"' ELSE '' END || '}]}'""", {"sources[]: url: missing": "k % 2 = 1"}),
+    "extract": (
+        """'{"facts":[{"id":"FCT-001","text":"x","source_id":"SRC-001","confidence":' || CASE WHEN k % 4 = 0 THEN '1.5' ELSE '0.5' END || ',"categories":["' || CASE WHEN k % 3 = 0 THEN 'sport' ELSE 'history' END || '"]}]' || CASE WHEN k % 11 = 0 THEN ',"q":1' ELSE '' END || '}'""",
+        {"facts[]: confidence: type or value": "k % 4 = 0", "facts[]: categories: type or value": "k % 3 = 0", "unknown keys: q": "k % 11 = 0"},
+    ),
+    "score": (
+        """'{"scores":[{"fact_id":"f","relevance":1,"genealogy":2.5,"historical":0,"confidence":1,"novelty":' || CASE WHEN k % 8 = 3 THEN '"high"' ELSE '50' END || ',"promotion_score":1,"promoted":' || CASE WHEN k % 3 = 1 THEN '"yes"' ELSE 'true' END || '}]}'""",
+        {"scores[]: novelty: type or value": "k % 8 = 3", "scores[]: promoted: type or value": "k % 3 = 1"},
+    ),
+    "lineage": ("""'{"topic":"t"' || CASE WHEN k % 4 = 1 THEN '' ELSE ',"hash":"h"' END || ',"operations":[{"id":"1","op":"A","hash":"h","actor":"a","timestamp":"t","more":' || k || '}]}'""", {"hash: missing": "k % 4 = 1"}),
+    "related_topics": ("""CASE WHEN k % 13 = 0 THEN '{' ELSE '{"related":[{"topic":"a","relationship":"r","strength":' || k % 6 || '}]}' END""", {"not JSON": "k % 13 = 0", "related[]: strength: type or value": "k % 13 <> 0 AND k % 6 > 1"}),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{kind}' AS kind, c_custkey AS k, '{error}' AS error FROM customer WHERE {rule.replace('k %', 'c_custkey %')}" for kind, (_, rules) in RAW.items() for error, rule in rules.items()))
+def v1_six_kinds(spark, d):
+    """V1: every broken rule of raw documents of all six kinds."""
+    c = V.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    return QU.all_issues(*[SH.document_errors(c.withColumn("raw", F.expr(raw)), kind).select(F.lit(kind).alias("kind"), "k", "error") for kind, (raw, _) in RAW.items()])
+
+
+@query(
+    """, c AS (SELECT CASE WHEN CAST(beat AS INT) % 7 = 3 THEN '' ELSE id[1:7] END AS id, CASE WHEN len(claim) % 5 = 0 THEN '' ELSE beat END AS beat, CASE WHEN len(claim) < 30 THEN '' ELSE claim END AS claim FROM v_claims)
+    SELECT id, 'id: not empty' AS error FROM c WHERE id = '' UNION ALL SELECT id, 'beat: not empty' FROM c WHERE beat = '' UNION ALL SELECT id, 'claim: not empty' FROM c WHERE claim = '' UNION ALL SELECT id, 'id: not unique' FROM c GROUP BY id HAVING count(*) > 1""",
+    "v_claims",
+)
+def v3_claim_rules(spark, d):
+    """V3: claims that break each rule: empty and repeated ids, empty beats, empty claims."""
+    c = V.claims(spark, d)
+    size = F.length("claim")
+    return QU.claim_errors(c.select(F.when(F.col("beat").cast("int") % 7 == 3, "").otherwise(F.substring("id", 1, 7)).alias("id"), F.when(size % 5 == 0, "").otherwise(F.col("beat")).alias("beat"), F.when(size < 30, "").otherwise(F.col("claim")).alias("claim")))
