@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from topicspark.operators import ordered as O
+from topicspark.operators import stats as ST
 
 
 @pytest.mark.parametrize("most, small", [(50, 0), (10**6, 0), (50, 10**12)])
@@ -33,3 +34,14 @@ def test_hot_key_is_spread(spark):
     tasks = out.filter("key = 'hot'").groupBy(F.spark_partition_id()).count().collect()
     assert out.agg(F.max("n")).first()[0] == 1667 and max(r["count"] for r in tasks) < 1667
     assert O.numbered(df.filter("false"), ["key"], ["id"], "n", small=0).count() == 0
+
+
+def test_latencies_from_histograms(spark):
+    """Histograms, split and added again, give what the calls themselves give."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", "c"]), rng.choice([None, *range(30)]), rng.choice(["success", "success", "failure", None])) for _ in range(500)] + [("d", 5, "failure")]
+    calls = spark.createDataFrame(rows, "topic string, ms bigint, outcome string")
+    parts = [ST.latency_histogram(calls.filter(F.col("ms") % 2 == 0)), ST.latency_histogram(calls.filter(~F.coalesce(F.col("ms") % 2 == 0, F.lit(False))))]
+    added = parts[0].unionByName(parts[1]).groupBy("topic", "ms").agg(F.sum("n").alias("n"))
+    want = {r.topic: r.asDict() for r in ST.latencies(calls).collect()}
+    assert {r.topic: r.asDict() for r in ST.histogram_latencies(added).collect()} == want and len(want) == 4

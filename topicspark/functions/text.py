@@ -38,7 +38,7 @@ def tokens(text: Column) -> Column:
 
 def tokens_of(normal: Column) -> Column:
     """F2 of a text that is normalised already."""
-    return F.array_except(F.array_distinct(F.split(normal, " ")), F.array(*[F.lit(w) for w in [*STOP_WORDS, ""]]))
+    return F.array_except(F.split(normal, " "), F.array(*[F.lit(w) for w in [*STOP_WORDS, ""]]))
 
 
 def fact_key(source_id: Column, text: Column) -> Column:
