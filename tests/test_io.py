@@ -216,3 +216,17 @@ def test_overwrite_is_whole(spark, tmp_path):
     W.overwrite(spark.read.parquet(path).filter("id > 1"), path)
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == [2, 3, 4]
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_more_scans(spark, tmp_path):
+    """Facts, scores and logs, with blank lines, empty lists and topics without a file."""
+    for topic, facts, scores in (("a/b", [{"id": "FCT-001", "text": "x", "source_id": "SRC-001", "confidence": 0.5, "categories": ["history"], "flags": ["f"]}, {"id": "FCT-002", "text": "y", "source_id": "SRC-002", "confidence": 1, "categories": []}], [{"fact_id": "FCT-001", "promotion_score": 81.5, "promoted": True}]), ("c", [], [])):
+        (tmp_path / "v" / topic).mkdir(parents=True)
+        (tmp_path / "v" / topic / "extract.json").write_text(json.dumps({"facts": facts}, indent=1))
+        (tmp_path / "v" / topic / "score.json").write_text(json.dumps({"scores": scores}, indent=1))
+    (tmp_path / "v" / "none").mkdir()
+    root = str(tmp_path / "v")
+    assert [(r.topic, r.pos, r.fact_id, r.confidence, r.flags) for r in R.read_facts(spark, root).orderBy("pos").collect()] == [("a/b", 0, "FCT-001", 0.5, ["f"]), ("a/b", 1, "FCT-002", 1.0, None)]
+    assert [(r.topic, r.fact_id, r.promotion_score, r.promoted, r.novelty) for r in R.read_scores(spark, root).collect()] == [("a/b", "FCT-001", 81.5, True, None)]
+    (tmp_path / "log.jsonl").write_text('{"topic":"a","ms":3,"outcome":"success"}\n\n   \n{"topic":"b","outcome":"failure","extra":1}\n')
+    assert sorted((r.topic, r.ms, r.outcome) for r in R.read_log(spark, str(tmp_path / "log.jsonl")).collect()) == [("a", 3, "success"), ("b", None, "failure")]

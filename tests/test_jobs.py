@@ -77,3 +77,18 @@ def test_user_extractor(spark):
     inputs = spark.createDataFrame([("t", "SRC-001", "T", "a b"), ("t", "SRC-002", "U", "")], "topic string, source_id string, title string, text string")
     got = FA.extracted_by(inputs, lambda title, text: [(w, 0.7, ["history"]) for w in text.split()]).collect()
     assert [(r.source_id, r.pos, r.text) for r in got] == [("SRC-001", 0, "a"), ("SRC-001", 1, "b")]
+
+
+def test_extraction_function(spark):
+    inputs = spark.createDataFrame([("t", "SRC-001", "T", "a b"), ("t", "SRC-002", "U", ""), ("u", "SRC-001", "V", None)], "topic string, source_id string, title string, text string")
+
+    def runner(title, text):
+        for w in text.split():  # fails on the null text
+            yield w, 0.7, ["history"]
+
+    facts, failures = FA.extracted_or_failed(inputs, runner)
+    assert sorted((r.topic, r.source_id, r.pos, r.text) for r in facts.collect()) == [("t", "SRC-001", 0, "a"), ("t", "SRC-001", 1, "b")]
+    assert [(r.topic, r.source_id, r.error.split(":")[0]) for r in failures.collect()] == [("u", "SRC-001", "AttributeError")]
+    spark.udtf.register("extract_words", FA.extraction_function(runner))
+    inputs.createOrReplaceTempView("inputs")
+    assert spark.sql("SELECT * FROM extract_words(TABLE(inputs) PARTITION BY (topic, source_id)) WHERE error IS NULL").count() == 2

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import UserDefinedTableFunction
 from pyspark.sql.window import Window
 
 from topicspark.functions import text as T
@@ -161,3 +163,31 @@ def frame_texts(frames: DataFrame, clip: str) -> DataFrame:
     line = F.concat(F.lit("[frame @ "), T.clock(F.col("ms")), F.lit("] labels: "), F.col("labels"))
     rows = F.array_sort(F.collect_list(F.struct("ms", "labels", line.alias("line"))))
     return frames.groupBy(clip).agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("text"))
+
+
+def extraction_function(runner: Callable[[str, str], Iterable[tuple[str, float, list[str]]]]) -> UserDefinedTableFunction:
+    """A table function of sources (topic, source_id, title, text) by a user's runner of (title, text) that yields (text,
+    confidence, categories). Call it on a table argument, or register it for SQL: SELECT * FROM f(TABLE(t) PARTITION BY (topic, source_id)).
+
+    A source gives its facts with their pos from 0, or, if the runner fails, one row that has the error alone: one source
+    can't end the job, and none is half extracted. A source's facts are held until its runner is through.
+    """
+
+    class Extract:
+        def eval(self, row: Row) -> Iterator[tuple]:
+            at = (row["topic"], row["source_id"])
+            try:
+                found = [(*at, pos, *fact, None) for pos, fact in enumerate(runner(row["title"], row["text"]))]
+            except Exception as e:  # whatever a user's code may raise
+                found = [(*at, None, None, None, None, f"{type(e).__name__}: {e}")]
+            yield from found
+
+    return udtf(Extract, returnType="topic string, source_id string, pos int, text string, confidence double, categories array<string>, error string")
+
+
+def extracted_or_failed(inputs: DataFrame, runner: Callable[[str, str], Iterable[tuple[str, float, list[str]]]]) -> tuple[DataFrame, DataFrame]:
+    """(facts, failures): what a runner makes of each source, dealt by source, and (topic, source_id, error) of those on which it
+    failed. The runner goes over each source once for each of the two that is used."""
+    named = inputs.select("topic", "source_id", "title", "text")
+    out = extraction_function(runner)(named.asTable().partitionBy("topic", "source_id"))
+    return out.filter("error IS NULL").drop("error"), out.filter("error IS NOT NULL").select("topic", "source_id", "error")

@@ -48,6 +48,7 @@ def closure(nodes: DataFrame, with_self: bool = True) -> DataFrame:
     parent's, so there is no cycle, and a walk has fewer steps than the longest path has segments: each round joins the
     pairs of up to k steps to themselves, which gives those of up to 2 k, so that rounds are the logarithm of the depth.
     """
+    nodes = written(nodes.select("path", "children"), "nodes")  # read several times
     pairs = child_links(nodes).join(nodes.select(F.col("path").alias("descendant")).distinct(), "descendant", "left_semi").select("ancestor", "descendant")
     deepest = nodes.agg(F.max(F.size(T.path_parts(F.col("path"))))).first()[0] or 1
     for r in range(math.ceil(math.log2(max(1, deepest - 1)))):

@@ -22,7 +22,7 @@ from topicspark.operators import triage as TI
 from topicspark.plans import jobs as JO
 from topicspark.plans import views as V
 from topicspark.plans.views import sql_normal, sql_tokens, with_views
-from topicspark.shared import shared_folder
+from topicspark.shared import shared_folder, written
 from topicspark.sources import writers as W
 from topicspark.sources.versioned import VersionedTable
 
@@ -605,7 +605,7 @@ def w8_hash_chain(spark, d):
 @query("SELECT 'user-' || user_id AS topic, user_id % 5 <> 0 AS valid, CASE WHEN user_id % 5 = 0 THEN 'OP-' || lpad(CAST(least(3, count(*)) AS VARCHAR), 4, '0') END AS broken_at FROM events GROUP BY user_id")
 def w7_chain_check(spark, d):
     """Chains of which every fifth has a changed operation."""
-    ops = LI.built(V.operations(spark, d))
+    ops = written(LI.built(V.operations(spark, d)), "chains")  # built once, read for heads and for the check
     last = Window.partitionBy("topic")
     ops = ops.withColumn("bad", (F.split("topic", "-")[1].cast("int") % 5 == 0) & (F.col("seq") == F.least(F.lit(3), F.max("seq").over(last))))
     heads = ops.groupBy("topic").agg(F.max_by("hash", "seq").alias("hash"))
@@ -811,7 +811,7 @@ def e7_version_bumps(spark, d):
 def e8_validated(spark, d):
     """Each topic's report from facts out of range, chains of which every fifth is broken, and mock sources."""
     f = V.facts(spark, d).withColumns({"topic": F.concat(F.lit("user-"), (F.col("doc_id") % 50).cast("string")), "fact_id": F.lit("FCT-001"), "confidence": F.when(F.col("confidence") > 0.99, 1.5).otherwise(F.col("confidence"))})
-    log = LI.built(V.operations(spark, d))
+    log = written(LI.built(V.operations(spark, d)), "chains")
     heads = log.groupBy("topic").agg(F.max_by("hash", "seq").alias("hash"))
     spoilt = (F.split("topic", "-")[1].cast("int") % 5 == 0) & (F.col("seq") == 1)
     broken = log.withColumn("payload", F.when(spoilt, F.lit("{}")).otherwise(F.col("payload")))
@@ -940,3 +940,23 @@ def v3_claim_rules(spark, d):
     c = V.claims(spark, d)
     size = F.length("claim")
     return QU.claim_errors(c.select(F.when(F.col("beat").cast("int") % 7 == 3, "").otherwise(F.substring("id", 1, 7)).alias("id"), F.when(size % 5 == 0, "").otherwise(F.col("beat")).alias("beat"), F.when(size < 30, "").otherwise(F.col("claim")).alias("claim")))
+
+
+def line_runner(title: str, text: str):
+    """Lines as facts; some sources can't be extracted."""
+    if title.endswith("7"):
+        raise ValueError(f"can't extract {title}")
+    for line in (text or "").split("\n"):
+        if line.strip():
+            yield line.strip(), 0.5, [title]
+
+
+@query(
+    """SELECT topic, source_id, pos, text, title AS category, NULL::VARCHAR AS error FROM v_facts WHERE title NOT LIKE '%7' UNION ALL
+    SELECT topic, source_id, NULL, NULL, NULL, 'ValueError: can''t extract ' || title FROM v_sources WHERE title LIKE '%7'""",
+    "v_sources", "v_facts",
+)
+def x2_extracted(spark, d):
+    """Facts by a user's runner as a table function, several a source, with the sources on which it fails."""
+    facts, failures = FA.extracted_or_failed(V.sources(spark, d), line_runner)
+    return QU.all_issues(facts.select("topic", "source_id", "pos", "text", F.get("categories", F.lit(0)).alias("category")), failures)
