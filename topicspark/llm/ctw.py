@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, in_chunks, mixed, prefix_sums, scratch, small_batches, span_hash, table
+from .common import LOWER, in_chunks, mixed, prefix_sums, scratch, small_batches, span_hash, table, with_row
 
 #: Bytes that UTF-8 never has: before a text's start, and after its end.
 PAD, END = b"\xfe", b"\xff"
@@ -243,8 +243,9 @@ def ctw_scores(docs: DataFrame, depth: int = 5, folds: int = 7, fold: int = 2, t
     counts = scratch(spark, counted(rows, depth, folds, fold), "ctw-counts")
     values = code_lengths(counts.filter("key >= 0"), depth).unionByName(counts.filter("key < 0").select("key", F.col("n").cast("double").alias("value")))
     values = scratch(spark, values, "ctw-values")
-    rows, n = in_chunks(rows, F.col("doc_id"), F.coalesce(F.length("text"), F.lit(0)) + 64, CHUNK)
-    rows = rows.repartition(n, "chunk")
+    # by row, not by doc_id: rows that share an id, or have none, don't meet in one chunk
+    rows, n = in_chunks(with_row(rows, "_dealt"), F.col("_dealt"), F.coalesce(F.length("text"), F.lit(0)) + 64, CHUNK)
+    rows = rows.drop("_dealt").repartition(n, "chunk")
     out = scored(rows, wanted(rows, depth).join(values, "key"), depth, folds, fold)
     totals = counts.filter("key < 0").agg(F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).alias("t")).scalar()
     out = out.withColumn("_t", totals).withColumn("train_tokens", F.col("_t.n"))
