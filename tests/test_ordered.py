@@ -45,3 +45,21 @@ def test_latencies_from_histograms(spark):
     added = parts[0].unionByName(parts[1]).groupBy("topic", "ms").agg(F.sum("n").alias("n"))
     want = {r.topic: r.asDict() for r in ST.latencies(calls).collect()}
     assert {r.topic: r.asDict() for r in ST.histogram_latencies(added).collect()} == want and len(want) == 4
+
+
+@pytest.mark.parametrize("most, small", [(20, 0), (10**6, 10**12)])
+def test_pages(spark, most, small):
+    """Pages of hot, null and one-row keys against a plain loop: bounded rows and bytes, nothing lost, order kept."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", None, f"k{n % 40}"]), n, None if n % 17 == 0 else "x" * rng.randrange(30) + ("y" * 500 if n % 91 == 0 else "")) for n in range(700)]
+    df = spark.createDataFrame(rows, "key string, id int, text string").repartition(6)
+    got = O.paged(df, ["key"], ["id"], ["id", "text"], "items", F.octet_length("text"), 15, 200, most, small).collect()
+    want = {}
+    for key in {r[0] for r in rows}:
+        before = 0
+        for at, (_, id_, text) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: r[1])):
+            want.setdefault((key, at // 15 + before // 200), []).append((id_, text))
+            before += len(text or "")
+    assert {(r.key, r.page): [tuple(x) for x in r["items"]] for r in got} == want
+    assert all(r.n == len(r["items"]) <= 15 and sum(len(x.text or "") for x in r["items"][:-1]) <= 200 for r in got)
+    assert O.paged(df.filter("false"), ["key"], ["id"], ["id"], "items", small=small).count() == 0

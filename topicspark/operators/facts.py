@@ -42,6 +42,12 @@ def joined_summaries(sources: DataFrame) -> DataFrame:
     return source_summaries(sources).groupBy("topic").agg(F.array_join(F.transform(rows, lambda x: x["summary"]), "\n\n").alias("summary"))
 
 
+def summary_pages(sources: DataFrame, rows: int = O.PAGE_ROWS, page_bytes: int = O.PAGE_BYTES) -> DataFrame:
+    """A16 for topics of any size: (topic, page, summary): joined by blank lines, in order, the pages give the topic's summary."""
+    pages = O.paged(source_summaries(sources), ["topic"], ["source_id"], ["summary"], "summaries", F.octet_length("summary"), rows, page_bytes)
+    return pages.select("topic", "page", F.array_join(F.col("summaries.summary"), "\n\n").alias("summary"))
+
+
 def parsed_responses(responses: DataFrame, column: str = "response") -> DataFrame:
     """Model responses to facts. Adds error (null if good) and facts (array of struct text, confidence, categories).
 
@@ -121,13 +127,27 @@ def citations(facts: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def bundles(sources: DataFrame, facts: DataFrame) -> DataFrame:
-    """A report row for each topic with its sources and facts nested in order, and their counts."""
+    """A report row for each topic with its sources and facts nested in order, and their counts. A topic is
+    one row here: where topics may have millions of facts, take bundle_pages()."""
     f = facts.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("source_id", "pos", F.col("text").alias("statement")))).alias("facts"), F.count("*").alias("fact_count"))
     s = sources.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("source_id", "title"))).alias("sources"), F.count("*").alias("source_count"))
     df = s.join(f, "topic", "full")
     return df.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("fact_count", "source_count")})
 
 
+def bundle_pages(sources: DataFrame, facts: DataFrame, rows: int = O.PAGE_ROWS, page_bytes: int = O.PAGE_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """P1, A17 for topics of any size: (totals, source pages, fact pages).
+
+    totals: (topic, fact_count, source_count). Source pages: (topic, page, sources, n), in source order, and fact pages:
+    (topic, page, facts, n), by source and place; their arrays hold what bundles() nests in one row, a page at a time.
+    """
+    f, s = (df.groupBy("topic").agg(F.count("*").alias(name)) for df, name in ((facts, "fact_count"), (sources, "source_count")))
+    totals = s.join(f, "topic", "full").select("topic", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("fact_count", "source_count")])
+    source_pages = O.paged(sources, ["topic"], ["source_id"], ["source_id", "title"], "sources", F.octet_length("title"), rows, page_bytes)
+    fact_pages = O.paged(facts, ["topic"], ["source_id", "pos"], ["source_id", "pos", F.col("text").alias("statement")], "facts", F.octet_length("text"), rows, page_bytes)
+    return totals, source_pages, fact_pages
+
+
 def evidence_register(sources: DataFrame) -> DataFrame:
     """Sources numbered from 1 in ingest order."""
     return O.numbered(sources, ["topic"], ["source_id"], "evidence_no")

@@ -62,3 +62,25 @@ def running(df: DataFrame, keys: list[str], order: list[str | Column], totals: d
 def numbered(df: DataFrame, keys: list[str], order: list[str | Column], name: str, most: int = MOST, small: int = SMALL) -> DataFrame:
     """df with an int column: the rows of each key numbered from 1 in order, by running()."""
     return running(df, keys, order, {name: ("count", None)}, most, small).withColumn(name, F.col(name).cast("int"))
+
+
+#: A page holds no more rows than this, and rows of no more bytes than this besides its last.
+PAGE_ROWS, PAGE_BYTES = 10_000, 8 << 20
+
+
+def paged(df: DataFrame, keys: list[str], order: list[str | Column], columns: list[str | Column], name: str, size: Column | None = None, rows: int = PAGE_ROWS, page_bytes: int = PAGE_BYTES, most: int = MOST, small: int = SMALL) -> DataFrame:
+    """The rows of each key as pages: (keys, page, name, n): an array of the columns, in order, of n rows.
+
+    A page ends after so many rows, and where the sizes of its key's rows (size, in bytes; null counts as 0) pass a multiple
+    of page_bytes. So no row of the result grows with a key, and pages are grouped by (keys, page), each by a task of its
+    choice. Pages rise with the order; numbers are skipped where both limits, or a row of several times page_bytes, end
+    one. Order should tell the rows of a key apart. df has no columns _row and _bytes.
+    """
+    totals = {"_row": ("count", None)} | ({"_bytes": ("sum", F.coalesce(size, F.lit(0)).cast("long"))} if size is not None else {})
+    page = F.floor((F.col("_row") - 1) / rows)
+    if size is not None:
+        page = page + F.floor((F.col("_bytes") - F.coalesce(size, F.lit(0))) / page_bytes)
+    numbered_rows = running(df, keys, order, totals, most, small)
+    item = F.struct("_row", F.struct(*columns).alias("_item"))
+    pages = numbered_rows.groupBy(*keys, page.cast("long").alias("page")).agg(F.array_sort(F.collect_list(item)).alias("_items"), F.count("*").alias("n"))
+    return pages.select(*keys, "page", F.transform("_items", lambda x: x["_item"]).alias(name), "n")

@@ -54,6 +54,20 @@ def intake_manifest(files: DataFrame) -> DataFrame:
     return df.select("hash", "source_path", F.array_sort(F.array_except("all", F.array("source_path"))).alias("dup_paths"))
 
 
+def manifest_pages(files: DataFrame, rows: int = O.PAGE_ROWS, page_bytes: int = O.PAGE_BYTES) -> DataFrame:
+    """A13 for hashes of any number of paths (all empty files): (hash, page, source_path, dup_paths, n).
+
+    Pages hold the other paths in order; the canonical path is the least of partial aggregates and stands on each page, and
+    n counts a page's paths. A hash has at least one page, of no duplicates if its path is the only one.
+    """
+    paths = files.select("hash", "path").distinct()
+    first = paths.groupBy("hash").agg(F.min(F.struct(T.basename(F.col("path")).alias("b"), F.col("path").alias("p")))["p"].alias("source_path"))
+    pages = O.paged(paths, ["hash"], ["path"], ["path"], "_paths", F.octet_length("path"), rows, page_bytes)
+    # a page a row here, so that no hash is hot in this join
+    df = pages.join(first, "hash").select("hash", "page", "source_path", F.array_remove(F.col("_paths.path"), F.col("source_path")).alias("dup_paths"))
+    return df.withColumn("n", F.size("dup_paths").cast("long")).filter("page = 0 OR n > 0")
+
+
 def physical_paths(manifest: DataFrame) -> DataFrame:
     """U4: one row a path, canonical and duplicates."""
     return manifest.select("hash", F.explode(F.concat(F.array("source_path"), F.coalesce("dup_paths", F.array().cast("array<string>")))).alias("path"))

@@ -190,3 +190,8 @@ def triage(files: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFrame, Da
 def report(sources: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(bundles, category groups, evidence register); facts are cited by citations()."""
     return FA.bundles(sources, facts), FA.by_first_category(facts), FA.evidence_register(sources)
+
+
+def paged_report(sources: DataFrame, facts: DataFrame) -> tuple[tuple[DataFrame, DataFrame, DataFrame], DataFrame, DataFrame]:
+    """E13 for topics of any size: (bundle pages, category groups, evidence register)."""
+    return FA.bundle_pages(sources, facts), FA.by_first_category(facts), FA.evidence_register(sources)

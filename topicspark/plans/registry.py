@@ -892,12 +892,12 @@ def e11_triaged(spark, d):
 )
 def e13_report(spark, d):
     """E13, P1 whole: all facts and sources of the bundles, their counts, the category groups and the evidence register."""
-    bundles, groups, register = JO.report(V.sources(spark, d), V.facts(spark, d))
+    (totals, source_pages, fact_pages), groups, register = JO.paged_report(V.sources(spark, d), V.facts(spark, d))
     long_ = lambda c: F.col(c).cast("long").alias("n")
     row = lambda df, part, *columns: df.select(F.lit(part).alias("part"), "topic", *columns)
-    facts = row(bundles.select("topic", F.inline("facts")), "fact", "source_id", long_("pos"), F.col("statement").alias("text"))
-    sources = row(bundles.select("topic", F.inline("sources")), "source", "source_id", F.col("title").alias("text"))
-    counts = row(bundles, "counts", F.col("fact_count").cast("string").alias("source_id"), long_("source_count"))
+    facts = row(fact_pages.select("topic", F.inline("facts")), "fact", "source_id", long_("pos"), F.col("statement").alias("text"))
+    sources = row(source_pages.select("topic", F.inline("sources")), "source", "source_id", F.col("title").alias("text"))
+    counts = row(totals, "counts", F.col("fact_count").cast("string").alias("source_id"), long_("source_count"))
     evidence = row(register, "evidence", "source_id", long_("evidence_no"))
     kinds = row(groups, "group", F.col("category").alias("source_id"), long_("group_no"), F.col("n").cast("string").alias("text"))
     return QU.all_issues(facts, sources, counts, evidence, kinds)
@@ -960,3 +960,54 @@ def x2_extracted(spark, d):
     """Facts by a user's runner as a table function, several a source, with the sources on which it fails."""
     facts, failures = FA.extracted_or_failed(V.sources(spark, d), line_runner)
     return QU.all_issues(facts.select("topic", "source_id", "pos", "text", F.get("categories", F.lit(0)).alias("category")), failures)
+
+
+#: Small pages, so that the given tables fill many.
+PAGE_ROWS, PAGE_BYTES = 40, 3000
+PAGE = f"CAST(floor((nr - 1) / {PAGE_ROWS}) + floor((size_so_far - own_size) / {PAGE_BYTES}) AS BIGINT)"
+
+
+def numbered_sql(view: str, key: str, order: str, text: str) -> str:
+    """SQL that numbers a view's rows along a key and adds up the sizes of a text."""
+    size = f"octet_length(encode({text}))"
+    return f"(SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS nr, {size} AS own_size, sum({size}) OVER (PARTITION BY {key} ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS size_so_far FROM {view})"
+
+
+@query(
+    f"""SELECT 'totals' AS part, coalesce(a.topic, b.topic) AS topic, NULL::BIGINT AS page, coalesce(a.n, 0) AS n, CAST(coalesce(b.n, 0) AS VARCHAR) AS content FROM (SELECT topic, count(*) AS n FROM v_facts GROUP BY topic) a FULL JOIN (SELECT topic, count(*) AS n FROM v_sources GROUP BY topic) b ON a.topic = b.topic
+    UNION ALL SELECT 'facts', topic, {PAGE}, count(*), string_agg(source_id || ' ' || pos || ' ' || text, chr(10) ORDER BY nr) FROM {numbered_sql("v_facts", "topic", "source_id, pos", "text")} GROUP BY topic, {PAGE}
+    UNION ALL SELECT 'sources', topic, {PAGE}, count(*), string_agg(source_id || ' ' || title, chr(10) ORDER BY nr) FROM {numbered_sql("v_sources", "topic", "source_id", "title")} GROUP BY topic, {PAGE}""",
+    "v_sources", "v_facts",
+)
+def p1_pages(spark, d):
+    """The whole content of every bundle, in pages of bounded rows and bytes, with the counts."""
+    totals, sources, facts = FA.bundle_pages(V.sources(spark, d), V.facts(spark, d), PAGE_ROWS, PAGE_BYTES)
+    joined = lambda items, line: F.array_join(F.transform(items, line), "\n").alias("content")
+    return QU.all_issues(
+        totals.select(F.lit("totals").alias("part"), "topic", F.col("fact_count").alias("n"), F.col("source_count").cast("string").alias("content")),
+        facts.select(F.lit("facts").alias("part"), "topic", "page", "n", joined("facts", lambda x: F.concat_ws(" ", x["source_id"], x["pos"], x["statement"]))),
+        sources.select(F.lit("sources").alias("part"), "topic", "page", "n", joined("sources", lambda x: F.concat_ws(" ", x["source_id"], x["title"]))),
+    )
+
+
+@query(
+    f""", m AS (SELECT topic, source_id, 'Extracted ' || len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '')) || ' fact(s) from ' || title || '.' AS summary FROM v_sources WHERE kind = 'text')
+    SELECT topic, {PAGE} AS page, string_agg(summary, chr(10) || chr(10) ORDER BY nr) AS summary FROM {numbered_sql("m", "topic", "source_id", "summary")} GROUP BY topic, {PAGE}""",
+    "v_sources",
+)
+def a16_summary_pages(spark, d):
+    """The summaries of topics of any size, in pages."""
+    return FA.summary_pages(V.sources(spark, d).filter("kind = 'text'"), PAGE_ROWS, PAGE_BYTES)
+
+
+@query(
+    f""", o AS (SELECT DISTINCT CASE WHEN size_bytes % 3 = 0 THEN 'empty' ELSE hash END AS hash, path FROM v_intake),
+    c AS (SELECT hash, arg_min(path, string_split(path, '/')[-1] || chr(1) || path) AS source_path FROM o GROUP BY hash),
+    p AS (SELECT hash, {PAGE} AS page, list(path ORDER BY path) AS paths FROM {numbered_sql("o", "hash", "path", "path")} GROUP BY hash, {PAGE})
+    SELECT hash, page, source_path, array_to_string(dup, chr(10)) AS dup_paths, CAST(len(dup) AS BIGINT) AS n FROM (SELECT *, list_filter(paths, lambda x: x <> source_path) AS dup FROM p JOIN c USING (hash)) WHERE page = 0 OR len(dup) > 0""",
+    "v_intake",
+)
+def a13_manifest_pages(spark, d):
+    """Duplicate paths in pages, where a third of all files are of one hash."""
+    i = V.intake(spark, d).withColumn("hash", F.when(F.col("size_bytes") % 3 == 0, "empty").otherwise(F.col("hash")))
+    return TI.manifest_pages(i, PAGE_ROWS, PAGE_BYTES).withColumn("dup_paths", F.array_join("dup_paths", "\n"))
