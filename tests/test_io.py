@@ -48,11 +48,12 @@ def test_scans(spark, root, tmp_path):
 def test_files(spark, tmp_path):
     d = tmp_path / "in"
     d.mkdir()
-    for name, text in (("a.txt", "hello"), ("b.md", "  \n"), ("c.xyz", "x")):
+    for name, text in (("a.txt", "hello"), ("b.md", "  \n"), ("c.xyz", "x"), ("d e+f%41.txt", ""), ("e.txt", "")):
         (d / name).write_text(text)
     got = {r.path.rsplit("/", 1)[1]: (r.text, r.error) for r in R.read_texts(spark, str(d)).collect()}
-    assert got == {"a.txt": ("hello", None), "b.md": ("  \n", "no text"), "c.xyz": (None, "unsupported file type: .xyz")}
-    assert W.with_hashes(R.list_files(spark, str(d))).select("content_hash").distinct().count() == 3
+    assert got == {"a.txt": ("hello", None), "b.md": ("  \n", "no text"), "c.xyz": (None, "unsupported file type: .xyz"), "d e+f%41.txt": ("", "no text"), "e.txt": ("", "no text")}
+    hashed = W.with_hashes(R.list_files(spark, str(d)))
+    assert hashed.select("content_hash").distinct().count() == 4 and hashed.filter("size_bytes = 0").count() == 2
 
 
 def test_sinks(spark, tmp_path):

@@ -22,7 +22,8 @@ from topicspark.operators import triage as TI
 from topicspark.plans import jobs as JO
 from topicspark.plans import views as V
 from topicspark.plans.views import sql_normal, sql_tokens, with_views
-from topicspark.shared import shared_folder, written
+from topicspark.shared import new_folder, shared_folder, written
+from topicspark.sources import trees as TT
 from topicspark.sources import writers as W
 from topicspark.sources.versioned import VersionedTable
 
@@ -1011,3 +1012,46 @@ def a13_manifest_pages(spark, d):
     """Duplicate paths in pages, where a third of all files are of one hash."""
     i = V.intake(spark, d).withColumn("hash", F.when(F.col("size_bytes") % 3 == 0, "empty").otherwise(F.col("hash")))
     return TI.manifest_pages(i, PAGE_ROWS, PAGE_BYTES).withColumn("dup_paths", F.array_join("dup_paths", "\n"))
+
+
+#: A topic tree by a customer's number: the documents of RAW where its kind isn't left out, and an envelope for each topic.
+LEFT_OUT = {"extract": "k % 9 = 0", "score": "k % 10 = 0"}
+ENVELOPE = """CASE WHEN k % 12 = 0 THEN '[1]' ELSE '{"kind":"text","text":"x"' || CASE WHEN k % 5 = 1 THEN '' ELSE ',"sourceId":"SRC-001"' END || '}' END"""
+TREE = RAW | {"envelope": (ENVELOPE, {"not JSON": "k % 12 = 0", "sourceId: missing": "k % 12 <> 0 AND k % 5 = 1"})}
+#: What a sound document of each kind gives.
+SOUND = {"topic": "active", "metadata": "S t", "extract": "FCT-001 x", "score": "f 50", "lineage": "1 1 A", "related_topics": "a r", "envelope": "SRC-001 x"}
+
+
+def tree_sql() -> str:
+    parts = []
+    for kind, (_, rules) in TREE.items():
+        there = f"NOT ({LEFT_OUT[kind]})" if kind in LEFT_OUT else "true"
+        reasons = f"array_to_string(list_sort(list_filter([{', '.join(f"CASE WHEN {rule} THEN '{error}' END" for error, rule in rules.items())}], lambda x: x IS NOT NULL)), '; ')"
+        parts.append(f"SELECT '{kind}' AS kind, path AS topic, CASE WHEN reason = '' THEN 'row' ELSE 'skipped' END AS part, CASE WHEN reason = '' THEN '{SOUND[kind]}' ELSE reason END AS content FROM (SELECT path, {reasons} AS reason FROM l WHERE {there})")
+    parts += [f"SELECT '{kind}', path, 'skipped', 'missing' FROM l WHERE {rule}" for kind, rule in LEFT_OUT.items()]
+    return ", l AS (SELECT path, c_custkey AS k FROM v_leaves) " + " UNION ALL ".join(parts)
+
+
+@query(tree_sql(), "v_leaves")
+def s1_tree_scan(spark, d):
+    """A topic tree of seven kinds written as files and read back in one scan, bad documents with their reasons."""
+    nodes = V.leaves(spark, d).select(F.col("path").alias("topic"), F.col("c_custkey").alias("k"))
+    there = lambda kind: ~F.expr(LEFT_OUT[kind]) if kind in LEFT_OUT else F.lit(True)
+    each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.expr(raw).alias("text"), there(kind).alias("there")) for kind, (raw, _) in TREE.items()])
+    documents = nodes.select("topic", F.inline(each)).filter("there").withColumn("source_id", F.lit("SRC-001"))
+    root = new_folder(spark, "topics")
+    W.write_files(W.tree_files(documents), root)
+    tree = TT.read_tree(spark, root, required=tuple(LEFT_OUT))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)  # the rows are in a table now
+    rows = lambda df, kind, *columns: df.select(F.lit(kind).alias("kind"), F.col("path" if kind == "topic" else "topic").alias("topic"), F.lit("row").alias("part"), F.concat_ws(" ", *columns).alias("content"))
+    return QU.all_issues(
+        tree.skipped.select("kind", "topic", F.lit("skipped").alias("part"), F.col("reason").alias("content")),
+        rows(tree.topics, "topic", "status"),
+        rows(tree.sources, "metadata", "source_id", "title"),
+        rows(tree.facts, "extract", "fact_id", "text"),
+        rows(tree.scores, "score", "fact_id", F.col("novelty").cast("int")),
+        rows(tree.operations, "lineage", "seq", "op_id", "op"),
+        rows(tree.related, "related_topics", "related", "relationship"),
+        rows(tree.envelopes, "envelope", "source_id", "text"),
+    )

@@ -24,11 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
     return told
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again: its plan starts at the files."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df written as a Parquet table in the shared folder, in a folder for each value of by, and read again: its plan starts
+    at the files."""
+    path = new_folder(df.sparkSession, name)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path) if by else df.sparkSession.read.parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int:
