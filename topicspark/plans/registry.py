@@ -1036,9 +1036,8 @@ def tree_sql() -> str:
 def s1_tree_scan(spark, d):
     """A topic tree of seven kinds written as files and read back in one scan, bad documents with their reasons."""
     nodes = V.leaves(spark, d).select(F.col("path").alias("topic"), F.col("c_custkey").alias("k"))
-    there = lambda kind: ~F.expr(LEFT_OUT[kind]) if kind in LEFT_OUT else F.lit(True)
-    each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.expr(raw).alias("text"), there(kind).alias("there")) for kind, (raw, _) in TREE.items()])
-    documents = nodes.select("topic", F.inline(each)).filter("there").withColumn("source_id", F.lit("SRC-001"))
+    there = lambda kind: nodes.filter(f"NOT ({LEFT_OUT[kind]})") if kind in LEFT_OUT else nodes
+    documents = QU.all_issues(*[there(kind).select("topic", F.lit(kind).alias("kind"), F.lit("SRC-001").alias("source_id"), F.expr(raw).alias("text")) for kind, (raw, _) in TREE.items()])
     root = new_folder(spark, "topics")
     W.write_files(W.tree_files(documents), root)
     tree = TT.read_tree(spark, root, required=tuple(LEFT_OUT))
