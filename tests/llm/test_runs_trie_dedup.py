@@ -100,6 +100,26 @@ def test_subtree_totals(spark, shape):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [8192, 7])
+def test_contraction_in_tasks(spark, monkeypatch, block):
+    """A deep chain with side branches is contracted in few tables, whatever the blocks, and ids may be structs."""
+    monkeypatch.setattr(trie, "BLOCK", block)
+    monkeypatch.setattr(trie, "MOST", 3 * block)
+    written, scratch = [], trie.scratch
+    monkeypatch.setattr(trie, "scratch", lambda s, df, name: written.append(name) or scratch(s, df, name))
+    n, rng = 400, random.Random(block)
+    parent = {k: (k - 1 if k % 10 else max(0, k - 10 - rng.randrange(10))) if k else None for k in range(n)}
+    value = {k: rng.choice([None, 0, 5, -3, 2**33]) for k in range(n)}
+    want = {k: value[k] or 0 for k in range(n)}
+    for k in reversed(range(1, n)):
+        want[parent[k]] += want[k]
+    pair = lambda k: None if k is None else (k // 50, f"{k:03}")
+    nodes = spark.createDataFrame([(pair(k), pair(parent[k]), value[k]) for k in range(n)], "id struct<a:long,b:string>, parent struct<a:long,b:string>, v long")
+    got = {int(r.id.b): r.v for r in trie.subtree_totals(nodes, ["v"]).collect()}
+    assert got == want
+    assert len(written) <= 12
+
+
 def test_forest_edges(spark):
     kinds = "id long, parent long, v long"
     assert trie.subtree_totals(spark.createDataFrame([], kinds), ["v"]).count() == 0

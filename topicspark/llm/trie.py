@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from topicspark.operators.ordered import numbered, running
 
@@ -15,6 +16,8 @@ from .common import hot_join, scratch, table
 
 #: Ids in a string that the digest of a long list of ids is made of.
 PACK = 4096
+#: Nodes that a task of contracted() holds: about so many while there are fewer tasks than partitions of a shuffle, and at most.
+BLOCK, MOST = 8192, 1 << 18
 
 
 def subtree_totals(nodes: DataFrame, values: list[str]) -> DataFrame:
@@ -23,13 +26,15 @@ def subtree_totals(nodes: DataFrame, values: list[str]) -> DataFrame:
     nodes: (id, parent, values...), ids of any comparable type, each once; a node whose parent is null or not among the ids is a
     root. Null values count as 0. A cycle of parents is an error. An empty forest gives an empty table.
 
-    Parallel tree contraction, a round in joins: rake takes away all leaves and adds what they hold to their parents;
-    compress takes away nodes with one child left that win a toss which their parents lose (so no two neighbours go at
-    once), hands the child over to the parent, and lets the child carry what the node held. A leaf's total is final when
-    it is raked. Contracted nodes are re-expanded in reverse: what the node held plus the total of the child that it
-    handed over. Rounds are about as many as the logarithm of the nodes, whatever the depth, and shrink geometrically;
-    each is written to the shared folder. Sums to a parent are pre-aggregated in tasks, and children of a parent with
-    more than a thousandth of all nodes meet no join by it.
+    Parallel tree contraction, in rounds of two kinds in turn. In joins: rake takes away all leaves and adds what they hold
+    to their parents; compress takes away nodes with one child left that win a toss which their parents lose (so no two
+    neighbours go at once), hands the child over to the parent, and lets the child carry what the node held. In tasks
+    (contracted()): what is left is dealt by ranges of ids, and each task rakes and compresses as far as the nodes that it
+    holds allow, so that chains whose ids lie side by side go in one round. A leaf's total is final when it is raked.
+    Contracted nodes are re-expanded in reverse: what the node held plus the total of the child that it handed over. Rounds
+    are about as many as the logarithm of the nodes at most, whatever the depth and the order of ids, and shrink
+    geometrically; each is written to the shared folder. Sums to a parent are pre-aggregated in tasks, and children of a
+    parent with more than a thousandth of all nodes meet no join by it.
     """
     spark = nodes.sparkSession
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
@@ -39,31 +44,10 @@ def subtree_totals(nodes: DataFrame, values: list[str]) -> DataFrame:
     rounds: list[DataFrame] = []
     left = live.count()
     while left:
-        r = len(rounds)
-        toss = lambda c: F.xxhash64(F.lit(r), c) % 2 == 0  # noqa: B023, E731
-        leaf = F.col("kids") == 0
-        up = live.filter(leaf & F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("_gone"), *[F.sum(F.col(v) + F.col(f"edge_{v}")).alias(f"_{v}") for v in values])
-        rest = live.filter(~leaf).join(up, "id", "left").withColumns({v: F.col(v) + F.coalesce(f"_{v}", F.lit(0)) for v in values} | {"kids": F.col("kids") - F.coalesce("_gone", F.lit(0))})
-        rest = rest.select(*live.columns)
-        only = (F.col("kids") == 1) & F.col("parent").isNotNull() & toss(F.col("id")) & ~toss(F.col("parent"))
-        taken = rest.filter(only).select(F.col("id").alias("parent"), F.col("parent").alias("_above"), *[F.col(v).alias(f"_{v}") for v in values], *[F.col(f"edge_{v}").alias(f"_edge_{v}") for v in values])
-        # only the children of nodes that might be taken are looked up: not those of a parent with many children
-        many = F.broadcast(rest.filter((F.col("kids") > 1) & (F.col("kids") * 1000 > left)).select(F.col("id").alias("parent")))
-        under = rest.filter(~F.coalesce(only, F.lit(False)))
-        apart = under.join(many, "parent", "left_semi")
-        moved = under.join(many, "parent", "left_anti").join(taken, "parent", "left")
-        went = F.col("_above").isNotNull()
-        live_next = moved.select(
-            F.lit("live").alias("state"), "id", F.when(went, F.col("_above")).otherwise(F.col("parent")).alias("parent"), *values,
-            *[(F.col(f"edge_{v}") + F.coalesce(F.col(f"_{v}") + F.col(f"_edge_{v}"), F.lit(0))).alias(f"edge_{v}") for v in values], "kids",
-        )
-        # what re-expansion needs: the node that went, the child that it handed over, and what it held beside it
-        held = moved.filter(went).select(F.lit("compressed").alias("state"), F.col("parent").alias("id"), F.col("id").alias("parent"), *[(F.col(f"_{v}") + F.col(f"edge_{v}")).alias(v) for v in values])
-        raked = live.filter(leaf).select(F.lit("raked").alias("state"), "id", "parent", *values)
-        apart = apart.select(F.lit("live").alias("state"), *live.columns)
-        out = scratch(spark, live_next.unionByName(apart).unionByName(held, allowMissingColumns=True).unionByName(raked, allowMissingColumns=True), "trie")
+        r, joins = len(rounds), len(rounds) % 2 == 0
+        out = scratch(spark, joined_round(live, values, r, left) if joins else contracted(live, values, left), "trie")
         counts = dict(out.groupBy("state").count().collect())
-        if not counts.get("raked"):
+        if joins and not counts.get("raked"):
             raise ValueError("parents form a cycle")
         rounds.append(out)
         live, left = out.filter("state = 'live'").drop("state"), counts.get("live", 0)
@@ -79,6 +63,103 @@ def subtree_totals(nodes: DataFrame, values: list[str]) -> DataFrame:
     return nodes.select("id", *[zero(v).alias(v) for v in values]) if totals is None else totals
 
 
+def joined_round(live: DataFrame, values: list[str], r: int, left: int) -> DataFrame:
+    """live after one rake and one compress in joins, with what re-expansion needs (state: live, raked or compressed)."""
+    toss = lambda c: F.xxhash64(F.lit(r), c) % 2 == 0
+    leaf = F.col("kids") == 0
+    up = live.filter(leaf & F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("_gone"), *[F.sum(F.col(v) + F.col(f"edge_{v}")).alias(f"_{v}") for v in values])
+    rest = live.filter(~leaf).join(up, "id", "left").withColumns({v: F.col(v) + F.coalesce(f"_{v}", F.lit(0)) for v in values} | {"kids": F.col("kids") - F.coalesce("_gone", F.lit(0))})
+    rest = rest.select(*live.columns)
+    only = (F.col("kids") == 1) & F.col("parent").isNotNull() & toss(F.col("id")) & ~toss(F.col("parent"))
+    taken = rest.filter(only).select(F.col("id").alias("parent"), F.col("parent").alias("_above"), *[F.col(v).alias(f"_{v}") for v in values], *[F.col(f"edge_{v}").alias(f"_edge_{v}") for v in values])
+    # only the children of nodes that might be taken are looked up: not those of a parent with many children
+    many = F.broadcast(rest.filter((F.col("kids") > 1) & (F.col("kids") * 1000 > left)).select(F.col("id").alias("parent")))
+    under = rest.filter(~F.coalesce(only, F.lit(False)))
+    apart = under.join(many, "parent", "left_semi")
+    moved = under.join(many, "parent", "left_anti").join(taken, "parent", "left")
+    went = F.col("_above").isNotNull()
+    live_next = moved.select(
+        F.lit("live").alias("state"), "id", F.when(went, F.col("_above")).otherwise(F.col("parent")).alias("parent"), *values,
+        *[(F.col(f"edge_{v}") + F.coalesce(F.col(f"_{v}") + F.col(f"_edge_{v}"), F.lit(0))).alias(f"edge_{v}") for v in values], "kids",
+    )
+    # what re-expansion needs: the node that went, the child that it handed over, and what it held beside it
+    held = moved.filter(went).select(F.lit("compressed").alias("state"), F.col("parent").alias("id"), F.col("id").alias("parent"), *[(F.col(f"_{v}") + F.col(f"edge_{v}")).alias(v) for v in values])
+    raked = live.filter(leaf).select(F.lit("raked").alias("state"), "id", "parent", *values)
+    apart = apart.select(F.lit("live").alias("state"), *live.columns)
+    return live_next.unionByName(apart).unionByName(held, allowMissingColumns=True).unionByName(raked, allowMissingColumns=True)
+
+
+def contracted(live: DataFrame, values: list[str], left: int) -> DataFrame:
+    """live after tasks have raked and compressed what they hold, with what re-expansion needs, as joined_round gives it.
+
+    Nodes are dealt by ranges of ids, some BLOCK to a task or as many as shuffles have partitions, and a task takes at most
+    MOST at a time. A leaf whose parent lies elsewhere stays for the next round in joins, and so do nodes with children there.
+    """
+    schema = StructType([StructField("state", StringType()), *live.schema.fields])
+    most = MOST
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= most:
+                yield from contract(pa.Table.from_batches(held), values).to_batches()
+                held, n = [], 0
+        if n:
+            yield from contract(pa.Table.from_batches(held), values).to_batches()
+
+    shuffled = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(-(-left // most), min(-(-left // BLOCK), shuffled))
+    return live.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(run, schema)
+
+
+def hashable(ids: pa.Array) -> list:
+    """Equal ids as equal Python keys; None for null. Ids that differ here though Spark takes them as equal only wait for a round in joins."""
+    if pa.types.is_struct(ids.type):
+        fields = zip(*map(hashable, ids.flatten()), strict=True)
+        return [x if ok else None for x, ok in zip(fields, ids.is_valid().to_pylist(), strict=True)]
+    return [repr(x) if isinstance(x, (list, dict)) else x for x in ids.to_pylist()]
+
+
+def contract(rows: pa.Table, values: list[str]) -> pa.Table:
+    """The rows with their state after all rakes and compressions that need no row beside them."""
+    id_, parent = rows.column("id").combine_chunks(), rows.column("parent").combine_chunks()
+    parents, kids, n = hashable(parent), rows.column("kids").to_pylist(), len(rows)
+    place = {x: k for k, x in enumerate(hashable(id_))}
+    up = [-1 if x is None else place.get(x, -1) for x in parents]
+    sums = [(rows.column(v).to_pylist(), rows.column(f"edge_{v}").to_pylist()) for v in values]
+    state, source = ["live"] * n, list(range(n))
+    leaves = [k for k in range(n) if kids[k] == 0]
+    for k in leaves:  # grows on the way
+        a = up[k]
+        if a < 0 and parents[k] is not None:
+            continue
+        state[k] = "raked"
+        if a >= 0:
+            kids[a] -= 1
+            for v, e in sums:
+                v[a] += v[k] + e[k]
+            if kids[a] == 0:
+                leaves.append(a)
+    here = [0] * n
+    for k in range(n):
+        if state[k] == "live" and up[k] >= 0:
+            here[up[k]] += 1
+    goes = [state[k] == "live" and kids[k] == here[k] == 1 and parents[k] is not None for k in range(n)]
+    for k in [k for k in range(n) if state[k] == "live" and not goes[k]]:
+        a = up[k]
+        while a >= 0 and goes[a]:
+            state[a], goes[a], source[k], source[a] = "compressed", False, a, n + k
+            for v, e in sums:
+                v[a], e[k] = v[a] + e[k], e[k] + v[a] + e[a]
+            a = up[a]
+    columns = {"id": id_, "parent": pa.concat_arrays([parent, id_]).take(pa.array(source, type=pa.int64())), "kids": pa.array(kids, type=pa.int64())}
+    for name, (v, e) in zip(values, sums, strict=True):
+        columns |= {name: pa.array(v, type=pa.int64()), f"edge_{name}": pa.array(e, type=pa.int64())}
+    return pa.table({"state": pa.array(state), **{c: columns[c] for c in rows.column_names}})
+
+
 def in_order(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role, text) with their place `pos` from 1: by turn (null first), then role, then text. Null
     roles and texts are empty; rows without a conv_id belong to no conversation and are left out."""
