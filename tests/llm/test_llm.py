@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -326,6 +327,28 @@ def test_warc_edges(spark, tmp_path):
     assert seconds[1] < 3.5 * seconds[0]
 
 
+def test_ctw_tables(monkeypatch):
+    """Keys that come again are looked up, not sorted again; every key is found, also where many share a slot."""
+    monkeypatch.setattr(ctw, "WAITING", 50)
+    sizes, merged = [], ctw.merged
+    monkeypatch.setattr(ctw, "merged", lambda found: sizes.append(sum(len(k) for k, _ in found)) or merged(found))
+    rng, want, tally = np.random.default_rng(3), Counter(), ctw.Tally()
+    for _ in range(200):
+        keys, n = np.unique(rng.integers(-60, 60, 90) * 2**40, return_counts=True)
+        tally.add(keys, n)
+        want.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+    tally.settle()
+    assert dict(zip(tally.keys.tolist(), tally.n.tolist(), strict=True)) == want and (np.diff(tally.keys) > 0).all()
+    assert sum(sizes) <= 5 * len(want)  # the 200 parts have more than a hundred times that
+    keys = np.concatenate([rng.integers(0, 2**48, 5000), np.arange(300), -1 - np.arange(300) * 2**50, [2**48 - 1]])
+    found = ctw.Lookup(keys, np.arange(len(keys)) / 3)
+    some = rng.permutation(np.arange(len(keys)))
+    assert (found.find(keys[some]) == some / 3).all() and not len(found.find(keys[:0]))
+    with pytest.raises(KeyError):
+        found.find(np.array([keys[0], 2**50]))
+    assert not len(ctw.Lookup(keys[:0], np.zeros(0)).find(keys[:0]))
+
+
 def test_ctw(spark, monkeypatch, rows):
     monkeypatch.setattr(ctw, "CHUNK", 4000)
     some = [(d, t if t is None else t[:120], s) for d, t, s in rows]

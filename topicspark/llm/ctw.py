@@ -20,16 +20,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, in_chunks, mixed, prefix_sums, scratch, small_batches, span_hash, table, with_row
+from .common import BASE, LOWER, give_back, in_chunks, mixed, prefix_sums, scratch, small_batches, span_hash, table, with_row
 
 #: Bytes that UTF-8 never has: before a text's start, and after its end.
 PAD, END = b"\xfe", b"\xff"
 #: The key of the end as a token; words have negative keys, n-grams of bytes others.
 END_KEY = -1
 #: Bytes of text that a chunk holds, and that a task turns into n-grams at once.
-CHUNK, PART = 32 << 20, 1 << 19
-#: Keys that a task of the first pass sums before it sends them on.
-MOST_KEYS = 3 << 20
+CHUNK, PART = 32 << 20, 1 << 20
+#: Keys that a task of the first pass sums before it sends them on, and new ones that wait before they are sorted in.
+MOST_KEYS, WAITING = 3 << 20, 1 << 18
+#: What no key is: an empty slot.
+NO_KEY = -(2**63)
 
 
 def trains(doc_id: object, folds: int, fold: int) -> bool:
@@ -79,12 +81,77 @@ def parts_of(texts: pa.ChunkedArray) -> Iterator[tuple[int, list[bytes]]]:
 def merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sums of their counts."""
     keys, n = np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # quick on the sorted runs that these are
     keys, n = keys[order], n[order]
     starts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
     return keys[starts], np.add.reduceat(n, starts)
 
 
+class Tally:
+    """Sums of counts by key. Keys that are there already are looked up, so that only new ones are sorted in."""
+
+    def __init__(self) -> None:
+        self.keys, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        """keys: distinct and ascending."""
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            there = self.keys[at] == keys
+            self.n[at[there]] += n[there]
+            keys, n = keys[~there], n[~there]
+        self.new.append((keys, n))
+        self.waiting += len(keys)
+        if self.waiting > max(WAITING, len(self.keys) // 4):
+            self.settle()
+
+    def settle(self) -> None:
+        if self.waiting:
+            self.keys, self.n = merged([(self.keys, self.n), *self.new])
+        self.new, self.waiting = [], 0
+
+
+class Lookup:
+    """Values of distinct keys by hash tables in which a key has one slot: one that another has put out stands in the next table."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.tables: list[tuple[np.uint64, np.uint64, np.ndarray, np.ndarray]] = []
+        while len(keys):
+            bits = max(1, len(keys).bit_length())
+            factor, shift = np.uint64(pow(BASE, 2 * len(self.tables) + 1, 2**64)), np.uint64(64 - bits)
+            at = self.slots(keys, factor, shift)
+            held, value = np.full(1 << bits, NO_KEY), np.zeros(1 << bits)
+            held[at] = keys
+            won = held[at] == keys
+            value[at[won]] = values[won]
+            self.tables.append((factor, shift, held, value))
+            keys, values = keys[~won], values[~won]
+
+    @staticmethod
+    def slots(keys: np.ndarray, factor: np.uint64, shift: np.uint64) -> np.ndarray:
+        return ((keys.view(np.uint64) * factor) >> shift).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key; one that isn't there is an error."""
+        out, open_ = np.empty(len(keys)), None
+        for factor, shift, held, value in self.tables:
+            asked = keys if open_ is None else keys[open_]
+            at = self.slots(asked, factor, shift)
+            left = np.flatnonzero(held[at] != asked)
+            if open_ is None:
+                out, open_ = value[at], left
+            else:
+                out[open_] = value[at]
+                open_ = open_[left]
+            if not len(open_):
+                return out
+        if len(keys):
+            raise KeyError("a key without a value")
+        return out
+
+
 def keys_of(texts: list[bytes], depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return [np.unique(keys, return_counts=True) for keys in (grams(texts, depth), word_keys(texts)[0])]
 
@@ -93,24 +160,25 @@ def counted(docs: DataFrame, depth: int, folds: int, fold: int) -> DataFrame:
     """(key, n): every n-gram and word of the corpus with its count in training texts (0: in none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [(np.array([END_KEY]), np.array([0]))]
+        give_back()
+        found = Tally()
 
         def sent() -> pa.RecordBatch:
-            keys, n = merged(found)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+            found.settle()
+            return pa.RecordBatch.from_arrays([pa.array(found.keys), pa.array(found.n)], ["key", "n"])
 
         for rows in batches:
             learn = [trains(x, folds, fold) for x in rows.column(0).to_pylist()]
-            found.append((np.array([END_KEY]), np.array([sum(learn)])))
+            found.add(np.array([END_KEY]), np.array([sum(learn)]))
             for lo, texts in parts_of(rows.column(1)):
                 for yes in (True, False):
                     chosen = [t for k, t in enumerate(texts, lo) if learn[k] == yes]
-                    found += [(k, n if yes else np.zeros_like(n)) for k, n in keys_of(chosen, depth)] if chosen else []
-                if sum(len(k) for k, _ in found[1:]) > max(1 << 20, 2 * len(found[0][0])):
-                    found = [merged(found)]
-                    if len(found[0][0]) > MOST_KEYS:
-                        yield sent()
-                        found = [(np.array([END_KEY]), np.array([0]))]
+                    for k, n in keys_of(chosen, depth) if chosen else []:
+                        found.add(k, n if yes else np.zeros_like(n))
+                if len(found.keys) > MOST_KEYS:
+                    yield sent()
+                    found = Tally()
+        found.add(np.array([END_KEY]), np.array([0]))
         yield sent()
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "key long, n long")
@@ -121,12 +189,14 @@ def wanted(docs: DataFrame, depth: int) -> DataFrame:
     """(key, chunk): every n-gram and word that a chunk has."""
 
     def run(rows: pa.Table) -> pa.Table:
-        found = [(np.array([END_KEY]), np.array([0]))]
+        give_back()
+        found = Tally()
+        found.add(np.array([END_KEY]), np.array([0]))
         for _, texts in parts_of(rows.column("text")):
-            found += keys_of(texts, depth)
-            if sum(len(k) for k, _ in found[1:]) > max(1 << 20, 2 * len(found[0][0])):
-                found = [merged(found)]
-        keys, _ = merged(found)
+            for k, n in keys_of(texts, depth):
+                found.add(k, n)
+        found.settle()
+        keys = found.keys
         return pa.table({"key": keys, "chunk": np.full(len(keys), rows.column("chunk")[0].as_py(), dtype=np.int32)})
 
     return docs.groupBy("chunk").applyInArrow(run, "key long, chunk int")
@@ -198,26 +268,22 @@ def scored(docs: DataFrame, replies: DataFrame, depth: int, folds: int, fold: in
     """(doc_id, held_out, n_tokens, n_known, logs, score): logs sums log10(c + 1) over a text's tokens."""
 
     def run(rows: pa.Table, reply: pa.Table) -> pa.Table:
-        order = np.argsort(reply.column("key").to_numpy())
-        keys, values = reply.column("key").to_numpy()[order], reply.column("value").to_numpy()[order]
-        split = int(np.searchsorted(keys, 0))
-        gram_keys, gram_values = keys[split:], values[split:]
-        word_known, word_values = keys[:split], np.log10(values[:split] + 1)
+        give_back()
+        keys, values = reply.column("key").to_numpy(), reply.column("value").to_numpy()
+        known = Lookup(keys, np.where(keys < 0, np.log10(np.where(keys < 0, values, 0.0) + 1), values))
+        end = known.find(np.array([END_KEY]))[0] if len(rows) else 0.0
         ids = rows.column("doc_id").to_pylist() if len(rows) else []
         tokens, hits, logs, scores = [], [], [], []
         for _, texts in parts_of(rows.column("text")) if len(rows) else ():
-            asked = grams(texts, depth)
-            order = np.argsort(asked)  # a binary search is quickest in order
-            per_byte = np.empty(len(asked))
-            per_byte[order] = gram_values[np.searchsorted(gram_keys, asked[order])]
+            per_byte = known.find(grams(texts, depth))
             scores.append(np.add.reduceat(per_byte, np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]))
             words, n = word_keys(texts)
-            each = np.append(word_values[np.searchsorted(word_known, words)], 0.0)
+            each = known.find(words)
             ends = np.cumsum(n)
-            sums, known = np.append(0.0, np.cumsum(each)), np.append(0, np.cumsum(each > 0))
+            sums, seen = np.append(0.0, np.cumsum(each)), np.append(0, np.cumsum(each > 0))
             tokens.append(n + 1)
-            logs.append(sums[ends] - sums[ends - n] + word_values[-1])
-            hits.append(known[ends] - known[ends - n] + int(word_values[-1] > 0))
+            logs.append(sums[ends] - sums[ends - n] + end)
+            hits.append(seen[ends] - seen[ends - n] + int(end > 0))
         held = [not trains(x, folds, fold) for x in ids]
         columns = {"n_tokens": (tokens, np.int64), "n_known": (hits, np.int64), "logs": (logs, np.float64), "score": (scores, np.float64)}
         columns = {k: np.concatenate([np.empty(0, kind), *v]).astype(kind) for k, (v, kind) in columns.items()}
