@@ -127,6 +127,28 @@ def test_bpe(spark, rows, tmp_path):
         bpe.bpe_decode(spark.sql("SELECT array(999999) AS ids"), path, P.PATTERN).collect()
 
 
+def test_bpe_known_pieces():
+    """Texts are gathered from the ids of known pieces, and a piece is merged once, also over several calls."""
+    tokens = [bytes([b]) for b in range(256)] + [b"ab", b"abab", b"ba", b" a", b"bb", b" ab"]
+    ranks = bpe.Ranks(b"\n".join(base64.b64encode(t) + b" %d" % k for k, t in enumerate(tokens)), r" ?\w+|\s+|[^\w\s]+")
+
+    def brute(piece):
+        ids = [bytes([b]) for b in piece.encode()]
+        while pairs := [(tokens.index(a + b), k) for k, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if a + b in tokens]:
+            k = min(pairs)[1]
+            ids[k : k + 2] = [ids[k] + ids[k + 1]]
+        return [tokens.index(t) for t in ids]
+
+    rng, known, merged, merge = random.Random(2), bpe.Known(), [], ranks.merge
+    ranks.merge = lambda pieces: merged.extend(pieces) or merge(pieces)
+    texts = ["", "ab", " "] + ["".join(rng.choice("aabbb  é,") for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    for part in (texts[:90], texts[60:], [""], [], texts):
+        ids, sizes = ranks.encode(part, known)
+        assert sizes.tolist() == [sum(len(brute(p)) for p in ranks.pieces(t)) for t in part]
+        assert ids.tolist() == [x for t in part for p in ranks.pieces(t) for x in brute(p)]
+    assert len(merged) == len(set(merged)) == len(known.place) > 100
+
+
 def components(n, links):
     at = list(range(n))
 

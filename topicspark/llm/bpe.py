@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,21 @@ from .common import give_back, small_batches, table
 
 NONE = np.int32(2**31 - 1)
 #: Characters of text handled at once, and pieces remembered in a task before it starts afresh: they bound memory.
-SLICE, REMEMBERED = 1 << 19, 150_000
+SLICE, REMEMBERED = 1 << 19, 300_000
+
+
+class Known:
+    """Pieces that a task has encoded: the place of each, and their ids in one array."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, pieces: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """pieces: none of them known, each once; ids: theirs, one piece after another."""
+        self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
 
 
 class Ranks:
@@ -80,17 +95,16 @@ class Ranks:
             open_, keys, at = open_[go], keys[go], (at[go] + 1) & self.mask
         return out
 
-    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """The ids of each piece. Pieces of like length share a padded matrix; each round every row merges its leftmost
-        pair of least rank, and rows without one leave the matrix, which so loses a column a round."""
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(pieces)
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which piece, how many ids it has, and the ids one after another, in the order in which pieces are done. Pieces of
+        like length share a padded matrix; each round every row merges its leftmost pair of least rank, and rows without
+        one leave the matrix, which so loses a column a round."""
+        whole = np.array([self.by_bytes.get(p, -1) for p in pieces], dtype=np.int32)
+        one = np.flatnonzero(whole >= 0)
+        out = [(one, np.ones(len(one), dtype=np.int64), whole[one])]
         buckets: dict[int, list[int]] = {}
-        for k, p in enumerate(pieces):
-            whole = self.by_bytes.get(p)
-            if whole is not None:
-                out[k] = np.array([whole], np.int32)
-            else:
-                buckets.setdefault((len(p) - 1).bit_length(), []).append(k)
+        for k in np.flatnonzero(whole < 0).tolist():
+            buckets.setdefault((len(pieces[k]) - 1).bit_length(), []).append(k)
         for members in buckets.values():
             width = max(len(pieces[k]) for k in members)
             step = max(1, (1 << 20) // width)
@@ -102,9 +116,9 @@ class Ranks:
                 if (self.single[raw] < 0)[np.arange(width) < size[:, None]].any():
                     raise ValueError("the vocabulary lacks a byte")
                 self.rounds(ids, rows, out)
-        return out
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def rounds(self, ids: np.ndarray, rows: np.ndarray, out: list[np.ndarray]) -> None:
+    def rounds(self, ids: np.ndarray, rows: np.ndarray, out: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
         rank = self.ranks(ids[:, :-1], ids[:, 1:])
         while True:
             if ids.shape[1] > 1:
@@ -113,11 +127,12 @@ class Ranks:
                 done = best == NONE
             else:
                 done = np.ones(len(rows), dtype=bool)
-            for k, row in zip(rows[done], ids[done], strict=True):
-                out[k] = row[row >= 0]
-            if done.all():
-                return
             if done.any():
+                ended = ids[done]
+                real = ended >= 0
+                out.append((rows[done], real.sum(axis=1), ended[real]))
+                if done.all():
+                    return
                 ids, rank, rows, at, best = ids[~done], rank[~done], rows[~done], at[~done], best[~done]
             n = np.arange(len(rows))
             keep = np.arange(ids.shape[1] - 1)
@@ -131,13 +146,18 @@ class Ranks:
                     ok = np.flatnonzero((place >= 0) & (place < rank.shape[1]))
                     rank[ok, place[ok]] = self.ranks(ids[ok, place[ok]], ids[ok, place[ok] + 1])
 
-    def encode(self, texts: list[str], known: dict[str, np.ndarray]) -> list[np.ndarray]:
+    def encode(self, texts: list[str], known: Known) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each text has."""
         split = [self.pieces(t) for t in texts]
-        new = list({p for s in split for p in s if p not in known})
-        for p, ids in zip(new, self.merge([p.encode() for p in new]), strict=True):
-            known[p] = ids
-        empty = np.empty(0, np.int32)
-        return [np.concatenate([known[p] for p in s]) if s else empty for s in split]
+        new = list(set().union(*split).difference(known.place))
+        which, sizes, ids = self.merge([p.encode() for p in new])
+        known.add([new[k] for k in which.tolist()], sizes, ids)
+        count = np.array([len(s) for s in split], dtype=np.int64)
+        at = np.fromiter(map(known.place.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(count.sum()))
+        size = known.sizes[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = known.flat[np.arange(ends[-1]) + np.repeat(known.starts[at] - ends[:-1], size)]
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(count)])])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of a run of ids, gathered from the vocabulary's concatenation; an unknown id is an error."""
@@ -187,16 +207,16 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        ranks, known = loaded(shipped.value, pattern), {}
+        ranks, known = loaded(shipped.value, pattern), Known()
         for batch in batches:
             column = batch.column(names.index(text))
             lo = 0
             for part in sliced([t or "" for t in column.to_pylist()]):
-                if len(known) > REMEMBERED:
-                    known.clear()
-                found = ranks.encode(part, known)
-                ends = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), type=pa.int32()))
+                if len(known.place) > REMEMBERED:
+                    known = Known()
+                found, sizes = ranks.encode(part, known)
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                values = pa.ListArray.from_arrays(pa.array(ends), pa.array(found, type=pa.int32()))
                 rows = batch.slice(lo, len(part))
                 yield pa.RecordBatch.from_arrays([*rows.columns, values], [*names, ids])
                 lo += len(part)
