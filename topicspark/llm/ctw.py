@@ -66,12 +66,12 @@ def grams(texts: list[bytes], depth: int) -> np.ndarray:
     return v[buf[depth:] != PAD[0]]
 
 
-def parts_of(texts: pa.ChunkedArray) -> Iterator[tuple[int, list[bytes]]]:
+def parts_of(texts: pa.ChunkedArray, most: int | None = None) -> Iterator[tuple[int, list[bytes]]]:
     part, size, lo = [], 0, 0
     for k, t in enumerate(texts):
         part.append((t.as_buffer().to_pybytes() if t.is_valid else b"").translate(LOWER))
         size += len(part[-1])
-        if size >= PART:
+        if size >= (most or PART):
             yield lo, part
             part, size, lo = [], 0, k + 1
     if part:
@@ -271,10 +271,11 @@ def scored(docs: DataFrame, replies: DataFrame, depth: int, folds: int, fold: in
         give_back()
         keys, values = reply.column("key").to_numpy(), reply.column("value").to_numpy()
         known = Lookup(keys, np.where(keys < 0, np.log10(np.where(keys < 0, values, 0.0) + 1), values))
+        del reply, keys, values
         end = known.find(np.array([END_KEY]))[0] if len(rows) else 0.0
         ids = rows.column("doc_id").to_pylist() if len(rows) else []
         tokens, hits, logs, scores = [], [], [], []
-        for _, texts in parts_of(rows.column("text")) if len(rows) else ():
+        for _, texts in parts_of(rows.column("text"), PART // 4) if len(rows) else ():
             per_byte = known.find(grams(texts, depth))
             scores.append(np.add.reduceat(per_byte, np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]))
             words, n = word_keys(texts)
