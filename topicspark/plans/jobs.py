@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from topicspark.operators import routing as RO
 from topicspark.operators import stats as ST
 from topicspark.operators import tree as TR
 from topicspark.operators import triage as TI
+from topicspark.shared import written
 
 
 class Sync(NamedTuple):
@@ -27,13 +29,25 @@ class Sync(NamedTuple):
 
 
 def sync_claims(facts: DataFrame, claims: DataFrame, cursor: DataFrame) -> Sync:
-    """Matches of the facts that the cursor lacks; topics with colliding keys are skipped whole and keep their cursor."""
-    keyed = facts.withColumn("fact_key", T.fact_key(F.col("source_id"), F.col("text")))
-    skipped = MA.collisions(keyed)
-    good = keyed.join(skipped, "topic", "left_anti")
-    new = MA.new_facts(good, cursor)
+    """Matches of the facts that the cursor lacks; topics with colliding keys are skipped whole and keep their cursor.
+
+    Facts are keyed and meet the cursor once: a table in the shared folder holds each (topic, fact_key) of either with the
+    number of its facts, one of them, and whether the cursor has it; all four frames read it. A topic that isn't skipped
+    has one fact a key.
+    """
+    at = ["topic", "fact_key"]
+    columns = [c for c in facts.columns if c not in at]
+    keyed = facts.select("topic", T.fact_key(F.col("source_id"), F.col("text")).alias("fact_key"), F.struct(*columns).alias("_fact"))
+    known = cursor.select(*at, F.lit(None).cast(keyed.schema["_fact"].dataType).alias("_fact"), F.lit(True).alias("_known"))
+    both = keyed.withColumn("_known", F.lit(False)).unionByName(known).groupBy(*at)
+    keys = written(both.agg(F.count("_fact").alias("_n"), F.any_value("_fact", True).alias("_fact"), F.bool_or("_known").alias("_known")), "keys")
+    skipped = written(keys.filter("_n > 1").select("topic").distinct(), "skipped")
+    without = lambda rows, topics, how="left_anti": rows.alias("_l").join(topics.alias("_r"), F.col("_l.topic").eqNullSafe(F.col("_r.topic")), how)
+    new = without(keys.filter("_n > 0 AND (NOT _known OR fact_key IS NULL)"), skipped).select("topic", *[F.col(f"_fact.`{c}`") for c in columns], "fact_key").select(*facts.columns, "fact_key")
     matches = MA.match_claims(new, claims, ["topic", "source_id", "fact_key"])
-    return Sync(matches, new, skipped.withColumn("reason", F.lit("fact keys collide")), MA.next_cursor(good, cursor))
+    gone = without(keys.filter("_n = 0"), skipped)  # known keys without a fact stay where the topic has no facts at all
+    kept = [without(keys.filter("_n > 0"), skipped), without(keys.filter("_known"), skipped, "left_semi"), without(gone, keys.filter("_n > 0").select("topic").distinct())]
+    return Sync(matches, new, skipped.withColumn("reason", F.lit("fact keys collide")), reduce(DataFrame.unionByName, [df.select(*at) for df in kept]))
 
 
 class Rollup(NamedTuple):
