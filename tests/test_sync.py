@@ -1,8 +1,11 @@
 """E10 whole: what a sync reads and how often, and what becomes of the cursor."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from topicspark.functions import text as T
+from topicspark.operators import matching as MA
 from topicspark.plans import jobs
 
 CLAIMS = "id string, claim string, categories array<string>, keywords array<string>"
@@ -37,3 +40,22 @@ def test_facts_are_keyed_once(spark, tmp_path):
     s = jobs.sync_claims(facts, spark.createDataFrame([("V-1", "red", ["x"], ["red"])], CLAIMS), spark.createDataFrame([], "topic string, fact_key string"))
     assert [df.count() for df in s] == [50, 50, 0, 50]
     assert seen.value == 50
+
+
+def shuffled(spark):
+    """Bytes that the session's tasks have written to shuffles so far."""
+    time.sleep(1)  # the status store is brought up to date now and then
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Every text shares its words with every claim: what moves grows with the texts, not with the pairs."""
+    words = ["red", "blue", "green"]
+    facts = spark.range(400).select(F.col("id").alias("k"), F.concat(F.lit("red blue green "), F.md5(F.col("id").cast("string"))).alias("text"), F.array(F.lit("x")).alias("categories")).cache()
+    claims = spark.createDataFrame([(f"V-{k:03d}", f"red blue green {'own' * (k % 7)}{k}", ["x"], words) for k in range(500)], CLAIMS)
+    facts.count()
+    before = shuffled(spark)
+    best = MA.match_claims(facts, claims, ["k"]).collect()
+    moved = shuffled(spark) - before
+    assert sorted((r.k, r["rank"], r.id) for r in best) == [(k, n, f"V-{n - 1:03d}") for k in range(400) for n in (1, 2, 3)]
+    assert 0 < moved < 10 * 400 * 500, moved
