@@ -33,14 +33,17 @@ def sync_claims(facts: DataFrame, claims: DataFrame, cursor: DataFrame) -> Sync:
 
     Facts are keyed and meet the cursor once: a table in the shared folder holds each (topic, fact_key) of either with the
     number of its facts, one of them, and whether the cursor has it; all four frames read it. A topic that isn't skipped
-    has one fact a key.
+    has one fact a key. Keys move and lie there as the 32 bytes that they are; a cursor's other keys stay texts.
     """
     at = ["topic", "fact_key"]
     columns = [c for c in facts.columns if c not in at]
-    keyed = facts.select("topic", T.fact_key(F.col("source_id"), F.col("text")).alias("fact_key"), F.struct(*columns).alias("_fact"))
-    known = cursor.select(*at, F.lit(None).cast(keyed.schema["_fact"].dataType).alias("_fact"), F.lit(True).alias("_known"))
-    both = keyed.withColumn("_known", F.lit(False)).unionByName(known).groupBy(*at)
+    told = lambda k: F.lower(F.hex(k))
+    keyed = facts.select("topic", F.unhex(T.fact_key(F.col("source_id"), F.col("text"))).alias("_k"), F.struct(*columns).alias("_fact"), F.lit(False).alias("_known"))
+    known = cursor.select("topic", F.when(told(F.unhex("fact_key")) == F.col("fact_key"), F.unhex("fact_key")).alias("_k"), "fact_key")
+    known = known.select("topic", "_k", F.when(F.col("_k").isNull(), F.col("fact_key")).alias("_other"), F.lit(True).alias("_known"))
+    both = keyed.unionByName(known, allowMissingColumns=True).groupBy("topic", "_k", "_other")
     keys = written(both.agg(F.count("_fact").alias("_n"), F.any_value("_fact", True).alias("_fact"), F.bool_or("_known").alias("_known")), "keys")
+    keys = keys.select("topic", F.coalesce(told(F.col("_k")), "_other").alias("fact_key"), "_n", "_fact", "_known")
     skipped = written(keys.filter("_n > 1").select("topic").distinct(), "skipped")
     without = lambda rows, topics, how="left_anti": rows.alias("_l").join(topics.alias("_r"), F.col("_l.topic").eqNullSafe(F.col("_r.topic")), how)
     new = without(keys.filter("_n > 0 AND (NOT _known OR fact_key IS NULL)"), skipped).select("topic", *[F.col(f"_fact.`{c}`") for c in columns], "fact_key").select(*facts.columns, "fact_key")
